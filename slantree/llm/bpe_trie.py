@@ -181,6 +181,15 @@ class TrieEncoder:
             before = word
         return out
 
+    def split_chunk(self, chunk: str) -> list[str]:
+        """The words of a space and a chunk without spaces; letters with at most a comma or stop need no pattern."""
+        if chunk.isalpha():
+            return [" " + chunk]
+        bare = chunk.rstrip(".,")
+        if bare.isalpha():
+            return [" " + bare, chunk[len(bare) :]]
+        return _SPLIT.findall(" " + chunk)
+
     def split(self, text: str) -> list[str]:
         if _COMMON.fullmatch(text):
             return _SPLIT.findall(text)
@@ -190,7 +199,7 @@ class TrieEncoder:
         """Ids of each text.  A special token's string is that token, as the tokenizers library has it."""
         if self.special:
             cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
-            if any(cut.search(t) for t in texts):
+            if any(mark in t for mark in self.special for t in texts):
                 return [self._with_special(t, cut) for t in texts]
         return self._plain(texts)
 
@@ -209,7 +218,7 @@ class TrieEncoder:
         unknown: dict[str, None] = {}
         whole: list[list[str] | None] = []
         for text in texts:
-            if _COMMON.fullmatch(text) and not _BLANK_BEFORE_SPACE.search(text) and not text.startswith(" "):
+            if not text.startswith(" ") and _COMMON.fullmatch(text) and not _BLANK_BEFORE_SPACE.search(text):
                 head, *rest = text.split(" ")
                 plans.append(rest)
                 unknown.update(dict.fromkeys(c for c in rest if c not in chunks))
@@ -217,7 +226,7 @@ class TrieEncoder:
             else:
                 plans.append([])
                 whole.append(self.split(text))
-        parted = {c: self.split(" " + c) for c in unknown}
+        parted = {c: self.split_chunk(c) for c in unknown}
         new = {w for ws in (*parted.values(), *whole) for w in ws if w not in words}
         if new:
             raw = {w: w.encode() for w in new}
