@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slantree.llm import bpe_trie, language_id, license_scan, mpeg_audio, packing, quality_classifier, quality_rules, url_filter
+from slantree.llm import bpe_trie, language_id, license_scan, line_dedup, mpeg_audio, near_dedup, packing, quality_classifier, quality_rules, url_filter
 from slantree.llm.language_id import held_out
 
 #: Folder of the tokenizer files; every executor must have it.
@@ -29,6 +29,11 @@ def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.summarize(line_dedup.match_lines(docs), docs)
+
+
 def op3_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     filters = language_id.learn(docs.where(~held_out()))
@@ -91,6 +96,10 @@ def op7_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_superminhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85, size=3)
+
+
 def op9_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -101,7 +110,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pu_quality, op3_language_masks, op4_license_scan, op5_rule_ledger, op6_mpeg_frames, op7_trie_bpe, op9_url_automaton, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_pu_quality, op2_line_join, op3_language_masks, op4_license_scan, op5_rule_ledger, op6_mpeg_frames, op7_trie_bpe, op8_superminhash_groups, op9_url_automaton, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
