@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from slantree.llm.components import components
 from slantree.llm.durable import written
 from slantree.llm.near_dedup import BLOCK_MEMBERS, forest, linked
+from slantree.llm.sieve import sieve
 from slantree.llm.text_arrays import TextBatch, mix, slices
 
 SLOTS = 1 << 18
@@ -209,7 +210,7 @@ def _verified(members: DataFrame, df: DataFrame, text_col: str, id_col: str, per
     placed = members.join(sizes.select("grp", blocks.alias("blocks")), "grp").withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
     # Each record's tokens come from its first line; documents without such a line drop out of the join.
     wanted = placed.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "name", "grp", "blocks", "own")).alias("records"))
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = sieve(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", members, "doc_id")
     lines = texts.join(wanted, "doc_id").select("doc_id", F.split("text", "\n").alias("parts"), F.explode("records").alias("r"))
     rows = lines.select("doc_id", "r.*", F.try_element_at("parts", F.col("r.line_no") + 1).alias("line")).dropDuplicates(["name"])
     units = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

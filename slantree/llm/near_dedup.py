@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from slantree.llm.components import components
 from slantree.llm.durable import written
+from slantree.llm.sieve import sieve
 from slantree.llm.text_arrays import TextBatch, mix, slices, windows
 
 BANDS, ROWS = 30, 6
@@ -190,7 +191,7 @@ def verify(members: DataFrame, docs: DataFrame, percent: int, size: int, text_co
     sizes = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     blocks = F.greatest(F.ceil(F.col("n") / block_members), F.ceil(F.col("s") / block_shingles), F.lit(1)).cast("int")
     placed = members.join(sizes.select("grp", blocks.alias("blocks")), "grp").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = sieve(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", members, "id")
     units = (
         placed.join(texts, "id")
         .dropDuplicates(["id"])
