@@ -68,34 +68,34 @@ class LineSets:
         self.name = mix(total[edge[1:]] - total[edge[:-1]] + self.size.astype(np.uint64)).view(np.int64) if len(used) else np.zeros(0, np.int64)
 
 
-def _count_words(df: DataFrame, text_col: str) -> np.ndarray:
-    """How often each slot's words occur in the table: SLOTS numbers, whatever the input."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for batch in slices(batches, text_col):
-            x = TextBatch(batch.column(text_col), lower=True)
-            start, end, _ = x.words()
-            total += np.bincount((x.hashes(start, end) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at.astype(np.int64)), pa.array(total[at])], ["slot", "n"])
-
-    out = np.zeros(SLOTS, np.int64)
-    for row in df.select(text_col).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas().itertuples():
-        out[row.slot] = row.n
-    return out
-
-
 def _occurrences(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """doc_id, line_no (from 0), set name and set size of every line with a word."""
+    """doc_id, line_no (from 0), set name and set size of every line with a word.
+
+    Each task adds its word counts as rows with a null doc_id: name is the slot
+    and size the count, so that the text is read once for both.
+    """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        columns = ["doc_id", "line_no", "name", "size"]
         for batch in slices(batches, text_col):
             s = LineSets(batch.column(text_col))
+            total += np.bincount((s.tokens & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
             ids = batch.column(id_col).take(pa.array(s.doc))
-            yield pa.record_batch([ids, pa.array(s.number.astype(np.int32)), pa.array(s.name), pa.array(s.size.astype(np.int32))], ["doc_id", "line_no", "name", "size"])
+            yield pa.record_batch([ids, pa.array(s.number.astype(np.int32)), pa.array(s.name), pa.array(s.size.astype(np.int64))], columns)
+        at = np.flatnonzero(total)
+        none = len(at)
+        yield pa.record_batch([pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), pa.array(at.astype(np.int64)), pa.array(total[at])], columns)
 
-    return df.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(listed, "doc_id long, line_no int, name long, size int")
+    return df.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(listed, "doc_id long, line_no int, name long, size long")
+
+
+def _rarity(places: DataFrame) -> np.ndarray:
+    """How many lines hold words of each slot: SLOTS numbers, whatever the input."""
+    out = np.zeros(SLOTS, np.int64)
+    got = places.where("doc_id is null").groupBy("name").agg(F.sum("size").alias("n")).toPandas()
+    out[got["name"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return out
 
 
 def _filed(df: DataFrame, text_col: str, rarity, percent: int) -> DataFrame:
@@ -103,12 +103,13 @@ def _filed(df: DataFrame, text_col: str, rarity, percent: int) -> DataFrame:
     reach = (100 - percent) * 2
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = rarity.value
+        counts, seen = rarity.value, np.zeros(0, np.int64)
         for batch in slices(batches, text_col):
             s = LineSets(batch.column(text_col))
-            # Lines of equal sets are filed once per batch; sets below four tokens have no similar other set.
+            # Lines of equal sets are filed once per task; sets below four tokens have no similar other set.
             _, once = np.unique(s.name, return_index=True)
-            once = once[s.size[once] >= 4]
+            once = once[(s.size[once] >= 4) & ~np.isin(s.name[once], seen)]
+            seen = np.concatenate([seen, s.name[once]])
             line = np.repeat(np.arange(len(s.size)), s.size)
             wanted = np.zeros(len(s.size), bool)
             wanted[once] = True
@@ -144,9 +145,11 @@ def passes(size_a, pos_a, bits_a, size_b, pos_b, bits_b, percent: int) -> np.nda
 
 def _candidates(files: DataFrame, percent: int, block: int) -> DataFrame:
     """Links (a, b) between set names that pass the filters in some file: a spanning forest per unit."""
-    many = files.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    placed = files.join(many.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    # Most token pairs are filed once.  Keys filed again pass the sieve, with few others; only hot ones need blocks.
+    many = written(files.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    again = sieve(files, "key", many, "key")
+    hot = many.where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    placed = again.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
     units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "name", "size", "pos", "bits")
     names = ["key", "i", "j", "own", "name", "size", "pos", "bits"]
@@ -248,10 +251,11 @@ def match_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", p
     id are left out.  Of repeated rows with one id the lines are one.
     """
     rows = df.where(F.col(id_col).isNotNull())
-    places = written(_occurrences(rows, text_col, id_col), "places").distinct()
+    listed = written(_occurrences(rows, text_col, id_col), "places")
+    places = listed.where("doc_id is not null").distinct()
     sets = written(places.groupBy("name").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("size").alias("size")), "sets").select("name", "first.*", "size")
-    rarity = df.sparkSession.sparkContext.broadcast(_count_words(rows, text_col))
-    files = written(_filed(rows, text_col, rarity, percent), "files").distinct()
+    rarity = df.sparkSession.sparkContext.broadcast(_rarity(listed))
+    files = written(_filed(rows, text_col, rarity, percent), "files")
     groups = components(_candidates(files, percent, file_block))
     members = written(groups.select(F.col("id").alias("name"), F.col("component").alias("grp")).join(sets, "name"), "line_members")
     per_set, links = _verified(members, rows, text_col, id_col, percent)
