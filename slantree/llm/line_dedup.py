@@ -11,10 +11,11 @@ pair starts at position 0.4 n at most for t = 0.8.  Each line is therefore filed
 under its adjacent token pairs up to there, and similar lines share a file.
 
 Within a file, pairs are tested by length, by position (tokens before the
-shared pair can only match tokens before it) and by the bits of the token
-hashes in which they differ.  What passes is verified on full token sets, block
-by block within each candidate group.  Lines of equal sets are one record
-throughout.
+shared pair can only match tokens before it) and by parity words: each token
+flips one of 64, 128 or 256 bits (more for longer lines), so the bits in which
+two lines differ are at most the tokens in which they do.  What passes is
+verified on full token sets within each candidate group.  Lines of equal sets
+are one record throughout.
 
 A line is removed if an earlier one (by doc_id, then line number) has Jaccard
 >= t with it, whether or not that one is removed itself.
@@ -32,13 +33,22 @@ from pyspark.sql import functions as F
 from slantree.llm.components import components
 from slantree.llm.durable import written
 from slantree.llm.near_dedup import BLOCK_MEMBERS, forest, linked
-from slantree.llm.sieve import sieve
+from slantree.llm.sieve import bit_map, sieve
 from slantree.llm.text_arrays import TextBatch, mix, slices
 
 SLOTS = 1 << 18
 #: Members of a file compared in one unit; larger files are dealt into blocks, and every pair of blocks is a unit.
-FILE_BLOCK = 2000
+FILE_BLOCK = 1000
 PERCENT = 80
+#: Bits of the map that keeps token pairs filed once out of the shuffle (16 MB).
+PAIR_BITS = 1 << 27
+#: The same for lines whose set is in no candidate group (8 MB).
+LINE_BITS = 1 << 26
+#: Words up to which a line has 64 and 128 parity bits; longer lines have 256.
+NARROW, MEDIUM = 64, 160
+#: Units of at most so many lines are verified many at once, larger ones by a matrix each.
+SMALL_UNIT = 48
+SIGNS = ["s0", "s1", "s2", "s3"]
 
 
 class LineSets:
@@ -98,8 +108,22 @@ def _rarity(places: DataFrame) -> np.ndarray:
     return out
 
 
+def parity(tokens: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Four words per set; sets of at most MEDIUM and NARROW tokens are folded into the first two and the first."""
+    if not len(first):
+        return [np.zeros(0, np.uint64)] * 4
+    bit = tokens >> np.uint64(56)
+    flips, word = np.uint64(1) << (bit & np.uint64(63)), bit >> np.uint64(6)
+    w = [np.bitwise_xor.reduceat(np.where(word == np.uint64(k), flips, np.uint64(0)), first) for k in range(4)]
+    half, whole = sizes <= MEDIUM, sizes <= NARROW
+    none = np.uint64(0)
+    s0 = np.where(whole, w[0] ^ w[1] ^ w[2] ^ w[3], np.where(half, w[0] ^ w[2], w[0]))
+    s1 = np.where(whole, none, np.where(half, w[1] ^ w[3], w[1]))
+    return [s0, s1, np.where(half, none, w[2]), np.where(half, none, w[3])]
+
+
 def _filed(df: DataFrame, text_col: str, rarity, percent: int) -> DataFrame:
-    """One row per adjacent token pair of each line's prefix: key, name, size, pos, bits."""
+    """One row per adjacent token pair of each line's prefix: key, name, size, pos and parity words."""
     reach = (100 - percent) * 2
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,128 +140,223 @@ def _filed(df: DataFrame, text_col: str, rarity, percent: int) -> DataFrame:
             tokens, line = s.tokens[wanted[line]], line[wanted[line]]
             rank = counts[(tokens & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64)
             order = np.lexsort((tokens, rank, line))
-            tokens, line = tokens[order], line[order]
-            sizes = s.size[np.sort(once)]
-            names = s.name[np.sort(once)]
-            first = np.concatenate([[0], np.cumsum(sizes)])[:-1] if len(sizes) else np.zeros(0, np.int64)
+            tokens = tokens[order]
+            once.sort()
+            sizes, names = s.size[once], s.name[once]
+            first = np.cumsum(sizes) - sizes
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            bits = np.bitwise_or.reduceat(np.uint64(1) << (tokens >> np.uint64(58)), first) if len(sizes) else np.zeros(0, np.uint64)
+            signs = parity(tokens, first, sizes)
             pos = np.arange(len(tokens)) - first[owner]
             keep = np.flatnonzero((pos <= reach * sizes[owner] // 100) & (pos < sizes[owner] - 1))
             key = mix(tokens[keep] * np.uint64(3) + mix(tokens[keep + 1]))
             own = owner[keep]
             yield pa.record_batch(
-                [pa.array(key.view(np.int64)), pa.array(names[own]), pa.array(sizes[own].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), pa.array(bits[own].view(np.int64))],
-                ["key", "name", "size", "pos", "bits"],
+                [pa.array(key.view(np.int64)), pa.array(names[own]), pa.array(sizes[own].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), *(pa.array(w[own].view(np.int64)) for w in signs)],
+                ["key", "name", "size", "pos", *SIGNS],
             )
 
-    return df.select(text_col).mapInArrow(filed, "key long, name long, size int, pos int, bits long")
+    return df.select(text_col).mapInArrow(filed, "key long, name long, size int, pos int, s0 long, s1 long, s2 long, s3 long")
 
 
-def passes(size_a, pos_a, bits_a, size_b, pos_b, bits_b, percent: int) -> np.ndarray:
-    """The length, positional and bit filters; never false for a pair at the threshold that shares this token pair."""
+def passes(rows: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
+    """The length, positional and parity filters for rows p against rows q; never false for a pair at the threshold that shares this token pair."""
+    out = np.zeros(len(p), bool)
+    size_a, size_b, pos_a, pos_b = rows["size"][p].astype(np.int64), rows["size"][q].astype(np.int64), rows["pos"][p], rows["pos"][q]
     both = size_a + size_b
     fewest = -(-percent * both // (100 + percent))
     enough = np.minimum(pos_a, pos_b) + np.minimum(size_a - pos_a, size_b - pos_b) >= fewest
-    near = 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
-    return enough & near & (np.bitwise_count((bits_a ^ bits_b).view(np.uint64)) <= both - 2 * fewest)
+    at = np.flatnonzero(enough & (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)) & (rows["name"][p] != rows["name"][q]))
+    p, q, least = p[at], q[at], np.minimum(size_a, size_b)[at]
+    x = [(rows[c][p] ^ rows[c][q]).view(np.uint64) for c in SIGNS]
+    count = np.bitwise_count
+    # Each width is compared at the narrower line's; wider words fold into narrower ones.
+    narrow = count(x[0] ^ x[1] ^ x[2] ^ x[3]).astype(np.int64)
+    medium = count(x[0] ^ x[2]).astype(np.int64) + count(x[1] ^ x[3])
+    wide = sum(count(w).astype(np.int64) for w in x)
+    differ = np.where(least <= NARROW, narrow, np.where(least <= MEDIUM, medium, wide))
+    out[at] = differ <= (both - 2 * fewest)[at]
+    return out
+
+
+def _streamed(df: DataFrame, unit: list[str], order: list[str], columns: list[str], work, schema: str) -> DataFrame:
+    """`work` on whole units (rows equal in `unit`), many units at a time, in Arrow batches of sorted partitions."""
+    dealt = df.select(*columns).repartition(*unit).sortWithinPartitions(*unit, *order)
+
+    def edges(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), bool)
+        new[:1] = True
+        for c in unit:
+            values = table.column(c).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        return np.flatnonzero(new)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            table = pa.Table.from_batches(held)
+            at = edges(table)
+            if len(at) > 1:  # the last unit may go on in the next batch
+                yield from work(table.slice(0, at[-1]), at[:-1])
+                held = table.slice(at[-1]).combine_chunks().to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from work(table, edges(table))
+
+    return dealt.mapInArrow(stream, schema)
+
+
+def _pairs(start: np.ndarray, count: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs of each unit of 2 to `most` rows, for all units of one size at once."""
+    for n in np.unique(count[(count > 1) & (count <= most)]):
+        i, j = np.triu_indices(n, 1)
+        at = start[count == n]
+        for cut in range(0, len(at), max(1, 1_000_000 // len(i))):
+            part = at[cut : cut + max(1, 1_000_000 // len(i)), None]
+            yield (part + i).ravel(), (part + j).ravel()
 
 
 def _candidates(files: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) between set names that pass the filters in some file: a spanning forest per unit."""
+    """Links (a, b) between set names that pass the filters in some file: a spanning forest per large unit."""
     # Most token pairs are filed once.  Keys filed again pass the sieve, with few others; only hot ones need blocks.
     many = written(files.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
-    again = sieve(files, "key", many, "key")
+    again = sieve(files, "key", many, "key", PAIR_BITS)
     hot = many.where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    placed = again.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "name", "size", "pos", "bits")
-    names = ["key", "i", "j", "own", "name", "size", "pos", "bits"]
-
-    def compare(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        unit = np.flatnonzero(np.concatenate([[True], (rows["key"][1:] != rows["key"][:-1]) | (rows["i"][1:] != rows["i"][:-1]) | (rows["j"][1:] != rows["j"][:-1])]))
-        count = np.diff(np.append(unit, len(rows["key"])))
-        a, b = [], []
-        for n in np.unique(count[count > 1]):
-            start = unit[count == n]
-            if n <= 32:
-                # Units of one small size at once.
-                for i in range(n):
-                    for j in range(i + 1, n):
-                        p, q = start + i, start + j
-                        ok = passes(*(rows[c][p] for c in ("size", "pos", "bits")), *(rows[c][q] for c in ("size", "pos", "bits")), percent) & (rows["name"][p] != rows["name"][q])
-                        a.append(rows["name"][p[ok]])
-                        b.append(rows["name"][q[ok]])
-                continue
-            for at in start:
-                part = slice(at, at + n)
-                size, pos, bits, own = (rows[c][part] for c in ("size", "pos", "bits", "own"))
-                ok = passes(size[:, None], pos[:, None], bits[:, None], size[None], pos[None], bits[None], percent)
-                if rows["i"][at] != rows["j"][at]:
-                    ok &= own[:, None] != own[None]
-                label = forest(ok)
-                a.append(rows["name"][part][label])
-                b.append(rows["name"][part])
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = {c: [] for c in names}
-
-        def done(last: bool) -> Iterator[pa.RecordBatch]:
-            rows = {c: np.concatenate(held[c]) for c in names}
-            n = len(rows["key"])
-            if not last:  # the last unit may go on in the next batch
-                n = int(np.flatnonzero((rows["key"] != rows["key"][-1]) | (rows["i"] != rows["i"][-1]) | (rows["j"] != rows["j"][-1]))[-1] + 1) if (rows["key"] != rows["key"][-1]).any() or (rows["i"] != rows["i"][-1]).any() or (rows["j"] != rows["j"][-1]).any() else 0
-            if n:
-                a, b = compare({c: r[:n] for c, r in rows.items()})
-                keep = a != b
-                yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
-            for c in names:
-                held[c] = [rows[c][n:]]
+    columns = ["name", "size", "pos", *SIGNS]
 
-        for batch in batches:
-            if len(batch):
-                for c in names:
-                    held[c].append(batch.column(c).to_numpy())
-                yield from done(False)
-        if held["key"]:
-            yield from done(True)
-
-    return units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(stream, "a long, b long")
+    def compare(table: pa.Table, start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = {c: table.column(c).to_numpy() for c in table.column_names}
+        count = np.diff(np.append(start, len(table)))
+        a, b = [], []
+        blocked = "own" in rows
+        apart = rows["i"] != rows["j"] if blocked else np.zeros(len(table), bool)
+        for p, q in _pairs(start, count, SMALL_UNIT):
+            ok = passes(rows, p, q, percent)
+            if blocked:
+                ok &= ~apart[p] | (rows["own"][p] != rows["own"][q])
+            a.append(rows["name"][p[ok]])
+            b.append(rows["name"][q[ok]])
+        for at, n in zip(start[count > SMALL_UNIT], count[count > SMALL_UNIT]):
+            members = np.arange(at, at + n)
+            links = np.zeros((n, n), bool)
+            for cut in range(0, n, 128):
+                p = np.repeat(members[cut : cut + 128], n)
+                q = np.tile(members, len(p) // n)
+                ok = passes(rows, p, q, percent)
+                if apart[at]:
+                    ok &= rows["own"][p] != rows["own"][q]
+                links[cut : cut + 128] = ok.reshape(-1, n)
+            a.append(rows["name"][members[forest(links)]])
+            b.append(rows["name"][members])
+        if a:
+            x, y = np.concatenate(a), np.concatenate(b)
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y], axis=1)
+            yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    # All rows of a key are on one side of the hot keys' sieve; what it lets through by chance has one block.
+    cold = sieve(again, "key", hot, "key", wanted_in=False)
+    warm = sieve(again, "key", hot, "key").join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = warm.withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *columns)
+    one = _streamed(cold, ["key"], [], ["key", *columns], compare, "a long, b long")
+    return one.union(_streamed(units, ["key", "i", "j"], [], ["key", "i", "j", "own", *columns], compare, "a long, b long"))
+
+
+def _wanted_lines(df: DataFrame, text_col: str, members: DataFrame) -> DataFrame:
+    """name and line of lines whose set may be a member: each at most once per task."""
+    sent = bit_map(members, "name", LINE_BITS)
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)
+        for batch in slices(batches, text_col):
+            s = LineSets(batch.column(text_col))
+            _, once = np.unique(s.name, return_index=True)
+            at = (s.name[once].view(np.uint64) & np.uint64(LINE_BITS - 1)).astype(np.int64)
+            once = once[((sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1) & ~np.isin(s.name[once], seen)]
+            seen = np.concatenate([seen, s.name[once]])
+            raw = s.batch.bytes.tobytes()
+            lines = [raw[x:y].decode() for x, y in zip(s.bounds[0][once], s.bounds[1][once])]
+            yield pa.record_batch([pa.array(s.name[once]), pa.array(lines, pa.string())], ["name", "line"])
+
+    return df.select(text_col).mapInArrow(picked, "name long, line string")
+
+
+def shared_tokens(s: LineSets, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets p with sets q, pair by pair."""
+    out = np.zeros(len(p), np.int64)
+    cost = np.cumsum(s.size[p] + s.size[q])
+    at = 0
+    while at < len(p):
+        to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + 2_000_000, "right")))
+        both = np.concatenate([p[at:to], q[at:to]])
+        n = s.size[both]
+        pair = np.repeat(np.tile(np.arange(to - at), 2), n)
+        tokens = s.tokens[np.repeat(s.first[both] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        order = np.lexsort((tokens, pair))
+        tokens, pair = tokens[order], pair[order]
+        same = (tokens[1:] == tokens[:-1]) & (pair[1:] == pair[:-1])
+        out[at:to] = np.bincount(pair[1:][same], minlength=to - at)
+        at = to
+    return out
 
 
-def _verified(members: DataFrame, df: DataFrame, text_col: str, id_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
+def _verified(members: DataFrame, df: DataFrame, text_col: str, percent: int) -> tuple[DataFrame, DataFrame]:
     """Per set name: links and whether an earlier set is linked; and a spanning forest of the links."""
     sizes = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("s") / 2_000_000), F.lit(1)).cast("int")
     placed = members.join(sizes.select("grp", blocks.alias("blocks")), "grp").withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    # Each record's tokens come from its first line; documents without such a line drop out of the join.
-    wanted = placed.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "name", "grp", "blocks", "own")).alias("records"))
-    texts = sieve(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", members, "doc_id")
-    lines = texts.join(wanted, "doc_id").select("doc_id", F.split("text", "\n").alias("parts"), F.explode("records").alias("r"))
-    rows = lines.select("doc_id", "r.*", F.try_element_at("parts", F.col("r.line_no") + 1).alias("line")).dropDuplicates(["name"])
+    rows = _wanted_lines(df, text_col, members).join(placed, "name")
     units = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "name", "doc_id", "line_no", "line")
 
-    def compare(key: tuple[pa.Scalar, ...], unit: pa.Table) -> pa.Table:
-        unit = unit.sort_by([("doc_id", "ascending"), ("line_no", "ascending")]).combine_chunks()
-        s = LineSets(unit.column("line").chunk(0))
-        sets = [np.zeros(0, np.uint64)] * len(unit)
-        for k, at, n in zip(s.doc, s.first, s.size):
-            sets[k] = s.tokens[at : at + n]
-        own, names = unit.column("own").to_numpy(), unit.column("name").to_numpy()
-        if key[1].as_py() == key[2].as_py():
-            links = linked(sets, None, percent)
-            np.fill_diagonal(links, False)
-        else:
-            a, b = np.flatnonzero(own == key[1].as_py()), np.flatnonzero(own == key[2].as_py())
-            links = np.zeros((len(sets), len(sets)), bool)
-            if len(a) and len(b):
-                links[np.ix_(a, b)] = linked([sets[k] for k in a], [sets[k] for k in b], percent)
-            links |= links.T
-        return pa.table({"name": names, "n_links": links.sum(1).astype(np.int64), "earlier": np.tril(links).any(1), "root": names[forest(links)]})
-
-    found = written(units.groupBy("grp", "i", "j").applyInArrow(compare, "name long, n_links long, earlier boolean, root long"), "verified")
+    def compare(table: pa.Table, _: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # Rows are sorted by the place of their set, so a set sent by several tasks stands together.
+        name, grp, i, j = (table.column(c).to_numpy() for c in ("name", "grp", "i", "j"))
+        new = np.ones(len(table), bool)
+        unit = (grp[1:] != grp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        new[1:] = unit | (name[1:] != name[:-1])
+        edge = np.concatenate([[True], unit])[new]
+        name, i, j, own = name[new], i[new], j[new], table.column("own").to_numpy()[new]
+        lines = table.column("line").filter(pa.array(new)).combine_chunks()
+        s = LineSets(lines.chunk(0) if isinstance(lines, pa.ChunkedArray) else lines)
+        start = np.flatnonzero(edge)
+        count = np.diff(np.append(start, len(name)))
+        n_links, earlier, label = np.zeros(len(name), np.int64), np.zeros(len(name), bool), np.arange(len(name))
+        a, b = [], []
+        for p, q in _pairs(start, count, SMALL_UNIT):
+            ok = (100 * np.minimum(s.size[p], s.size[q]) >= percent * np.maximum(s.size[p], s.size[q])) & ((i[p] == j[p]) | (own[p] != own[q]))
+            p, q = p[ok], q[ok]
+            both = shared_tokens(s, p, q)
+            ok = 100 * both >= percent * (s.size[p] + s.size[q] - both)
+            a.append(p[ok])
+            b.append(q[ok])
+        if a:
+            p, q = np.concatenate(a), np.concatenate(b)
+            n_links += np.bincount(np.concatenate([p, q]), minlength=len(name))
+            earlier[q] = True
+            while (label[p] != label[q]).any():
+                least = np.minimum(label[p], label[q])
+                np.minimum.at(label, p, least)
+                np.minimum.at(label, q, least)
+        for at, n in zip(start[count > SMALL_UNIT], count[count > SMALL_UNIT]):
+            sets = [s.tokens[s.first[k] : s.first[k] + s.size[k]] for k in range(at, at + n)]
+            mine = own[at : at + n]
+            if i[at] == j[at]:
+                links = linked(sets, None, percent)
+                np.fill_diagonal(links, False)
+            else:
+                x, y = np.flatnonzero(mine == i[at]), np.flatnonzero(mine == j[at])
+                links = np.zeros((n, n), bool)
+                if len(x) and len(y):
+                    links[np.ix_(x, y)] = linked([sets[k] for k in x], [sets[k] for k in y], percent)
+                links |= links.T
+            n_links[at : at + n], earlier[at : at + n], label[at : at + n] = links.sum(1), np.tril(links).any(1), at + forest(links)
+        yield pa.record_batch([pa.array(name), pa.array(n_links), pa.array(earlier), pa.array(name[label])], ["name", "n_links", "earlier", "root"])
+
+    columns = ["grp", "i", "j", "own", "name", "doc_id", "line_no", "line"]
+    found = written(_streamed(units, ["grp", "i", "j"], ["doc_id", "line_no"], columns, compare, "name long, n_links long, earlier boolean, root long"), "verified")
     per_set = found.groupBy("name").agg(F.sum("n_links").alias("n_links"), F.max("earlier").alias("earlier"))
     return per_set, found.where("name <> root").select(F.col("name").alias("a"), F.col("root").alias("b"))
 
@@ -258,7 +377,7 @@ def match_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", p
     files = written(_filed(rows, text_col, rarity, percent), "files")
     groups = components(_candidates(files, percent, file_block))
     members = written(groups.select(F.col("id").alias("name"), F.col("component").alias("grp")).join(sets, "name"), "line_members")
-    per_set, links = _verified(members, rows, text_col, id_col, percent)
+    per_set, links = _verified(members, rows, text_col, percent)
     classes = components(links).select(F.col("id").alias("name"), "component")
     heads = classes.join(sets, "name").groupBy("component").agg(F.min(F.struct("doc_id", "line_no")).alias("head"))
     named = classes.join(heads, "component").select("name", "head")

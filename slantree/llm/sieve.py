@@ -12,18 +12,27 @@ from pyspark.sql.types import BooleanType
 BITS = 1 << 24
 
 
-def sieve(df: DataFrame, id_col: str, wanted: DataFrame, wanted_col: str) -> DataFrame:
-    """Rows of `df` whose id may be among `wanted`: all that are, and few others.  A join must follow."""
-    place = F.pmod(F.xxhash64(F.col(wanted_col)), F.lit(BITS))
-    words = wanted.select(place.alias("p")).groupBy((F.col("p") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-    got = words.toPandas()  # BITS / 64 rows at most
-    bits = np.zeros(BITS // 64, np.uint64)
-    bits[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
-    sent = df.sparkSession.sparkContext.broadcast(bits)
+def bit_map(wanted: DataFrame, col: str, bits: int, hashed: bool = False):
+    """Broadcast words of a map of `bits` bits, set where the low bits of `col` (or of its hash) fall."""
+    value = F.xxhash64(F.col(col)) if hashed else F.col(col)
+    place = value.bitwiseAND(F.lit(bits - 1))
+    words = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
+    got = words.toPandas()  # bits / 64 rows at most
+    out = np.zeros(bits // 64, np.uint64)
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    return wanted.sparkSession.sparkContext.broadcast(out)
+
+
+def sieve(df: DataFrame, id_col: str, wanted: DataFrame, wanted_col: str, bits: int = BITS, wanted_in: bool = True) -> DataFrame:
+    """Rows of `df` whose id may be among `wanted`: all that are, and few others.  A join must follow.
+
+    With wanted_in=False, the other rows: none of theirs is among `wanted`.
+    """
+    sent = bit_map(wanted, wanted_col, bits, hashed=True)
 
     @F.arrow_udf(BooleanType())
     def held(p: pa.Array) -> pa.Array:
         at = p.to_numpy(zero_copy_only=False).astype(np.int64)
-        return pa.array((sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+        return pa.array(((sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1) == wanted_in)
 
-    return df.where(held(F.pmod(F.xxhash64(F.col(id_col)), F.lit(BITS))))
+    return df.where(held(F.xxhash64(F.col(id_col)).bitwiseAND(F.lit(bits - 1))))
