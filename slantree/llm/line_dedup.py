@@ -40,8 +40,10 @@ SLOTS = 1 << 18
 #: Members of a file compared in one unit; larger files are dealt into blocks, and every pair of blocks is a unit.
 FILE_BLOCK = 1000
 PERCENT = 80
-#: Bits of the map that keeps token pairs filed once out of the shuffle (16 MB).
-PAIR_BITS = 1 << 27
+#: Bits of a packed sort word that hold the line; the others hold a hash or a rarity.
+LINE_SHIFT = 20
+#: Bits of the map that keeps token pairs filed once out of the shuffle (8 MB).
+PAIR_BITS = 1 << 26
 #: The same for lines whose set is in no candidate group (8 MB).
 LINE_BITS = 1 << 26
 #: Words up to which a line has 64 and 128 parity bits; longer lines have 256.
@@ -51,6 +53,16 @@ SMALL_UNIT = 48
 SIGNS = ["s0", "s1", "s2", "s3"]
 
 
+def in_lines(line: np.ndarray, high: np.ndarray, full: np.ndarray) -> np.ndarray:
+    """Stable order by line, then by `high` (44 bits at most), or by `full` where a text has too many lines for one word.
+
+    `line` never falls, so one sort of packed words does it.
+    """
+    if len(line) and line[-1] - line[0] >= 1 << LINE_SHIFT:
+        return np.lexsort((full, line))
+    return np.argsort(((line - line[:1]).astype(np.uint64) << np.uint64(64 - LINE_SHIFT)) | high, kind="stable")
+
+
 class LineSets:
     """Distinct token sets of a batch's lines with a word; all arrays are sorted by line."""
 
@@ -61,7 +73,7 @@ class LineSets:
         hashes = x.hashes(start, end)
         line = np.searchsorted(ls, start, "right") - 1
         # An empty line shares its start with the next one; searchsorted then points at the last of them, which holds the word.
-        order = np.lexsort((hashes, line))
+        order = in_lines(line, hashes >> np.uint64(LINE_SHIFT), hashes)
         hashes, line = hashes[order], line[order]
         new = np.ones(len(line), bool)
         new[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
@@ -103,8 +115,8 @@ def _occurrences(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
 def _rarity(places: DataFrame) -> np.ndarray:
     """How many lines hold words of each slot: SLOTS numbers, whatever the input."""
     out = np.zeros(SLOTS, np.int64)
-    got = places.where("doc_id is null").groupBy("name").agg(F.sum("size").alias("n")).toPandas()
-    out[got["name"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    got = places.where("doc_id is null").groupBy("name").agg(F.sum("size").alias("n")).toArrow()
+    out[got["name"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
@@ -123,11 +135,11 @@ def parity(tokens: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> list[np.
 
 
 def _filed(df: DataFrame, text_col: str, rarity, percent: int) -> DataFrame:
-    """One row per adjacent token pair of each line's prefix: key, name, size, pos and parity words."""
+    """Each line's name, size, parity words, and the keys of the adjacent token pairs of its prefix in order."""
     reach = (100 - percent) * 2
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = rarity.value, np.zeros(0, np.int64)
+        steps, seen = (np.log2(rarity.value + 1) * 64).astype(np.uint64), np.zeros(0, np.int64)
         for batch in slices(batches, text_col):
             s = LineSets(batch.column(text_col))
             # Lines of equal sets are filed once per task; sets below four tokens have no similar other set.
@@ -138,8 +150,9 @@ def _filed(df: DataFrame, text_col: str, rarity, percent: int) -> DataFrame:
             wanted = np.zeros(len(s.size), bool)
             wanted[once] = True
             tokens, line = s.tokens[wanted[line]], line[wanted[line]]
-            rank = counts[(tokens & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64)
-            order = np.lexsort((tokens, rank, line))
+            # Rarity in steps of a 64th of a doubling: any order is exact, if it is the same for all lines.  Ties keep the order by hash.
+            rank = steps[(tokens & np.uint64(SLOTS - 1)).astype(np.int64)]
+            order = in_lines(line, rank, rank)
             tokens = tokens[order]
             once.sort()
             sizes, names = s.size[once], s.name[once]
@@ -149,13 +162,30 @@ def _filed(df: DataFrame, text_col: str, rarity, percent: int) -> DataFrame:
             pos = np.arange(len(tokens)) - first[owner]
             keep = np.flatnonzero((pos <= reach * sizes[owner] // 100) & (pos < sizes[owner] - 1))
             key = mix(tokens[keep] * np.uint64(3) + mix(tokens[keep + 1]))
-            own = owner[keep]
-            yield pa.record_batch(
-                [pa.array(key.view(np.int64)), pa.array(names[own]), pa.array(sizes[own].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), *(pa.array(w[own].view(np.int64)) for w in signs)],
-                ["key", "name", "size", "pos", *SIGNS],
-            )
+            edge = np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=len(sizes)))])
+            keys = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(key.view(np.int64)))
+            yield pa.record_batch([pa.array(names), pa.array(sizes.astype(np.int32)), *(pa.array(w.view(np.int64)) for w in signs), keys], ["name", "size", *SIGNS, "keys"])
+
+    return df.select(text_col).mapInArrow(filed, "name long, size int, s0 long, s1 long, s2 long, s3 long, keys array<long>")
+
+
+def _filed_again(files: DataFrame, many: DataFrame) -> DataFrame:
+    """key, name, size, pos and parity words of the token pairs that may be filed more than once."""
+    sent = bit_map(many, "key", PAIR_BITS)
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("keys")
+            key = lists.flatten().to_numpy()
+            n = lists.value_lengths().to_numpy()
+            own = np.repeat(np.arange(len(batch)), n)
+            pos = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
+            at = (key.view(np.uint64) & np.uint64(PAIR_BITS - 1)).astype(np.int64)
+            on = np.flatnonzero((sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+            rows = pa.array(own[on])
+            yield pa.record_batch([pa.array(key[on]), batch.column("name").take(rows), batch.column("size").take(rows), pa.array(pos[on].astype(np.int32)), *(batch.column(c).take(rows) for c in SIGNS)], ["key", "name", "size", "pos", *SIGNS])
 
-    return df.select(text_col).mapInArrow(filed, "key long, name long, size int, pos int, s0 long, s1 long, s2 long, s3 long")
+    return files.mapInArrow(picked, "key long, name long, size int, pos int, s0 long, s1 long, s2 long, s3 long")
 
 
 def passes(rows: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
@@ -221,8 +251,8 @@ def _pairs(start: np.ndarray, count: np.ndarray, most: int) -> Iterator[tuple[np
 def _candidates(files: DataFrame, percent: int, block: int) -> DataFrame:
     """Links (a, b) between set names that pass the filters in some file: a spanning forest per large unit."""
     # Most token pairs are filed once.  Keys filed again pass the sieve, with few others; only hot ones need blocks.
-    many = written(files.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
-    again = sieve(files, "key", many, "key", PAIR_BITS)
+    many = written(files.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    again = _filed_again(files, many)
     hot = many.where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     columns = ["name", "size", "pos", *SIGNS]
 
@@ -255,6 +285,8 @@ def _candidates(files: DataFrame, percent: int, block: int) -> DataFrame:
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)])[:, x != y], axis=1)
             yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
+    if hot.isEmpty():
+        return _streamed(again, ["key"], [], ["key", *columns], compare, "a long, b long")
     # All rows of a key are on one side of the hot keys' sieve; what it lets through by chance has one block.
     cold = sieve(again, "key", hot, "key", wanted_in=False)
     warm = sieve(again, "key", hot, "key").join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))

@@ -17,9 +17,9 @@ def bit_map(wanted: DataFrame, col: str, bits: int, hashed: bool = False):
     value = F.xxhash64(F.col(col)) if hashed else F.col(col)
     place = value.bitwiseAND(F.lit(bits - 1))
     words = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-    got = words.toPandas()  # bits / 64 rows at most
+    got = words.toArrow()  # bits / 64 rows at most
     out = np.zeros(bits // 64, np.uint64)
-    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return wanted.sparkSession.sparkContext.broadcast(out)
 
 
