@@ -63,6 +63,23 @@ def in_lines(line: np.ndarray, high: np.ndarray, full: np.ndarray) -> np.ndarray
     return np.argsort(((line - line[:1]).astype(np.uint64) << np.uint64(64 - LINE_SHIFT)) | high, kind="stable")
 
 
+class Seen:
+    """Names a task has met, in order."""
+
+    def __init__(self):
+        self.names = np.zeros(0, np.int64)
+
+    def held(self, names: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.names, names)
+        out = at < len(self.names)
+        out[out] = self.names[at[out]] == names[out]
+        return out
+
+    def add(self, names: np.ndarray) -> None:
+        """`names` must be in order and new."""
+        self.names = np.sort(np.concatenate([self.names, names]), kind="stable")
+
+
 class LineSets:
     """Distinct token sets of a batch's lines with a word; all arrays are sorted by line."""
 
@@ -83,7 +100,7 @@ class LineSets:
         self.tokens = hashes
         self.doc, self.number = ldoc[used], number[used]
         self.bounds = ls[used], le[used]
-        self.batch = x
+        self.line = x.hashes(*self.bounds).view(np.int64)
         edge = np.append(self.first, len(hashes))
         total = np.zeros(len(hashes) + 1, np.uint64)
         np.cumsum(mix(hashes + np.uint64(21)), out=total[1:])
@@ -91,7 +108,7 @@ class LineSets:
 
 
 def _occurrences(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """doc_id, line_no (from 0), set name and set size of every line with a word.
+    """doc_id, line_no (from 0), set name, set size and line hash of every line with a word.
 
     Each task adds its word counts as rows with a null doc_id: name is the slot
     and size the count, so that the text is read once for both.
@@ -99,17 +116,17 @@ def _occurrences(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
-        columns = ["doc_id", "line_no", "name", "size"]
+        columns = ["doc_id", "line_no", "name", "size", "line"]
         for batch in slices(batches, text_col):
             s = LineSets(batch.column(text_col))
             total += np.bincount((s.tokens & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
             ids = batch.column(id_col).take(pa.array(s.doc))
-            yield pa.record_batch([ids, pa.array(s.number.astype(np.int32)), pa.array(s.name), pa.array(s.size.astype(np.int64))], columns)
+            yield pa.record_batch([ids, pa.array(s.number.astype(np.int32)), pa.array(s.name), pa.array(s.size.astype(np.int64)), pa.array(s.line)], columns)
         at = np.flatnonzero(total)
         none = len(at)
-        yield pa.record_batch([pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), pa.array(at.astype(np.int64)), pa.array(total[at])], columns)
+        yield pa.record_batch([pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), pa.array(at.astype(np.int64)), pa.array(total[at]), pa.nulls(none, pa.int64())], columns)
 
-    return df.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(listed, "doc_id long, line_no int, name long, size long")
+    return df.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(listed, "doc_id long, line_no int, name long, size long, line long")
 
 
 def _rarity(places: DataFrame) -> np.ndarray:
@@ -139,13 +156,13 @@ def _filed(df: DataFrame, text_col: str, rarity, percent: int) -> DataFrame:
     reach = (100 - percent) * 2
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        steps, seen = (np.log2(rarity.value + 1) * 64).astype(np.uint64), np.zeros(0, np.int64)
+        steps, seen = (np.log2(rarity.value + 1) * 64).astype(np.uint64), Seen()
         for batch in slices(batches, text_col):
             s = LineSets(batch.column(text_col))
             # Lines of equal sets are filed once per task; sets below four tokens have no similar other set.
             _, once = np.unique(s.name, return_index=True)
-            once = once[(s.size[once] >= 4) & ~np.isin(s.name[once], seen)]
-            seen = np.concatenate([seen, s.name[once]])
+            once = once[(s.size[once] >= 4) & ~seen.held(s.name[once])]
+            seen.add(s.name[once])
             line = np.repeat(np.arange(len(s.size)), s.size)
             wanted = np.zeros(len(s.size), bool)
             wanted[once] = True
@@ -297,22 +314,25 @@ def _candidates(files: DataFrame, percent: int, block: int) -> DataFrame:
 
 
 def _wanted_lines(df: DataFrame, text_col: str, members: DataFrame) -> DataFrame:
-    """name and line of lines whose set may be a member: each at most once per task."""
-    sent = bit_map(members, "name", LINE_BITS)
+    """line (its hash) and words of lines that may stand first for a member: each at most once per task."""
+    sent = bit_map(members, "line", LINE_BITS)
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
+        seen = Seen()
         for batch in slices(batches, text_col):
-            s = LineSets(batch.column(text_col))
-            _, once = np.unique(s.name, return_index=True)
-            at = (s.name[once].view(np.uint64) & np.uint64(LINE_BITS - 1)).astype(np.int64)
-            once = once[((sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1) & ~np.isin(s.name[once], seen)]
-            seen = np.concatenate([seen, s.name[once]])
-            raw = s.batch.bytes.tobytes()
-            lines = [raw[x:y].decode() for x, y in zip(s.bounds[0][once], s.bounds[1][once])]
-            yield pa.record_batch([pa.array(s.name[once]), pa.array(lines, pa.string())], ["name", "line"])
+            x = TextBatch(batch.column(text_col), lower=True)
+            start, end, _ = x.lines()
+            line = x.hashes(start, end)
+            at = (line & np.uint64(LINE_BITS - 1)).astype(np.int64)
+            on = np.flatnonzero((sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
+            hashes, first = np.unique(line[on].view(np.int64), return_index=True)
+            new = ~seen.held(hashes)
+            hashes, on = hashes[new], on[first[new]]
+            seen.add(hashes)
+            words = [x.bytes[a:b].tobytes().decode() for a, b in zip(start[on], end[on])]
+            yield pa.record_batch([pa.array(hashes), pa.array(words, pa.string())], ["line", "words"])
 
-    return df.select(text_col).mapInArrow(picked, "name long, line string")
+    return df.select(text_col).mapInArrow(picked, "line long, words string")
 
 
 def shared_tokens(s: LineSets, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -339,9 +359,9 @@ def _verified(members: DataFrame, df: DataFrame, text_col: str, percent: int) ->
     sizes = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("s") / 2_000_000), F.lit(1)).cast("int")
     placed = members.join(sizes.select("grp", blocks.alias("blocks")), "grp").withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
-    rows = _wanted_lines(df, text_col, members).join(placed, "name")
+    rows = _wanted_lines(df, text_col, members).join(placed, "line")
     units = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "name", "doc_id", "line_no", "line")
+    units = units.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "name", "doc_id", "line_no", "words")
 
     def compare(table: pa.Table, _: np.ndarray) -> Iterator[pa.RecordBatch]:
         # Rows are sorted by the place of their set, so a set sent by several tasks stands together.
@@ -351,7 +371,7 @@ def _verified(members: DataFrame, df: DataFrame, text_col: str, percent: int) ->
         new[1:] = unit | (name[1:] != name[:-1])
         edge = np.concatenate([[True], unit])[new]
         name, i, j, own = name[new], i[new], j[new], table.column("own").to_numpy()[new]
-        lines = table.column("line").filter(pa.array(new)).combine_chunks()
+        lines = table.column("words").filter(pa.array(new)).combine_chunks()
         s = LineSets(lines.chunk(0) if isinstance(lines, pa.ChunkedArray) else lines)
         start = np.flatnonzero(edge)
         count = np.diff(np.append(start, len(name)))
@@ -387,7 +407,7 @@ def _verified(members: DataFrame, df: DataFrame, text_col: str, percent: int) ->
             n_links[at : at + n], earlier[at : at + n], label[at : at + n] = links.sum(1), np.tril(links).any(1), at + forest(links)
         yield pa.record_batch([pa.array(name), pa.array(n_links), pa.array(earlier), pa.array(name[label])], ["name", "n_links", "earlier", "root"])
 
-    columns = ["grp", "i", "j", "own", "name", "doc_id", "line_no", "line"]
+    columns = ["grp", "i", "j", "own", "name", "doc_id", "line_no", "words"]
     found = written(_streamed(units, ["grp", "i", "j"], ["doc_id", "line_no"], columns, compare, "name long, n_links long, earlier boolean, root long"), "verified")
     per_set = found.groupBy("name").agg(F.sum("n_links").alias("n_links"), F.max("earlier").alias("earlier"))
     return per_set, found.where("name <> root").select(F.col("name").alias("a"), F.col("root").alias("b"))
@@ -403,8 +423,9 @@ def match_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", p
     """
     rows = df.where(F.col(id_col).isNotNull())
     listed = written(_occurrences(rows, text_col, id_col), "places")
-    places = listed.where("doc_id is not null").distinct()
-    sets = written(places.groupBy("name").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("size").alias("size")), "sets").select("name", "first.*", "size")
+    places = listed.where("doc_id is not null").select("doc_id", "line_no", "name", "size").distinct()
+    found = listed.where("doc_id is not null").groupBy("name").agg(F.min(F.struct("doc_id", "line_no", "line")).alias("first"), F.max("size").alias("size"))
+    sets = written(found, "sets").select("name", "first.*", "size")
     rarity = df.sparkSession.sparkContext.broadcast(_rarity(listed))
     files = written(_filed(rows, text_col, rarity, percent), "files")
     groups = components(_candidates(files, percent, file_block))
