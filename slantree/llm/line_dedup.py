@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from slantree.llm.components import components
 from slantree.llm.durable import written
 from slantree.llm.near_dedup import BLOCK_MEMBERS, forest, linked
-from slantree.llm.sieve import bit_map, sieve
+from slantree.llm.sieve import bit_map
 from slantree.llm.text_arrays import TextBatch, mix, slices
 
 SLOTS = 1 << 18
@@ -186,9 +186,43 @@ def _filed(df: DataFrame, text_col: str, rarity, percent: int) -> DataFrame:
     return df.select(text_col).mapInArrow(filed, "name long, size int, s0 long, s1 long, s2 long, s3 long, keys array<long>")
 
 
-def _filed_again(files: DataFrame, many: DataFrame) -> DataFrame:
-    """key, name, size, pos and parity words of the token pairs that may be filed more than once."""
-    sent = bit_map(many, "key", PAIR_BITS)
+def packed(name: np.ndarray, size: np.ndarray, pos: np.ndarray, signs: list[np.ndarray]) -> pa.Array:
+    """A binary entry per row: name, size and position, and the one, two or four parity words of its size."""
+    width = np.where(size <= NARROW, 3, np.where(size <= MEDIUM, 4, 6))
+    edge = np.concatenate([[0], np.cumsum(width)])
+    at, out = edge[:-1], np.empty(edge[-1], np.uint64)
+    out[at] = name.view(np.uint64)
+    out[at + 1] = (size.astype(np.uint64) << np.uint64(32)) | pos.astype(np.uint64)
+    for k, word in enumerate(signs):
+        has = width > 2 + k
+        out[at[has] + 2 + k] = word[has].view(np.uint64)
+    return pa.Array.from_buffers(pa.binary(), len(name), [None, pa.py_buffer((edge * 8).astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpacked(entries: pa.Array) -> dict[str, np.ndarray]:
+    """The columns of packed entries."""
+    entries = entries.cast(pa.large_binary())
+    if not len(entries):
+        return {c: np.zeros(0, np.int64) for c in ("name", "size", "pos", *SIGNS)}
+    edge = np.frombuffer(entries.buffers()[1], np.int64, len(entries) + 1, entries.offset * 8)
+    words = np.frombuffer(entries.buffers()[2], np.uint8)[edge[0] : edge[-1]].view(np.uint64)
+    at, width = (edge[:-1] - edge[0]) // 8, np.diff(edge) // 8
+    rows = {"name": words[at].view(np.int64), "size": (words[at + 1] >> np.uint64(32)).astype(np.int64), "pos": (words[at + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)}
+    for k, c in enumerate(SIGNS):
+        has = width > 2 + k
+        rows[c] = np.zeros(len(at), np.int64)
+        rows[c][has] = words[at[has] + 2 + k].view(np.int64)
+    return rows
+
+
+def _filed_again(files: DataFrame, many, hot=None, wanted_hot: bool = False) -> DataFrame:
+    """key and packed entry of the token pairs that may be filed more than once; of those that may be hot, or of the others.
+
+    `many` and `hot` are bit maps of keys; all rows of a key are on one side.
+    """
+
+    def on(sent, at: np.ndarray) -> np.ndarray:
+        return (sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,11 +232,18 @@ def _filed_again(files: DataFrame, many: DataFrame) -> DataFrame:
             own = np.repeat(np.arange(len(batch)), n)
             pos = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
             at = (key.view(np.uint64) & np.uint64(PAIR_BITS - 1)).astype(np.int64)
-            on = np.flatnonzero((sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)
-            rows = pa.array(own[on])
-            yield pa.record_batch([pa.array(key[on]), batch.column("name").take(rows), batch.column("size").take(rows), pa.array(pos[on].astype(np.int32)), *(batch.column(c).take(rows) for c in SIGNS)], ["key", "name", "size", "pos", *SIGNS])
+            held = on(many, at)
+            if hot is not None:
+                held &= on(hot, at) == wanted_hot
+            held = np.flatnonzero(held)
+            own = own[held]
+            name, size, *signs = (batch.column(c).to_numpy()[own] for c in ("name", "size", *SIGNS))
+            # In parts, so that an entry column stays within Arrow's 32-bit offsets.
+            for cut in range(0, len(held), 1_000_000):
+                part = slice(cut, cut + 1_000_000)
+                yield pa.record_batch([pa.array(key[held[part]]), packed(name[part], size[part], pos[held[part]], [w[part] for w in signs])], ["key", "entry"])
 
-    return files.mapInArrow(picked, "key long, name long, size int, pos int, s0 long, s1 long, s2 long, s3 long")
+    return files.mapInArrow(picked, "key long, entry binary")
 
 
 def passes(rows: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
@@ -269,12 +310,12 @@ def _candidates(files: DataFrame, percent: int, block: int) -> DataFrame:
     """Links (a, b) between set names that pass the filters in some file: a spanning forest per large unit."""
     # Most token pairs are filed once.  Keys filed again pass the sieve, with few others; only hot ones need blocks.
     many = written(files.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
-    again = _filed_again(files, many)
+    repeated = bit_map(many, "key", PAIR_BITS)
     hot = many.where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    columns = ["name", "size", "pos", *SIGNS]
-
     def compare(table: pa.Table, start: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = {c: table.column(c).to_numpy() for c in table.column_names}
+        entries = table.column("entry").combine_chunks()
+        rows = unpacked(entries.chunk(0) if isinstance(entries, pa.ChunkedArray) else entries)
+        rows |= {c: table.column(c).to_numpy() for c in table.column_names if c != "entry"}
         count = np.diff(np.append(start, len(table)))
         a, b = [], []
         blocked = "own" in rows
@@ -303,14 +344,15 @@ def _candidates(files: DataFrame, percent: int, block: int) -> DataFrame:
             yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     if hot.isEmpty():
-        return _streamed(again, ["key"], [], ["key", *columns], compare, "a long, b long")
-    # All rows of a key are on one side of the hot keys' sieve; what it lets through by chance has one block.
-    cold = sieve(again, "key", hot, "key", wanted_in=False)
-    warm = sieve(again, "key", hot, "key").join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = warm.withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", *columns)
-    one = _streamed(cold, ["key"], [], ["key", *columns], compare, "a long, b long")
-    return one.union(_streamed(units, ["key", "i", "j"], [], ["key", "i", "j", "own", *columns], compare, "a long, b long"))
+        return _streamed(_filed_again(files, repeated), ["key"], [], ["key", "entry"], compare, "a long, b long")
+    # What the hot keys' map lets through by chance has one block.
+    hottest = bit_map(hot, "key", PAIR_BITS)
+    cold = _filed_again(files, repeated, hottest)
+    warm = _filed_again(files, repeated, hottest, True).join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = warm.withColumn("own", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    units = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "entry")
+    one = _streamed(cold, ["key"], [], ["key", "entry"], compare, "a long, b long")
+    return one.union(_streamed(units, ["key", "i", "j"], [], ["key", "i", "j", "own", "entry"], compare, "a long, b long"))
 
 
 def _wanted_lines(df: DataFrame, text_col: str, members: DataFrame) -> DataFrame:

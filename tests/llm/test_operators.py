@@ -109,6 +109,17 @@ def test_line_join_matches_brute_force(docs):
     assert got == want
 
 
+def test_packed_entries_round_trip():
+    rng = np.random.default_rng(3)
+    size = np.array([1, 64, 65, 160, 161, 5000])
+    name, pos = rng.integers(-(2**63), 2**63, 6), np.arange(6)
+    signs = [np.where(size > least, rng.integers(-(2**63), 2**63, 6), 0) for least in (0, 64, 160, 160)]
+    for cut in (slice(0, 6), slice(2, 5), slice(0, 0)):
+        got = line_dedup.unpacked(line_dedup.packed(name, size, pos, signs)[cut])
+        for c, want in zip(("name", "size", "pos", *line_dedup.SIGNS), (name, size, pos, *signs)):
+            assert (got[c] == want[cut]).all()
+
+
 def test_line_join_odd_rows(odd):
     summary = line_dedup.summarize(line_dedup.match_lines(odd), odd)
     by = {r["doc_id"]: r for r in summary.collect()}
