@@ -264,3 +264,12 @@ def test_licence_inheritance(spark):
     assert got[4] == (None, None, None) and got[5][1] is None and got[6] == (None, "MIT", "/a")
 
 
+
+
+def test_near_duplicate_stage_keeps_null_ids(spark):
+    import corpus_pipeline
+
+    text = "a b c d e f g h i j k l m"
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (3, None)], "doc_id long, text string")
+    got = corpus_pipeline.keep_one_of_each(spark, docs, "").collect()
+    assert {tuple(r) for r in got} == {(1, text), (3, None), (None, text)} and len(got) == 3
