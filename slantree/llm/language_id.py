@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
+from slantree.llm.durable import written
 from slantree.llm.text_arrays import LOWER, SPACE, TextBatch, mix, pieces
 
 #: Documents per language that are learned from; the bound of the sample.
@@ -68,6 +69,7 @@ class Filters:
     languages: list[str]
     slots: np.ndarray  # a mask per slot
     rates: np.ndarray  # false-positive rate per language
+    typical: np.ndarray | None = None  # median share of n-grams held in the language's own learned texts; None: not measured
 
     def masks(self, codes: np.ndarray) -> np.ndarray:
         h = mix(codes)
@@ -93,9 +95,11 @@ def build_filters(grams: dict[str, np.ndarray], bits: int = SLOTS_BITS) -> Filte
     return Filters(languages, slots, rates)
 
 
-def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> Filters:
+def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, calibrate: bool = False) -> Filters:
     """Learn from at most `max_docs` rows per non-null language, chosen by the hash of the text alone.
 
+    With `calibrate` the filters also hold each language's typical share, measured on the same rows.
+
     The sample is cut per partition first and then per language, so a language
     with any number of rows never meets in one task.
     """
@@ -109,7 +113,9 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_doc
     for language, n in sizes.items():
         near = near | ((F.col("lang") == language) & (F.abs(F.col("h").cast("double")) <= 2.0**63 * 2 * max_docs / n))
     near = rows.where(near).dropDuplicates(["lang", "h"])
-    picked = near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= max_docs)
+    picked = near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= max_docs).select("lang", "text")
+    if calibrate:
+        picked = written(picked, "sample")
 
     def count(batches):
         for batch in batches:
@@ -124,7 +130,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_doc
                     code, n = np.unique(codes[new], return_counts=True)
                     yield pa.record_batch([pa.array([language] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
-    counts = picked.select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = picked.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     docs = F.lit(None)
     for language, n in sizes.items():
         docs = F.when(F.col("lang") == language, float(min(n, max_docs))).otherwise(docs)
@@ -132,23 +138,30 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_doc
     top = shares.withColumn("top", F.max("share").over(W.partitionBy("code"))).where(F.col("share") >= MIN_SHARE * F.col("top"))
     # Bounded by the sample: max_docs documents a language, and n-grams found in MIN_DOCS of them.
     found = top.select("lang", "code").toPandas()
-    return build_filters({k: v["code"].to_numpy().view(np.uint64) for k, v in found.groupby("lang")})
+    filters = build_filters({k: v["code"].to_numpy().view(np.uint64) for k, v in found.groupby("lang")})
+    if calibrate:
+        own = identify(picked, filters).where(F.col("lang") == F.col("lang_pred"))
+        medians = {r["lang"]: r["held"] for r in own.groupBy("lang").agg(F.percentile("held", 0.5).alias("held")).collect()}
+        filters.typical = np.array([medians.get(k, 1.0) for k in filters.languages])
+    return filters
 
 
 def identify(df: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
-    """Add `lang_pred` and `score` to each row.
+    """Add `lang_pred`, `score` and `held` to each row.
 
     `score` is the winner's corrected count over the sum of all languages'
-    corrected counts (0 to 1); ties go to the first language by name.  A null
-    text, or one without a letter, is ``und`` with score 0; a text whose
-    n-grams no language holds is given the first language with score 0.
+    corrected counts (0 to 1); ties go to the first language by name.  It tells
+    the languages from each other only.  `held` is the winner's corrected count
+    over all n-grams of the text: whether the text is of the language at all.
+    A null text, or one without a letter, is ``und`` with both 0; a text whose
+    n-grams no language holds is given the first language with both 0.
     """
     n = len(filters.languages)
     shared = df.sparkSession.sparkContext.broadcast(filters)  # 2**SLOTS_BITS masks, whatever the input
 
-    @F.arrow_udf(StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    @F.arrow_udf(StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("held", DoubleType())]))
     def predict(texts: pa.Array) -> pa.Array:
-        own, names, scores = shared.value, [], []
+        own, names, scores, shares = shared.value, [], [], []
         for part in pieces(texts):
             x = TextBatch(part)
             codes, docs = _grams(x)
@@ -159,15 +172,18 @@ def identify(df: DataFrame, filters: Filters, text_col: str = "text") -> DataFra
                 held = np.bincount(docs, weights=((hit >> hit.dtype.type(k)) & hit.dtype.type(1)).astype(float), minlength=x.n)
                 corrected[:, k] = np.maximum(0.0, (held - own.rates[k] * total) / max(1e-9, 1 - own.rates[k]))
             best, whole = corrected.argmax(1), corrected.sum(1)
-            share = np.where(whole > 0, corrected[np.arange(x.n), best] / np.maximum(whole, 1e-300), 0.0)
-            for text, b, s in zip(part.to_pylist(), best, share):
+            most = corrected[np.arange(x.n), best]
+            score = np.where(whole > 0, most / np.maximum(whole, 1e-300), 0.0)
+            share = most / np.maximum(total, 1.0)
+            for text, b, s, h in zip(part.to_pylist(), best, score, share):
                 letter = n and text is not None and _LETTER.search(text)
                 names.append(own.languages[b] if letter else "und")
                 scores.append(float(s) if letter else 0.0)
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+                shares.append(float(h) if letter else 0.0)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], ["lang_pred", "score", "held"])
 
     out = df.withColumn("_p", predict(F.col(text_col)))
-    return out.withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p")
+    return out.withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score"), "held": F.col("_p.held")}).drop("_p")
 
 
 def held_out(doc_id: str = "doc_id"):
