@@ -105,22 +105,26 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_doc
     """
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).take(65)}
+    # Distinct texts count: copies must not thin out the sample.
+    sizes = {r["lang"]: r["n"] for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).take(65)}
     if len(sizes) > 64:
         raise ValueError("a mask holds 64 languages at most")
-    # A threshold on the uniform hash keeps about 2 x max_docs rows a language, equal texts once; the exact cut follows on that small rest.
+    # A threshold on the uniform hash keeps about 2 x max_docs texts a language, equal ones once; the exact cut follows on that small rest.
     near = F.lit(False)
     for language, n in sizes.items():
         near = near | ((F.col("lang") == language) & (F.abs(F.col("h").cast("double")) <= 2.0**63 * 2 * max_docs / n))
     near = rows.where(near).dropDuplicates(["lang", "h"])
-    picked = near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= max_docs).select("lang", "text")
+    own = W.partitionBy("lang")
+    ranked = near.withColumns({"k": F.row_number().over(own.orderBy("h", "text")), "docs": F.least(F.count("*").over(own), F.lit(max_docs))})
+    picked = ranked.where(F.col("k") <= max_docs).select("lang", "text", "docs")
     if calibrate:
         picked = written(picked, "sample")
 
     def count(batches):
         for batch in batches:
             for language in pa.compute.unique(batch.column("lang")).to_pylist():
-                texts = batch.filter(pa.compute.equal(batch.column("lang"), language)).column("text")
+                here = batch.filter(pa.compute.equal(batch.column("lang"), language))
+                texts, n_docs = here.column("text"), here.column("docs")[0].as_py()
                 for part in pieces(texts):
                     codes, docs = _grams(TextBatch(part))
                     order = np.lexsort((docs, codes))
@@ -128,13 +132,10 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_doc
                     new = np.ones(len(codes), bool)
                     new[1:] = (codes[1:] != codes[:-1]) | (docs[1:] != docs[:-1])
                     code, n = np.unique(codes[new], return_counts=True)
-                    yield pa.record_batch([pa.array([language] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
+                    yield pa.record_batch([pa.array([language] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(n.astype(np.int64)), pa.array([n_docs] * len(code), pa.int64())], ["lang", "code", "n", "docs"])
 
-    counts = picked.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    docs = F.lit(None)
-    for language, n in sizes.items():
-        docs = F.when(F.col("lang") == language, float(min(n, max_docs))).otherwise(docs)
-    shares = counts.where(F.col("n") >= MIN_DOCS).withColumn("share", F.col("n") / docs)
+    counts = picked.mapInArrow(count, "lang string, code long, n long, docs long").groupBy("lang", "code").agg(F.sum("n").alias("n"), F.max("docs").alias("docs"))
+    shares = counts.where(F.col("n") >= MIN_DOCS).withColumn("share", F.col("n") / F.col("docs"))
     top = shares.withColumn("top", F.max("share").over(W.partitionBy("code"))).where(F.col("share") >= MIN_SHARE * F.col("top"))
     # Bounded by the sample: max_docs documents a language, and n-grams found in MIN_DOCS of them.
     found = top.select("lang", "code").toPandas()
