@@ -3,18 +3,28 @@
 DataFrame operations only.  A header is a line with a licence cue.  Its words
 and those of the templates are weighted by idf over all headers of the table;
 only the templates' vocabulary needs idf values, so that table is bounded by
-the templates.  Files without a licence of their own inherit the one of the
+the templates.  Notices wrapped over up to NOTICE_LINES lines are scored like
+headers, and the whole texts of licence files are held against full licence
+texts, weighted by idf over all licence files.  Files without a licence of their own inherit the one of the
 nearest ancestor directory that holds a licence file.
 """
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files as resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slantree.llm.durable import written
 
 CUE = "(?i)licen[cs]e|copyright|spdx|creative commons|public domain|all rights reserved"
+#: The cue where a line break, with the next line's comment sign, stands for its space.
+WRAPPED_CUE = CUE.replace(" ", r"[\s#*/;-]+")
+#: A notice is looked for in runs of up to so many adjacent lines.
+NOTICE_LINES = 4
+LICENCE_FILE = r"(?i)(^|/)licen[cs]e[^/]*$"
 WORD = "[a-z0-9]+"
 THRESHOLD = 0.7
 #: Licences and typical header statements (fixed values).
@@ -44,6 +54,19 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """Licences and their whole texts.
+
+    BSD-2-Clause is BSD-3-Clause without its third clause.  The AGPL-3.0 has
+    the words of the GPL-3.0 but for its name and one section; here only the
+    name is replaced.
+    """
+    texts = {f.name[:-4]: f.read_text("utf-8") for f in resources("slantree.llm").joinpath("license_texts").iterdir() if f.name.endswith(".txt")}
+    texts["BSD-2-Clause"] = re.sub(r"3\. Neither.*?permission\.\n", "", texts["BSD-3-Clause"], flags=re.S)
+    texts["AGPL-3.0"] = re.sub(r"(?i)gnu\s+general", "GNU Affero General", texts["GPL-3.0"])
+    return tuple(sorted(texts.items()))
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
@@ -60,17 +83,37 @@ def template_terms(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return rows.select("template", "license", F.explode(words_of(F.col("statement"))).alias("word")).groupBy("template", "license", "word").agg(F.count("*").alias("n_template"))
 
 
+def notices(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per run of 2 to NOTICE_LINES adjacent lines with a cue, joined by spaces: id, line_no (null), line."""
+    run = "transform(sequence(0, size(_l) - n), i -> array_join(slice(_l, i + 1, n), ' '))"
+    runs = F.expr(f"flatten(transform(filter(sequence(2, {NOTICE_LINES}), n -> n <= size(_l)), n -> {run}))")
+    near = df.where(F.col(text_col).rlike(WRAPPED_CUE)).select(F.col(id_col), F.split(text_col, "\n").alias("_l"))
+    return near.select(id_col, F.lit(None).cast("int").alias("line_no"), F.explode(runs).alias("line")).where(F.col("line").rlike(WRAPPED_CUE))
+
+
 def match_headers(lines: DataFrame, templates=TEMPLATES, id_col: str = "doc_id") -> DataFrame:
-    """Best template of each distinct header line: line, license, score (cosine, 6 decimals).
+    """Best template of each distinct header line or notice: line, license, score (cosine, 6 decimals).
 
     idf = ln((1 + headers) / (1 + headers with the word)) + 1 over all headers,
-    repeated ones included.  Words outside the templates weigh as unseen ones.
-    Ties go to the first licence by name.
+    repeated ones included; rows without a line number (notices) do not count.
+    Words outside the templates weigh as unseen ones.  Ties go to the first
+    licence by name.
     """
     # Equal lines are counted first: a line that half the table holds is one row from here on.
-    distinct = lines.groupBy("line").agg(F.count("*").alias("copies"))
-    terms = distinct.select("line", "copies", F.explode(words_of(F.col("line"))).alias("word")).groupBy("line", "copies", "word").agg(F.count("*").alias("n"))
-    template = template_terms(lines.sparkSession, templates)
+    distinct = lines.groupBy("line").agg(F.count("line_no").alias("copies")).withColumn("name", name_of(F.col("line")))
+    best = match(distinct.select("name", "copies", words_of(F.col("line")).alias("words")), templates)
+    return distinct.join(best, "name").select("line", "license", "score")
+
+
+def name_of(text: Column) -> Column:
+    """128 bits that stand for a text, so that its words are not shuffled with the whole of it."""
+    return F.unhex(F.md5(text))
+
+
+def match(distinct: DataFrame, templates) -> DataFrame:
+    """Best template of each row of name, copies and words: name, license, score."""
+    terms = distinct.select("name", "copies", F.explode("words").alias("word")).groupBy("name", "copies", "word").agg(F.count("*").alias("n"))
+    template = template_terms(distinct.sparkSession, templates)
     vocabulary = template.select("word").distinct()
     total = distinct.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
     held = terms.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.sum("copies").alias("df"))
@@ -80,21 +123,30 @@ def match_headers(lines: DataFrame, templates=TEMPLATES, id_col: str = "doc_id")
     weighted = F.broadcast(template.join(idf, "word").withColumn("w", F.col("n_template") * F.col("idf")))
     sizes = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
     line_terms = terms.join(F.broadcast(idf), "word", "left").withColumn("w_line", F.col("n") * F.coalesce("idf", unseen))
-    norms = line_terms.groupBy("line").agg(F.sqrt(F.sum(F.col("w_line") * F.col("w_line"))).alias("l_norm"))
-    dots = line_terms.join(weighted.select("template", "license", "word", "w"), "word").groupBy("line", "template", "license").agg(F.sum(F.col("w_line") * F.col("w")).alias("dot"))
-    scored = dots.join(norms, "line").join(F.broadcast(sizes), "template").withColumn("score", F.round(F.col("dot") / (F.col("l_norm") * F.col("t_norm")), 6))
-    best = scored.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("best"))
-    return best.select("line", F.col("best.license").alias("license"), (-F.col("best.score")).alias("score"))
+    norms = line_terms.groupBy("name").agg(F.sqrt(F.sum(F.col("w_line") * F.col("w_line"))).alias("l_norm"))
+    dots = line_terms.join(weighted.select("template", "license", "word", "w"), "word").groupBy("name", "template", "license").agg(F.sum(F.col("w_line") * F.col("w")).alias("dot"))
+    scored = dots.join(norms, "name").join(F.broadcast(sizes), "template").withColumn("score", F.round(F.col("dot") / (F.col("l_norm") * F.col("t_norm")), 6))
+    best = scored.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("best"))
+    return best.select("name", F.col("best.license").alias("license"), (-F.col("best.score")).alias("score"))
 
 
-def own_licenses(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
-    """id, own_license, own_score, n_headers; only ids that have headers.
+def own_licenses(
+    df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, templates=TEMPLATES, licence_file: Column | None = None
+) -> DataFrame:
+    """id, own_license, own_score, n_headers; only ids that have headers, notices or a licence text.
 
-    The best header decides; a document whose best score is below `threshold`
-    has a null licence.  Rows with a null id count for idf but give no row.
+    The best header, notice or, in rows of `licence_file`, whole text decides;
+    a document whose best score is below `threshold` has a null licence and the
+    score of its best header.  Rows with a null id count for idf but give no row.
     """
-    lines = written(headers(df, text_col, id_col), "headers")
+    lines = written(headers(df, text_col, id_col).union(notices(df, text_col, id_col)), "headers")
     scored = lines.join(match_headers(lines, templates, id_col), "line", "left").where(F.col(id_col).isNotNull())
+    scored = scored.where(F.col("line_no").isNotNull() | (F.col("score") >= threshold)).select(id_col, "line_no", "license", "score")
+    if licence_file is not None:
+        texts = df.where(licence_file & F.col(text_col).isNotNull()).select(id_col, name_of(F.col(text_col)).alias("name"), text_col)
+        distinct = written(texts.groupBy("name").agg(F.count("*").alias("copies"), F.any_value(words_of(F.col(text_col))).alias("words")), "licence_files")
+        held = match(distinct, full_texts()).where(F.col("score") >= threshold)
+        scored = scored.union(texts.join(held, "name").where(F.col(id_col).isNotNull()).select(id_col, F.lit(None).cast("int"), "license", "score"))
     best = scored.groupBy(id_col).agg(F.min(F.struct((-F.coalesce("score", F.lit(0.0))).alias("score"), "license")).alias("best"), F.countDistinct("line_no").alias("n_headers"))
     score = -F.col("best.score")
     return best.select(id_col, F.when(score >= threshold, F.col("best.license")).alias("own_license"), (score + 0.0).alias("own_score"), "n_headers")
@@ -113,7 +165,7 @@ def inherit(files: DataFrame, path_col: str = "path", license_col: str = "own_li
     distinct directories, joined once per ancestor path, and joined back to the
     files by directory.  A null path inherits nothing.
     """
-    licence_file = is_licence_file if is_licence_file is not None else F.col(path_col).rlike(r"(?i)(^|/)licen[cs]e[^/]*$")
+    licence_file = is_licence_file if is_licence_file is not None else F.col(path_col).rlike(LICENCE_FILE)
     placed = files.withColumn("_dir", parent(F.col(path_col)))
     held = placed.where(licence_file & F.col(license_col).isNotNull()).groupBy("_dir", F.col(license_col).alias("_license")).agg(F.count("*").alias("n"))
     licensed = held.groupBy(F.col("_dir").alias("_ancestor")).agg(F.min(F.struct((-F.col("n")).alias("n"), "_license")).alias("_b")).select("_ancestor", F.col("_b._license").alias("_license"))
@@ -131,6 +183,6 @@ def scan(files: DataFrame, text_col: str = "text", id_col: str = "doc_id", path_
     Null and empty texts have no header (score 0).  Repeated rows with one id
     share their best header.  `license` is the own one, else the inherited one.
     """
-    own = own_licenses(files, text_col, id_col, threshold)
+    own = own_licenses(files, text_col, id_col, threshold, licence_file=F.col(path_col).rlike(LICENCE_FILE))
     known = files.select(id_col, path_col).join(own, id_col, "left").withColumns({"own_score": F.coalesce("own_score", F.lit(0.0)), "n_headers": F.coalesce("n_headers", F.lit(0).cast("long"))})
     return inherit(known, path_col).withColumn("license", F.coalesce("own_license", "inherited_license"))
