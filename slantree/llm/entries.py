@@ -31,7 +31,7 @@ def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.summarize(line_dedup.match_lines(docs), docs)
+    return line_dedup.line_links(docs).select("doc_id", "n_lines", "n_removed", "n_links", "class_docs", "removed_lines")
 
 
 def op3_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,18 @@ _random = np.random.default_rng(20240229)
 _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(_BASE, -1, 2**64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Texts are hashed strip by strip: working memory does not follow the length of a text.
+STRIP = 1 << 15
+
+
+def _powers(base: int) -> np.ndarray:
+    steps = np.full(STRIP, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps)
+
+
+_POWERS, _INVERSES = _powers(_BASE), _powers(_INVERSE)
+_NEXT, _BACK = (np.array([pow(base, STRIP, 2**64)], np.uint64) for base in (_BASE, _INVERSE))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,16 +52,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
 class TextBatch:
     """Words, lines and hashes of a batch of texts; a null text counts as empty."""
 
@@ -66,7 +67,6 @@ class TextBatch:
         if lower:
             self.bytes = LOWER[self.bytes]
         self.start, self.end = offsets[:-1] - first, offsets[1:] - first
-        self._sums = None
 
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         """How many bytes of each document are flagged."""
@@ -74,9 +74,8 @@ class TextBatch:
 
     @staticmethod
     def between(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(flags) + 1, np.int64)
-        np.cumsum(flags, out=total[1:])
-        return total[end] - total[start]
+        at = np.flatnonzero(flags)
+        return np.searchsorted(at, end) - np.searchsorted(at, start)
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and document of each word, in reading order."""
@@ -107,13 +106,33 @@ class TextBatch:
         return start, end, doc
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each stretch of bytes; equal bytes, equal hash."""
-        if self._sums is None:
-            self._sums = np.zeros(len(self.bytes) + 1, np.uint64)
-            powers, _ = _power_tables(len(self.bytes))
-            np.cumsum(_BYTE[self.bytes] * powers, out=self._sums[1:])
-        _, inverse = _power_tables(len(self.bytes) + 1)
-        return mix((self._sums[end] - self._sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+        """A 64-bit hash of each stretch of bytes, given in reading order; equal bytes, equal hash.
+
+        The stretches' sums are differences of one running sum over the buffer,
+        of which only a strip is held at a time.
+        """
+        first, last = np.empty(len(start), np.uint64), np.empty(len(start), np.uint64)
+        total, power, inverse = np.zeros(1, np.uint64), np.ones(1, np.uint64), np.ones(1, np.uint64)
+        sums = np.empty(STRIP + 1, np.uint64)
+        back = np.empty(len(start), np.uint64)
+        size = len(self.bytes)
+        i = j = 0
+        for at in range(0, size + 1, STRIP):
+            part = self.bytes[at : at + STRIP]
+            terms = _BYTE[part]
+            terms *= _POWERS[: len(part)]
+            terms *= power
+            sums[0] = total[0]
+            np.cumsum(terms, out=sums[1 : len(part) + 1])
+            sums[1 : len(part) + 1] += total
+            # A stretch's ends are read off in the strip that they fall into.
+            k, m = np.searchsorted(start, at + STRIP), np.searchsorted(end, at + STRIP)
+            here = start[i:k] - at
+            first[i:k], back[i:k] = sums[here], _INVERSES[here] * inverse
+            last[j:m] = sums[end[j:m] - at]
+            i, j = k, m
+            total, power, inverse = sums[len(part) : len(part) + 1].copy(), power * _NEXT, inverse * _BACK
+        return mix((last - first) * back + (end - start).astype(np.uint64))
 
 
 def windows(hashes: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -121,12 +121,46 @@ def test_packed_entries_round_trip():
 
 
 def test_line_join_odd_rows(odd):
-    summary = line_dedup.summarize(line_dedup.match_lines(odd), odd)
-    by = {r["doc_id"]: r for r in summary.collect()}
-    assert set(by) == set(range(len(TEXTS))) and by[0]["n_lines"] == 0
+    linked = line_dedup.line_links(odd).persist()
+    rows = linked.collect()
+    assert len(rows) == odd.count()
+    by = {r["doc_id"]: r for r in rows}
+    assert set(by) == {*range(len(TEXTS)), None} and by[0]["n_lines"] == 0
     assert by[5]["removed_lines"] == [0] and by[8]["removed_lines"] == [2] and by[7]["n_removed"] == 0
-    left = {r["doc_id"]: r["text"] for r in line_dedup.remove_lines(odd.where("doc_id is not null"), summary).collect()}
-    assert left[8] == "a b c d e\n\nq" and left[0] is None and left[6] == TEXTS[6]
+    assert (by[None]["n_lines"], by[None]["n_links"], by[None]["removed_lines"], by[None]["class_docs"]) == (1, 0, [], [None])
+    assert [r["n_removed"] for r in rows if r["doc_id"] == 4] == [0, 0], "equal rows of one id are one document"
+    clashing = odd.withColumns({"removed_lines": F.lit("a"), "text_hash": F.lit("b"), "_id": F.lit("c"), "row": F.lit("d")})
+    left = line_dedup.remove_lines(clashing, linked)
+    assert left.columns == clashing.columns and left.count() == odd.count()
+    texts = {r["doc_id"]: r["text"] for r in left.where("lang <> 'again' or lang is null").collect()}
+    assert texts[8] == "a b c d e\n\nq" and texts[0] is None and texts[6] == TEXTS[6] and texts[5] == "" and texts[4] == TEXTS[4]
+
+
+def test_lines_of_other_texts_under_one_id_stay(spark):
+    rows = [(1, "one two three four five six"), (5, "unique words that nobody else has here\nmore of them in line two"), (5, "one two three four five six\nmore of them in line two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = line_dedup.line_links(docs)
+    left = sorted(r["text"] for r in line_dedup.remove_lines(docs, linked).collect())
+    removed = sorted(len(r["removed_lines"]) for r in linked.where("doc_id = 5").collect())
+    assert "one two three four five six" in left and any(t.startswith("unique words") for t in left) and sum(removed) == 2
+
+
+@pytest.mark.parametrize("percent", [67, 75, 90])
+def test_line_join_at_other_percentages(spark, percent):
+    rng = np.random.default_rng(percent)
+    words = [f"w{k}" for k in range(12)]
+    lines = [" ".join(rng.choice(words, rng.integers(1, 12), replace=False)) for _ in range(400)] + ["a b c", "a b c d"]
+    docs = spark.createDataFrame([(k, line) for k, line in enumerate(lines)], "doc_id long, text string")
+    sets = [frozenset(x.split()) for x in lines]
+    distinct = list(dict.fromkeys(sets))
+    n = defaultdict(int)
+    for j, i in brute_links(distinct, percent):
+        n[distinct[i]] += 1
+        n[distinct[j]] += 1
+    got = {r["doc_id"]: r["n_links"] for r in line_dedup.line_links(docs, percent=percent, file_block=20).collect()}
+    assert got == {k: n[s] for k, s in enumerate(sets)}
+    with pytest.raises(ValueError):
+        line_dedup.line_links(docs, percent=50)
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
@@ -248,7 +282,8 @@ def test_language_odd_rows(odd):
 def test_empty_tables(odd):
     none = odd.limit(0)
     assert near_dedup.near_duplicates(none).count() == 0
-    assert line_dedup.summarize(line_dedup.match_lines(none), none).count() == 0
+    assert line_dedup.line_links(none).count() == 0
+    assert line_dedup.remove_lines(none, line_dedup.line_links(none)).count() == 0
     assert packing.pack(none, tokenizer("word_bpe_49k.json")).count() == 0
     assert quality_rules.judge(none).count() == 0
     assert mpeg_audio.parse(mpeg_audio.carry(none, "text")).count() == 0
