@@ -7,13 +7,14 @@ counted by language, corrected for each language's false-positive rate, and
 the largest corrected share wins.
 
 Learning uses a bounded, documented sample of labelled rows (`MAX_DOCS` per
-language, those with the smallest hash of their text); scoring covers every
-byte of every text.
+language, those with the smallest hash of their text); every language that has
+a text there is learned.  Scoring covers every byte of every text, strip by
+strip, so that its memory does not follow the length of a text.
 """
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from slantree.llm.durable import written
-from slantree.llm.text_arrays import LOWER, SPACE, TextBatch, mix, pieces
+from slantree.llm.text_arrays import LOWER, TextBatch, mix, pieces
 
 #: Documents per language that are learned from; the bound of the sample.
 MAX_DOCS = 2000
@@ -33,65 +34,80 @@ MAX_DOCS = 2000
 SIZES = (3, 4)
 SLOTS_BITS = 20
 HASHES = 2
-#: An n-gram belongs to a language if at least so many of its sampled documents hold it, and if it is
-#: at least this share as frequent there as in the language where it is most frequent.
+#: An n-gram belongs to a language if at least so many of its sampled documents hold it (a third of them where they are few),
+#: and if it is at least this share as frequent there as in the language where it is most frequent.
 MIN_DOCS = 3
 MIN_SHARE = 0.2
+#: Languages of one mask; further ones have further masks.
+MASK = 64
+#: Bytes of text whose n-grams are held at a time.
+STRIP = 1 << 17
 _LETTER = regex.compile(r"\p{L}")
 
 
-def _grams(x: TextBatch) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit codes of the byte n-grams that hold no digit or punctuation, and their documents; word edges count as spaces."""
-    raw = LOWER[x.bytes]
-    plain = (raw >= 0x80) | ((raw >= 97) & (raw <= 122))
-    edge = np.where(plain, raw, 0x20).astype(np.uint64)
-    codes, docs = [], []
-    for size in SIZES:
-        n = len(raw) - size + 1
-        if n <= 0:
-            continue
-        code = np.full(n, size, np.uint64)
-        for k in range(size):
-            code = (code << np.uint64(8)) | edge[k : k + n]
-        inner = plain[1 : 1 + n] if size > 1 else plain[:n]
-        at = np.flatnonzero(inner)
-        doc = np.searchsorted(x.start, at, "right") - 1
-        inside = at + size <= x.end[doc]
-        codes.append(code[at[inside]])
-        docs.append(doc[inside])
-    if not codes:
+def _grams(x: TextBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """64-bit codes of the byte n-grams that hold no digit or punctuation, and their documents; word edges count as spaces.  A strip at a time."""
+    for at in range(0, len(x.bytes), STRIP):
+        raw = LOWER[x.bytes[at : at + STRIP + max(SIZES) - 1]]
+        plain = (raw >= 0x80) | ((raw >= 97) & (raw <= 122))
+        edge = np.where(plain, raw, 0x20).astype(np.uint64)
+        for size in SIZES:
+            n = min(STRIP, len(raw) - size + 1)
+            if n <= 0:
+                continue
+            code = np.full(n, size, np.uint64)
+            for k in range(size):
+                code = (code << np.uint64(8)) | edge[k : k + n]
+            here = np.flatnonzero(plain[1 : 1 + n] if size > 1 else plain[:n])
+            doc = np.searchsorted(x.start, here + at, "right") - 1
+            inside = here + at + size <= x.end[doc]
+            yield code[here[inside]], doc[inside]
+
+
+def _held_by(x: TextBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of each document, and how many documents hold each."""
+
+    def distinct(codes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((docs, codes))
+        codes, docs = codes[order], docs[order]
+        new = np.ones(len(codes), bool)
+        new[1:] = (codes[1:] != codes[:-1]) | (docs[1:] != docs[:-1])
+        return codes[new], docs[new]
+
+    parts = [distinct(*g) for g in _grams(x)]
+    if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(codes), np.concatenate(docs)
+    codes, _ = distinct(*(np.concatenate(c) for c in zip(*parts)))
+    return np.unique(codes, return_counts=True)
 
 
 @dataclass
 class Filters:
     languages: list[str]
-    slots: np.ndarray  # a mask per slot
+    slots: np.ndarray  # masks of MASK languages each x slots
     rates: np.ndarray  # false-positive rate per language
     typical: np.ndarray | None = None  # median share of n-grams held in the language's own learned texts; None: not measured
 
     def masks(self, codes: np.ndarray) -> np.ndarray:
-        h = mix(codes)
-        out = self.slots[(h & np.uint64(len(self.slots) - 1)).astype(np.int64)]
+        """masks x codes: the languages that may hold each n-gram."""
+        h, last = mix(codes), np.uint64(self.slots.shape[1] - 1)
+        out = self.slots[:, (h & last).astype(np.int64)]
         for k in range(1, HASHES):
-            out = out & self.slots[((h >> np.uint64(k * SLOTS_BITS)) & np.uint64(len(self.slots) - 1)).astype(np.int64)]
+            out = out & self.slots[:, ((h >> np.uint64(k * SLOTS_BITS)) & last).astype(np.int64)]
         return out
 
 
 def build_filters(grams: dict[str, np.ndarray], bits: int = SLOTS_BITS) -> Filters:
-    """Bit-sliced Bloom filters of each language's n-gram codes; 64 languages at most."""
+    """Bit-sliced Bloom filters of each language's n-gram codes."""
     languages = sorted(grams)
-    if len(languages) > 64:
-        raise ValueError("a mask holds 64 languages at most")
     kind = np.uint8 if len(languages) <= 8 else np.uint16 if len(languages) <= 16 else np.uint64
-    slots = np.zeros(1 << bits, kind)
+    slots = np.zeros((max(1, -(-len(languages) // MASK)), 1 << bits), kind)
     for k, language in enumerate(languages):
         h = mix(grams[language])
         for j in range(HASHES):
-            at = ((h >> np.uint64(j * SLOTS_BITS)) & np.uint64(len(slots) - 1)).astype(np.int64)
-            slots[at] |= kind(1 << k)
-    rates = np.array([float(np.mean((slots >> kind(k)) & kind(1))) ** HASHES for k in range(len(languages))])
+            at = ((h >> np.uint64(j * SLOTS_BITS)) & np.uint64(slots.shape[1] - 1)).astype(np.int64)
+            slots[k // MASK, at] |= kind(1 << k % MASK)
+    rates = np.array([float(np.mean((slots[k // MASK] >> kind(k % MASK)) & kind(1))) ** HASHES for k in range(len(languages))])
     return Filters(languages, slots, rates)
 
 
@@ -105,15 +121,11 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_doc
     """
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    # Distinct texts count: copies must not thin out the sample.
-    sizes = {r["lang"]: r["n"] for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).take(65)}
-    if len(sizes) > 64:
-        raise ValueError("a mask holds 64 languages at most")
+    # Distinct texts count: copies must not thin out the sample.  One row per language.
+    sizes = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n_texts"))
     # A threshold on the uniform hash keeps about 2 x max_docs texts a language, equal ones once; the exact cut follows on that small rest.
-    near = F.lit(False)
-    for language, n in sizes.items():
-        near = near | ((F.col("lang") == language) & (F.abs(F.col("h").cast("double")) <= 2.0**63 * 2 * max_docs / n))
-    near = rows.where(near).dropDuplicates(["lang", "h"])
+    near = rows.join(F.broadcast(sizes), "lang").where(F.abs(F.col("h").cast("double")) <= 2.0**63 * 2 * max_docs / F.col("n_texts"))
+    near = near.drop("n_texts").dropDuplicates(["lang", "h"])
     own = W.partitionBy("lang")
     ranked = near.withColumns({"k": F.row_number().over(own.orderBy("h", "text")), "docs": F.least(F.count("*").over(own), F.lit(max_docs))})
     picked = ranked.where(F.col("k") <= max_docs).select("lang", "text", "docs")
@@ -126,20 +138,16 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_doc
                 here = batch.filter(pa.compute.equal(batch.column("lang"), language))
                 texts, n_docs = here.column("text"), here.column("docs")[0].as_py()
                 for part in pieces(texts):
-                    codes, docs = _grams(TextBatch(part))
-                    order = np.lexsort((docs, codes))
-                    codes, docs = codes[order], docs[order]
-                    new = np.ones(len(codes), bool)
-                    new[1:] = (codes[1:] != codes[:-1]) | (docs[1:] != docs[:-1])
-                    code, n = np.unique(codes[new], return_counts=True)
+                    code, n = _held_by(TextBatch(part))
                     yield pa.record_batch([pa.array([language] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(n.astype(np.int64)), pa.array([n_docs] * len(code), pa.int64())], ["lang", "code", "n", "docs"])
 
     counts = picked.mapInArrow(count, "lang string, code long, n long, docs long").groupBy("lang", "code").agg(F.sum("n").alias("n"), F.max("docs").alias("docs"))
-    shares = counts.where(F.col("n") >= MIN_DOCS).withColumn("share", F.col("n") / F.col("docs"))
+    shares = counts.where(F.col("n") >= F.least(F.lit(MIN_DOCS), F.ceil(F.col("docs") / 3))).withColumn("share", F.col("n") / F.col("docs"))
     top = shares.withColumn("top", F.max("share").over(W.partitionBy("code"))).where(F.col("share") >= MIN_SHARE * F.col("top"))
     # Bounded by the sample: max_docs documents a language, and n-grams found in MIN_DOCS of them.
     found = top.select("lang", "code").toPandas()
-    filters = build_filters({k: v["code"].to_numpy().view(np.uint64) for k, v in found.groupby("lang")})
+    languages = [r["lang"] for r in sizes.select("lang").collect()]
+    filters = build_filters({k: np.zeros(0, np.uint64) for k in languages} | {k: v["code"].to_numpy().view(np.uint64) for k, v in found.groupby("lang")})
     if calibrate:
         own = identify(picked, filters).where(F.col("lang") == F.col("lang_pred"))
         medians = {r["lang"]: r["held"] for r in own.groupBy("lang").agg(F.percentile("held", 0.5).alias("held")).collect()}
@@ -165,13 +173,16 @@ def identify(df: DataFrame, filters: Filters, text_col: str = "text") -> DataFra
         own, names, scores, shares = shared.value, [], [], []
         for part in pieces(texts):
             x = TextBatch(part)
-            codes, docs = _grams(x)
-            total = np.bincount(docs, minlength=x.n).astype(float)
-            hit = own.masks(codes)
+            total, held = np.zeros(x.n), np.zeros((max(1, n), x.n))
+            for codes, docs in _grams(x):
+                total += np.bincount(docs, minlength=x.n)
+                hit = own.masks(codes)
+                for k in range(n):
+                    bit = (hit[k // MASK] >> hit.dtype.type(k % MASK)) & hit.dtype.type(1)
+                    held[k] += np.bincount(docs[bit == 1], minlength=x.n)
             corrected = np.zeros((x.n, max(1, n)))
             for k in range(n):
-                held = np.bincount(docs, weights=((hit >> hit.dtype.type(k)) & hit.dtype.type(1)).astype(float), minlength=x.n)
-                corrected[:, k] = np.maximum(0.0, (held - own.rates[k] * total) / max(1e-9, 1 - own.rates[k]))
+                corrected[:, k] = np.maximum(0.0, (held[k] - own.rates[k] * total) / max(1e-9, 1 - own.rates[k]))
             best, whole = corrected.argmax(1), corrected.sum(1)
             most = corrected[np.arange(x.n), best]
             score = np.where(whole > 0, most / np.maximum(whole, 1e-300), 0.0)
