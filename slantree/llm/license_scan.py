@@ -5,16 +5,20 @@ and those of the templates are weighted by idf over all headers of the table;
 only the templates' vocabulary needs idf values, so that table is bounded by
 the templates.  Notices wrapped over up to NOTICE_LINES lines are scored like
 headers, and the whole texts of licence files are held against full licence
-texts, weighted by idf over all licence files.  Files without a licence of their own inherit the one of the
-nearest ancestor directory that holds a licence file.
+texts, weighted by idf over all licence files.  Files without a licence of
+their own inherit the one of the nearest ancestor directory that holds a
+licence file.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from collections.abc import Sequence
 from importlib.resources import files as resources
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slantree.llm.durable import written
@@ -77,12 +81,6 @@ def headers(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
     return near.where(F.col("line").rlike(CUE))
 
 
-def template_terms(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """template, license, word, count; a row per word of a template."""
-    rows = spark.createDataFrame([(k, *t) for k, t in enumerate(templates)], "template int, license string, statement string")
-    return rows.select("template", "license", F.explode(words_of(F.col("statement"))).alias("word")).groupBy("template", "license", "word").agg(F.count("*").alias("n_template"))
-
-
 def notices(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per run of 2 to NOTICE_LINES adjacent lines with a cue, joined by spaces: id, line_no (null), line."""
     run = "transform(sequence(0, size(_l) - n), i -> array_join(slice(_l, i + 1, n), ' '))"
@@ -100,33 +98,49 @@ def match_headers(lines: DataFrame, templates=TEMPLATES, id_col: str = "doc_id")
     licence by name.
     """
     # Equal lines are counted first: a line that half the table holds is one row from here on.
-    distinct = lines.groupBy("line").agg(F.count("line_no").alias("copies")).withColumn("name", name_of(F.col("line")))
-    best = match(distinct.select("name", "copies", words_of(F.col("line")).alias("words")), templates)
-    return distinct.join(best, "name").select("line", "license", "score")
+    distinct = named(lines.groupBy("line").agg(F.count("line_no").alias("copies")), "lines").withColumn("words", words_of(F.col("line")))
+    return distinct.join(match(distinct, templates), "name").select("line", "license", "score")
+
 
+def named(df: DataFrame, what: str) -> DataFrame:
+    """`df` with a number per row (`name`), fixed by writing the table."""
+    return written(df.withColumn("name", F.monotonically_increasing_id()), what)
 
-def name_of(text: Column) -> Column:
-    """128 bits that stand for a text, so that its words are not shuffled with the whole of it."""
-    return F.unhex(F.md5(text))
+
+def squares(words: Column, vocabulary: Sequence[str]) -> Column:
+    """The sum of squared counts of the words outside the vocabulary, within the row: runs of the sorted words."""
+    start = F.struct(F.lit("").alias("word"), F.lit(0.0).alias("run"), F.lit(0.0).alias("total"))
+    # (k + 1)^2 - k^2 = 2 k + 1 for the next word of a run of k.
+    run = lambda s, w: F.when(s["word"] == w, s["run"]).otherwise(0.0)
+    step = lambda s, w: F.struct(w.alias("word"), (run(s, w) + 1.0).alias("run"), (s["total"] + 2.0 * run(s, w) + 1.0).alias("total"))
+    return F.aggregate(F.array_sort(F.filter(words, lambda w: ~w.isin(*vocabulary))), start, step, lambda s: s["total"])
 
 
 def match(distinct: DataFrame, templates) -> DataFrame:
-    """Best template of each row of name, copies and words: name, license, score."""
-    terms = distinct.select("name", "copies", F.explode("words").alias("word")).groupBy("name", "copies", "word").agg(F.count("*").alias("n"))
-    template = template_terms(distinct.sparkSession, templates)
-    vocabulary = template.select("word").distinct()
+    """Best template of each row of name, copies and words: name, license, score.
+
+    Only words of the templates are shuffled, as numbers; what the others add
+    to a norm is known within the row, since all of them weigh the same.
+    """
+    spark = distinct.sparkSession
+    counted = [Counter(re.findall(WORD, text.lower())) for _, text in templates]
+    words = sorted(set().union(*counted))
+    codes = F.broadcast(spark.createDataFrame([(w, k) for k, w in enumerate(words)], "word string, code int"))
+    inside = distinct.select("name", "copies", F.explode(F.filter("words", lambda w: w.isin(*words))).alias("word")).join(codes, "word")
+    terms = written(inside.groupBy("name", "code").agg(F.count("*").alias("n"), F.first("copies").alias("copies")), "terms")
     total = distinct.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    held = terms.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.sum("copies").alias("df"))
-    idf = vocabulary.join(held, "word", "left").select("word", (F.log((1 + F.lit(total)) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
-    unseen = F.log(F.lit(1.0 + total)) + 1
-    # Both of these are bounded by the templates.
-    weighted = F.broadcast(template.join(idf, "word").withColumn("w", F.col("n_template") * F.col("idf")))
-    sizes = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
-    line_terms = terms.join(F.broadcast(idf), "word", "left").withColumn("w_line", F.col("n") * F.coalesce("idf", unseen))
-    norms = line_terms.groupBy("name").agg(F.sqrt(F.sum(F.col("w_line") * F.col("w_line"))).alias("l_norm"))
-    dots = line_terms.join(weighted.select("template", "license", "word", "w"), "word").groupBy("name", "template", "license").agg(F.sum(F.col("w_line") * F.col("w")).alias("dot"))
-    scored = dots.join(norms, "name").join(F.broadcast(sizes), "template").withColumn("score", F.round(F.col("dot") / (F.col("l_norm") * F.col("t_norm")), 6))
-    best = scored.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("score"), "license")).alias("best"))
+    df = {r["code"]: r["df"] for r in terms.groupBy("code").agg(F.sum("copies").alias("df")).collect()}  # bounded by the templates
+    idf = [math.log((1 + total) / (1 + df.get(k, 0))) + 1 for k in range(len(words))]
+    unseen = math.log(1.0 + total) + 1
+    weights = [[c[w] * idf[k] for c in counted] for k, w in enumerate(words)]
+    norms = [math.sqrt(sum(row[t] ** 2 for row in weights)) for t in range(len(templates))]
+    columns = ", ".join(f"w{t} double" for t in range(len(templates)))
+    weighted = F.broadcast(spark.createDataFrame([(k, idf[k], *row) for k, row in enumerate(weights)], f"code int, idf double, {columns}"))
+    own = F.col("n") * F.col("idf")
+    sums = terms.join(weighted, "code").groupBy("name").agg(F.sum(own * own).alias("inside"), *[F.sum(own * F.col(f"w{t}")).alias(f"dot{t}") for t in range(len(templates))])
+    norm = F.sqrt(F.col("inside") + F.lit(unseen**2) * F.col("outside"))
+    scores = [F.when(F.col(f"dot{t}") > 0, F.struct((-F.round(F.col(f"dot{t}") / (norm * F.lit(norms[t])), 6)).alias("score"), F.lit(name).alias("license"))) for t, (name, _) in enumerate(templates)]
+    best = distinct.select("name", squares(F.col("words"), words).alias("outside")).join(sums, "name").select("name", F.array_min(F.array_compact(F.array(*scores))).alias("best"))
     return best.select("name", F.col("best.license").alias("license"), (-F.col("best.score")).alias("score"))
 
 
@@ -143,10 +157,10 @@ def own_licenses(
     scored = lines.join(match_headers(lines, templates, id_col), "line", "left").where(F.col(id_col).isNotNull())
     scored = scored.where(F.col("line_no").isNotNull() | (F.col("score") >= threshold)).select(id_col, "line_no", "license", "score")
     if licence_file is not None:
-        texts = df.where(licence_file & F.col(text_col).isNotNull()).select(id_col, name_of(F.col(text_col)).alias("name"), text_col)
-        distinct = written(texts.groupBy("name").agg(F.count("*").alias("copies"), F.any_value(words_of(F.col(text_col))).alias("words")), "licence_files")
-        held = match(distinct, full_texts()).where(F.col("score") >= threshold)
-        scored = scored.union(texts.join(held, "name").where(F.col(id_col).isNotNull()).select(id_col, F.lit(None).cast("int"), "license", "score"))
+        texts = df.where(licence_file & F.col(text_col).isNotNull()).select(id_col, F.unhex(F.md5(text_col)).alias("key"), text_col)
+        distinct = named(texts.groupBy("key").agg(F.count("*").alias("copies"), F.any_value(text_col).alias("text")), "licence_files")
+        held = match(distinct.withColumn("words", words_of(F.col("text"))), full_texts()).where(F.col("score") >= threshold).join(distinct.select("name", "key"), "name")
+        scored = scored.union(texts.select(id_col, "key").join(held, "key").where(F.col(id_col).isNotNull()).select(id_col, F.lit(None).cast("int"), "license", "score"))
     best = scored.groupBy(id_col).agg(F.min(F.struct((-F.coalesce("score", F.lit(0.0))).alias("score"), "license")).alias("best"), F.countDistinct("line_no").alias("n_headers"))
     score = -F.col("best.score")
     return best.select(id_col, F.when(score >= threshold, F.col("best.license")).alias("own_license"), (score + 0.0).alias("own_score"), "n_headers")
