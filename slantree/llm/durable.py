@@ -9,16 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; set here only where it is unset, as in tests."""
+    """The cluster's shared folder, `spark.checkpoint.dir`; on one machine only, a temporary folder where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it back: later steps neither recompute nor lose it."""
-    path = f"{shared_folder(df.sparkSession)}/slantree-{uuid.uuid4().hex}/{name}"
+    """Write `df` once as Parquet in the shared folder and read it back: later steps neither recompute nor lose it.
+
+    Results are lazy and read these tables later, so they stay; all of an
+    application's tables stand under `slantree-<application id>`, to be deleted
+    as a whole when the application has ended.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/slantree-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

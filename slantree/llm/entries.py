@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +10,13 @@ from pyspark.sql import functions as F
 from slantree.llm import bpe_trie, language_id, license_scan, line_dedup, mpeg_audio, near_dedup, packing, quality_classifier, quality_rules, url_filter
 from slantree.llm.language_id import held_out
 
-#: Folder of the tokenizer files; every executor must have it.
-TOKENIZERS = os.environ.get("SLANTREE_TOKENIZERS", "/opt/tokenizers")
 
 
 def tokenizer(name: str) -> str:
-    return os.path.join(TOKENIZERS, name)
+    """Path of a public tokenizer's file; every executor must have it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,7 +97,7 @@ def op7_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_superminhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85, size=3)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=85, size=3).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op9_url_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

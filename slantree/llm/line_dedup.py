@@ -14,7 +14,8 @@ share a file.  Keys of pairs are gathered first: only pairs filed more than
 once are worth an entry.
 
 Within a file, pairs are tested by length, by position (tokens before the
-shared pair can only match tokens before it) and by parity words: each token
+shared pair can only match tokens before it, and no two side by side, where it
+is their first) and by parity words: each token
 flips one of 64, 128 or 256 bits (more for longer lines), so the bits in which
 two lines differ are at most the tokens in which they do.  What passes is
 verified on full token sets within each candidate group.  Lines of equal sets
@@ -333,7 +334,8 @@ def passes(rows: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray, percent: i
     size_a, size_b, pos_a, pos_b = rows["size"][p].astype(np.int64), rows["size"][q].astype(np.int64), rows["pos"][p], rows["pos"][q]
     both = size_a + size_b
     fewest = -(-percent * both // (100 + percent))
-    enough = np.minimum(pos_a, pos_b) + np.minimum(size_a - pos_a, size_b - pos_b) >= fewest
+    # Before the first shared pair every common token is followed by one of a single line: a third of the tokens match there at most.
+    enough = (pos_a + pos_b) // 3 + np.minimum(size_a - pos_a, size_b - pos_b) >= fewest
     at = np.flatnonzero(enough & (100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)) & (rows["name"][p] != rows["name"][q]))
     p, q, least = p[at], q[at], np.minimum(size_a, size_b)[at]
     x = [(rows[c][p] ^ rows[c][q]).view(np.uint64) for c in SIGNS]

@@ -12,13 +12,14 @@
    candidate group is missed, and only a spanning forest of the links is kept.
 4. The verified links' components are the groups.
 
-With BANDS x ROWS = 30 x 6, a pair at Jaccard 0.85 shares no bucket with
-probability 7e-7, and less the more similar it is or the more members its
-group has.
+A pair at the threshold shares no bucket with a probability of at most MISS,
+and less the more similar it is or the more members its group has; the bands
+follow from the threshold (`banding`): 30 x 6 for 0.85, 35 x 5 for 0.8.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +32,21 @@ from slantree.llm.durable import written
 from slantree.llm.sieve import sieve
 from slantree.llm.text_arrays import TextBatch, mix, slices, windows
 
-BANDS, ROWS = 30, 6
+MISS, MOST_BANDS = 1e-6, 35
 #: Members and shingles of a block of a candidate group; larger groups are compared block by block.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1500, 2_000_000
 _FRACTION = 40
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows: as many rows as MOST_BANDS bands allow at a miss rate of MISS, for independent slots."""
+    for rows in range(20, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-min(0.999999, (percent / 100) ** rows)))
+        if bands <= MOST_BANDS:
+            return bands, rows
+    return math.ceil(math.log(MISS) / math.log1p(-percent / 100)), 1
+
+
 def shingle_sets(x: TextBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes and their documents, sorted by document; a text of fewer words is one shingle."""
     start, end, doc = x.words()
@@ -93,12 +103,12 @@ def superminhash(elements: np.ndarray, docs: np.ndarray, n_docs: int, size: int)
     return best
 
 
-def sign(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 3, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (a 128-bit name of the set) and the band keys; no band keys for an empty set."""
+def sign(df: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
+    """Of rows of doc_id, text_hash and text: doc_id, text_hash, n_shingles, k1, k2 (a 128-bit name of the set) and the band keys; no band keys for an empty set."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            x = TextBatch(batch.column(text_col), lower=True)
+        for batch in slices(batches, "text"):
+            x = TextBatch(batch.column("text"), lower=True)
             gram, doc = shingle_sets(x, size)
             n = np.bincount(doc, minlength=x.n)
             names = []
@@ -114,12 +124,11 @@ def sign(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: in
             keys = key[n > 0].view(np.int64).ravel()
             offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)
             yield pa.record_batch(
-                [batch.column(id_col), pa.array(n.astype(np.int64)), *(pa.array(k.view(np.int64)) for k in names), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))],
-                ["doc_id", "n_shingles", "k1", "k2", "bands"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n.astype(np.int64)), *(pa.array(k.view(np.int64)) for k in names), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys))],
+                ["doc_id", "text_hash", "n_shingles", "k1", "k2", "bands"],
             )
 
-    picked = df.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    return picked.mapInArrow(signed, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>")
+    return df.mapInArrow(signed, "doc_id long, text_hash long, n_shingles long, k1 long, k2 long, bands array<long>")
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -181,20 +190,21 @@ def forest(links: np.ndarray) -> np.ndarray:
         label = least
 
 
-def verify(members: DataFrame, docs: DataFrame, percent: int, size: int, text_col: str = "text", id_col: str = "doc_id", block_members: int = BLOCK_MEMBERS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def verify(members: DataFrame, docs: DataFrame, percent: int, size: int, block_members: int = BLOCK_MEMBERS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """True links (a, b) of each candidate group, as a spanning forest per block pair.
 
-    `members` has id, grp and n_shingles.  A group within the block limits is
-    one unit of work; a larger one is dealt into blocks by a hash of the id, and
-    every pair of blocks is a unit.
+    `members` has id, grp, n_shingles, and doc_id and text_hash of a row of
+    `docs` with that set.  A group within the block limits is one unit of work;
+    a larger one is dealt into blocks by a hash of the id, and every pair of
+    blocks is a unit.
     """
     sizes = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     blocks = F.greatest(F.ceil(F.col("n") / block_members), F.ceil(F.col("s") / block_shingles), F.lit(1)).cast("int")
     placed = members.join(sizes.select("grp", blocks.alias("blocks")), "grp").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    texts = sieve(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", members, "id")
+    texts = sieve(docs.where("doc_id is not null"), "doc_id", members, "doc_id")
     units = (
-        placed.join(texts, "id")
-        .dropDuplicates(["id"])
+        placed.join(texts, ["doc_id", "text_hash"])
+        .dropDuplicates(["doc_id", "text_hash", "id"])
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "text")
     )
@@ -222,28 +232,35 @@ def verify(members: DataFrame, docs: DataFrame, percent: int, size: int, text_co
 
 
 def near_duplicates(
-    df: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = 80, size: int = 5, bands: int = BANDS, rows: int = ROWS, block_members: int = BLOCK_MEMBERS, block_shingles: int = BLOCK_SHINGLES
+    df: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = 80, size: int = 5, bands: int | None = None, rows: int | None = None, block_members: int = BLOCK_MEMBERS, block_shingles: int = BLOCK_SHINGLES
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of `df`.
-
-    Words are lower-cased in A-Z only.  Two documents are linked if their
-    shingle sets meet the percentage; a component is named by its smallest id.
-    Null, empty and blank texts have no shingle and are linked with nothing.  A
-    row with a null id keeps n_shingles, has a null component and is kept.
-    Repeated rows of one id all get its component; which of rows with one id but
-    different texts is compared is not defined.
+    """doc_id, text_hash, n_shingles, component_id and kept for every row of `df`.
+
+    Words are lower-cased in A-Z only.  Two texts are linked if their shingle
+    sets meet the percentage; a component is named by its smallest id.  Null,
+    empty and blank texts have no shingle and are linked with nothing.  A row
+    with a null id keeps n_shingles, has a null component and is kept.  Equal
+    rows get equal results; rows of one id with different texts are judged each
+    by its own text.
     """
-    signed = written(sign(df, text_col, id_col, size, bands, rows), "signed")
+    if bands is None or rows is None:
+        bands, rows = banding(percent)
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    signed = written(sign(docs, size, bands, rows), "signed")
     named = signed.where("n_shingles > 0 and doc_id is not null")
-    reps = written(named.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands")), "reps")
-    keyed = reps.select("rep", F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("key", "hub")
-    candidates = keyed.join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    first = F.min(F.struct("doc_id", "text_hash")).alias("first")
+    # Written once, so the numbers stay.
+    reps = written(named.groupBy("k1", "k2").agg(first, F.max("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands")).select("k1", "k2", "first.*", "n_shingles", "bands", F.monotonically_increasing_id().alias("id")), "reps")
+    keyed = reps.select("id", F.explode("bands").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
+    candidates = keyed.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     groups = components(candidates).select(F.col("id"), F.col("component").alias("grp"))
-    members = written(groups.join(reps.select(F.col("rep").alias("id"), "n_shingles"), "id"), "members")
-    links = verify(members, df, percent, size, text_col, id_col, block_members, block_shingles)
-    found = components(links).select(F.col("id").alias("rep"), "component")
-    by_set = reps.select("k1", "k2", "rep").join(found, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
+    members = written(groups.join(reps.select("id", "doc_id", "text_hash", "n_shingles"), "id"), "members")
+    links = verify(members, docs, percent, size, block_members, block_shingles)
+    found = components(links).select("id", F.col("component").alias("root"))
+    placed = reps.select("k1", "k2", "id", "doc_id").join(found, "id", "left")
+    heads = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component"))
+    by_set = placed.join(heads, "root", "left").select("k1", "k2", F.coalesce("component", "doc_id").alias("component"))
     out = signed.drop("bands").join(by_set, ["k1", "k2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

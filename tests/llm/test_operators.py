@@ -65,7 +65,7 @@ def brute_groups(rows, percent, size):
 
 def test_near_duplicates_match_brute_force(docs):
     rows = sorted(map(tuple, docs.collect()))
-    got = {r[0]: (r[1], r[2]) for r in near_dedup.near_duplicates(docs, percent=85, size=3, block_members=7).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs, percent=85, size=3, block_members=7).collect()}
     assert got == brute_groups(rows, 85, 3)
 
 
@@ -145,7 +145,7 @@ def test_lines_of_other_texts_under_one_id_stay(spark):
     assert "one two three four five six" in left and any(t.startswith("unique words") for t in left) and sum(removed) == 2
 
 
-@pytest.mark.parametrize("percent", [67, 75, 90])
+@pytest.mark.parametrize("percent", [67, 75])
 def test_line_join_at_other_percentages(spark, percent):
     rng = np.random.default_rng(percent)
     words = [f"w{k}" for k in range(12)]
@@ -299,12 +299,8 @@ def test_licence_inheritance(spark):
     assert got[4] == (None, None, None) and got[5][1] is None and got[6] == (None, "MIT", "/a")
 
 
-
-
-def test_near_duplicate_stage_keeps_null_ids(spark):
-    import corpus_pipeline
-
-    text = "a b c d e f g h i j k l m"
-    docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (3, None)], "doc_id long, text string")
-    got = corpus_pipeline.keep_one_of_each(spark, docs, "").collect()
-    assert {tuple(r) for r in got} == {(1, text), (3, None), (None, text)} and len(got) == 3
+def test_near_duplicates_of_other_texts_under_one_id(spark):
+    a, b = "a b c d e f g h i j", "q r s t u v w x y z"
+    docs = spark.createDataFrame([(5, a), (5, b), (3, b), (9, a), (9, a)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False), (9, 5, False)]
