@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, MapType, StringType, StructField, StructType
 
+from slantree.llm.text_arrays import pieces
+
 UNIT = 576
 # Fixed values of the MPEG audio standards: bitrates (kbit/s) by (MPEG-1?, layer), and sample rates of MPEG-1.
 BITRATES = {
@@ -163,6 +165,7 @@ _FRAME = StructType(
         StructField("skipped_bytes", LongType()),
         StructField("table_frames", LongType()),
         StructField("table_bytes", LongType()),
+        StructField("table_seek", ArrayType(IntegerType())),
         StructField("bitrates", ArrayType(IntegerType())),
         StructField("offsets", ArrayType(LongType())),
         StructField("tags", MapType(StringType(), StringType())),
@@ -173,16 +176,25 @@ _FRAME = StructType(
 def _parse(media: bytes) -> tuple[dict, list[int], list[Header]]:
     tags, start, end = _tags(media)
     offsets, found, skipped = frames(media, start, end)
-    table_frames = table_bytes = None
+    table_frames = table_bytes = table_seek = None
     if found and found[0].layer == 3:
         at = offsets[0] + 4 + 2 * found[0].protected + found[0].side
+        vbri = offsets[0] + 36
         if media[at : at + 4] in (b"Xing", b"Info") and at + 16 <= end:
             flags = int.from_bytes(media[at + 4 : at + 8], "big")
             at += 8
             if flags & 1:
                 table_frames, at = int.from_bytes(media[at : at + 4], "big"), at + 4
             if flags & 2:
-                table_bytes = int.from_bytes(media[at : at + 4], "big")
+                table_bytes, at = int.from_bytes(media[at : at + 4], "big"), at + 4
+            if flags & 4:
+                table_seek = list(media[at : at + 100])
+            offsets, found = offsets[1:], found[1:]
+        elif media[vbri : vbri + 4] == b"VBRI" and vbri + 26 <= end:
+            table_bytes, table_frames = (int.from_bytes(media[vbri + k : vbri + k + 4], "big") for k in (10, 14))
+            count, scale, width = (int.from_bytes(media[vbri + k : vbri + k + 2], "big") for k in (18, 20, 22))
+            entries = media[vbri + 26 : vbri + 26 + count * width]
+            table_seek = [scale * int.from_bytes(entries[k : k + width], "big") for k in range(0, len(entries) - width + 1, width)] if width else []
             offsets, found = offsets[1:], found[1:]
     samples = sum([h.samples for h in found])
     rate = found[0].rate if found else None
@@ -196,6 +208,7 @@ def _parse(media: bytes) -> tuple[dict, list[int], list[Header]]:
         "skipped_bytes": skipped,
         "table_frames": table_frames,
         "table_bytes": table_bytes,
+        "table_seek": table_seek,
         "bitrates": sorted({h.bitrate for h in found}),
         "offsets": offsets,
         "tags": list(tags.items()),
@@ -225,8 +238,8 @@ def parse_udf(media: pa.Array) -> pa.Array:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = []
-    for at in range(0, len(media), 500):
-        some = [m or b"" for m in media[at : at + 500].to_pylist()]
+    for part in pieces(media, 1 << 22):
+        some = [m or b"" for m in part.to_pylist()]
         parsed = [_parse(m) for m in some]
         _check(some, parsed)
         out += [row for row, _, _ in parsed]
@@ -237,8 +250,10 @@ def parse_udf(media: pa.Array) -> pa.Array:
 def parse(df: DataFrame, media_col: str = "media", into: str = "audio") -> DataFrame:
     """Add a struct column with what each stream holds; null, empty or non-audio bytes give zero frames.
 
-    `offsets` are the byte positions of all audio frames, for seeking; a Xing or
-    Info frame is a table and not counted as audio.  `payload` joins the first
+    `offsets` are the byte positions of all audio frames, for seeking; a Xing,
+    Info or VBRI frame is a table and not counted as audio: table_frames,
+    table_bytes, and table_seek (Xing: 100 positions in 256ths of the file;
+    VBRI: bytes from entry to entry).  `payload` joins the first
     UNIT bytes behind the side information of protected frames (what `carry`
     stored).
     """
@@ -274,7 +289,8 @@ def carried(raw: bytes) -> bytes:
     parts, sizes = [], []
     for at in range(0, len(payload), UNIT):
         unit = payload[at : at + UNIT]
-        if b"\xff" in unit:
+        # The last frame is a wide one: its fill ends the stream, so that no payload can look like a tag there.
+        if b"\xff" in unit or at + UNIT == len(payload):
             parts.append(_WIDE + unit + _WIDE_FILL)
         else:
             parts.append(_PLAIN + unit + _PLAIN_FILL)
