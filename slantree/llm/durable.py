@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch: texts are long, and a batch stands in memory on both sides of the pipe.
+BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, `spark.checkpoint.dir`; on one machine only, a temporary folder where it is unset."""
@@ -20,6 +23,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """`df`, in a session whose Arrow batches are short; a smaller setting of the user's stays."""
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_SETTING)) > BATCH_ROWS:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back: later steps neither recompute nor lose it.
 

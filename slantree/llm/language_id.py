@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
-from slantree.llm.durable import written
+from slantree.llm.durable import short_batches, written
 from slantree.llm.text_arrays import LOWER, TextBatch, mix, pieces
 
 #: Documents per language that are learned from; the bound of the sample.
@@ -119,7 +119,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", max_doc
     The sample is cut per partition first and then per language, so a language
     with any number of rows never meets in one task.
     """
-    rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = short_batches(df).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     # Distinct texts count: copies must not thin out the sample.  One row per language.
     sizes = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n_texts"))
@@ -166,6 +166,7 @@ def identify(df: DataFrame, filters: Filters, text_col: str = "text") -> DataFra
     n-grams no language holds is given the first language with both 0.
     """
     n = len(filters.languages)
+    short_batches(df)
     shared = df.sparkSession.sparkContext.broadcast(filters)  # 2**SLOTS_BITS masks, whatever the input
 
     @F.arrow_udf(StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("held", DoubleType())]))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from slantree.llm import records
 from slantree.llm.components import components
-from slantree.llm.durable import written
+from slantree.llm.durable import short_batches, written
 from slantree.llm.near_dedup import BLOCK_MEMBERS, forest, linked
 from slantree.llm.sieve import bit_map, bits_for, held_in, on, sieve
 from slantree.llm.text_arrays import TextBatch, mix, slices
@@ -61,6 +61,8 @@ CHUNK_BYTES, CHUNK_KEYS = 1 << 24, 1 << 18
 NARROW, MEDIUM = 64, 160
 #: Units of at most so many lines are verified many at once, larger ones by a matrix each.
 SMALL_UNIT = 48
+#: Pairs of lines that are tested at a time.
+PAIRS = 1 << 18
 SIGNS = ["s0", "s1", "s2", "s3"]
 DOC = {"doc_id": "<i8", "known": "<u1", "text_hash": "<i8", "n": "<i4"}
 LINE = {"line_no": "<i4", "size": "<i4", "name": "<i8", "line": "<i8"}
@@ -384,8 +386,8 @@ def _pairs(start: np.ndarray, count: np.ndarray, most: int) -> Iterator[tuple[np
     for n in np.unique(count[(count > 1) & (count <= most)]):
         i, j = np.triu_indices(n, 1)
         at = start[count == n]
-        for cut in range(0, len(at), max(1, 1_000_000 // len(i))):
-            part = at[cut : cut + max(1, 1_000_000 // len(i)), None]
+        for cut in range(0, len(at), max(1, PAIRS // len(i))):
+            part = at[cut : cut + max(1, PAIRS // len(i)), None]
             yield (part + i).ravel(), (part + j).ravel()
 
 
@@ -542,8 +544,9 @@ def _compared(rows: records.Columns, start: np.ndarray, percent: int, apart: np.
         join(p[ok], q[ok])
     for at, n in zip(start[count > SMALL_UNIT], count[count > SMALL_UNIT]):
         members = np.arange(at, at + n)
-        for cut in range(0, n, 128):
-            p = np.repeat(members[cut : cut + 128], n)
+        rows_each = max(1, PAIRS // n)
+        for cut in range(0, n, rows_each):
+            p = np.repeat(members[cut : cut + rows_each], n)
             q = np.tile(members, len(p) // n)
             ok = test(p, q)
             join(p[ok], q[ok])
@@ -631,7 +634,7 @@ def shared_tokens(s: LineSets, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     cost = np.cumsum(s.size[p] + s.size[q])
     at = 0
     while at < len(p):
-        to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + 2_000_000, "right")))
+        to = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + 500_000, "right")))
         both = np.concatenate([p[at:to], q[at:to]])
         n = s.size[both]
         pair = np.repeat(np.tile(np.arange(to - at), 2), n)
@@ -789,7 +792,7 @@ def line_links(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", pe
     """
     if not LEAST_PERCENT <= percent < 100:
         raise ValueError(f"percent must be from {LEAST_PERCENT} to 99")
-    docs = _documents(df, text_col, id_col)
+    docs = _documents(short_batches(df), text_col, id_col)
     listed = written(_listed(docs), "lines")
     chunks = listed.where("chunk is not null").select("chunk", "docs", "lines")
     n_lines = listed.agg(F.coalesce(F.sum("n_lines"), F.lit(0))).first()[0]
@@ -824,6 +827,7 @@ def remove_lines(df: DataFrame, linked_docs: DataFrame, text_col: str = "text",
     """
     gone = linked_docs.where("doc_id is not null and n_removed > 0").groupBy("doc_id", "text_hash").agg(F.any_value("removed_lines").alias("removed_lines"))
     gone = written(gone.select(F.xxhash64("doc_id", "text_hash").alias("k"), "doc_id", "text_hash", "removed_lines"), "removed_lines")
+    short_batches(df)
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
     key = F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)))
     may_lose = held_in(bit_map(gone, F.col("k")), key)

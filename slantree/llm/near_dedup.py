@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slantree.llm.components import components
-from slantree.llm.durable import written
+from slantree.llm.durable import short_batches, written
 from slantree.llm.sieve import sieve
 from slantree.llm.text_arrays import TextBatch, mix, slices, windows
 
@@ -245,7 +245,7 @@ def near_duplicates(
     """
     if bands is None or rows is None:
         bands, rows = banding(percent)
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    docs = short_batches(df).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     signed = written(sign(docs, size, bands, rows), "signed")
     named = signed.where("n_shingles > 0 and doc_id is not null")
     first = F.min(F.struct("doc_id", "text_hash")).alias("first")

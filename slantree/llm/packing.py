@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from slantree.llm.bpe_trie import byte_characters
-from slantree.llm.durable import written
+from slantree.llm.durable import short_batches, written
 from slantree.llm.text_arrays import slices
 
 #: Plans up to this many rows (about 40 bytes each) are sent to every task; larger ones are joined by length and rank block.
@@ -113,7 +113,7 @@ def cut(df: DataFrame, path: str, end_id: int = 1, capacity: int = 4096, text_co
             )
 
     schema = f"`{id_col}` {kind.simpleString()}, piece int, start long, length long, ids_crc32 long, part long, seq long"
-    return df.select(id_col, text_col).mapInArrow(pieces_of, schema)
+    return short_batches(df).select(id_col, text_col).mapInArrow(pieces_of, schema)
 
 
 def plan(counts: dict[int, int], capacity: int = 4096) -> pd.DataFrame:

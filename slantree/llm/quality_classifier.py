@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
+from slantree.llm.durable import short_batches
 from slantree.llm.quality_rules import MEASURES, _measured
 from slantree.llm.text_arrays import SPACE, TextBatch, pieces
 
@@ -163,5 +164,5 @@ def classify(df: DataFrame, model: Model, text_col: str = "text", threshold: flo
     def score(texts: pa.Array) -> pa.Array:
         return pa.array(np.concatenate([model.score(_features(p).astype(float)) for p in pieces(texts)]))
 
-    out = df.withColumn("score", score(F.col(text_col)))
+    out = short_batches(df).withColumn("score", score(F.col(text_col)))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

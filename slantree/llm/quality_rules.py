@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from slantree.llm.durable import short_batches
 from slantree.llm.text_arrays import CONTINUES, SPACE, TextBatch, pieces, windows
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters_ascii")
@@ -72,7 +73,7 @@ def _measure(texts: pa.Array) -> pa.Array:
 
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add the columns of MEASURES to each row, in one pass over each whole text."""
-    out = df.withColumn("_m", _measure(F.col(text_col)))
+    out = short_batches(df).withColumn("_m", _measure(F.col(text_col)))
     return out.withColumns({m: F.col(f"_m.{m}") for m in MEASURES}).drop("_m")
 
 

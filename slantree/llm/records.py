@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 Columns = dict[str, np.ndarray]
 #: Records that a task holds before it deals them out.
-FLUSH = 1 << 19
+FLUSH = 1 << 18
 
 
 def buckets_for(records: int, each: int = 200_000) -> int:

@@ -223,12 +223,18 @@ def test_mpeg_round_trip(odd):
 
 def test_mpeg_resynchronises_and_finds_damage():
     media = mpeg_audio.carried(b"some text " * 300)
-    row, offsets, found = mpeg_audio._parse(media[:60] + media[60:])
+    row, offsets, found = mpeg_audio._parse(media)
     damaged = bytearray(media)
     damaged[offsets[1] + 8] ^= 1  # side information: the checksum no longer fits
     parsed = [mpeg_audio._parse(bytes(damaged))]
     mpeg_audio._check([bytes(damaged)], parsed)
     assert parsed[0][0]["crc_failed"] == 1
+    tagged = b"x" * (576 - 71) + b"TAG" + b"y" * 68
+    assert mpeg_audio._parse(mpeg_audio.carried(tagged))[0]["payload"] == tagged
+    assert len(row["table_seek"]) == 100
+    table = media[offsets[0] :][:4] + bytes(32) + b"VBRI" + bytes(6) + (999).to_bytes(4, "big") + (7).to_bytes(4, "big") + bytes([0, 2, 0, 3, 0, 1, 0, 9, 5, 6])
+    other = mpeg_audio._parse(table.ljust(offsets[1] - offsets[0], b"\0") + media[offsets[0] :])[0]
+    assert (other["table_bytes"], other["table_frames"], other["table_seek"], other["n_frames"]) == (999, 7, [15, 18], row["n_frames"])
     holed = media[: offsets[1]] + b"\xff\xfb\x00junk" + media[offsets[1] :]
     assert mpeg_audio._parse(holed)[0]["n_frames"] == row["n_frames"] and mpeg_audio._parse(b"")[0]["n_frames"] == 0
 
