@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slantree.functions import analysis, metrics
-from slantree.operators import gradients, prepare, splits
+from slantree.operators import gradients, ordered, prepare, splits
 
 COLS = ["x0", "x1", "x2"]
 KEY = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
@@ -95,7 +95,7 @@ def impute_mean_and_mask(spark, sf):
 @query(M + ", med as (select median(x0) as v from m) select round(sum(coalesce(x0, v)), 4) as total, count(*) as n from m, med")
 def fill_median(spark, sf):
     m = missing(spark, sf)
-    return prepare.impute(m, ["x0"], {"x0": m.agg(F.percentile("x0", 0.5)).first()[0]}, flags=False).agg(r(F.sum("x0"), 4).alias("total"), F.count("*").alias("n"))
+    return prepare.impute(m, ["x0"], {"x0": ordered.quantiles(m, "x0", [0.5])[0]}, flags=False).agg(r(F.sum("x0"), 4).alias("total"), F.count("*").alias("n"))
 
 
 @query("select o_orderpriority as value, row_number() over (order by o_orderpriority) - 1 as id from (select distinct o_orderpriority from orders)")
@@ -198,12 +198,7 @@ def sample_without_replacement(spark, sf):
 
 @query(V + f", s as (select y, row_number() over (partition by y order by {u_sql('split')}, k) as rk, count(*) over (partition by y) as n from v) select y, case when rk <= floor(0.2*n) then 'test' else 'train' end as part, count(*) as n from s group by 1, 2")
 def stratified_split(spark, sf):
-    from pyspark.sql.window import Window as W
-
-    s = base(spark, sf).withColumn("u", gradients.uniform(F.col("k"), "split"))
-    own = W.partitionBy("y")
-    s = s.select("y", F.row_number().over(own.orderBy("u", "k")).alias("rk"), F.count("*").over(own).alias("n"))
-    return s.groupBy("y", F.when(F.col("rk") <= F.floor(0.2 * F.col("n")), "test").otherwise("train").alias("part")).agg(F.count("*").alias("n"))
+    return gradients.stratified(base(spark, sf), "y", "k", 0.2).groupBy("y", "part").agg(F.count("*").alias("n"))
 
 
 # --- split search ---------------------------------------------------------------------------------
@@ -318,7 +313,7 @@ def gram_matrix(spark, sf):
 
 @query(M + f", n as (select case when x0 is null then 1 when x0 < 25 then 1 else 2 end as node, y, x1, x2 from m), d as (select case when node = 1 then (case when x1 is null or x1 < 0.05 then 3 else 4 end) else (case when x2 is null then 6 when x2 < 0.04 then 5 else 6 end) end as node, y from n) select node, y, count(*) as n from d group by all")
 def route_tree(spark, sf):
-    from slantree.plans.boost import Node, goes_left
+    from slantree.plans.trees import Node, goes_left
 
     m, none = missing(spark, sf), [0.0] * 3
     nodes = {0: Node(0, [], [1.0, 0, 0], 25.0, True), 1: Node(1, [], [0, 1.0, 0], 0.05, True), 2: Node(2, [], [0, 0, 1.0], 0.04, False)}

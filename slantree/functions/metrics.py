@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from slantree.operators import ordered
+
 
 def confusion(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
     return df.groupBy(F.col(y).alias("y"), F.col(pred).alias("pred")).agg(F.count("*").alias("n"))
@@ -37,17 +39,37 @@ def _by_score(df: DataFrame, y: str, score: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """By rank sums over distinct scores; ties count half."""
-    lower = F.coalesce(F.sum("q").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    wins = _by_score(df, y, score).withColumn("wins", F.col("p") * (lower + F.col("q") / 2.0))
+    steps = ordered.running(_by_score(df, y, score), "s", ["q"])
+    wins = steps.withColumn("wins", F.col("p") * (F.col("run_q") - F.col("q") / 2.0))
     return wins.agg((F.sum("wins") / (F.sum("p").cast("double") * F.sum("q"))).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
-    run = W.orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
-    steps = _by_score(df, y, score).select("p", (F.sum("p").over(run) / F.sum(F.col("p") + F.col("q")).over(run)).alias("precision"))
+    steps = ordered.running(_by_score(df, y, score), "s", ["p", "q"], descending=True)
+    steps = steps.select("p", (F.col("run_p") / (F.col("run_p") + F.col("run_q"))).alias("precision"))
     return steps.agg((F.sum(F.col("p") * F.col("precision")) / F.sum("p")).alias("average_precision"))
 
 
+def one_vs_rest(df: DataFrame, classes: int, metric, y: str = "y", probability: str = "probability") -> DataFrame:
+    """y, value: a binary metric of each class against the rest; its mean is the macro metric."""
+    parts = [metric(df.select((F.col(y) == c).cast("int").alias("y"), F.col(probability)[c].alias("score"))).toDF("value").select(F.lit(c).alias("y"), "value") for c in range(classes)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def clipped(probability: str, clip: float = 1e-7):
+    """Probabilities kept within clip..1 - clip and scaled to sum to 1 again."""
+    inner = F.transform(probability, lambda p: F.least(F.greatest(p, F.lit(clip)), F.lit(1 - clip)))
+    return F.transform(inner, lambda p: p / F.aggregate(inner, F.lit(0.0), lambda s, x: s + x))
+
+
+def multi_log_loss(df: DataFrame, y: str = "y", probability: str = "probability", clip: float = 1e-7) -> DataFrame:
+    rows = df.select(F.col(y).cast("int").alias("y"), clipped(probability, clip).alias("p"))
+    return rows.agg(F.avg(-F.log(F.element_at("p", F.col("y") + 1))).alias("log_loss"))
+
+
 def log_loss(df: DataFrame, y: str, p1: str, clip: float = 1e-7) -> DataFrame:
     p = F.least(F.greatest(F.col(p1), F.lit(clip)), F.lit(1 - clip))
     return df.agg(F.avg(F.when(F.col(y) == 1, -F.log(p)).otherwise(-F.log(1 - p))).alias("log_loss"))
@@ -55,9 +77,21 @@ def log_loss(df: DataFrame, y: str, p1: str, clip: float = 1e-7) -> DataFrame:
 
 def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson, and Spearman over mean ranks taken from counts per distinct value."""
-    def ranks(c: str) -> DataFrame:
-        n = df.groupBy(c).agg(F.count("*").alias("n"))
-        return n.select(c, (F.sum("n").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, 0)) - (F.col("n") - 1) / 2.0).alias(f"rank_{c}"))
+    both = df.join(ordered.ranks(df, a, "_rank_a"), a).join(ordered.ranks(df, b, "_rank_b"), b)
+    return both.agg(F.corr(a, b).alias("pearson"), F.corr("_rank_a", "_rank_b").alias("spearman"))
+
+
+def staged(scores: DataFrame, loss, row: str = "row_id", tree: str = "tree_id", value: str = "value", init: float = 0.0) -> DataFrame:
+    """tree, loss after that tree: `scores` has a row per row and tree with the tree's contribution; `loss` maps the score so far to a column."""
+    so_far = F.sum(value).over(W.partitionBy(row).orderBy(tree).rowsBetween(W.unboundedPreceding, 0)) + init
+    return scores.withColumn("_f", so_far).groupBy(tree).agg(F.avg(loss(F.col("_f"))).alias("loss"))
+
 
-    both = df.join(ranks(a), a).join(ranks(b), b)
-    return both.agg(F.corr(a, b).alias("pearson"), F.corr(f"rank_{a}", f"rank_{b}").alias("spearman"))
+def stopping_round(losses: DataFrame, patience: int, tree: str = "tree_id", loss: str = "loss") -> DataFrame:
+    """best_round and stop_round (null: patience never ran out) of a table of one loss per round."""
+    until = W.orderBy(tree).rowsBetween(W.unboundedPreceding, 0)  # one row per round
+    marked = losses.withColumn("_best", F.min(F.struct(loss, tree)).over(until)[tree])
+    stop = F.min(F.when(F.col(tree) - F.col("_best") >= patience, F.col(tree)))
+    stops = marked.agg(stop.alias("stop_round"))
+    open_ = marked.join(F.broadcast(stops), F.col("stop_round").isNull() | (F.col(tree) <= F.col("stop_round")))
+    return open_.groupBy("stop_round").agg(F.max("_best").alias("best_round")).select("best_round", "stop_round")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from slantree.operators import ordered
+
 
 def class_priors(df: DataFrame, label: str) -> DataFrame:
     """label, n, prior, centred log prior (the initial score)."""
@@ -46,37 +48,21 @@ def uniform(key: Column, stream: str = "") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(stream), key)), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def top_fraction(df: DataFrame, score: str, fraction: float, n: int, key: str) -> Column:
-    """Whether a row is among the int(fraction x n) largest scores, ties by key.
-
-    The cut score comes from one aggregate and only rows at the cut are ranked,
-    so the table is never sorted as a whole.
-    """
-    want = int(fraction * n)
-    if want <= 0:
-        return F.lit(False)
-    if want >= n:
-        return F.lit(True)
-    cut = df.groupBy(score).agg(F.count("*").alias("c")).orderBy(F.desc(score)).withColumn("run", F.sum("c").over(W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)))
-    at = cut.where(F.col("run") >= want).orderBy("run").first()
-    short = want - (at["run"] - at["c"])
-    last = df.where(F.col(score) == at[score]).select(key).orderBy(key).limit(short).agg(F.max(key)).first()[0]
-    return (F.col(score) > F.lit(at[score])) | ((F.col(score) == F.lit(at[score])) & (F.col(key) <= F.lit(last)))
-
-
 def goss(df: DataFrame, score: str, key: str, a: float, b: float, stream: str = "goss") -> DataFrame:
     """Gradient-based one-side sampling: rows kept, and `amplify` (1, or (1 - a) / b for the sampled rest).
 
-    The rest is cut by rank of its reproducible uniform number, without
-    replacement; if a part would be empty all rows stay with factor 1.
+    The int(a n) largest scores stay (ties by key), and int(b (n - int(a n)))
+    of the rest by their reproducible uniform numbers, without replacement; if
+    a part would be empty all rows stay with factor 1.
     """
     n = df.count()
-    rest = int(b * (n - int(a * n)))
-    if int(a * n) == 0 or rest == 0:
+    top = int(a * n)
+    rest = int(b * (n - top))
+    if top == 0 or rest == 0:
         return df.withColumn("amplify", F.lit(1.0))
-    marked = df.withColumn("_top", top_fraction(df, score, a, n, key)).withColumn("_u", F.when(F.col("_top"), F.lit(2.0)).otherwise(1 - uniform(F.col(key).cast("string"), stream)))
-    others = marked.where(~F.col("_top"))
-    keep = top_fraction(others, "_u", rest / others.count() + 1e-12, others.count(), key)
+    marked = df.withColumn("_top", ordered.first_n(df, top, score, key, descending=True, total=n))
+    marked = marked.withColumn("_u", uniform(F.col(key).cast("string"), stream))
+    keep = ordered.first_n(marked.where(~F.col("_top")), rest, "_u", key, total=n - top)
     return marked.where(F.col("_top") | keep).withColumn("amplify", F.when(F.col("_top"), F.lit(1.0)).otherwise(F.lit((1 - a) / b))).drop("_top", "_u")
 
 
@@ -87,7 +73,29 @@ def bernoulli(df: DataFrame, key: str, share: float, stream: str = "sub") -> Dat
 
 
 def without_replacement(df: DataFrame, key: str, n: int, stream: str = "ns") -> DataFrame:
-    return df.withColumn("_u", uniform(F.col(key).cast("string"), stream)).orderBy("_u", key).limit(n).drop("_u")
+    """n rows by the least uniform numbers, ties by key."""
+    drawn = df.withColumn("_u", uniform(F.col(key).cast("string"), stream))
+    return drawn.where(ordered.first_n(drawn, n, "_u", key)).drop("_u")
+
+
+def stratified(df: DataFrame, label: str, key: str, share: float, stream: str = "split") -> DataFrame:
+    """Add `part`: test for int(share x n) rows of each class by uniform number (ties by key), train for the others."""
+    drawn = df.withColumn("_u", uniform(F.col(key).cast("string"), stream))
+    test = F.lit(False)
+    for row in df.groupBy(label).agg(F.count("*").alias("n")).collect():  # one row per class
+        own = F.col(label).eqNullSafe(F.lit(row[label]))
+        test = test | (own & ordered.first_n(drawn.where(own), int(share * row["n"]), "_u", key, total=row["n"]))
+    return drawn.withColumn("part", F.when(test, "test").otherwise("train")).drop("_u")
+
+
+def stride(df: DataFrame, key: str, n: int, cap: int = 2048) -> DataFrame:
+    """At most `cap` of `n` rows at even steps of the order of `key` (a number): those numbered floor(i n / cap)."""
+    if n <= cap:
+        return df
+    place = ordered.running(df.withColumn("_one", F.lit(1)), key, ["_one"]).withColumn("_i", F.col("run__one") - 1)
+    # Row i is taken if some k has floor(k n / cap) = i, which is so for k = ceil(i cap / n).
+    k = F.floor((F.col("_i") * cap + n - 1) / F.lit(n))
+    return place.where((k < cap) & (F.floor(k * n / F.lit(cap)) == F.col("_i"))).drop("_one", "run__one", "_i")
 
 
 def huber_loss(score: Column, y: Column, delta: float = 1.0) -> Column:
@@ -100,8 +108,7 @@ def initial_value(df: DataFrame, loss: str, y: str, weight: str | None = None) -
     if loss in ("squared_error", "l2"):
         return float(df.agg(F.avg(y) if weight is None else F.sum(F.col(y) * F.col(weight)) / F.sum(weight)).first()[0])
     if weight is None:
-        return float(df.agg(F.percentile(y, 0.5)).first()[0])
-    mass = df.groupBy(y).agg(F.sum(weight).alias("w"))
-    run = mass.withColumn("run", F.sum("w").over(W.orderBy(y).rowsBetween(W.unboundedPreceding, 0)))
-    total = mass.agg(F.sum("w")).first()[0] or math.nan
-    return float(run.where(F.col("run") >= total / 2).agg(F.min(y)).first()[0])
+        return float(ordered.quantiles(df, y, [0.5])[0])
+    runs = ordered.running(df.groupBy(y).agg(F.sum(weight).alias("w")), y, ["w"])
+    total = df.agg(F.sum(weight)).first()[0] or math.nan
+    return float(runs.where(F.col("run_w") >= total / 2).agg(F.min(y)).first()[0])

@@ -43,10 +43,12 @@ def dictionary(df: DataFrame, col: str) -> DataFrame:
     return df.select(F.col(col).alias("value")).where("value is not null").distinct().withColumn("id", F.row_number().over(W.orderBy("value")) - 1)
 
 
-def encode(df: DataFrame, col: str, values: DataFrame, into: str) -> DataFrame:
-    """Dictionary lookup; null and unseen values get the reserved id (the number of values)."""
-    card = values.count()
-    return df.join(values.withColumnRenamed("value", col), col, "left").withColumn(into, F.coalesce("id", F.lit(card)).cast("int")).drop("id")
+def encode(df: DataFrame, col: str, values: DataFrame, into: str, card: int | None = None) -> DataFrame:
+    """Dictionary lookup; null and unseen values get the reserved id (the number of values).  Other columns stay, whatever their names."""
+    card = values.count() if card is None else card
+    known = values.select(F.col("value").alias("_value"), F.col("id").alias("_code"))
+    own = [F.col(f"`{c}`") for c in df.columns if c != into]
+    return df.join(known, F.col(f"`{col}`") == F.col("_value"), "left").select(*own, F.coalesce("_code", F.lit(card)).cast("int").alias(into))
 
 
 def category_ranks(df: DataFrame, cat: str, g: str, h: str, reg_lambda: float = 1.0) -> DataFrame:

@@ -44,36 +44,42 @@ def subtract(parent: DataFrame, child: DataFrame, k: int) -> DataFrame:
     return parent.join(right, ["f", "bin"], "full").select("f", "bin", *[(F.coalesce(c, F.lit(0)) - F.coalesce(f"c_{c}", F.lit(0))).alias(c) for c in cols])
 
 
-def scan(hist: DataFrame, k: int, bins: int, lam: float = 1.0, alpha: float = 0.0, min_rows: int = 10, min_weight: float = 0.0, node: str = "node", key: str = "f") -> DataFrame:
-    """Every admissible cut: node, f, bin, nan_left, gain, n_left, n_right.
+def scan(hist: DataFrame, k: int, bins: int, lam: float = 1.0, alpha: float = 0.0, min_rows: int = 10, min_weight: float = 0.0, node: str = "node", key: str = "f", sums: bool = False) -> DataFrame:
+    """Every admissible cut: node, f, bin, nan_left, gain, n_left, n_right; with `sums` also the left and whole G and H.
 
     Left of a cut are bins up to it; the missing bin (bins - 1) is tried on both
     sides.  A side needs min_rows rows and min_weight hessian.
     """
+    # Written as SQL text: a fit plans this once per level, and each call into the JVM would cost more than the plan.
     cols = [*names("G", k), *names("H", k), "n"]
-    own = W.partitionBy(node, key)
-    run = own.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
-    missing = {f"m_{c}": F.coalesce(F.sum(F.when(F.col("bin") == bins - 1, F.col(c))).over(own), F.lit(0)) for c in cols}
-    walked = hist.select("*", *[F.sum(c).over(own).alias(f"t_{c}") for c in cols], *[v.alias(n) for n, v in missing.items()])
-    walked = walked.where(F.col("bin") < bins - 1).select("*", *[F.sum(c).over(run).alias(f"l_{c}") for c in cols])
-    sides = walked.withColumn("nan_left", F.explode(F.when(F.col("m_n") > 0, F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(1)))))
-    left = {c: F.col(f"l_{c}") + F.col("nan_left") * F.col(f"m_{c}") for c in cols}
-    right = {c: F.col(f"t_{c}") - v for c, v in left.items()}
+    own = f"partition by `{node}`, `{key}`"
+    missing = [f"coalesce(sum(case when bin = {bins - 1} then {c} end) over ({own}), 0) as m_{c}" for c in cols]
+    walked = hist.selectExpr("*", *[f"sum({c}) over ({own}) as t_{c}" for c in cols], *missing).where(f"bin < {bins - 1}")
+    run = [f"sum({c}) over ({own} order by bin rows between unbounded preceding and current row) as l_{c}" for c in cols]
+    sides = walked.selectExpr("*", *run).selectExpr("*", "explode(case when m_n > 0 then array(1, 0) else array(1) end) as nan_left")
+    halves = [f"l_{c} + nan_left * m_{c} as a_{c}" for c in cols] + [f"t_{c} - (l_{c} + nan_left * m_{c}) as z_{c}" for c in cols]
+    split = sides.selectExpr(f"`{node}`", f"`{key}`", "bin", "nan_left", *halves, *[f"t_{c}" for c in cols])
 
-    def score(side: dict[str, Column]) -> Column:
-        return side_score([side[c] for c in names("G", k)], [side[c] for c in names("H", k)], lam, alpha)
+    def score(side: str) -> str:
+        def squared(g: str) -> str:
+            t = f"signum({g}) * greatest(abs({g}) - {alpha!r}D, 0D)" if alpha else g
+            return f"({t}) * ({t})"
 
-    whole = side_score([F.col(f"t_{c}") for c in names("G", k)], [F.col(f"t_{c}") for c in names("H", k)], lam, alpha)
-    weight = [sum((s[c] for c in names("H", k)[1:]), s["H0"]) for s in (left, right)]
-    cuts = sides.select(node, key, "bin", "nan_left", (0.5 * (score(left) + score(right) - whole)).alias("gain"), left["n"].alias("n_left"), right["n"].alias("n_right"), weight[0].alias("w_left"), weight[1].alias("w_right"))
-    return cuts.where((F.col("n_left") >= min_rows) & (F.col("n_right") >= min_rows) & (F.col("w_left") >= min_weight) & (F.col("w_right") >= min_weight)).drop("w_left", "w_right")
+        return " + ".join(f"{squared(f'{side}_G{i}')} / ({side}_H{i} + {lam!r}D + {EPS!r}D)" for i in range(k))
+
+    weight = {side: " + ".join(f"{side}_{h}" for h in names("H", k)) for side in "az"}
+    gain = f"0.5D * (({score('a')}) + ({score('z')}) - ({score('t')})) as gain"
+    kept = [f"a_{c} as l_{c}" for c in cols[:-1]] + [f"t_{c}" for c in cols[:-1]] if sums else []
+    fair = f"a_n >= {min_rows} and z_n >= {min_rows} and {weight['a']} >= {min_weight!r}D and {weight['z']} >= {min_weight!r}D"
+    return split.where(fair).selectExpr(f"`{node}`", f"`{key}`", "bin", "nan_left", gain, "a_n as n_left", "z_n as n_right", *kept)
 
 
 def best(cuts: DataFrame, node: str = "node", key: str = "f") -> DataFrame:
     """The cut of largest gain per node; ties to the lowest feature, then bin, then missing left."""
-    order = F.struct("gain", (-F.col(key)).alias("a"), (-F.col("bin")).alias("b"), "nan_left", "n_left", "n_right")
-    top = cuts.groupBy(node).agg(F.max(order).alias("t"))
-    return top.select(node, (-F.col("t.a")).alias(key), (-F.col("t.b")).alias("bin"), F.col("t.nan_left").alias("nan_left"), F.col("t.gain").alias("gain"), F.col("t.n_left").alias("n_left"), F.col("t.n_right").alias("n_right"))
+    rest = [c for c in cuts.columns if c not in (node, key, "bin", "gain", "nan_left", "n_left", "n_right")]
+    rest = ["n_left", "n_right", *rest]
+    top = cuts.groupBy(node).agg(F.expr(f"max(struct(gain, -`{key}` as a, -bin as b, nan_left, {', '.join(rest)})) as t"))
+    return top.selectExpr(f"`{node}`", f"-t.a as `{key}`", "-t.b as bin", "t.nan_left", "t.gain", *[f"t.{c}" for c in rest])
 
 
 def totals(df: DataFrame, k: int, node: str = "node", lam: float = 1.0) -> DataFrame:

@@ -1,249 +1,594 @@
 """Boosting as Spark jobs, and the pyspark.ml estimators.
 
-One round: gradients are column expressions; each tree level is one histogram
-aggregation for axis splits, one aggregation for direction scores and one for
-the histograms of a few oblique directions; the driver sees one row per node.
-Rows are routed by a CASE expression, so training moves no row between nodes.
+The training table has one row per row of the input: its features as an array,
+label, weight, a number and the scores so far.  A round is
+
+1. one job for a sample of bounded size (SAMPLE_ROWS), the validation loss, and
+   the gradient sums of categories;
+2. one job per level of the tree: each task routes its rows through the tree so
+   far and sums gradients by node, feature and bin before the shuffle; the sums
+   are added, scanned and the best split of each node picked by the operators
+   of `splits`.  The best oblique split that the sample proposes for a node is
+   one more feature of two bins there, so its gain is exact and over all rows,
+   and it wins only if it is strictly better.
+
+The driver sees the sample, one row per node, and nothing that grows with the
+rows.  Scores are kept in the cache and cut off from their lineage every
+DURABLE_EVERY rounds.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from dataclasses import dataclass, field
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, NumericType
 
 from slantree.operators import gradients, prepare, splits
+from slantree.plans import directions
+from slantree.plans.trees import Node, Tree, goes_left, left_of, ranked, route, tree_value, values  # noqa: F401
+
+#: Rows of the sample that proposes oblique splits and the cut of one-side sampling; smaller tables are taken whole.
+SAMPLE_ROWS = 16_384
+DURABLE_EVERY = 10
+#: Rows of a node in the sample for an oblique search, and its bins.
+LEAST_OBLIQUE, OBLIQUE_BINS = 64, 64
+#: Cells of the sums that a task holds.
+MOST_CELLS = 1 << 23
+#: Categories up to which a dictionary is broadcast.
+MOST_SENT = 100_000
+#: Names of the training table; they do not clash, since no column of the input stays.
+STATE = "x array<double>, y double, w double, valid boolean, number long, score array<double>"
+
+
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """rows x width of an array column without nulls."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
+
+def uniform(number: np.ndarray, stream: int) -> np.ndarray:
+    """A reproducible number in [0, 1) per row."""
+    z = number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((stream * 0xD1B54A32D192ED03 + 0x2545F4914F6CDD1D) % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (z ^ (z >> np.uint64(31))).astype(float) / 2.0**64
+
+
+def softmax(score: np.ndarray) -> np.ndarray:
+    e = np.exp(score - score.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def gradients_of(kind: str, score: np.ndarray, y: np.ndarray, w: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray]:
+    """G and H, rows x K, weights included."""
+    if kind == "softmax":
+        p = softmax(score)
+        g, h = p - (np.arange(score.shape[1]) == y[:, None]), p * (1 - p)
+    else:
+        e = score - y[:, None]
+        g = e if kind in ("squared_error", "l2") else np.sign(e) if kind in ("absolute_error", "l1") else np.clip(e, -delta, delta)
+        h = np.ones_like(e)
+    return g * w[:, None], h * w[:, None]
+
+
+def loss_of(kind: str, score: np.ndarray, y: np.ndarray, delta: float) -> np.ndarray:
+    if kind == "softmax":
+        return -np.log(np.maximum(softmax(score)[np.arange(len(y)), y.astype(int)], 1e-8))
+    e = np.abs(score[:, 0] - y)
+    if kind in ("squared_error", "l2"):
+        return e * e
+    return e if kind in ("absolute_error", "l1") else np.where(e <= delta, 0.5 * e * e, delta * (e - 0.5 * delta))
+
+
+class Round:
+    """What the tasks of one round need: how to grade rows, which rows count, how values are binned."""
+
+    def __init__(self, stats: list[dict], cats: dict[int, int], k: int, kind: str, p: dict, stream: int):
+        self.lo, self.hi, self.means = (np.array([s[c] for s in stats]) for c in ("lo", "hi", "mean"))
+        self.active = np.array([s["active"] for s in stats], bool)
+        self.cats, self.k, self.kind, self.p, self.stream = cats, k, kind, p, stream
+        self.cut: float | None = None  # the least mean |g| that one-side sampling always keeps
+
+    def graded(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """x, g, h and numbers of a batch's training rows."""
+        d = len(self.lo)
+        x, score = matrix(batch.column("x"), d), matrix(batch.column("score"), self.k if self.kind != "given" else 2 * self.k)
+        y, w, number = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "number"))
+        keep = ~batch.column("valid").to_numpy(zero_copy_only=False)
+        x, score, y, w, number = x[keep], score[keep], y[keep], w[keep], number[keep]
+        if self.kind == "given":  # gradients of the caller's own objective stand in for the scores
+            return x, score[:, : self.k], score[:, self.k :], number
+        return x, *gradients_of(self.kind, score, y, w, self.p["delta"]), number
+
+    def chosen(self, g: np.ndarray, h: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows the round uses, and their factors."""
+        ones = np.ones(len(g))
+        if self.cut is not None:
+            a, b = self.p["goss"]
+            top = np.abs(g).mean(1) >= self.cut
+            return top | (uniform(number, 3 * self.stream + 1) < b), np.where(top, 1.0, (1 - a) / b)
+        if self.p["subsample"] < 1:
+            return uniform(number, 3 * self.stream + 2) < self.p["subsample"], ones
+        return np.ones(len(g), bool), ones
+
+    def codes(self, x: np.ndarray, f: int, tree: Tree) -> np.ndarray:
+        """Bins of feature f; the last one is missing.  A category's value is its rank."""
+        bins = self.p["bins"]
+        if f in self.cats:
+            card = len(tree.ranks[f])
+            return np.minimum(bins - 2, (x[:, f] * (bins - 1) / (card - 1 + 1e-8)).astype(np.int64))
+        missing = np.isnan(x[:, f])
+        b = np.floor((np.where(missing, self.lo[f], x[:, f]) - self.lo[f]) * ((bins - 1) / (self.hi[f] - self.lo[f] + 1e-8)))
+        return np.where(missing, bins - 1, np.clip(b, 0, bins - 2)).astype(np.int64)
+
+    def edge(self, f: int, b: int, tree: Tree) -> float:
+        """The upper edge of bin b: values below it are the bins up to b."""
+        if f in self.cats:
+            return (b + 1) * (len(tree.ranks[f]) - 1 + 1e-8) / (self.p["bins"] - 1)
+        return float(self.lo[f] + (b + 1) * (self.hi[f] - self.lo[f] + 1e-8) / (self.p["bins"] - 1))
+
+    def scales(self, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
+        """Centre and width by which features are scaled in a search for directions."""
+        centre, width = self.means.copy(), self.hi - self.lo + 1e-8
+        for f, ranks in tree.ranks.items():
+            centre[f], width[f] = (len(ranks) - 1) / 2, max(1, len(ranks) - 1)
+        return centre, width
+
+
+def _surveyed(state: DataFrame, r: Round, share: float) -> tuple[np.ndarray, dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], float | None]:
+    """One job: the sample (rows of x, g, h, number), gradient sums by (categorical feature, id), and the mean validation loss."""
+    k, d = r.k, len(r.lo)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {f: np.zeros((card + 1, 2 * k)) for f, card in r.cats.items()}
+        loss, n = 0.0, 0
+        names = ["kind", "id", "sums", "rows"]
+        for batch in batches:
+            x, g, h, number = r.graded(batch)
+            here = uniform(number, 3 * r.stream) < share
+            taken = np.concatenate([x[here], g[here], h[here], number[here, None]], 1)
+            yield pa.record_batch([pa.array([-1]), pa.array([0]), pa.array([[0.0] * 2 * k]), pa.array([np.ascontiguousarray(taken).tobytes()], pa.binary())], names)
+            for f, total in sums.items():
+                ids = np.where(np.isnan(x[:, f]), len(total) - 1, x[:, f]).astype(np.int64)
+                np.add.at(total, ids, np.concatenate([g, h], 1))
+            valid = batch.column("valid").to_numpy(zero_copy_only=False)
+            if valid.any() and r.kind != "given":
+                score, y = matrix(batch.column("score"), k)[valid], batch.column("y").to_numpy(zero_copy_only=False)[valid]
+                loss, n = loss + float(loss_of(r.kind, score, y, r.p["delta"]).sum()), n + int(valid.sum())
+        ids = [(f, c, row) for f, total in sums.items() for c, row in enumerate(total) if row.any()] + [(-2, 0, np.array([loss, n, *[0.0] * (2 * k - 2)]))]
+        yield pa.record_batch([pa.array([i[0] for i in ids]), pa.array([i[1] for i in ids]), pa.array([i[2].tolist() for i in ids]), pa.nulls(len(ids), pa.binary())], names)
+
+    found = state.mapInArrow(work, "kind long, id long, sums array<double>, rows binary")
+    summed = found.groupBy("kind", "id").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(2 * k)], F.collect_list("rows").alias("rows"))
+    sample, by_id, loss = np.zeros((0, d + 2 * k + 1)), {}, None
+    for row in summed.collect():  # the sample and a row per category
+        s = np.array([row[f"s{i}"] for i in range(2 * k)])
+        if row["kind"] == -1:
+            sample = np.concatenate([np.frombuffer(b, float).reshape(-1, d + 2 * k + 1) for b in row["rows"]])
+        elif row["kind"] == -2:
+            loss = s[0] / s[1] if s[1] else None
+        else:
+            by_id[row["kind"], row["id"]] = s[:k], s[k:]
+    return sample, by_id, loss
 
 
-@dataclass
-class Node:
-    id: int
-    leaf: list[float]
-    w: list[float] = field(default_factory=list)
-    threshold: float = 0.0
-    nan_left: bool = True
-    gain: float = 0.0
-    family: str = ""
-
-    @property
-    def is_leaf(self) -> bool:
-        return not self.w
-
-
-def goes_left(node: Node, cols: list[str], means: list[float]) -> Column:
-    """A single feature's missing value takes the side stored with the split; projections use the mean."""
-    used = [k for k, w in enumerate(node.w) if w]
-    if len(used) == 1:
-        x = F.col(cols[used[0]]).cast("double")
-        return F.when(x.isNull() | F.isnan(x), F.lit(node.nan_left)).otherwise(x * F.lit(node.w[used[0]]) < F.lit(node.threshold))
-    terms = [F.coalesce(F.nanvl(F.col(cols[k]).cast("double"), F.lit(means[k])), F.lit(means[k])) * F.lit(node.w[k]) for k in used]
-    return sum(terms[1:], terms[0]) < F.lit(node.threshold)
-
-
-def tree_value(nodes: dict[int, Node], k: int, cols: list[str], means: list[float], at: int = 0) -> Column:
-    node = nodes[at]
-    if node.is_leaf:
-        return F.lit(float(node.leaf[k]))
-    return F.when(goes_left(node, cols, means), tree_value(nodes, k, cols, means, 2 * at + 1)).otherwise(tree_value(nodes, k, cols, means, 2 * at + 2))
-
-
-def directions(scores: dict[int, tuple[float, float]], rng: np.random.Generator, n_features: int, budget: int, active: list[int]) -> list[list[float]]:
-    """A few unit directions on the features of largest marginal score: the signed scores, then orthogonal random blocks (QR)."""
-    size = min(len(active), max(2, min(16, round(math.sqrt(n_features)) + 1)))
-    if len(active) < 2:
-        return []
-    support = sorted(active, key=lambda f: (-scores[f][1], f))[:size]
-    first = np.array([-math.copysign(scores[f][1], scores[f][0]) for f in support])
-    rows = [first / (np.linalg.norm(first) or 1.0)]
-    while len(rows) < budget:
-        q, _ = np.linalg.qr(rng.standard_normal((size, size)))
-        rows += list(q.T)
-    out = []
-    for row in rows[:budget]:
-        w = np.zeros(n_features)
-        w[support] = row
-        out.append(w.tolist())
+def category_ranks(by_id: dict, f: int, card: int, kdom: int, lam: float) -> list[float]:
+    """Ranks 0.. of the ids 0..card (the last one is missing or unseen) by (score, id)."""
+    scores = [(g[kdom] / (h[kdom] + lam + 1e-8) if (f, c) in by_id else 0.0) for c in range(card + 1) for g, h in [by_id.get((f, c), (None, None))]]
+    out = [0.0] * (card + 1)
+    for rank, c in enumerate(sorted(range(card + 1), key=lambda c: (scores[c], c))):
+        out[c] = float(rank)
     return out
 
 
-def grow(df: DataFrame, cols: list[str], k: int, stats: list[dict], params: dict, rng: np.random.Generator) -> dict[int, Node]:
-    """One tree on rows with b_<i> codes, scaled z_<i> features, g_k and h_k."""
-    bins, lam, alpha = params["bins"], params["lam"], params["alpha"]
-    active = [i for i, s in enumerate(stats) if s["active"]]
-    codes = [f"b_{i}" for i in range(len(cols))]
-    zs = [f"z_{i}" for i in range(len(cols))]
-    means = [s["mean"] for s in stats]
-    root = splits.totals(df.withColumn("node", F.lit(0)), k, lam=lam).first()
-    if root is None:
-        return {0: Node(0, [0.0] * k)}
-
-    def raw(row, side: float | None = None) -> list[float]:
+def _propose(r: Round, tree: Tree, sample: np.ndarray, at: np.ndarray, t: int, parent: np.ndarray | None, cache: directions.Cache, mask: np.ndarray, rng: np.random.Generator) -> Node | None:
+    """The best oblique split of node t on its sample rows, in the units of the features."""
+    k, d, p = r.k, len(r.lo), r.p
+    rows = sample[at == t]
+    active = r.active & mask
+    if not p["directions"] or len(rows) < LEAST_OBLIQUE or active.sum() < 2:
+        return None
+    x, g, h = rows[:, :d], rows[:, d : d + k], rows[:, d + k : d + 2 * k]
+    centre, width = r.scales(tree)
+    z = np.where(np.isnan(x), 0.0, (x - centre) / width)
+    kdom = int(np.abs(g).sum(0).argmax())
+    xg = z.T @ g[:, kdom]
+    sis = np.abs(xg) / np.sqrt((h[:, kdom, None] * z * z).sum(0) + p["lam"] + 1e-8)
+    depth = int(math.log2(t + 1))
+    budget = p["directions"] if depth <= 2 else min(p["directions"], 8)
+    tried = directions.pool(sis, xg, active, parent, cache, depth, budget, p, rng)
+    if not tried:
+        return None
+    projected = z @ np.array(tried).T
+    lo, hi = projected.min(0), projected.max(0)
+    code = np.minimum(OBLIQUE_BINS - 1, ((projected - lo) / (hi - lo + 1e-8) * OBLIQUE_BINS).astype(np.int64)) + OBLIQUE_BINS * np.arange(len(tried))
+
+    def hist(weights: np.ndarray) -> np.ndarray:
+        whole = np.bincount(code.ravel(), np.repeat(weights, len(tried)), OBLIQUE_BINS * len(tried))
+        return whole.reshape(len(tried), OBLIQUE_BINS).cumsum(1)
+
+    gain = 0.0
+    for i in range(k):
+        gl, hl = hist(g[:, i]), hist(h[:, i])
+        for sign, gs, hs in ((1, gl, hl), (1, gl[:, -1:] - gl, hl[:, -1:] - hl), (-1, gl[:, -1:], hl[:, -1:])):
+            thresholded = np.sign(gs) * np.maximum(np.abs(gs) - p["alpha"], 0)
+            gain = gain + sign * 0.5 * thresholded**2 / (hs + p["lam"] + 1e-8)
+    n = hist(np.ones(len(rows)))
+    gain = np.where((n > 0) & (n < len(rows)), gain, -np.inf)
+    best, b = np.unravel_index(int(gain.argmax()), gain.shape)
+    if not gain[best, b] > 0:
+        return None
+    w = tried[best] / width
+    threshold = lo[best] + (b + 1) * (hi[best] - lo[best] + 1e-8) / OBLIQUE_BINS + float(tried[best] @ (centre / width))
+    # Missing values count as the mean, also of ranks: those are never missing.
+    return Node(t, [], w.tolist(), float(threshold), True, 0.0, "oblique")
+
+
+def _best_splits(state: DataFrame, r: Round, tree: Tree, frontier: list[int], proposed: dict[int, Node], masks: dict[int, np.ndarray]) -> dict[int, dict]:
+    """One job: the best split of each frontier node, with exact gains and sums; feature D is the proposed oblique split."""
+    k, d, bins = r.k, len(r.lo), r.p["bins"]
+    means = r.scales(tree)[0]
+    at = {t: j for j, t in enumerate(frontier)}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros((len(frontier), d + 1, bins, 2 * k + 1))
+        for batch in batches:
+            x, g, h, number = r.graded(batch)
+            used, factor = r.chosen(g, h, number)
+            x, g, h = ranked(x[used], tree), g[used] * factor[used, None], h[used] * factor[used, None]
+            node = route(tree.nodes, x, means)
+            for t, j in at.items():
+                here = np.flatnonzero(node == t)
+                if not len(here):
+                    continue
+                part, sums = x[here], np.concatenate([g[here], h[here], np.ones((len(here), 1))], 1)
+                codes = {f: r.codes(part, f, tree) for f in np.flatnonzero(r.active & masks[t])}
+                if t in proposed:
+                    left = left_of(proposed[t], part, means)
+                    codes[d] = np.where(left, 0, 1)
+                for f, code in codes.items():
+                    for c in range(2 * k + 1):
+                        cells[j, f, :, c] += np.bincount(code, sums[:, c], bins)
+        j, f, b = np.nonzero(cells[..., -1])
+        got = cells[j, f, b]
+        nodes = np.array(frontier)[j]
+        columns = [pa.array(nodes, pa.int64()), pa.array(f, pa.int32()), pa.array(b, pa.int32()), *(pa.array(got[:, c]) for c in range(2 * k)), pa.array(got[:, -1].astype(np.int64))]
+        yield pa.record_batch(columns, ["node", "f", "bin", *splits.names("G", k), *splits.names("H", k), "n"])
+
+    fields = ", ".join(f"{c} double" for c in [*splits.names("G", k), *splits.names("H", k)])
+    partial = state.mapInArrow(work, f"node long, f int, bin int, {fields}, n long")
+    # Tasks have summed their rows already; dealt by (node, f), sums and scans need no further shuffle.
+    hist = partial.repartition("node", "f").groupBy("node", "f", "bin").agg(*[F.sum(c).alias(c) for c in [*splits.names("G", k), *splits.names("H", k), "n"]])
+    cuts = splits.scan(hist, k, bins, r.p["lam"], r.p["alpha"], r.p["min_rows"], r.p["min_weight"], sums=True)
+    return {row["node"]: row.asDict() for row in splits.best(cuts).collect()}  # one row per node
+
+
+def grow(state: DataFrame, r: Round, rows: int, rng: np.random.Generator) -> tuple[Tree, float | None]:
+    """One tree, best nodes first up to the leaf budget, and the validation loss of the scores before it.
+
+    All open nodes are searched in one job; of those found, the ones of largest
+    gain are split as long as the budget lasts.
+    """
+    k, p, d = r.k, r.p, len(r.lo)
+    sample, by_id, loss = _surveyed(state, r, SAMPLE_ROWS / max(1, rows))
+    g, h, number = sample[:, d : d + k], sample[:, d + k : d + 2 * k], sample[:, -1]
+    if p["goss"] and len(sample):
+        top = int(p["goss"][0] * len(sample))
+        if top and int(p["goss"][1] * (len(sample) - top)):
+            r.cut = float(np.sort(np.abs(g).mean(1))[-top])
+    used, factor = r.chosen(g, h, number)
+    sample = np.concatenate([sample[used, :d], g[used] * factor[used, None], h[used] * factor[used, None], number[used, None]], 1)
+    tree = Tree({0: Node(0, [0.0] * k)})
+    if r.cats:
+        kdom = int(np.abs(sample[:, d : d + k]).sum(0).argmax()) if len(sample) else 0
+        tree.ranks = {f: category_ranks(by_id, f, card, kdom, p["lam"]) for f, card in r.cats.items()}
+        sample[:, :d] = ranked(sample[:, :d], tree)
+    means = r.scales(tree)[0]
+    cache, frontier, leaves, parents = directions.Cache(), [0], 1, {0: None}
+    n_mask = max(1, int(np.rint(d * p["colsample"])))
+    first = True
+    per_job = max(1, MOST_CELLS // ((d + 1) * p["bins"] * (2 * k + 1)))
+
+    def leaf(sums_g: list[float], sums_h: list[float], parent: list[float] | None) -> list[float]:
         out = []
         for i in range(k):
-            g = math.copysign(max(abs(row[f"G{i}"]) - alpha, 0.0), row[f"G{i}"])
-            out.append(-g / (row[f"H{i}"] + lam + 1e-8))
+            raw = -math.copysign(max(abs(sums_g[i]) - p["alpha"], 0.0), sums_g[i]) / (sums_h[i] + p["lam"] + 1e-8)
+            out.append(raw if parent is None else (sums_h[i] * raw + p["lam"] * parent[i]) / (sums_h[i] + p["lam"] + 1e-8))
         return out
 
-    nodes = {0: Node(0, raw(root))}
-    where: Column = F.lit(0)
-    frontier = [0]
-    for depth in range(params["depth"]):
-        if not frontier:
-            break
-        live = df.withColumn("node", where).where(F.col("node").isin(frontier))
-        hist = splits.histogram(live, [codes[i] for i in active], k)
-        found = {r["node"]: r for r in splits.best(splits.scan(hist, k, bins, lam, alpha, params["min_rows"], params["min_weight"])).collect()}
-        chosen: dict[int, Node] = {}
-        for n, r in found.items():
-            f = active[r["f"]]
-            w = [0.0] * len(cols)
-            w[f] = 1.0
-            edge = stats[f]["lo"] + (r["bin"] + 1) * (stats[f]["hi"] - stats[f]["lo"] + 1e-8) / (bins - 1)
-            chosen[n] = Node(n, nodes[n].leaf, w, edge, bool(r["nan_left"]), r["gain"], "axis")
-        if params["directions"] and len(active) > 1:
-            scored: dict[int, dict[int, tuple[float, float]]] = {}
-            for r in splits.sis_scores(live, zs, "g0", "h0", lam=lam).collect():
-                scored.setdefault(r["node"], {})[r["f"]] = (r["xg"], r["sis"])
-            tried = {n: directions(scored[n], rng, len(cols), params["directions"], active) for n in frontier if n in scored}
-            items = F.array(*[F.struct(F.lit(n).alias("node_d"), F.lit(d).alias("dir"), splits.project(w, zs).alias("p")) for n, ds in tried.items() for d, w in enumerate(ds)])
-            keep = [*splits.names("g", k), *splits.names("h", k)]
-            projected = live.select("node", *keep, F.inline(F.filter(items, lambda s: s["node_d"] == F.col("node"))))
-            oblique = splits.oblique_histogram(projected, k, params["oblique_bins"])
-            edges = {(r["node"], r["dir"]): (r["lo"], r["hi"]) for r in oblique.groupBy("node", "dir").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi")).collect()}
-            for r in splits.best(splits.scan(oblique, k, params["oblique_bins"] + 1, lam, alpha, params["min_rows"], params["min_weight"], key="dir"), key="dir").collect():
-                n = r["node"]
-                if r["gain"] > (chosen[n].gain if n in chosen else 0.0):
-                    lo, hi = edges[n, r["dir"]]
-                    z = tried[n][r["dir"]]
-                    scale = [s["hi"] - s["lo"] + 1e-8 for s in stats]
-                    w = [z[i] / scale[i] for i in range(len(cols))]
-                    shift = sum(z[i] * means[i] / scale[i] for i in range(len(cols)))
-                    chosen[n] = Node(n, nodes[n].leaf, w, lo + (r["bin"] + 1) * (hi - lo + 1e-8) / params["oblique_bins"] + shift, True, r["gain"], "oblique")
-        chosen = {n: c for n, c in chosen.items() if c.gain > params["gamma"]}
-        if not chosen:
-            break
-        side = where
-        for n, c in chosen.items():
-            side = F.when(where == n, F.when(goes_left(c, cols, means), 2 * n + 1).otherwise(2 * n + 2)).otherwise(side)
-        children = [m for n in chosen for m in (2 * n + 1, 2 * n + 2)]
-        sums = {r["node"]: r for r in splits.totals(df.withColumn("node", side).where(F.col("node").isin(children)), k, lam=lam).collect()}
+    while frontier:
+        at = route(tree.nodes, sample[:, :d], means)
+        masks = {}
+        for t in frontier:
+            masks[t] = np.zeros(d, bool)
+            masks[t][np.random.default_rng((p["seed"], r.stream, t)).permutation(d)[:n_mask]] = True
+        proposed = {t: node for t in frontier if (node := _propose(r, tree, sample, at, t, parents[t], cache, masks[t], rng))}
+        found: dict[int, dict] = {}
+        for cut in range(0, len(frontier), per_job):
+            found |= _best_splits(state, r, tree, frontier[cut : cut + per_job], proposed, masks)
+        if first:
+            sums = found.get(0)
+            tree.nodes[0].leaf = leaf([sums[f"t_G{i}"] for i in range(k)], [sums[f"t_H{i}"] for i in range(k)], None) if sums else _root_leaf(state, r, leaf)
+            first = False
+        good = sorted((t for t in found if found[t]["gain"] > p["gamma"]), key=lambda t: (-found[t]["gain"], t))[: p["leaves"] - leaves]
         frontier = []
-        for n, c in chosen.items():
-            if not all(m in sums for m in (2 * n + 1, 2 * n + 2)):
-                continue
-            nodes[n] = c
-            for m in (2 * n + 1, 2 * n + 2):
-                h = [sums[m][f"H{i}"] for i in range(k)]
-                nodes[m] = Node(m, [(h[i] * v + lam * c.leaf[i]) / (h[i] + lam + 1e-8) for i, v in enumerate(raw(sums[m]))])
-                if sums[m]["n"] >= 2 * params["min_rows"]:
-                    frontier.append(m)
-        where = side
-    return nodes
+        width = r.scales(tree)[1]
+        for t in good:
+            s, own = found[t], tree.nodes[t].leaf
+            if s["f"] == d:
+                node = proposed[t]
+                node.leaf, node.gain = own, s["gain"]
+                cache.add(np.array(node.w) * width)
+            else:
+                w = [0.0] * d
+                w[s["f"]] = 1.0
+                node = Node(t, own, w, r.edge(s["f"], s["bin"], tree), bool(s["nan_left"]), s["gain"], "axis")
+            tree.nodes[t] = node
+            leaves += 1
+            for side, child in enumerate((2 * t + 1, 2 * t + 2)):
+                pick = (lambda c, s=s: s[f"l_{c}"]) if side == 0 else (lambda c, s=s: s[f"t_{c}"] - s[f"l_{c}"])
+                tree.nodes[child] = Node(child, leaf([pick(f"G{i}") for i in range(k)], [pick(f"H{i}") for i in range(k)], own))
+                parents[child] = directions.unit(np.array(node.w) * width)
+                n = s["n_left"] if side == 0 else s["n_right"]
+                if n >= 2 * max(1, p["min_rows"]) and int(math.log2(child + 1)) < p["deepest"]:
+                    frontier.append(child)
+        if leaves >= p["leaves"]:
+            break
+    return tree, loss
+
+
+def _root_leaf(state: DataFrame, r: Round, leaf: Callable) -> list[float]:
+    """The root's value where no split is admissible."""
+    k = r.k
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * k)
+        for batch in batches:
+            x, g, h, number = r.graded(batch)
+            used, factor = r.chosen(g, h, number)
+            total += np.concatenate([g[used] * factor[used, None], h[used] * factor[used, None]], 1).sum(0)
+        yield pa.record_batch([pa.array([total[i]]) for i in range(2 * k)], [f"s{i}" for i in range(2 * k)])
+
+    row = state.mapInArrow(work, ", ".join(f"s{i} double" for i in range(2 * k))).agg(*[F.sum(f"s{i}") for i in range(2 * k)]).first()
+    sums = [float(v or 0.0) for v in row]
+    return leaf(sums[:k], sums[k:], None)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write the table to the shared folder and read it back; on one machine without a folder, to a temporary one."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/slantree-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def added(state: DataFrame, tree: Tree, rate: float, means: np.ndarray, k: int, d: int) -> DataFrame:
+    """The training table with a tree's values added to the scores."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = matrix(batch.column("score"), k) + rate * values(tree, matrix(batch.column("x"), d), means, k)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(score) * k + 1, k), pa.int32()), pa.array(score.ravel()))
+            yield pa.record_batch([*(batch.column(c) for c in ("x", "y", "w", "valid", "number")), lists], ["x", "y", "w", "valid", "number", "score"])
+
+    return state.mapInArrow(work, STATE)
+
+
+def encoded(df: DataFrame, col: str, values_: DataFrame, card: int, into: str) -> DataFrame:
+    """Category ids by a left join: null and unseen values get `card`."""
+    sent = F.broadcast(values_) if card <= MOST_SENT else values_
+    return prepare.encode(df, col, sent, into, card)
+
+
+def fit_tree(df: DataFrame, features: list[str], g_cols: list[str], h_cols: list[str], params: dict | None = None, seed: int = 42) -> tuple[Tree, np.ndarray]:
+    """One tree on given gradients: the hook for objectives of one's own.  Returns it with the means that stand for missing values."""
+    k = len(g_cols)
+    p = PLAIN | (params or {}) | {"seed": seed}
+    stats = statistics(df, features)
+    x, given = F.array(*[number_or_nan(c) for c in features]), F.array(*[F.col(f"`{c}`").cast("double") for c in [*g_cols, *h_cols]])
+    state = df.select(x.alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("w"), F.lit(False).alias("valid"), F.monotonically_increasing_id().alias("number"), given.alias("score")).persist()
+    r = Round(stats, {}, k, "given", p, 0)
+    tree, _ = grow(state, r, state.count(), np.random.default_rng(seed))
+    state.unpersist()
+    return tree, r.means
+
+
+def number_or_nan(c: str) -> Column:
+    return F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(float("nan")))
+
+
+def statistics(df: DataFrame, cols: list[str]) -> list[dict]:
+    stats = [r.asDict() for r in prepare.column_stats(df, cols).orderBy("f").collect()] if cols else []
+    return [s | {c: s[c] or 0.0 for c in ("lo", "hi", "mean")} for s in stats]
+
+
+#: Parameters of a round in their plain values.
+PLAIN = {"bins": 255, "lam": 1.0, "alpha": 0.0, "gamma": 0.0, "leaves": 64, "deepest": 12, "min_rows": 10, "min_weight": 1.0, "directions": 64, "colsample": 1.0, "subsample": 1.0, "goss": None, "delta": 1.0, "inherited": 1.0, "mutation_rate": 0.1, "mutation_strength": 0.5, "pobs": False, "seed": 42}
 
 
 class _Shared(Params):
-    featuresCols = Param(Params._dummy(), "featuresCols", "numeric feature columns", TypeConverters.toListString)
+    featuresCols = Param(Params._dummy(), "featuresCols", "feature columns; text columns count as categories", TypeConverters.toListString)
+    catCols = Param(Params._dummy(), "catCols", "feature columns that are categories besides the text ones", TypeConverters.toListString)
     labelCol = Param(Params._dummy(), "labelCol", "label column; classes are 0..K-1", TypeConverters.toString)
     weightCol = Param(Params._dummy(), "weightCol", "row weights, or empty", TypeConverters.toString)
-    rounds = Param(Params._dummy(), "rounds", "trees", TypeConverters.toInt)
-    maxDepth = Param(Params._dummy(), "maxDepth", "levels of a tree", TypeConverters.toInt)
+    rounds = Param(Params._dummy(), "rounds", "trees at most", TypeConverters.toInt)
+    maxDepth = Param(Params._dummy(), "maxDepth", "2 ** maxDepth leaves; the depth is at most min(2 maxDepth, 22)", TypeConverters.toInt)
+    maxLeaves = Param(Params._dummy(), "maxLeaves", "leaves of a tree instead of 2 ** maxDepth; 0 for none", TypeConverters.toInt)
     learningRate = Param(Params._dummy(), "learningRate", "shrinkage", TypeConverters.toFloat)
     regLambda = Param(Params._dummy(), "regLambda", "L2", TypeConverters.toFloat)
     regAlpha = Param(Params._dummy(), "regAlpha", "L1 on gradient sums", TypeConverters.toFloat)
     gamma = Param(Params._dummy(), "gamma", "least gain", TypeConverters.toFloat)
-    minChildWeight = Param(Params._dummy(), "minChildWeight", "least hessian of a side", TypeConverters.toFloat)
+    minChildWeight = Param(Params._dummy(), "minChildWeight", "least hessian of a side, over classes", TypeConverters.toFloat)
     minRows = Param(Params._dummy(), "minRows", "least rows of a side", TypeConverters.toInt)
-    maxBin = Param(Params._dummy(), "maxBin", "bins, the missing one included", TypeConverters.toInt)
+    maxBin = Param(Params._dummy(), "maxBin", "bins, the missing one included (2 to 255)", TypeConverters.toInt)
     directions = Param(Params._dummy(), "directions", "oblique candidates per node; 0 for axis splits only", TypeConverters.toInt)
-    subsample = Param(Params._dummy(), "subsample", "share of rows per round", TypeConverters.toFloat)
+    inheritedRatio = Param(Params._dummy(), "inheritedRatio", "share of the candidates made from the parent's direction", TypeConverters.toFloat)
+    mutationRate = Param(Params._dummy(), "mutationRate", "how far inherited weights move", TypeConverters.toFloat)
+    mutationStrength = Param(Params._dummy(), "mutationStrength", "weight of a feature added to an inherited direction", TypeConverters.toFloat)
+    pobs = Param(Params._dummy(), "pobs", "eight orthogonal blocks among the inherited candidates", TypeConverters.toBoolean)
+    colsampleByNode = Param(Params._dummy(), "colsampleByNode", "share of features a node may use", TypeConverters.toFloat)
+    goss = Param(Params._dummy(), "goss", "one-side sampling by gradient", TypeConverters.toBoolean)
+    gossTopRate = Param(Params._dummy(), "gossTopRate", "share of rows of largest gradient, all kept", TypeConverters.toFloat)
+    gossOtherRate = Param(Params._dummy(), "gossOtherRate", "share kept of the others", TypeConverters.toFloat)
+    subsample = Param(Params._dummy(), "subsample", "share of rows per round, without one-side sampling", TypeConverters.toFloat)
     seed = Param(Params._dummy(), "seed", "random seed", TypeConverters.toInt)
-    balanced = Param(Params._dummy(), "balanced", "divide probabilities by class priors before deciding", TypeConverters.toBoolean)
-    loss = Param(Params._dummy(), "loss", "regression loss", TypeConverters.toString)
+    balanced = Param(Params._dummy(), "balanced", "divide probabilities by class priors to the power priorAlpha before deciding", TypeConverters.toBoolean)
+    priorAlpha = Param(Params._dummy(), "priorAlpha", "that power", TypeConverters.toFloat)
+    multiStrategy = Param(Params._dummy(), "multiStrategy", "shared, or ovr: one binary model per class from three classes on", TypeConverters.toString)
+    loss = Param(Params._dummy(), "loss", "squared_error (l2), absolute_error (l1) or huber", TypeConverters.toString)
+    huberDelta = Param(Params._dummy(), "huberDelta", "where huber turns linear", TypeConverters.toFloat)
     patience = Param(Params._dummy(), "patience", "rounds without a better validation loss before stopping; 0 for none", TypeConverters.toInt)
     validationIndicatorCol = Param(Params._dummy(), "validationIndicatorCol", "boolean column of validation rows, or empty", TypeConverters.toString)
+    verbose = Param(Params._dummy(), "verbose", "print the validation loss of each round", TypeConverters.toBoolean)
 
-    def __init__(self, **values):
+    def __init__(self, **values_):
         super().__init__()
-        self._setDefault(weightCol="", rounds=20, maxDepth=3, learningRate=0.1, regLambda=1.0, regAlpha=0.0, gamma=0.0, minChildWeight=0.0, minRows=10, maxBin=64, directions=8, subsample=1.0, seed=7, balanced=False, loss="squared_error", patience=0, validationIndicatorCol="", labelCol="y")
-        self._set(**values)
+        self._setDefault(catCols=[], weightCol="", labelCol="y", rounds=1000, maxDepth=6, maxLeaves=0, learningRate=0.03, regLambda=1.0, regAlpha=0.0, gamma=0.0, minChildWeight=1.0, minRows=10, maxBin=255)
+        self._setDefault(directions=64, inheritedRatio=1.0, mutationRate=0.1, mutationStrength=0.5, pobs=False, colsampleByNode=1.0, goss=True, gossTopRate=0.2, gossOtherRate=0.1, subsample=0.8, seed=42)
+        self._setDefault(balanced=False, priorAlpha=0.5, multiStrategy="shared", loss="squared_error", huberDelta=1.0, patience=50, validationIndicatorCol="", verbose=False)
+        self._set(**values_)
 
 
 class _ObliqueEstimator(_Shared, Estimator, DefaultParamsReadable, DefaultParamsWritable):
     classification = True
 
-    def _fit(self, df: DataFrame) -> ObliqueModel:
+    def _round_params(self) -> dict:
+        get = self.getOrDefault
+        depth = get("maxDepth")
+        return {
+            "bins": min(255, max(2, get("maxBin"))),
+            "lam": get("regLambda"),
+            "alpha": get("regAlpha"),
+            "gamma": get("gamma"),
+            "leaves": get("maxLeaves") or 2**depth,
+            "deepest": min(2 * depth, 22),
+            "min_rows": get("minRows"),
+            "min_weight": get("minChildWeight"),
+            "directions": get("directions"),
+            "colsample": get("colsampleByNode"),
+            "subsample": 1.0 if get("goss") else get("subsample"),
+            "goss": (get("gossTopRate"), get("gossOtherRate")) if get("goss") else None,
+            "delta": get("huberDelta"),
+            "inherited": get("inheritedRatio"),
+            "mutation_rate": get("mutationRate"),
+            "mutation_strength": get("mutationStrength"),
+            "pobs": get("pobs"),
+            "seed": get("seed"),
+        }
+
+    def _checked(self, df: DataFrame) -> tuple[DataFrame, list[str], list[str], int]:
+        """Rows with a label, numeric and categorical features, and the number of classes (1 for regression)."""
         get = self.getOrDefault
-        cols, label = get("featuresCols"), get("labelCol")
-        absent = [c for c in [*cols, label] if c not in df.columns]
+        label, wanted = get("labelCol"), get("featuresCols")
+        absent = [c for c in [*wanted, label, *filter(None, (get("weightCol"), get("validationIndicatorCol")))] if c not in df.columns]
         if absent:
             raise ValueError(f"missing columns: {absent}")
-        df = df.where(F.col(label).isNotNull())
-        check = get("validationIndicatorCol")
-        train = df.where(~F.col(check)) if check else df
-        stats = [r.asDict() for r in prepare.column_stats(train, cols).orderBy("f").collect()]
-        for s in stats:
-            s["lo"], s["hi"] = s["lo"] or 0.0, s["hi"] or 0.0
-        weight = F.col(get("weightCol")) if get("weightCol") else F.lit(1.0)
+        if not isinstance(df.schema[label].dataType, NumericType):
+            raise ValueError(f"the label {label} must be a number")
+        if not self.classification and get("loss") not in ("squared_error", "l2", "absolute_error", "l1", "huber"):
+            raise ValueError(f"unknown loss {get('loss')}")
+        cats = [c for c in wanted if c in get("catCols") or not isinstance(df.schema[c].dataType, NumericType)]
+        y = F.col(f"`{label}`").cast("double")
+        rows = df.where(y.isNotNull() & ~F.isnan(y))
+        n, least, most, whole = rows.agg(F.count("*"), F.min(y), F.max(y), F.min((y == F.floor(y)).cast("int"))).first()
+        if not n:
+            raise ValueError("no row has a label")
+        if self.classification and (least < 0 or not whole or most > 10_000):
+            raise ValueError("classes must be numbered 0..K-1")
+        return rows, [c for c in wanted if c not in cats], cats, int(most) + 1 if self.classification else 1
+
+    def _fit(self, df: DataFrame) -> ObliqueModel:
+        get = self.getOrDefault
+        df, numeric, cats, k = self._checked(df)
+        label, check, weight = get("labelCol"), get("validationIndicatorCol"), get("weightCol")
+        if self.classification and k > 2 and get("multiStrategy") == "ovr":
+            own = [self.copy()._set(multiStrategy="shared", seed=get("seed") + c) for c in range(k)]
+            parts = [e._fit(df.withColumn(label, (F.col(f"`{label}`") == c).cast("int"))) for c, e in enumerate(own)]
+            model = ObliqueModel(parts=parts, prior=self._prior(df, label, check, k))
+            return self._copyValues(model)
+        train = df.where(~F.coalesce(F.col(f"`{check}`"), F.lit(False))) if check else df
+        stats = statistics(train, numeric)
+        dictionaries = []
+        columns = df.select(
+            *[number_or_nan(c).alias(f"x{j}") for j, c in enumerate(numeric)],
+            *[F.col(f"`{c}`").cast("string").alias(f"c{j}") for j, c in enumerate(cats)],
+            F.col(f"`{label}`").cast("double").alias("y"),
+            (F.coalesce(F.col(f"`{weight}`").cast("double"), F.lit(0.0)) if weight else F.lit(1.0)).alias("w"),
+            (F.coalesce(F.col(f"`{check}`"), F.lit(False)) if check else F.lit(False)).alias("valid"),
+        )
+        for j in range(len(cats)):
+            known = prepare.dictionary(columns.where("not valid"), f"c{j}").persist()
+            card = known.count()
+            dictionaries.append({r["value"]: r["id"] for r in known.collect()} if card <= MOST_SENT else None)
+            if dictionaries[-1] is None:
+                raise ValueError(f"{cats[j]} has {card} categories; the model holds {MOST_SENT} at most")
+            columns = encoded(columns, f"c{j}", known, card, f"i{j}")
+            stats.append({"lo": 0.0, "hi": float(card), "mean": card / 2, "active": card > 0})
+        sizes = {len(numeric) + j: len(own) for j, own in enumerate(dictionaries)}
+        prior = self._prior(train, label, "", k) if self.classification else [1.0]
         if self.classification:
-            priors = {r["k"]: r for r in gradients.class_priors(train, label).collect()}
-            k = int(max(priors)) + 1
-            lp = [math.log((priors[c]["prior"] if c in priors else 0.0) + 1e-8) for c in range(k)]
+            lp = [math.log(v + 1e-8) for v in prior]
             init = [v - sum(lp) / k for v in lp]
-            prior = [priors[c]["prior"] if c in priors else 0.0 for c in range(k)]
         else:
-            k, prior = 1, [1.0]
-            init = [gradients.initial_value(train, get("loss"), label, get("weightCol") or None)]
-        x = [F.col(c).cast("double") for c in cols]
-        state = df.withColumns({f"b_{i}": prepare.bin_of(x[i], s["lo"], s["hi"], get("maxBin")) for i, s in enumerate(stats)})
-        state = state.withColumns({f"z_{i}": (F.coalesce(F.nanvl(x[i], F.lit(s["mean"])), F.lit(s["mean"])) - s["mean"]) / (s["hi"] - s["lo"] + 1e-8) for i, s in enumerate(stats)})
-        state = state.withColumns({f"F{i}": F.lit(v) for i, v in enumerate(init)}).persist()
-        rng = np.random.default_rng(get("seed"))
-        params = {"bins": get("maxBin"), "lam": get("regLambda"), "alpha": get("regAlpha"), "gamma": get("gamma"), "depth": get("maxDepth"), "min_rows": get("minRows"), "min_weight": get("minChildWeight"), "directions": get("directions"), "oblique_bins": 64}
-        means = [s["mean"] for s in stats]
-        trees: list[dict[int, Node]] = []
-        best, best_at = math.inf, 0
-        for t in range(get("rounds")):
-            score = [F.col(f"F{i}") for i in range(k)]
-            if self.classification:
-                g, h = gradients.softmax_gradients(score, F.col(label), weight)
+            init = [gradients.initial_value(columns.where("not valid"), get("loss"), "y", "w" if weight else None)]
+        x = F.array(*[F.col(f"x{j}") for j in range(len(numeric))], *[F.col(f"i{j}").cast("double") for j in range(len(cats))])
+        state = columns.select(x.alias("x"), "y", "w", "valid", F.monotonically_increasing_id().alias("number"), F.array(*[F.lit(float(v)) for v in init]).alias("score"))
+        state = durable(state).persist()
+        rows = state.where("not valid").count()
+        p, rng = self._round_params(), np.random.default_rng(get("seed"))
+        kind = "softmax" if self.classification else get("loss")
+        trees: list[Tree] = []
+        best, best_at, losses = math.inf, 0, []
+        for t in range(get("rounds") + 1):
+            r = Round(stats, sizes, k, kind, p, get("seed") * 1009 + t)
+            if t == get("rounds") and not check:
+                break
+            if t == get("rounds"):
+                loss = _surveyed(state, r, 0.0)[2]
             else:
-                g, h = [gradients.regression_gradient(get("loss"), score[0], F.col(label)) * weight], [weight * 1.0]
-            rows = state.where(~F.col(check)) if check else state
-            if get("subsample") < 1.0:
-                rows = rows.where(F.rand(get("seed") + t) < get("subsample"))
-            graded = rows.select(*cols, *[f"b_{i}" for i in range(len(cols))], *[f"z_{i}" for i in range(len(cols))], *[v.alias(f"g{i}") for i, v in enumerate(g)], *[v.alias(f"h{i}") for i, v in enumerate(h)]).persist()
-            tree = grow(graded, cols, k, stats, params, rng)
-            trees.append(tree)
-            graded.unpersist()
-            new = state.withColumns({f"F{i}": F.col(f"F{i}") + get("learningRate") * tree_value(tree, i, cols, means) for i in range(k)})
-            # Scores come from the cache: plans and generated code stay as small in round 100 as in round 1.
-            new = new.persist()
-            new.count()
-            state.unpersist()
-            state = new
-            if check and get("patience"):
-                valid = state.where(F.col(check))
-                if self.classification:
-                    p = F.element_at(F.array(*gradients.softmax([F.col(f"F{i}") for i in range(k)])), F.col(label).cast("int") + 1)
-                    loss = valid.agg(F.avg(-F.log(F.greatest(p, F.lit(1e-8))))).first()[0]
-                else:
-                    loss = valid.agg(F.avg((F.col("F0") - F.col(label)) ** 2)).first()[0]
-                if loss is not None and loss < best:
-                    best, best_at = loss, t + 1
-                elif t + 1 - best_at >= get("patience"):
+                tree, loss = grow(state, r, rows, rng)
+            if check and loss is not None:  # the loss of the t trees so far
+                losses.append(loss)
+                if get("verbose"):
+                    print(f"round {t}: validation loss {loss:.6f}")
+                if loss < best:
+                    best, best_at = loss, t
+                elif get("patience") and t - best_at >= get("patience"):
                     trees = trees[:best_at]
                     break
+            if t == get("rounds"):
+                break
+            trees.append(tree)
+            new = added(state, tree, get("learningRate"), r.scales(tree)[0], k, len(stats))
+            old, state = state, (durable(new) if (t + 1) % DURABLE_EVERY == 0 else new).persist()
+            state.count()
+            old.unpersist()
         state.unpersist()
-        model = ObliqueModel(trees, init, prior, means, self.classification)
+        model = ObliqueModel(trees, init, prior, [s["mean"] for s in stats], self.classification, numeric, cats, dictionaries, losses)
         return self._copyValues(model)
 
+    @staticmethod
+    def _prior(df: DataFrame, label: str, check: str, k: int) -> list[float]:
+        rows = df.where(~F.coalesce(F.col(f"`{check}`"), F.lit(False))) if check else df
+        found = {int(r["k"]): float(r["prior"]) for r in gradients.class_priors(rows, label).collect()}
+        return [found.get(c, 0.0) for c in range(k)]
+
 
 class ObliqueBoostClassifier(_ObliqueEstimator):
     """Boosted trees with axis and oblique splits; adds rawPrediction, probability and prediction."""
@@ -256,50 +601,99 @@ class ObliqueBoostRegressor(_ObliqueEstimator):
 
 
 class ObliqueModel(_Shared, Model):
-    def __init__(self, trees: list[dict[int, Node]] | None = None, init=None, prior=None, means=None, classification: bool = True):
+    """A fitted model; scoring is row-local, so the same model scores tables and streams."""
+
+    def __init__(self, trees=None, init=None, prior=None, means=None, classification: bool = True, numeric=None, cats=None, dictionaries=None, losses=None, parts=None):
         super().__init__()
         self.trees, self.init, self.prior, self.means, self.classification = trees or [], init or [], prior or [], means or [], classification
+        self.numeric, self.cats, self.dictionaries, self.losses, self.parts = numeric or [], cats or [], dictionaries or [], losses or [], parts or []
 
     @property
     def n_trees(self) -> int:
-        return len(self.trees)
+        return sum(p.n_trees for p in self.parts) if self.parts else len(self.trees)
+
+    def margin(self, df: DataFrame) -> Column:
+        """The scores of each row as an array, summed over all trees in Arrow batches of a broadcast model."""
+        if self.parts:
+            return F.array(*[m[1] - m[0] for m in (p.margin(df) for p in self.parts)])
+        k, d, rate = len(self.init), len(self.means), self.getOrDefault("learningRate")
+        sent = df.sparkSession.sparkContext.broadcast((self.trees, np.array(self.init, float), np.array(self.means, float), self.dictionaries))
+
+        def scored(x: np.ndarray, names: list[np.ndarray]) -> pa.Array:
+            trees, init, means, dictionaries = sent.value
+            ids = [np.array([own.get(v, len(own)) for v in column], float) for own, column in zip(dictionaries, names)]
+            x = np.concatenate([x, *(i[:, None] for i in ids)], 1) if ids else x
+            total = np.tile(init, (len(x), 1))
+            for tree in trees:
+                centre = means.copy()
+                for f, ranks in tree.ranks.items():
+                    centre[f] = (len(ranks) - 1) / 2
+                total += rate * values(tree, x, centre, k)
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * k + 1, k), pa.int32()), pa.array(total.ravel()))
+
+        numeric, n_cats = d - len(self.cats), len(self.cats)
+
+        @F.arrow_udf(ArrayType(DoubleType()))
+        def margins(x: pa.Array, names: pa.Array) -> pa.Array:
+            flat = names.flatten().to_pylist()
+            return scored(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), numeric), [flat[j::n_cats] for j in range(n_cats)])
+
+        x = F.array(*[number_or_nan(c) for c in self.numeric]) if self.numeric else F.expr("cast(array() as array<double>)")
+        names = F.array(*[F.col(f"`{c}`").cast("string") for c in self.cats]) if self.cats else F.expr("cast(array() as array<string>)")
+        return margins(x, names)
 
     def margins(self) -> list[Column]:
-        cols, rate = self.getOrDefault("featuresCols"), self.getOrDefault("learningRate")
-        return [sum((rate * tree_value(t, i, cols, self.means) for t in self.trees), F.lit(float(v))) for i, v in enumerate(self.init)]
+        """The scores as expressions: for few trees on numeric features, and for SQL."""
+        rate = self.getOrDefault("learningRate")
+        return [sum((rate * tree_value(t.nodes, i, self.numeric, self.means) for t in self.trees), F.lit(float(v))) for i, v in enumerate(self.init)]
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        """Row-local expressions only, so the same model scores tables and streams."""
         if not self.classification:
-            return df.withColumn("prediction", self.margins()[0])
-        # inline() keeps the optimizer from copying the tree expressions into each of their uses.
-        names = [f"_m{i}" for i in range(len(self.init))]
-        out = df.select("*", F.inline(F.array(F.struct(*[m.alias(n) for m, n in zip(self.margins(), names)]))))
-        top = F.greatest(*names) if len(names) > 1 else F.col(names[0])
-        out = out.withColumn("rawPrediction", F.array(*names)).select(*df.columns, "rawPrediction", F.inline(F.array(F.struct(*[F.exp(F.col(n) - top).alias(n) for n in names]))))
-        total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
-        out = out.withColumn("probability", F.array(*[F.col(n) / total for n in names])).drop(*names)
-        decide = [F.col("probability")[i] / (self.prior[i] if self.getOrDefault("balanced") and self.prior[i] else 1.0) for i in range(len(self.init))]
-        return out.withColumn("prediction", (F.array_position(F.array(*decide), F.greatest(*decide) if len(decide) > 1 else decide[0]) - 1).cast("int"))
+            return df.withColumn("prediction", self.margin(df)[0])
+        own = [c for c in df.columns if c not in ("rawPrediction", "probability", "prediction")]
+        out = df.select(*[F.col(f"`{c}`") for c in own], self.margin(df).alias("rawPrediction"))
+        top = F.array_max("rawPrediction")
+        powers = F.transform("rawPrediction", lambda m: F.exp(m - top))
+        out = out.withColumn("probability", F.transform(powers, lambda e: e / F.aggregate(powers, F.lit(0.0), lambda s, p: s + p)))
+        return out.withColumn("prediction", decided(F.col("probability"), self.prior, self.getOrDefault("priorAlpha") if self.getOrDefault("balanced") else 0.0))
 
     def split_records(self, spark: SparkSession) -> DataFrame:
         """One row per split: tree_id, node_id, depth, w, threshold, gain, family."""
-        rows = [(t, n.id, int(math.log2(n.id + 1)), n.w, n.threshold, float(n.gain), n.family) for t, tree in enumerate(self.trees) for n in tree.values() if not n.is_leaf]
+        rows = [(t, n.id, int(math.log2(n.id + 1)), n.w, n.threshold, float(n.gain), n.family) for t, tree in enumerate(self.trees) for n in tree.nodes.values() if not n.is_leaf]
         return spark.createDataFrame(rows, "tree_id int, node_id int, depth int, w array<double>, threshold double, gain double, family string")
 
     def save_tables(self, spark: SparkSession, path: str) -> None:
-        """Parquet for the trees, JSON for the rest."""
-        rows = [(t, n.id, n.leaf, n.w, n.threshold, n.nan_left, float(n.gain), n.family) for t, tree in enumerate(self.trees) for n in tree.values()]
-        spark.createDataFrame(rows, "tree_id int, node_id int, leaf array<double>, w array<double>, threshold double, nan_left boolean, gain double, family string").write.mode("overwrite").parquet(f"{path}/trees")
-        meta = {"init": self.init, "prior": self.prior, "means": self.means, "classification": self.classification, "params": {p.name: v for p, v in self.extractParamMap().items()}}
+        """Parquet for trees, ranks and dictionaries, JSON for the rest."""
+        for c, part in enumerate(self.parts):
+            part.save_tables(spark, f"{path}/part{c}")
+        trees = [(t, n.id, n.leaf, n.w, n.threshold, n.nan_left, float(n.gain), n.family) for t, tree in enumerate(self.trees) for n in tree.nodes.values()]
+        spark.createDataFrame(trees, "tree_id int, node_id int, leaf array<double>, w array<double>, threshold double, nan_left boolean, gain double, family string").write.mode("overwrite").parquet(f"{path}/trees")
+        ranks = [(t, f, r) for t, tree in enumerate(self.trees) for f, r in tree.ranks.items()]
+        spark.createDataFrame(ranks, "tree_id int, f int, ranks array<double>").write.mode("overwrite").parquet(f"{path}/ranks")
+        words = [(j, v, i) for j, own in enumerate(self.dictionaries) for v, i in own.items()]
+        spark.createDataFrame(words, "f int, value string, id int").write.mode("overwrite").parquet(f"{path}/categories")
+        meta = {"init": self.init, "prior": self.prior, "means": self.means, "classification": self.classification, "numeric": self.numeric, "cats": self.cats, "losses": self.losses, "parts": len(self.parts), "params": {p.name: v for p, v in self.extractParamMap().items()}}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @classmethod
     def load_tables(cls, spark: SparkSession, path: str) -> ObliqueModel:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-        trees: dict[int, dict[int, Node]] = {}
+        trees: dict[int, Tree] = {}
         for r in spark.read.parquet(f"{path}/trees").collect():  # the model, not data
-            trees.setdefault(r["tree_id"], {})[r["node_id"]] = Node(r["node_id"], list(r["leaf"]), list(r["w"]), r["threshold"], r["nan_left"], r["gain"], r["family"])
-        model = cls([trees[t] for t in sorted(trees)], meta["init"], meta["prior"], meta["means"], meta["classification"])
+            trees.setdefault(r["tree_id"], Tree({})).nodes[r["node_id"]] = Node(r["node_id"], list(r["leaf"]), list(r["w"]), r["threshold"], r["nan_left"], r["gain"], r["family"])
+        for r in spark.read.parquet(f"{path}/ranks").collect():
+            trees[r["tree_id"]].ranks[r["f"]] = list(r["ranks"])
+        words: list[dict[str, int]] = [{} for _ in meta["cats"]]
+        for r in spark.read.parquet(f"{path}/categories").collect():
+            words[r["f"]][r["value"]] = r["id"]
+        parts = [cls.load_tables(spark, f"{path}/part{c}") for c in range(meta["parts"])]
+        model = cls([trees[t] for t in sorted(trees)], meta["init"], meta["prior"], meta["means"], meta["classification"], meta["numeric"], meta["cats"], words, meta["losses"], parts)
         model._set(**meta["params"])
         return model
+
+
+def decided(probability: Column, prior: list[float], alpha: float = 0.0) -> Column:
+    """The first class of largest probability, each divided by its prior to the power alpha."""
+    weights = F.array(*[F.lit(1.0 / v**alpha if v and alpha else 1.0) for v in prior])
+    scores = F.zip_with(probability, weights, lambda p, w: p * w)
+    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
