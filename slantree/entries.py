@@ -48,8 +48,7 @@ def u_sql(stream: str) -> str:
 
 
 def missing(spark: SparkSession, sf: str) -> DataFrame:
-    b = base(spark, sf)
-    return b.withColumns({c: F.when(gradients.uniform(F.col("k"), f"miss{c}") < 0.1, None).otherwise(F.col(c)) for c in COLS})
+    return prepare.inject_missing(base(spark, sf), COLS, "k", 0.1)
 
 
 M = V + ", m as (select k, cat, price, y, " + ", ".join(f"case when {u_sql('miss' + c)} < 0.1 then null else {c} end as {c}" for c in COLS) + " from v)"
@@ -372,26 +371,27 @@ def correlations(spark, sf):
 
 # --- model analysis -------------------------------------------------------------------------------
 
-REC = """with r as (select (row_number() over (order by k) - 1)::int as i, k, x0, x1, x2, cat, price from (
- select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as k, l_quantity::double as x0, l_discount::double as x1, l_tax::double as x2, l_returnflag as cat, l_extendedprice::double as price from lineitem) order by k limit 1400),
-rec as (select (i // 7)::int as tree_id, (i % 7)::int as node_id, case when i % 7 = 0 then 0 when i % 7 < 3 then 1 else 2 end as depth, [x0 - 25.25, case when i % 3 = 0 then 0 else 100*x1 + 1 end, case when i % 5 = 0 then 0 else 100*x2 + 1 end] as w, price/1e4 as gain, cat as family from r),
+REC = """with r as (select l_orderkey::bigint * 1000 + row_number() over (partition by l_orderkey, l_linenumber order by l_partkey, l_suppkey, l_extendedprice) - 1 as tree_id, (l_linenumber - 1)::int as node_id, l_partkey, l_quantity::double as x0, l_discount::double as x1, l_tax::double as x2, l_returnflag as cat, l_extendedprice::double as price from lineitem),
+rec as (select tree_id, node_id, case when node_id = 0 then 0 when node_id < 3 then 1 else 2 end as depth, [x0 - 25.25, case when l_partkey % 3 = 0 then 0 else 100*x1 + 1 end, case when l_partkey % 5 = 0 then 0 else 100*x2 + 1 end] as w, price/1e4 as gain, cat as family from r),
 n as (select *, sqrt(list_sum(list_transform(w, lambda x: x*x))) as nw from rec),
 pair as (select c.tree_id, c.node_id, c.depth, c.w, p.w as pw, degrees(acos(least(1.0, abs(c.w[1]*p.w[1]+c.w[2]*p.w[2]+c.w[3]*p.w[3])/(c.nw*p.nw)))) as deg from n c join n p on c.tree_id = p.tree_id and c.node_id > 0 and p.node_id = (c.node_id-1)//2)"""
 
 
 def records(spark, sf) -> DataFrame:
-    """Split records made from lineitem rows: seven nodes a tree, three weights."""
+    """Split records made from all lineitem rows: an order is a tree (several, where a line number repeats), its lines are nodes, with three weights."""
     from pyspark.sql.window import Window as W
 
-    b = base(spark, sf).orderBy("k").limit(1400).withColumn("i", F.row_number().over(W.orderBy("k")) - 1)
-    w = F.array(F.col("x0") - 25.25, F.expr("case when i % 3 = 0 then 0.0D else 100*x1 + 1 end"), F.expr("case when i % 5 = 0 then 0.0D else 100*x2 + 1 end"))
-    return b.select(F.expr("cast(i div 7 as int)").alias("tree_id"), (F.col("i") % 7).alias("node_id"), F.expr("case when i % 7 = 0 then 0 when i % 7 < 3 then 1 else 2 end").alias("depth"), w.alias("w"), (F.col("price") / 1e4).alias("gain"), F.col("cat").alias("family"))
+    copy = F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice"))
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("copy", copy)
+    w = F.expr("array(l_quantity - 25.25D, if(l_partkey % 3 = 0, 0D, 100*l_discount + 1), if(l_partkey % 5 = 0, 0D, 100*l_tax + 1))")
+    node = (F.col("l_linenumber") - 1).cast("int")
+    return li.select((F.col("l_orderkey").cast("long") * 1000 + F.col("copy") - 1).alias("tree_id"), node.alias("node_id"), F.when(node == 0, 0).when(node < 3, 1).otherwise(2).alias("depth"), w.alias("w"), (F.col("l_extendedprice") / 1e4).alias("gain"), F.col("l_returnflag").alias("family"))
 
 
-@query(REC + ", d as (select degrees(acos(least(1.0, list_max(list_transform(w, lambda x: abs(x)))/nw))) as deg from n) select round(avg(deg),5) as mean_deg, round(median(deg),5) as median_deg, round(avg((deg>10)::int),6) as over_10, round(avg((deg>30)::int),6) as over_30 from d")
+@query(REC + ", d as (select degrees(acos(least(1.0, list_max(list_transform(w, lambda x: abs(x)))/nw))) as deg from n) select round(avg(deg),5) as mean_deg, round(median(deg),5) as median_deg, round(avg((deg>10)::int),6) as over_10, round(avg((deg>30)::int),6) as over_30, (select round(avg((len(list_filter(w, lambda x: x <> 0)) > 1)::int),6) from rec) as win_rate from d")
 def obliqueness_profile(spark, sf):
     p = analysis.obliqueness_profile(records(spark, sf))
-    return p.select(r("mean_deg", 5).alias("mean_deg"), r("median_deg", 5).alias("median_deg"), r("over_10").alias("over_10"), r("over_30").alias("over_30"))
+    return p.select(r("mean_deg", 5).alias("mean_deg"), r("median_deg", 5).alias("median_deg"), r("over_10").alias("over_10"), r("over_30").alias("over_30"), r("win_rate").alias("win_rate"))
 
 
 @query(REC + " select depth, round(avg(deg),5) as drift_deg, count(*) as n from pair group by depth")
@@ -420,14 +420,15 @@ def within_tree_coherence(spark, sf):
     return analysis.coherence(records(spark, sf)).withColumn("coherence", r("coherence"))
 
 
-@query(REC + ", s as (select least(3, floor(tree_id*4/200))::int as part, family, count(*) as n, sum(gain) as gain from rec group by all) select part, family, round(n/sum(n) over (partition by part),6) as win_share, round(gain/sum(gain) over (partition by part),6) as gain_share from s")
+@query(REC + ", s as (select least(3, floor(tree_id*4/(select max(tree_id)+1 from rec)))::int as part, family, count(*) as n, sum(gain) as gain from rec group by all) select part, family, round(n/sum(n) over (partition by part),6) as win_share, round(gain/sum(gain) over (partition by part),6) as gain_share from s")
 def family_share(spark, sf):
-    return analysis.family_share(records(spark, sf), 200).withColumns({"win_share": r("win_share"), "gain_share": r("gain_share")})
+    rec = records(spark, sf)
+    return analysis.family_share(rec, rec.agg(F.max("tree_id")).first()[0] + 1).withColumns({"win_share": r("win_share"), "gain_share": r("gain_share")})
 
 
 @query(REC + " select depth, family, round(avg(gain),5) as mean_gain, round(max(gain),5) as top_gain, count(*) as n from rec group by all")
 def gain_by_depth(spark, sf):
-    return records(spark, sf).groupBy("depth", "family").agg(r(F.avg("gain"), 5).alias("mean_gain"), r(F.max("gain"), 5).alias("top_gain"), F.count("*").alias("n"))
+    return analysis.gain_by_depth(records(spark, sf)).withColumns({"mean_gain": r("mean_gain", 5), "top_gain": r("top_gain", 5)})
 
 
 # --- benchmark tables -----------------------------------------------------------------------------
@@ -435,24 +436,24 @@ def gain_by_depth(spark, sf):
 
 @query("select (user_id % 6)::int as dataset, event_type as model, round(avg(value),5) as mean, round(stddev_samp(value),5) as std, count(*) as n from events group by all")
 def benchmark_summary(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet")
-    return e.groupBy((F.col("user_id") % 6).cast("int").alias("dataset"), F.col("event_type").alias("model")).agg(r(F.avg("value"), 5).alias("mean"), r(F.stddev_samp("value"), 5).alias("std"), F.count("*").alias("n"))
+    e = spark.read.parquet(f"{sf}/events.parquet").select((F.col("user_id") % 6).cast("int").alias("dataset"), F.col("event_type").alias("model"), "value")
+    return analysis.summary(e, ["dataset", "model"], "value").withColumns({"mean": r("mean", 5), "std": r("std", 5)})
 
 
 @query("with s as (select (user_id % 6)::int as dataset, event_type as model, avg(value) as a, max(value) as b from events group by all), q as (select dataset, model, a from s), c as (select dataset, model, b from s) select dataset, model, round(a,5) as quality, round(b,5) as cost from q join c using (dataset, model)")
 def performance_vs_cost(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet").withColumn("dataset", (F.col("user_id") % 6).cast("int")).withColumnRenamed("event_type", "model")
     quality = e.groupBy("dataset", "model").agg(r(F.avg("value"), 5).alias("quality"))
-    return quality.join(e.groupBy("dataset", "model").agg(r(F.max("value"), 5).alias("cost")), ["dataset", "model"])
+    return analysis.quality_and_cost(quality, e.groupBy("dataset", "model").agg(r(F.max("value"), 5).alias("cost")))
 
 
 @query()
 def oblique_classifier(spark, sf):
-    """Two rounds of depth two; predictions against labels."""
+    """Two rounds of four leaves; predictions against labels."""
     from slantree.plans.boost import ObliqueBoostClassifier
 
     d = base(spark, sf).select("k", *COLS, "y")
-    model = ObliqueBoostClassifier(featuresCols=COLS, rounds=2, maxDepth=2, learningRate=0.3).fit(d)
+    model = ObliqueBoostClassifier(featuresCols=COLS, rounds=2, maxDepth=2, learningRate=0.3, goss=False, subsample=1.0, maxBin=64, directions=8).fit(d)
     return model.transform(d).groupBy("y", "prediction").agg(F.count("*").alias("n"))
 
 

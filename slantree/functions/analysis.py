@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from slantree.operators import ordered
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -26,8 +30,11 @@ def obliqueness(w: Column) -> Column:
 
 
 def obliqueness_profile(records: DataFrame) -> DataFrame:
+    """mean_deg, median_deg, over_10, over_30 and win_rate (share of splits on more than one feature)."""
     r = records.withColumn("deg", obliqueness(F.col("w")))
-    return r.agg(F.avg("deg").alias("mean_deg"), F.percentile("deg", 0.5).alias("median_deg"), F.avg((F.col("deg") > 10).cast("double")).alias("over_10"), F.avg((F.col("deg") > 30).cast("double")).alias("over_30"))
+    several = (F.size(F.filter("w", lambda x: x != 0)) > 1).cast("double")
+    median = ordered.quantiles(r, "deg", [0.5])[0]
+    return r.agg(F.avg("deg").alias("mean_deg"), F.lit(median).alias("median_deg"), F.avg((F.col("deg") > 10).cast("double")).alias("over_10"), F.avg((F.col("deg") > 30).cast("double")).alias("over_30"), F.avg(several).alias("win_rate"))
 
 
 def drift(records: DataFrame) -> DataFrame:
@@ -76,3 +83,87 @@ def family_share(records: DataFrame, trees: int, parts: int = 4) -> DataFrame:
     n = records.groupBy(part.alias("part"), "family").agg(F.count("*").alias("n"), F.sum("gain").alias("gain"))
     own = W.partitionBy("part")
     return n.select("part", "family", (F.col("n") / F.sum("n").over(own)).alias("win_share"), (F.col("gain") / F.sum("gain").over(own)).alias("gain_share"))
+
+
+def gain_by_depth(records: DataFrame) -> DataFrame:
+    return records.groupBy("depth", "family").agg(F.avg("gain").alias("mean_gain"), F.max("gain").alias("top_gain"), F.count("*").alias("n"))
+
+
+def gain_decomposition(records: DataFrame) -> DataFrame:
+    """axis_gain, oblique_gain and their shares of the whole: a split on one feature is an axis split."""
+    several = F.size(F.filter("w", lambda x: x != 0)) > 1
+    sums = records.agg(F.sum(F.when(~several, F.col("gain")).otherwise(0.0)).alias("axis_gain"), F.sum(F.when(several, F.col("gain")).otherwise(0.0)).alias("oblique_gain"))
+    whole = F.col("axis_gain") + F.col("oblique_gain")
+    return sums.withColumns({"axis_share": F.col("axis_gain") / whole, "oblique_share": F.col("oblique_gain") / whole})
+
+
+def win_by_bucket(records: DataFrame, edge: int = 2) -> DataFrame:
+    """bucket (0: depth up to `edge`), family, share: how often a family has the largest gain of its tree in that bucket; ties to the first by name."""
+    bucket = F.when(F.col("depth") <= edge, 0).otherwise(1).alias("bucket")
+    best = records.groupBy("tree_id", bucket).agg(F.min(F.struct((-F.col("gain")).alias("g"), "family")).alias("t"))
+    wins = best.groupBy("bucket", F.col("t.family").alias("family")).agg(F.count("*").alias("n"))
+    return wins.select("bucket", "family", (F.col("n") / F.sum("n").over(W.partitionBy("bucket"))).alias("share"))
+
+
+def fidelity(records: DataFrame, proxy: str, gain: str = "gain") -> DataFrame:
+    """depth, mean and max of proxy gain over true gain, and n."""
+    ratio = F.col(proxy) / F.col(gain)
+    return records.where(F.col(gain) > 0).groupBy("depth").agg(F.avg(ratio).alias("mean_ratio"), F.max(ratio).alias("top_ratio"), F.count("*").alias("n"))
+
+
+def mode_by_bucket(df: DataFrame, size: str, value: str, edges: Sequence[int]) -> DataFrame:
+    """bucket (how many edges the size has reached), value, n: the most frequent value; ties to the least."""
+    bucket = sum(((F.col(size) >= e).cast("int") for e in edges), F.lit(0)).alias("bucket")
+    counts = df.groupBy(bucket, value).agg(F.count("*").alias("n"))
+    top = counts.groupBy("bucket").agg(F.min(F.struct((-F.col("n")).alias("n"), value)).alias("t"))
+    return top.select("bucket", F.col(f"t.{value}").alias(value), (-F.col("t.n")).alias("n"))
+
+
+def prediction_correlation(scores: DataFrame, row: str = "row_id", tree: str = "tree_id", value: str = "value") -> DataFrame:
+    """a, b, corr for each pair of trees: products are summed per row, so rows meet once and trees pairwise within a row."""
+    per_row = scores.groupBy(row).agg(F.sort_array(F.collect_list(F.struct(F.col(tree).alias("t"), F.col(value).alias("v")))).alias("s"))
+    left = per_row.select("s", F.posexplode("s").alias("i", "x"))
+    pairs = left.select("x", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("y"))
+    return pairs.groupBy(F.col("x.t").alias("a"), F.col("y.t").alias("b")).agg(F.corr("x.v", "y.v").alias("corr"))
+
+
+def running_best(draws: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """Add `best`: the largest value so far within the group."""
+    return draws.withColumn("best", F.max(value).over(W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+
+
+def expected_best(gains: DataFrame, group: str, value: str, k: int) -> DataFrame:
+    """group, expected: the mean of the largest of k draws with replacement, in closed form over the group's sorted values.
+
+    With n values in order, value i is the largest with probability
+    (i / n)^k - ((i - 1) / n)^k.  A group is a node's candidates, so it is short.
+    """
+    n = F.count("*").over(W.partitionBy(group))
+    ranked = gains.withColumns({"_n": n, "_i": F.row_number().over(W.partitionBy(group).orderBy(value))})
+    chance = F.pow(F.col("_i") / F.col("_n"), F.lit(float(k))) - F.pow((F.col("_i") - 1) / F.col("_n"), F.lit(float(k)))
+    return ranked.groupBy(group).agg(F.sum(F.col(value) * chance).alias("expected"))
+
+
+def distinct_directions(records: DataFrame, same: float = 0.95) -> DataFrame:
+    """Splits of each tree without an earlier one (by node) of |cos| above `same`."""
+    a = records.select("tree_id", "node_id", "w")
+    b = records.select(F.col("tree_id").alias("_t"), F.col("node_id").alias("_i"), F.col("w").alias("_w"))
+    near = F.abs(dot(F.col("w"), F.col("_w"))) > same * norm(F.col("w")) * norm(F.col("_w"))
+    return a.join(b, (F.col("tree_id") == F.col("_t")) & (F.col("_i") < F.col("node_id")) & near, "left_anti")
+
+
+def widened_support(records: DataFrame, scores: Sequence[float], top: int = 4) -> DataFrame:
+    """tree_id, node_id, support: the features of a split together with the `top` best-scored features, and `fresh`: those that it did not use."""
+    best = sorted(sorted(range(len(scores)), key=lambda f: (-scores[f], f))[:top])
+    own = F.filter(F.transform("w", lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
+    named = F.array(*[F.lit(f) for f in best])
+    return records.select("tree_id", "node_id", F.array_sort(F.array_union(own, named)).alias("support"), F.array_except(named, own).alias("fresh"))
+
+
+def summary(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, mean, std and n of a result table."""
+    return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count("*").alias("n"))
+
+
+def quality_and_cost(quality: DataFrame, cost: DataFrame, keys: Sequence[str] = ("dataset", "model")) -> DataFrame:
+    return quality.join(cost, list(keys))

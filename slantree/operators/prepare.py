@@ -39,7 +39,7 @@ def impute(df: DataFrame, cols: Sequence[str], values: dict[str, float], flags:
 
 
 def dictionary(df: DataFrame, col: str) -> DataFrame:
-    """value, id: distinct non-null values numbered in sorted order.  The reserved id for the rest is the count."""
+    """value, id: distinct non-null values numbered in sorted order, for dictionaries that one task can sort.  The reserved id for the rest is the count."""
     return df.select(F.col(col).alias("value")).where("value is not null").distinct().withColumn("id", F.row_number().over(W.orderBy("value")) - 1)
 
 
@@ -65,3 +65,29 @@ def rotate(df: DataFrame, cols: Sequence[str], matrix: Sequence[Sequence[float]]
 def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     stats = df.agg(*[F.avg(c).alias(f"{c}_m") for c in cols], *[F.stddev_pop(c).alias(f"{c}_s") for c in cols]).first()
     return df.withColumns({c: (F.col(c) - F.lit(stats[f"{c}_m"])) / F.lit(stats[f"{c}_s"] or 1.0) for c in cols})
+
+
+def blended_rotation(matrix: Sequence[Sequence[float]], strength: float) -> list[list[float]]:
+    """(1 - strength) I + strength Q."""
+    return [[(1 - strength) * (i == j) + strength * q for j, q in enumerate(row)] for i, row in enumerate(matrix)]
+
+
+def inject_missing(df: DataFrame, cols: Sequence[str], key: str, share: float, stream: str = "miss") -> DataFrame:
+    """A reproducible share of each column's values becomes null."""
+    from slantree.operators.gradients import uniform
+
+    return df.withColumns({c: F.when(uniform(F.col(key).cast("string"), f"{stream}{c}") < share, None).otherwise(F.col(c)) for c in cols})
+
+
+def hashed_categories(df: DataFrame, key: str, cards: Sequence[int], stream: str = "card") -> DataFrame:
+    """Categories c<card> of each cardinality from a hash of the row's key."""
+    from slantree.operators.gradients import uniform
+
+    return df.withColumns({f"c{card}": F.floor(uniform(F.col(key).cast("string"), f"{stream}{card}") * card).cast("int") for card in cards})
+
+
+def made_table(spark, n: int, features: int, informative: int, seed: int = 42) -> DataFrame:
+    """A made-up classification table: row_id, f0.. (normal), y from an oblique rule over the first `informative` features."""
+    rows = spark.range(n).select(F.col("id").alias("row_id"), *[F.randn(seed + j).alias(f"f{j}") for j in range(features)])
+    rule = sum((F.col(f"f{j}") * F.lit((-1.0) ** j / (j + 1)) for j in range(informative)), F.lit(0.0))
+    return rows.withColumn("y", (rule > 0).cast("int"))
