@@ -462,8 +462,12 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from slantree import entries_model  # noqa: F401  (registers its queries)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from slantree import entries_model  # noqa: F401
+
     return dict(SQL)

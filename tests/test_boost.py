@@ -3,48 +3,141 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from slantree.plans import boost, directions
 from slantree.plans.boost import ObliqueBoostClassifier, ObliqueBoostRegressor, ObliqueModel
+from slantree.plans.trees import route
 from slantree.streaming.scoring import score_stream
 
+#: Names that the fit uses itself; features may have them.
+NAMES = ["f0", "F1x", "g0", "node", "score", "b_0", "number", "x"]
+
 
 @pytest.fixture(scope="module")
 def rows(spark):
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(400, 3))
+    x = rng.normal(size=(600, 3))
     frame = pd.DataFrame(x, columns=["a", "b", "c"])
+    frame["cat"] = rng.choice(["u", "v", "w"], 600)
     frame["y"] = (x[:, 0] + x[:, 1] > 0).astype(int)
-    frame["z"] = 2 * x[:, 0] - x[:, 2]
+    frame["k"] = (x[:, 0] > 0).astype(int) + (x[:, 1] > 0.5)
+    frame["z"] = 2 * x[:, 0] - x[:, 2] + (frame["cat"] == "u") * 3
+    frame["v"] = rng.uniform(size=600) < 0.3
+    frame["w"] = 1.0
     frame.loc[:20, "a"] = np.nan
     return spark.createDataFrame(frame).persist()
 
 
+def accuracy(out, y="y"):
+    return out.agg(F.avg((F.col("prediction") == F.col(y)).cast("int"))).first()[0]
+
+
 def test_classifier_round_trip(spark, rows, tmp_path):
-    model = ObliqueBoostClassifier(featuresCols=["a", "b", "c"], rounds=2, maxDepth=2, learningRate=0.5, directions=4).fit(rows)
+    model = ObliqueBoostClassifier(featuresCols=["a", "b", "c"], rounds=3, maxDepth=2, learningRate=0.5, validationIndicatorCol="v").fit(rows)
     out = model.transform(rows)
     assert out.where(F.abs(F.aggregate("probability", F.lit(0.0), lambda s, p: s + p) - 1) > 1e-9).count() == 0
-    assert out.agg(F.avg((F.col("prediction") == F.col("y")).cast("int"))).first()[0] > 0.8
+    assert accuracy(out) > 0.8 and all(b < a for a, b in zip(model.losses, model.losses[1:]))
     model.save_tables(spark, str(tmp_path / "m"))
-    again = ObliqueModel.load_tables(spark, str(tmp_path / "m")).transform(rows)
-    assert out.select("probability").collect() == again.select("probability").collect()
+    again = ObliqueModel.load_tables(spark, str(tmp_path / "m"))
+    assert again.n_trees == 3 and out.select("probability").collect() == again.transform(rows).select("probability").collect()
+    # The expression form and the Arrow form score alike.
+    both = out.select(F.col("rawPrediction")[0].alias("p"), model.margins()[0].alias("q"))
+    assert both.where(F.abs(F.col("p") - F.col("q")) > 1e-9).count() == 0
+    assert model.split_records(spark).count() > 0
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     score_stream(stream, model, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 400
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 600
+
+
+def test_scored_and_routed_counts_agree_whatever_the_names(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, len(NAMES)))
+    frame = pd.DataFrame(x, columns=NAMES)
+    frame["label"] = (x[:, 0] + x[:, 1] - x[:, 2] > 0).astype(int)
+    df = spark.createDataFrame(frame)
+    model = ObliqueBoostClassifier(featuresCols=NAMES, labelCol="label", rounds=2, maxDepth=2, learningRate=0.5, goss=False, subsample=1.0, minChildWeight=0.0).fit(df)
+    nodes = model.trees[0].nodes
+    at = route(nodes, x, np.array(model.means))
+    g = 0.5 - frame["label"].to_numpy()
+    for t, n in nodes.items():
+        if not n.is_leaf:
+            under = np.isin(at, [m for m in nodes if nodes[m].is_leaf and any((m + 1) >> s == t + 1 for s in range(1, 9))])
+            left = np.isin(at, [m for m in nodes if nodes[m].is_leaf and any((m + 1) >> s == 2 * t + 2 for s in range(9))])
+            score = [float(g[s].sum() ** 2 / (0.25 * s.sum() + 1)) for s in (left, under & ~left, under)]
+            assert abs(2 * 0.5 * (score[0] + score[1] - score[2]) - n.gain) < 0.05 * n.gain + 0.5, (t, n.gain)
+    assert accuracy(model.transform(df), "label") > 0.85
 
 
 def test_huge_penalties_leave_a_root(rows):
     model = ObliqueBoostClassifier(featuresCols=["a", "b"], rounds=1, gamma=1000.0).fit(rows)
-    assert len(model.trees[0]) == 1
+    assert len(model.trees[0].nodes) == 1
     model = ObliqueBoostClassifier(featuresCols=["a", "b"], rounds=1, maxDepth=1, regAlpha=1000.0).fit(rows)
-    assert all(abs(v) < 1e-3 for n in model.trees[0].values() for v in n.leaf)
+    assert all(abs(v) < 1e-3 for n in model.trees[0].nodes.values() for v in n.leaf)
 
 
-def test_regressor(rows):
-    model = ObliqueBoostRegressor(featuresCols=["a", "b", "c"], labelCol="z", rounds=2, maxDepth=2, learningRate=0.5).fit(rows)
+def test_leaf_budget_categories_and_unseen_values(spark, rows, tmp_path):
+    model = ObliqueBoostRegressor(featuresCols=["a", "c", "cat"], labelCol="z", rounds=3, maxLeaves=5, learningRate=0.5, colsampleByNode=0.9).fit(rows)
+    assert all(sum(n.is_leaf for n in t.nodes.values()) <= 5 for t in model.trees)
+    assert all(sorted(t.ranks[2]) == [0.0, 1.0, 2.0, 3.0] for t in model.trees)
     error = model.transform(rows).agg(F.avg((F.col("prediction") - F.col("z")) ** 2), F.var_pop("z")).first()
-    assert error[0] < error[1]
+    assert error[0] < 0.6 * error[1]
+    odd = rows.limit(2).withColumn("cat", F.when(F.col("b") > 100, "u").otherwise("never seen")).union(rows.limit(2).withColumn("cat", F.lit(None).cast("string")))
+    assert odd.count() == 4 and model.transform(odd).where("prediction is null or isnan(prediction)").count() == 0
+    model.save_tables(spark, str(tmp_path / "m"))
+    again = ObliqueModel.load_tables(spark, str(tmp_path / "m"))
+    assert again.transform(odd).select("prediction").collect() == model.transform(odd).select("prediction").collect()
+
+
+@pytest.mark.parametrize("loss", ["absolute_error", "huber"])
+def test_losses_stop_by_their_own_loss(rows, loss):
+    model = ObliqueBoostRegressor(featuresCols=["a", "c"], labelCol="z", rounds=2, maxDepth=2, learningRate=0.5, loss=loss, huberDelta=0.5, validationIndicatorCol="v", goss=False).fit(rows)
+    mean = rows.where("v").select(F.abs(F.lit(model.init[0]) - F.col("z")).alias("e"))
+    want = mean.agg(F.avg("e" if loss == "absolute_error" else F.expr("if(e <= 0.5, 0.5*e*e, 0.5*(e - 0.25))"))).first()[0]
+    assert abs(model.losses[0] - want) < 1e-9 and len(model.losses) == 3
+
+
+def test_patience_keeps_the_best_prefix(spark, rows):
+    noise = rows.withColumn("y", F.when(F.col("v"), 1 - F.col("y")).otherwise(F.col("y")))
+    model = ObliqueBoostClassifier(featuresCols=["a", "b"], rounds=6, maxDepth=2, learningRate=0.5, validationIndicatorCol="v", patience=2).fit(noise)
+    assert model.n_trees == 0 and len(model.losses) == 3
+
+
+def test_one_vs_rest_and_weights(spark, rows, tmp_path):
+    model = ObliqueBoostClassifier(featuresCols=["a", "b"], labelCol="k", rounds=2, maxDepth=2, learningRate=0.5, multiStrategy="ovr").fit(rows)
+    out = model.transform(rows)
+    assert len(model.parts) == 3 and accuracy(out, "k") > 0.7
+    model.save_tables(spark, str(tmp_path / "m"))
+    again = ObliqueModel.load_tables(spark, str(tmp_path / "m")).transform(rows)
+    assert out.select("probability").collect() == again.select("probability").collect()
+    heavy = rows.withColumn("w", F.when(F.col("y") == 1, 0.0).otherwise(1.0))
+    model = ObliqueBoostClassifier(featuresCols=["a", "b"], weightCol="w", rounds=10, maxDepth=2, learningRate=0.5, goss=False, subsample=1.0).fit(heavy)
+    assert model.transform(rows).where("prediction = 1").count() == 0
+
+
+def test_balanced_decision_uses_the_prior_to_a_power(spark):
+    p = spark.createDataFrame([([0.8, 0.2],), ([0.95, 0.05],)], "p array<double>")
+    assert [r[0] for r in p.select(boost.decided(F.col("p"), [0.9, 0.1], 0.5)).collect()] == [0, 0]
+    assert [r[0] for r in p.select(boost.decided(F.col("p"), [0.9, 0.1], 1.0)).collect()] == [1, 0]
+
+
+def test_bad_input_is_named(spark, rows):
+    for bad, args in ((rows, {"featuresCols": ["nope"]}), (rows.limit(0), {"featuresCols": ["a"]}), (rows.withColumn("y", F.lit("text")), {"featuresCols": ["a"]}), (rows.withColumn("y", F.lit(0.5)), {"featuresCols": ["a"]})):
+        with pytest.raises(ValueError):
+            ObliqueBoostClassifier(rounds=1, **args).fit(bad)
 
 
-def test_missing_column(rows):
-    with pytest.raises(ValueError):
-        ObliqueBoostClassifier(featuresCols=["nope"]).fit(rows)
+def test_directions():
+    rng = np.random.default_rng(0)
+    sis, xg, active = np.arange(1.0, 9.0), np.array([1.0, -1] * 4), np.ones(8, bool)
+    made = directions.blocks(sis, xg, active, rng, 10)
+    assert len(made) == 10 and all(abs(np.linalg.norm(w) - 1) < 1e-9 for w in made)
+    assert abs(made[1] @ made[2]) < 1e-9, "one block's directions are orthogonal"
+    cache = directions.Cache()
+    for w in (made[1], 2 * made[1], made[2]):
+        cache.add(w)
+    assert len(cache.kept) == 2
+    params = {"inherited": 1.0, "pobs": True, "mutation_rate": 0.1, "mutation_strength": 0.5}
+    tried = directions.pool(sis, xg, active, made[1], cache, 1, 32, params, rng)
+    assert 20 < len(tried) <= 34 and all(np.count_nonzero(w) > 1 for w in tried)
+    gram, g = np.diag([1.0, 4.0]), np.array([2.0, 2.0])
+    assert np.allclose(directions.wls(gram, g, 0.0), directions.unit(np.array([-2.0, -0.5])))
