@@ -62,7 +62,7 @@ NARROW, MEDIUM = 64, 160
 #: Units of at most so many lines are verified many at once, larger ones by a matrix each.
 SMALL_UNIT = 48
 #: Pairs of lines that are tested at a time.
-PAIRS = 1 << 18
+PAIRS = 1 << 16
 SIGNS = ["s0", "s1", "s2", "s3"]
 DOC = {"doc_id": "<i8", "known": "<u1", "text_hash": "<i8", "n": "<i4"}
 LINE = {"line_no": "<i4", "size": "<i4", "name": "<i8", "line": "<i8"}
@@ -612,7 +612,6 @@ def _hot_links(files: DataFrame, hot: DataFrame, wanted, buckets: int, percent:
 def _wanted_lines(df: DataFrame, members: DataFrame) -> DataFrame:
     """line (its hash) and words of the lines that may stand first for a member, and few others."""
     sent = bit_map(members, F.col("line"))
-    docs = sieve(df.where("doc_id is not null"), "doc_id", members, "doc_id")
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -625,7 +624,7 @@ def _wanted_lines(df: DataFrame, members: DataFrame) -> DataFrame:
             words = [x.bytes[a:b].tobytes().decode() for a, b in zip(start[at], end[at])]
             yield pa.record_batch([pa.array(hashes), pa.array(words, pa.string())], ["line", "words"])
 
-    return docs.select("text").mapInArrow(picked, "line long, words string")
+    return df.where("doc_id is not null").select("text").mapInArrow(picked, "line long, words string")
 
 
 def shared_tokens(s: LineSets, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -799,7 +798,10 @@ def line_links(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", pe
     buckets = records.buckets_for(n_lines)
     sets = written(_sets(chunks, buckets), "sets")
     rarity = df.sparkSession.sparkContext.broadcast(_rarity(listed))
-    files = written(_filed(docs, rarity, _place_map(sets, n_lines), percent), "files")
+    firsts = _place_map(sets, n_lines)
+    files = written(_filed(docs, rarity, firsts, percent), "files")
+    for sent in (rarity, firsts):
+        sent.unpersist()
     groups = written(components(_candidates(files, percent, file_block)).select(F.col("id").alias("name"), F.col("component").alias("grp")), "groups")
     members = written(sieve(sets, "name", groups, "name").join(groups, "name"), "members")
     per_set, links = _verified(members, docs, percent)

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Columns = dict[str, np.ndarray]
-#: Records that a task holds before it deals them out.
-FLUSH = 1 << 18
+#: Records that a task holds before it deals them out, or so many per bucket, if that is more.
+FLUSH, FLUSH_EACH = 1 << 16, 32
 
 
 def buckets_for(records: int, each: int = 200_000) -> int:
@@ -74,7 +74,7 @@ def deal(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[Colu
 
         for columns in make(batches):
             held.append(columns)
-            if sum(len(h[key]) for h in held) >= FLUSH:
+            if sum(len(h[key]) for h in held) >= max(FLUSH, FLUSH_EACH * buckets):
                 yield from flush()
         yield from flush()
 
@@ -91,7 +91,9 @@ def gather(sides: Sequence[DataFrame], work: Callable[..., Iterator[pa.RecordBat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, [[] for _ in range(n)]
         for batch in batches:
-            for bucket, blob, side in zip(*(batch.column(c).to_pylist() for c in ("bucket", "records", "side"))):
+            blobs = batch.column("records")
+            for k, (bucket, side) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("side").to_pylist())):
+                blob = blobs[k].as_py()
                 if bucket != at:
                     if at is not None:
                         yield from work(at, *held)

@@ -147,7 +147,7 @@ def windows(hashes: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray,
     return out, at
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, target: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, target: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut batches by rows so that the text of each is about `target` bytes at most; a longer text stands alone."""
     for batch in batches:
         lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
@@ -160,7 +160,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, target: int = 1 << 20
             at = to
 
 
-def pieces(texts: pa.Array, target: int = 1 << 20) -> Iterator[pa.Array]:
+def pieces(texts: pa.Array, target: int = 1 << 19) -> Iterator[pa.Array]:
     """The same cut for one array; at least one piece, so that empty input keeps its type."""
     table = pa.record_batch([texts], ["t"])
     yield from (b.column(0) for b in slices(iter([table]), "t", target))
