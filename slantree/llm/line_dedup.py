@@ -42,7 +42,7 @@ from slantree.llm.components import components
 from slantree.llm.durable import short_batches, written
 from slantree.llm.near_dedup import BLOCK_MEMBERS, forest, linked
 from slantree.llm.sieve import bit_map, bits_for, held_in, on, sieve
-from slantree.llm.text_arrays import TextBatch, mix, slices
+from slantree.llm.text_arrays import TextBatch, give_back, mix, slices
 
 #: Slots of a rarity table, a power of two; two tables of this size are sent.
 SLOTS = 1 << 18
@@ -374,9 +374,11 @@ def _streamed(df: DataFrame, unit: list[str], order: list[str], columns: list[st
             if len(at) > 1:  # the last unit may go on in the next batch
                 yield from work(table.slice(0, at[-1]), at[:-1])
                 held = table.slice(at[-1]).combine_chunks().to_batches()
+                give_back()
         if held:
             table = pa.Table.from_batches(held)
             yield from work(table, edges(table))
+        give_back()
 
     return dealt.mapInArrow(stream, schema)
 

@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from slantree.llm.components import components
 from slantree.llm.durable import short_batches, written
 from slantree.llm.sieve import sieve
-from slantree.llm.text_arrays import TextBatch, mix, slices, windows
+from slantree.llm.text_arrays import TextBatch, give_back, mix, slices, windows
 
 MISS, MOST_BANDS = 1e-6, 35
 #: Members and shingles of a block of a candidate group; larger groups are compared block by block.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 1500, 2_000_000
+BLOCK_MEMBERS, BLOCK_SHINGLES = 1500, 1_000_000
 _FRACTION = 40
 
 
@@ -226,6 +226,9 @@ def verify(members: DataFrame, docs: DataFrame, percent: int, size: int, block_m
             links |= links.T
         label = forest(links)
         new = label != np.arange(x.n)
+        if len(gram) > 100_000:
+            del gram, doc, sets, links
+            give_back()
         return pa.table({"a": pa.array(ids[label[new]], pa.int64()), "b": pa.array(ids[new], pa.int64())})
 
     return units.groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long")

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slantree.llm.text_arrays import give_back
+
 Columns = dict[str, np.ndarray]
 #: Records that a task holds before it deals them out, or so many per bucket, if that is more.
 FLUSH, FLUSH_EACH = 1 << 16, 32
@@ -71,6 +73,7 @@ def deal(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[Colu
                 held.clear()
                 whole = merge(whole) if merge else whole
                 yield dealt(whole, bucket_of(whole[key], buckets), packer)
+                give_back()
 
         for columns in make(batches):
             held.append(columns)
@@ -97,9 +100,11 @@ def gather(sides: Sequence[DataFrame], work: Callable[..., Iterator[pa.RecordBat
                 if bucket != at:
                     if at is not None:
                         yield from work(at, *held)
+                        give_back()
                     at, held = bucket, [[] for _ in range(n)]
                 held[side].append(blob)
         if at is not None:
             yield from work(at, *held)
+        give_back()
 
     return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)

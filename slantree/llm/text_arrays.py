@@ -9,6 +9,7 @@ working on bytes is the same as working on code points.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: Python workers live on between tasks and would keep their largest size."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class TextBatch:
     """Words, lines and hashes of a batch of texts; a null text counts as empty."""
 
@@ -158,6 +168,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, target: int = 1 << 19
             to = max(at + 1, int(np.searchsorted(total, before + target, "right")))
             yield batch.slice(at, to - at)
             at = to
+        give_back()
 
 
 def pieces(texts: pa.Array, target: int = 1 << 19) -> Iterator[pa.Array]:
