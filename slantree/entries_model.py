@@ -152,15 +152,16 @@ def boost_two_rounds(spark, sf):
     return stumps(spark, sf, 2).groupBy(r("score").alias("score")).agg(F.count("*").alias("n"), r(F.avg((F.col("score") - F.col("y")) ** 2)).alias("mse"))
 
 
-STAGES = V + ", st as (select k, y, t::int as tree_id, case t when 0 then 0.02::double*(x0-25.5) when 1 then 8::double*(x1-0.05) when 2 then -6::double*(x2-0.04) else 0.01::double*(25.5-x0) end as value from v, range(4) q(t))"
+STAGES = V + ", st as (select {k: k, a: x0, b: x1, c: x2, d: price} as k, y, t::int as tree_id, case t when 0 then 0.02::double*(x0-25.5) when 1 then 8::double*(x1-0.05) when 2 then -6::double*(x2-0.04) else 0.01::double*(25.5-x0) end as value from v, range(4) q(t))"
 
 
 def stages(spark, sf) -> DataFrame:
+    """A row per lineitem row and tree; the key alone repeats on the smallest tables."""
     values = [0.02 * (F.col("x0") - 25.5), 8 * (F.col("x1") - 0.05), -6 * (F.col("x2") - 0.04), 0.01 * (25.5 - F.col("x0"))]
-    return base(spark, sf).select(F.col("k").alias("row_id"), "y", F.posexplode(F.array(*values)).alias("tree_id", "value"))
+    return base(spark, sf).select(F.struct("k", "x0", "x1", "x2", "price").alias("row_id"), "y", F.posexplode(F.array(*values)).alias("tree_id", "value"))
 
 
-STAGED = STAGES + ", cum as (select *, sum(value) over (partition by k order by tree_id) as f from st), l as (select tree_id, avg(ln(1+exp(-f*(2*y-1)))) as loss from cum group by tree_id)"
+STAGED = STAGES + ", cum as (select *, sum(value) over (partition by k order by tree_id rows between unbounded preceding and current row) as f from st), l as (select tree_id, avg(ln(1+exp(-f*(2*y-1)))) as loss from cum group by tree_id)"
 
 
 def staged_losses(spark, sf) -> DataFrame:
