@@ -11,7 +11,6 @@ from slantree.llm import bpe_trie, language_id, license_scan, line_dedup, mpeg_a
 from slantree.llm.language_id import held_out
 
 
-
 def tokenizer(name: str) -> str:
     """Path of a public tokenizer's file; every executor must have it."""
     import public_tokenizers
@@ -55,6 +54,11 @@ def op5_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_upper", "n_letters_ascii", "fail_bits")
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, and what it alone rejects, from the ledger's failure bits."""
+    return quality_rules.ablations(quality_rules.ledger(quality_rules.measure(table(spark, sf_dir, "documents").select("text"))))
+
+
 def op6_mpeg_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     audio = mpeg_audio.parse(mpeg_audio.carry(docs, "text"))
@@ -110,7 +114,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pu_quality, op2_line_join, op3_language_masks, op4_license_scan, op5_rule_ledger, op6_mpeg_frames, op7_trie_bpe, op8_superminhash_groups, op9_url_automaton, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_pu_quality, op2_line_join, op3_language_masks, op4_license_scan, op5_rule_ledger, rule_ablations, op6_mpeg_frames, op7_trie_bpe, op8_superminhash_groups, op9_url_automaton, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

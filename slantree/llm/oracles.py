@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from slantree.llm.license_scan import CUE, TEMPLATES, THRESHOLD, WORD
+from slantree.llm.quality_rules import POLICIES, mask
 from slantree.llm.url_filter import BLOCKED_GLOBS, CONTRACT_RULES
 
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -72,6 +73,16 @@ bits as (select *, (n_words < 10)::bigint + 2 * (100 * n_repeat_words > 20 * n_w
 select *, fail_bits & 3 <> 0 as base_failed, fail_bits & 63 = 0 as kept from bits"""
 
 
+def rule_ablations() -> str:
+    values = ", ".join(f"({_text(policy)}, {_text(rule)}, {mask([rule])}, {mask(names)})" for policy, names in POLICIES.items() for rule in names)
+    return f"""
+with book as ({op5_rule_ledger()}),
+policies as (select * from (values {values}) v(policy, rule, bit, mask))
+select policy, rule, count(*) filter (fail_bits & bit <> 0) as n_failed, count(*) filter (fail_bits & mask <> 0) as n_rejected,
+  count(*) filter (fail_bits & mask = bit) as n_only_this
+from policies left join book on true group by policy, rule"""
+
+
 def op9_url_automaton() -> str:
     rules = ", ".join(f"({_text(r.host)}, {_text(r.path)}, {_text(r.verdict)})" for r in CONTRACT_RULES)
     blocked = " or ".join(f"contains(host, {_text(g.strip('*/'))})" for g in BLOCKED_GLOBS[::2])
@@ -88,4 +99,4 @@ from parts left join best using (host, path)"""
 
 
 def all_sql() -> dict[str, str]:
-    return {f.__name__: f() for f in (op4_license_scan, op5_rule_ledger, op9_url_automaton)}
+    return {f.__name__: f() for f in (op4_license_scan, op5_rule_ledger, rule_ablations, op9_url_automaton)}

@@ -6,8 +6,9 @@ unbiased PU risk
     pi * E_pos[loss(g)] + max(0, E_unl[loss(-g)] - pi * E_pos[loss(-g)])
 
 with trusted positives (rows labelled 1), unlabelled web text (any row of the
-training fold) and an estimated class prior pi.  With the logistic loss, the
-sigmoid of g estimates P(label = 1).
+training fold) and a class prior pi estimated from these two alone
+(`estimate_prior`); rows labelled 0 are used as unlabelled ones only.  With the
+logistic loss, the sigmoid of g estimates P(label = 1).
 
 Fitting uses bounded, documented samples (`MAX_ROWS` positives and as many
 unlabelled rows, chosen by a hash of doc_id); scoring covers every whole text.
@@ -120,6 +121,42 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     return model
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 2, steps: int = 400, delta: float = 0.1) -> float:
+    """Share of positives among the unlabelled rows, from the best bin of a held-out ranking.
+
+    Above any threshold of a score, the unlabelled share divided by the
+    positives' share is at least the prior, and comes down to it where only
+    positives score as high.  Each half of the rows is ranked by a model fitted
+    to the other half, at a prior of 0.5 first and at the estimate so far in
+    later rounds; the threshold is the one of the smallest upper confidence
+    bound (level 1 - delta).  The halves' estimates are averaged and kept within
+    0.05 and 0.95; with fewer than two positives or two unlabelled rows the
+    answer is 0.5.  The order of the rows does not matter.
+    """
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
+    halves = [(p[k::2], u[k::2]) for p, u in [(_ordered(positive), _ordered(unlabelled))] for k in (0, 1)]
+    prior = 0.5
+    for _ in range(rounds):
+        found = []
+        for fitted, (p, u) in zip(halves[::-1], halves):
+            model = fit_nnpu(*fitted, prior=prior, steps=steps)
+            p, u = np.sort(model.expand(p) @ model.weights), np.sort(model.expand(u) @ model.weights)
+            # Thresholds at the positives' own scores, so that none is above all of them.
+            share_p = 1 - np.searchsorted(p, p, "left") / len(p)
+            share_u = 1 - np.searchsorted(u, p, "left") / len(u)
+            slack = np.sqrt(np.log(4 / delta) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
+            best = np.argmin((share_u + slack) / share_p)
+            found.append(share_u[best] / share_p[best])
+        prior = float(np.clip(np.mean(found), 0.05, 0.95))
+    return prior
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """The rows in an order of their values, whatever order they came in."""
+    return x[np.lexsort(x.T[::-1])]
+
+
 def _sample(ids: DataFrame, bound: int) -> DataFrame:
     """At most `bound` ids, those with the smallest hash: a threshold first, then a top-k."""
     n = ids.count()
@@ -130,27 +167,24 @@ def _sample(ids: DataFrame, bound: int) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fit on `docs` (doc_id, text) and `labels` (doc_id, quality); both must be the training fold already.
 
-    A document with differing labels counts as not trusted.  The prior is the
-    share of trusted positives among all labelled rows, kept within 0.05 and
-    0.95.  Without positives or documents the model answers the prior.
+    A document with differing labels counts as not trusted, and of differing
+    texts of one document the least is read.  Without positives or documents
+    the model answers 0.5.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    n, mean = known.agg(F.count("*"), F.avg("quality")).first()
-    prior = min(0.95, max(0.05, float(mean))) if n else 0.5
 
     def gather(ids: DataFrame) -> np.ndarray:
         chosen = F.broadcast(_sample(ids, max_rows))  # at most max_rows ids
-        rows = docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+        rows = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
         got = rows.select(features("text").alias("f")).toPandas()["f"]  # at most max_rows short arrays
-        return np.stack(got.to_list()).astype(float) if len(got) else np.zeros((0, len(FEATURES)))
+        return _ordered(np.stack(got.to_list()).astype(float)) if len(got) else np.zeros((0, len(FEATURES)))
 
     positive = gather(known.where("quality = 1").select("doc_id"))
     unlabelled = gather(docs.where(F.col("doc_id").isNotNull()).select("doc_id"))
     if not len(positive) or not len(unlabelled):
         empty = np.zeros((len(FEATURES), len(QUANTILES) + 1))
-        weights = np.zeros(empty.size + 1)
-        weights[-1] = np.log(prior / (1 - prior))
-        return Model(empty, np.ones_like(empty), weights, prior)
+        return Model(empty, np.ones_like(empty), np.zeros(empty.size + 1), 0.5)
+    prior = estimate_prior(positive, unlabelled)
     return fit_nnpu(positive, unlabelled, prior)
 
 

@@ -47,7 +47,7 @@ CONTRACT_RULES = (
     Rule("block", "example.net", "/de/8"),
     Rule("block", "org", "/es/"),
 )
-#: Host labels and path words that mark unwanted sites when no rule fits.
+#: Words in a host that mark unwanted sites when no rule fits; with and without a path.
 BLOCKED_GLOBS = tuple(
     glob
     for word in ("casino", "cheap-pills", "viagra", "porn", "xxx", "torrent", "malware", "phishing")
@@ -56,11 +56,11 @@ BLOCKED_GLOBS = tuple(
 
 
 class Automaton:
-    """Shift-And over bytes with self-loops for wildcards; patterns never straddle a machine word.
+    """Shift-And over bytes with self-loops for wildcards; all patterns stand one after another in one bit string.
 
     State bit k of a pattern means "the first k literals are read"; the wildcard
-    before literal k lets bit k stay.  A pattern longer than a word takes
-    several words, with a carry from one to the next.
+    before literal k lets bit k stay.  A pattern may begin in one machine word
+    and end in another: the shift carries from each word to the next.
     """
 
     def __init__(self, globs: Sequence[str]):
