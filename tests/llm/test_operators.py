@@ -175,6 +175,42 @@ def test_bpe_equals_the_library(odd, name):
         assert r["decoded"] == own.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_equals_the_library_on_random_strings(spark):
+    from tokenizers import Tokenizer
+
+    own, path = Tokenizer.from_file(tokenizer("byte_bpe_50k.json")), tokenizer("byte_bpe_50k.json")
+    rng = np.random.default_rng(11)
+    bits = ["the", " The", "  ", "\n", "\r\n", "\t", "\u00a0", "\u200b", "'s", "'LL", "é", "e\u0301", "ß", "İ", "日本", "🙂", "\U0001f468\u200d\U0001f469", "12", "3.5", "_", "--", "<|endoftext|>", "\x00", "ing", "x"]
+    texts = ["".join(rng.choice(bits, rng.integers(1, 14))) for _ in range(3000)]
+    both = bpe_trie.decode(bpe_trie.encode(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), path), path)
+    rows = both.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = own.encode(r["text"], add_special_tokens=False).ids
+        assert bytes(r["ids"]) == np.array(ids, "<u4").tobytes(), repr(r["text"])
+        assert r["decoded"] == own.decode(ids, skip_special_tokens=False), repr(r["text"])
+
+
+def test_pieces_hold_the_library_ids(docs):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    own, want = Tokenizer.from_file(path), {}
+    own.no_truncation(), own.no_padding()
+    for i, t in docs.collect():
+        ids = [*own.encode(t or "", add_special_tokens=False).ids, 1]
+        for piece, at in enumerate(range(0, len(ids), 4096)):
+            part = np.array(ids[at : at + 4096], "<u4")
+            want[i, piece] = (at, len(part), zlib.crc32(part.tobytes()))
+    rows = packing.pack(docs, path).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want and len(rows) == len(want)
+    # The bound of any packing: the tokens, or the pieces of which no two fit together.
+    lengths = [r["length"] for r in rows]
+    assert check_packing(rows, 4096) <= max(-(-sum(lengths) // 4096), sum(n > 2048 for n in lengths)) + 1
+
+
 def check_packing(rows, capacity):
     bins = defaultdict(list)
     for r in rows:
