@@ -11,6 +11,7 @@ numbers the pieces of each length across its partitions and looks each one up.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,21 +27,25 @@ from pyspark.sql.window import Window as W
 
 from slantree.llm.bpe_trie import byte_characters
 from slantree.llm.durable import short_batches, written
-from slantree.llm.text_arrays import slices
+from slantree.llm.text_arrays import give_back, slices
 
 #: Plans up to this many rows (about 40 bytes each) are sent to every task; larger ones are joined by length and rank block.
 MAX_SENT_ROWS = 200_000
 #: Ranks per block of the joined form.
 BLOCK = 1 << 16
-#: Words that a worker remembers.
-MAX_WORDS = 600_000
+#: Words that a worker remembers (about 200 bytes each).
+MAX_WORDS = 200_000
 #: The library's lower-casing and splitting agree with Python's on these characters; texts with others go to the library whole.
 _COMMON = regex.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ňŊ-ſ‐-‧‰-⁞€]*")
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
 class WordIds(dict):
-    """Ids of blank-delimited words as little-endian 32-bit numbers, filled on demand by the tokenizers library."""
+    """Ids of blank-delimited words as little-endian 32-bit numbers, filled on demand by the tokenizers library.
+
+    It holds at most MAX_WORDS words: a full half becomes the older one, from
+    which words still in use come back.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -50,27 +55,26 @@ class WordIds(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model, self.letters = self.tokenizer.model, byte_characters()
-        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def part(self, word: str) -> bytes:
-        known = self.parts.get(word)
-        if known is None:
-            raw = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-            known = self.parts[word] = np.array([t.id for t in self.model.tokenize(raw)], "<u4").tobytes()
-        return known
+    def tokenized(self, word: str) -> bytes:
+        raw = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        ids = [t.id for t in self.model.tokenize(raw)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
-        if word.isalpha():
-            out = self.part(word)
-        else:
-            bare = word.rstrip(".,")
-            if bare.isalpha():
-                out = self.part(bare) + self.part(word[len(bare) :])
+        out = self.older.get(word)
+        if out is None:
+            if word.isalpha():
+                out = self.tokenized(word)
+            elif (bare := word.rstrip(".,")).isalpha():
+                out = self[bare] + self[word[len(bare) :]]
             else:
-                out = b"".join([self.part(w) for w in _SPLIT.findall(word)])
-        if len(self) + len(self.parts) >= MAX_WORDS:
+                parts = _SPLIT.findall(word)
+                out = self.tokenized(word) if parts == [word] else b"".join([self[w] for w in parts])
+        if len(self) >= MAX_WORDS // 2:
+            self.older = dict(self)
             self.clear()
-            self.parts.clear()
         self[word] = out
         return out
 
@@ -111,6 +115,7 @@ def cut(df: DataFrame, path: str, end_id: int = 1, capacity: int = 4096, text_co
                 [pa.array(columns[0], batch.schema.field(id_col).type), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:])],
                 [id_col, "piece", "start", "length", "ids_crc32", "part", "seq"],
             )
+        give_back()
 
     schema = f"`{id_col}` {kind.simpleString()}, piece int, start long, length long, ids_crc32 long, part long, seq long"
     return short_batches(df).select(id_col, text_col).mapInArrow(pieces_of, schema)
