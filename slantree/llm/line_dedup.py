@@ -393,46 +393,6 @@ def _pairs(start: np.ndarray, count: np.ndarray, most: int) -> Iterator[tuple[np
             yield (part + i).ravel(), (part + j).ravel()
 
 
-def _streamed(df: DataFrame, unit: list[str], order: list[str], columns: list[str], work, schema: str) -> DataFrame:
-    """`work` on whole units (rows equal in `unit`), many units at a time, in Arrow batches of sorted partitions."""
-    dealt = df.select(*columns).repartition(*unit).sortWithinPartitions(*unit, *order)
-
-    def edges(table: pa.Table) -> np.ndarray:
-        new = np.zeros(len(table), bool)
-        new[:1] = True
-        for c in unit:
-            values = table.column(c).to_numpy()
-            new[1:] |= values[1:] != values[:-1]
-        return np.flatnonzero(new)
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            held.append(batch)
-            table = pa.Table.from_batches(held)
-            at = edges(table)
-            if len(at) > 1:  # the last unit may go on in the next batch
-                yield from work(table.slice(0, at[-1]), at[:-1])
-                held = table.slice(at[-1]).combine_chunks().to_batches()
-        if held:
-            table = pa.Table.from_batches(held)
-            yield from work(table, edges(table))
-
-    return dealt.mapInArrow(stream, schema)
-
-
-def _pairs(start: np.ndarray, count: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of all pairs of each unit of 2 to `most` rows, for all units of one size at once."""
-    for n in np.unique(count[(count > 1) & (count <= most)]):
-        i, j = np.triu_indices(n, 1)
-        at = start[count == n]
-        for cut in range(0, len(at), max(1, 1_000_000 // len(i))):
-            part = at[cut : cut + max(1, 1_000_000 // len(i)), None]
-            yield (part + i).ravel(), (part + j).ravel()
-
-
 def width_of(buckets: int, bits: int) -> int:
     """A bucket has 2 ** width bits of the map."""
     return max(6, (bits // buckets).bit_length() - 1)
