@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slantree.llm import bpe_trie, language_id, license_scan, line_dedup, mpeg_audio, near_dedup, packing, quality_classifier, quality_rules, url_filter
+from slantree.llm import bpe_trie, filter_audit, language_id, license_scan, line_dedup, mpeg_audio, near_dedup, packing, quality_classifier, quality_rules, url_filter
 from slantree.llm.language_id import held_out
 
 
@@ -113,8 +113,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer("word_bpe_49k.json")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pu_quality, op2_line_join, op3_language_masks, op4_license_scan, op5_rule_ledger, rule_ablations, op6_mpeg_frames, op7_trie_bpe, op8_superminhash_groups, op9_url_automaton, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_pu_quality, op2_line_join, op3_language_masks, op4_license_scan, op5_rule_ledger, rule_ablations, op6_mpeg_frames, op7_trie_bpe, op8_superminhash_groups, op9_url_automaton, op10_best_fit_packing, op11_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
+from slantree.llm.filter_audit import FILTERS
 from slantree.llm.license_scan import CUE, TEMPLATES, THRESHOLD, WORD
 from slantree.llm.quality_rules import POLICIES, mask
 from slantree.llm.url_filter import BLOCKED_GLOBS, CONTRACT_RULES
@@ -98,5 +101,26 @@ select page_id, host, path, rule, coalesce(rule_verdict, case when {blocked} the
 from parts left join best using (host, path)"""
 
 
+def op11_filter_audit() -> str:
+    steps = ", ".join(f"('{''.join(p)}', {k + 1}, {1 << FILTERS.index(f)}, {sum(1 << FILTERS.index(e) for e in p[:k])})" for p in permutations(FILTERS) for k, f in enumerate(p))
+    return rf"""
+with words as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{WORD_PATTERN}') as w from documents),
+masks as (select doc_id, part, (len(w) < 200)::int + 2 * (100 * list_unique(w) < 50 * len(w))::int
+  + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text))::int + 8 * regexp_matches(text, '[#$%&*|]')::int
+  + 16 * coalesce(doc_id > min(doc_id) over (partition by text), false)::int as mask from words),
+known as (select doc_id, bool_or(coalesce(quality = 1, false)) as good, bool_or(coalesce(toxic = 1, false)) as toxic from labels group by doc_id),
+counters as (select part, mask, count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from masks left join known using (doc_id) group by part, mask),
+steps as (select * from (values {steps}) v(filter_order, step, bit, before))
+select part, filter_order, step::int as step,
+  coalesce(sum(n) filter (mask & (before | bit) = 0), 0)::bigint as kept,
+  coalesce(sum(n) filter (mask & before = 0 and mask & bit <> 0), 0)::bigint as removed,
+  coalesce(sum(n) filter (mask & before <> 0 and mask & bit <> 0), 0)::bigint as redundant,
+  coalesce(sum(n) filter (mask = bit), 0)::bigint as unique_fails,
+  coalesce(sum(good) filter (mask & before = 0 and mask & bit <> 0), 0)::bigint as good_lost,
+  coalesce(sum(toxic) filter (mask & before = 0 and mask & bit <> 0), 0)::bigint as toxic_lost,
+  coalesce(sum(n * (120 // greatest(1, bit_count(mask)))) filter (mask & bit <> 0), 0)::bigint as shapley
+from counters, steps group by part, filter_order, step"""
+
+
 def all_sql() -> dict[str, str]:
-    return {f.__name__: f() for f in (op4_license_scan, op5_rule_ledger, rule_ablations, op9_url_automaton)}
+    return {f.__name__: f() for f in (op4_license_scan, op5_rule_ledger, rule_ablations, op9_url_automaton, op11_filter_audit)}
