@@ -122,5 +122,18 @@ select part, filter_order, step::int as step,
 from counters, steps group by part, filter_order, step"""
 
 
+def op13_hard_negatives() -> str:
+    return """
+with part as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as q
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+anchors as (select * from part where vec_id % 100 = 0),
+pairs as (select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::bigint as score
+  from anchors a join part b on a.vec_id <> b.vec_id),
+positives as (select anchor_id, other_id as positive_id, score as positive_score from pairs where same qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5),
+ranked as (select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, other_id)::int as rank, other_id as negative_id, positive_score, score as negative_score
+  from positives p join pairs n on p.anchor_id = n.anchor_id and not n.same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select * from ranked where rank <= 10"""
+
+
 def all_sql() -> dict[str, str]:
-    return {f.__name__: f() for f in (op4_license_scan, op5_rule_ledger, rule_ablations, op9_url_automaton, op11_filter_audit)}
+    return {f.__name__: f() for f in (op4_license_scan, op5_rule_ledger, rule_ablations, op9_url_automaton, op11_filter_audit, op13_hard_negatives)}
