@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slantree.llm import bpe_trie, filter_audit, hard_negatives, language_id, license_scan, line_dedup, mpeg_audio, near_dedup, packing, quality_classifier, quality_rules, url_filter
+from slantree.llm import bpe_trie, filter_audit, hard_negatives, language_id, license_scan, line_dedup, mpeg_audio, near_dedup, packing, quality_classifier, quality_rules, toxicity, url_filter
 from slantree.llm.language_id import held_out
 
 
@@ -117,12 +117,18 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
 
 
+def op12_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs.where(~held_out()), labels.where(~held_out()))
+    return toxicity.classify(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pu_quality, op2_line_join, op3_language_masks, op4_license_scan, op5_rule_ledger, rule_ablations, op6_mpeg_frames, op7_trie_bpe, op8_superminhash_groups, op9_url_automaton, op10_best_fit_packing, op11_filter_audit, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_pu_quality, op2_line_join, op3_language_masks, op4_license_scan, op5_rule_ledger, rule_ablations, op6_mpeg_frames, op7_trie_bpe, op8_superminhash_groups, op9_url_automaton, op10_best_fit_packing, op11_filter_audit, op12_gru_toxicity, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
