@@ -185,6 +185,18 @@ def goss_sampling(spark, sf):
     return gradients.goss(s, "score", "k", 0.2, 0.1).groupBy("amplify").agg(F.count("*").alias("n"), r(F.sum("score"), 3).alias("total"))
 
 
+@query("""with s as (select l_orderkey * 10 + l_linenumber as id from lineitem), n as (select count(*) as n, floor(0.7*count(*)) as t from s),
+ranked as (select id, row_number() over (order by id) as rk from s),
+rest as (select id, row_number() over (order by ('0x' || substr(md5('goss' || id),1,8))::bigint / 4294967296.0::double, id) as rr from ranked, n where rk > t)
+select case when rk <= t then 1.0 else 3.0 end as amplify, count(*) as n, sum(id % 1000)::bigint as total from ranked, n
+where rk <= t or id in (select id from rest, n where rr <= floor(0.1*(n.n-n.t))) group by 1""")
+def goss_ties(spark, sf):
+    """Every score ties, as those of the first round on a balanced label do: a numeric key decides."""
+    s = spark.read.parquet(f"{sf}/lineitem.parquet").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.lit(0.5).alias("score"))
+    kept = gradients.goss(s, "score", "id", 0.7, 0.1)
+    return kept.groupBy(F.round("amplify", 6).alias("amplify")).agg(F.count("*").alias("n"), F.sum(F.col("id") % 1000).alias("total"))
+
+
 @query(V + f" select y, count(*) as n from v where {u_sql('sub')} < 0.3 group by y")
 def bernoulli_subsample(spark, sf):
     return gradients.bernoulli(base(spark, sf), "k", 0.3).groupBy("y").agg(F.count("*").alias("n"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -104,11 +102,12 @@ def huber_loss(score: Column, y: Column, delta: float = 1.0) -> Column:
 
 
 def initial_value(df: DataFrame, loss: str, y: str, weight: str | None = None) -> float:
-    """Mean for squared error; else the median, or the weighted lower median."""
+    """Mean for squared error; else the median, or the weighted lower median.  Without rows or weight it is 0."""
     if loss in ("squared_error", "l2"):
-        return float(df.agg(F.avg(y) if weight is None else F.sum(F.col(y) * F.col(weight)) / F.sum(weight)).first()[0])
+        mean = df.agg(F.avg(y) if weight is None else F.try_divide(F.sum(F.col(y) * F.col(weight)), F.sum(weight))).first()[0]
+        return float(mean or 0.0)
     if weight is None:
-        return float(ordered.quantiles(df, y, [0.5])[0])
+        return float(ordered.quantiles(df, y, [0.5])[0] or 0.0)
     runs = ordered.running(df.groupBy(y).agg(F.sum(weight).alias("w")), y, ["w"])
-    total = df.agg(F.sum(weight)).first()[0] or math.nan
-    return float(runs.where(F.col("run_w") >= total / 2).agg(F.min(y)).first()[0])
+    total = df.agg(F.sum(weight)).first()[0]
+    return float(runs.where(F.col("run_w") >= total / 2).agg(F.min(y)).first()[0]) if total else 0.0

@@ -7,10 +7,12 @@ together.  Sums per range are few; within a range a window runs on.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NumericType
 from pyspark.sql.window import Window as W
 
 #: Ranges that a table is dealt into.
@@ -62,32 +64,96 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float]) -> list[float
     return [float(row[f"v{int(a)}"]) + (a - int(a)) * (float(row[f"v{min(n - 1, int(a) + 1)}"]) - float(row[f"v{int(a)}"])) for a in at]
 
 
-def prefix_number(key: str) -> Column:
-    """The first six bytes of a text as a number: ascends with the text."""
-    return F.conv(F.rpad(F.hex(F.encode(F.substring(F.col(key).cast("string"), 1, 6), "UTF-8")), 12, "0"), 16, 10).cast("double")
+#: Bins of one pass over the rows in a search for a cut, and rows below which they are sorted instead.
+BINS, SMALL = 1 << 16, 100_000
 
 
-def first_n(df: DataFrame, n: int, value: str, key: str, descending: bool = False, total: int | None = None) -> Column:
-    """Whether a row is among the n first by `value`, ties by `key`: a cut value, and a cut key among the rows that have it."""
+def text_number(key: Column, at: int) -> Column:
+    """Bytes `at` to `at` + 5 (from 0) of a text as a number: ascends with the text where the bytes before are equal."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(key, "UTF-8"), at + 1, 6)), 12, "0"), 16, 10).cast("double")
+
+
+def digits_of(df: DataFrame, value: str, key: str, descending: bool) -> list[Column]:
+    """Numbers whose order, one after the other, is that of the rows: the value, then the key, then a hash of the whole row.
+
+    A value that is null or NaN comes last, a null key after the others.
+    """
+    last = F.lit(float("inf"))
+    v = F.col(value).cast("double")
+    v = F.coalesce(F.nanvl(-v if descending else v, last), last)
+    own = F.col(key)
+    if isinstance(df.schema[key].dataType, IntegralType):
+        whole = own.cast("long")
+        keys = [F.coalesce(F.shiftright(whole, 32).cast("double"), last), F.coalesce(whole.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double"), last)]
+    elif isinstance(df.schema[key].dataType, NumericType):
+        keys = [F.coalesce(F.nanvl(own.cast("double"), last), last)]
+    else:
+        text = own.cast("string")
+        longest = df.agg(F.max(F.octet_length(text))).first()[0] or 0
+        keys = [F.coalesce(text_number(text, at), last) for at in range(0, max(1, longest), 6)]
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return [v, *keys, F.shiftright(row, 32).cast("double"), row.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double")]
+
+
+def cut_at(rows: DataFrame, digit: str, k: int, small: int = SMALL) -> tuple[float, int, int]:
+    """The k-th smallest value of a column without nulls, how many rows are below it, and how many have it.
+
+    Each pass counts rows in BINS equal widths and goes on in the one that holds
+    the k-th row; few rows, or rows of one value, end the search.
+    """
+    below, inside = 0, rows
+    while True:
+        lo, hi, n = inside.agg(F.min(digit), F.max(digit), F.count("*")).first()
+        if lo == hi:
+            return lo, below, n
+        if n <= small or not math.isfinite(hi - lo):
+            break
+        width = (hi - lo) / BINS
+        place = F.least(F.lit(BINS - 1), F.floor((F.col(digit) - F.lit(lo)) / F.lit(width))).cast("int")
+        counts = sorted((r["b"], r["count"]) for r in inside.groupBy(place.alias("b")).count().collect())  # BINS rows at most
+        for b, count in counts:
+            if below + count >= k:
+                break
+            below += count
+        inside = inside.where(place == b)
+    if n > small:  # infinite values among the others: they come last
+        finite = inside.where(F.col(digit) < F.lit(float("inf")))
+        m = finite.count()
+        if below + m < k:
+            return float("inf"), below + m, n - m
+        return tuple(a + b for a, b in zip((0, below, 0), cut_at(finite, digit, k - below, small)))
+    cut = inside.select(digit).orderBy(digit).limit(k - below).agg(F.max(digit)).first()[0]
+    less, same = inside.agg(F.count(F.when(F.col(digit) < F.lit(cut), 1)), F.count(F.when(F.col(digit) == F.lit(cut), 1))).first()
+    return cut, below + less, same
+
+
+def first_n(df: DataFrame, n: int, value: str, key: str, descending: bool = False, total: int | None = None, small: int = SMALL) -> Column:
+    """Whether a row is among the n first by `value` (a number), ties by `key`, then by a hash of the row.
+
+    The cut is found number by number, in counts over bins: no task sees more
+    than `small` rows, however many tie.  Rows equal in all columns share their
+    fate, so only such rows can make it more than n.
+    """
     if n <= 0:
         return F.lit(False)
     if n >= (df.count() if total is None else total):
         return F.lit(True)
-    sizes = df.groupBy(value).agg(F.count("*").alias("n"))
-    cut = running(sizes, value, ["n"], descending).where(F.col("run_n") >= n).orderBy("run_n").first()
-    inside = F.col(value) > F.lit(cut[value]) if descending else F.col(value) < F.lit(cut[value])
-    short = n - (cut["run_n"] - cut["n"])
-    if short == cut["n"]:
-        return inside | (F.col(value) == F.lit(cut[value]))
-    ties = df.where(F.col(value) == F.lit(cut[value])).select(key, prefix_number(key).alias("_prefix"))
-    if cut["n"] <= 100_000:  # a sort of few rows
-        last = ties.orderBy(key).limit(short).agg(F.max(key)).first()[0]
-    else:
-        by_prefix = running(ties.groupBy("_prefix").agg(F.count("*").alias("n")), "_prefix", ["n"])
-        edge = by_prefix.where(F.col("run_n") >= short).orderBy("run_n").first()
-        rest = ties.where(F.col("_prefix") == F.lit(edge["_prefix"])).orderBy(key).limit(short - (edge["run_n"] - edge["n"]))
-        last = rest.agg(F.max(key)).first()[0]
-    return inside | ((F.col(value) == F.lit(cut[value])) & (F.col(key) <= F.lit(last)))
+    digits = digits_of(df, value, key, descending)
+    names = [f"d{k}" for k in range(len(digits))]
+    rows = df.select(*[d.alias(c) for d, c in zip(digits, names)]).persist()
+    cuts, left, short = [], rows, n
+    for name in names:
+        cut, below, same = cut_at(left, name, short, small)
+        cuts.append(cut)
+        short -= below
+        if short == same:
+            break
+        left = left.where(F.col(name) == F.lit(cut))
+    rows.unpersist()
+    inside = digits[len(cuts) - 1] <= F.lit(cuts[-1])
+    for digit, cut in list(zip(digits, cuts))[-2::-1]:
+        inside = (digit < F.lit(cut)) | ((digit == F.lit(cut)) & inside)
+    return inside
 
 
 def ranks(df: DataFrame, value: str, into: str) -> DataFrame:
