@@ -1,391 +1,54 @@
-"""Boosting as Spark jobs, and the pyspark.ml estimators.
-
-The training table has one row per row of the input: its features as an array,
-label, weight, a number and the scores so far.  A round is
-
-1. one job for a sample of bounded size (SAMPLE_ROWS), the validation loss, and
-   the gradient sums of categories;
-2. one job per level of the tree: each task routes its rows through the tree so
-   far and sums gradients by node, feature and bin before the shuffle; the sums
-   are added, scanned and the best split of each node picked by the operators
-   of `splits`.  The best oblique split that the sample proposes for a node is
-   one more feature of two bins there, so its gain is exact and over all rows,
-   and it wins only if it is strictly better.
-
-The driver sees the sample, one row per node, and nothing that grows with the
-rows.  Scores are kept in the cache and cut off from their lineage every
-DURABLE_EVERY rounds.
+"""Boosting: the pyspark.ml estimators, and the fitted model.
+
+A round is one tree (`growth.grow`), preceded by a job for the validation loss
+and the categories' gradient sums where there are any, and by one for the cut of
+one-side sampling.  Scores are not rewritten every round: tasks add the trees of
+the last rounds, and every ADDED_EVERY rounds the table takes them in.  Every
+DURABLE_EVERY rounds it is written to the shared folder, which cuts its lineage,
+and the copy before is deleted.
+
+The driver sees a bounded sample, one row per node and feature, and nothing that
+grows with the rows.
 """
 
 from __future__ import annotations
 
 import json
 import math
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, NumericType
 
-from slantree.operators import gradients, prepare, splits
+from slantree.operators import gradients, prepare
 from slantree.plans import directions
+from slantree.plans.growth import STATE, Log, Round, coded_table, draw, grow, matrix, surveyed
 from slantree.plans.trees import Node, Tree, goes_left, left_of, ranked, route, tree_value, values  # noqa: F401
+from slantree.sources.folders import removed, written
+from slantree.sources.tables import GAIN_LOG, write_gain_log
 
-#: Rows of the sample that proposes oblique splits and the cut of one-side sampling; smaller tables are taken whole.
-SAMPLE_ROWS = 16_384
-DURABLE_EVERY = 10
-#: Rows of a node in the sample for an oblique search, and its bins.
-LEAST_OBLIQUE, OBLIQUE_BINS = 64, 64
-#: Cells of the sums that a task holds.
-MOST_CELLS = 1 << 23
-#: Categories up to which a dictionary is broadcast.
-MOST_SENT = 100_000
-#: Names of the training table; they do not clash, since no column of the input stays.
-STATE = "x array<double>, y double, w double, valid boolean, number long, score array<double>"
-
-
-def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """rows x width of an array column without nulls."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
-
-
-def uniform(number: np.ndarray, stream: int) -> np.ndarray:
-    """A reproducible number in [0, 1) per row."""
-    z = number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((stream * 0xD1B54A32D192ED03 + 0x2545F4914F6CDD1D) % 2**64)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (z ^ (z >> np.uint64(31))).astype(float) / 2.0**64
-
-
-def softmax(score: np.ndarray) -> np.ndarray:
-    e = np.exp(score - score.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
-
-
-def gradients_of(kind: str, score: np.ndarray, y: np.ndarray, w: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray]:
-    """G and H, rows x K, weights included."""
-    if kind == "softmax":
-        p = softmax(score)
-        g, h = p - (np.arange(score.shape[1]) == y[:, None]), p * (1 - p)
-    else:
-        e = score - y[:, None]
-        g = e if kind in ("squared_error", "l2") else np.sign(e) if kind in ("absolute_error", "l1") else np.clip(e, -delta, delta)
-        h = np.ones_like(e)
-    return g * w[:, None], h * w[:, None]
-
-
-def loss_of(kind: str, score: np.ndarray, y: np.ndarray, delta: float) -> np.ndarray:
-    if kind == "softmax":
-        return -np.log(np.maximum(softmax(score)[np.arange(len(y)), y.astype(int)], 1e-8))
-    e = np.abs(score[:, 0] - y)
-    if kind in ("squared_error", "l2"):
-        return e * e
-    return e if kind in ("absolute_error", "l1") else np.where(e <= delta, 0.5 * e * e, delta * (e - 0.5 * delta))
-
-
-class Round:
-    """What the tasks of one round need: how to grade rows, which rows count, how values are binned."""
-
-    def __init__(self, stats: list[dict], cats: dict[int, int], k: int, kind: str, p: dict, stream: int):
-        self.lo, self.hi, self.means = (np.array([s[c] for s in stats]) for c in ("lo", "hi", "mean"))
-        self.active = np.array([s["active"] for s in stats], bool)
-        self.cats, self.k, self.kind, self.p, self.stream = cats, k, kind, p, stream
-        self.cut: float | None = None  # the least mean |g| that one-side sampling always keeps
-
-    def graded(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        """x, g, h and numbers of a batch's training rows."""
-        d = len(self.lo)
-        x, score = matrix(batch.column("x"), d), matrix(batch.column("score"), self.k if self.kind != "given" else 2 * self.k)
-        y, w, number = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "number"))
-        keep = ~batch.column("valid").to_numpy(zero_copy_only=False)
-        x, score, y, w, number = x[keep], score[keep], y[keep], w[keep], number[keep]
-        if self.kind == "given":  # gradients of the caller's own objective stand in for the scores
-            return x, score[:, : self.k], score[:, self.k :], number
-        return x, *gradients_of(self.kind, score, y, w, self.p["delta"]), number
-
-    def chosen(self, g: np.ndarray, h: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which rows the round uses, and their factors."""
-        ones = np.ones(len(g))
-        if self.cut is not None:
-            a, b = self.p["goss"]
-            top = np.abs(g).mean(1) >= self.cut
-            return top | (uniform(number, 3 * self.stream + 1) < b), np.where(top, 1.0, (1 - a) / b)
-        if self.p["subsample"] < 1:
-            return uniform(number, 3 * self.stream + 2) < self.p["subsample"], ones
-        return np.ones(len(g), bool), ones
-
-    def codes(self, x: np.ndarray, f: int, tree: Tree) -> np.ndarray:
-        """Bins of feature f; the last one is missing.  A category's value is its rank."""
-        bins = self.p["bins"]
-        if f in self.cats:
-            card = len(tree.ranks[f])
-            return np.minimum(bins - 2, (x[:, f] * (bins - 1) / (card - 1 + 1e-8)).astype(np.int64))
-        missing = np.isnan(x[:, f])
-        b = np.floor((np.where(missing, self.lo[f], x[:, f]) - self.lo[f]) * ((bins - 1) / (self.hi[f] - self.lo[f] + 1e-8)))
-        return np.where(missing, bins - 1, np.clip(b, 0, bins - 2)).astype(np.int64)
-
-    def edge(self, f: int, b: int, tree: Tree) -> float:
-        """The upper edge of bin b: values below it are the bins up to b."""
-        if f in self.cats:
-            return (b + 1) * (len(tree.ranks[f]) - 1 + 1e-8) / (self.p["bins"] - 1)
-        return float(self.lo[f] + (b + 1) * (self.hi[f] - self.lo[f] + 1e-8) / (self.p["bins"] - 1))
-
-    def scales(self, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
-        """Centre and width by which features are scaled in a search for directions."""
-        centre, width = self.means.copy(), self.hi - self.lo + 1e-8
-        for f, ranks in tree.ranks.items():
-            centre[f], width[f] = (len(ranks) - 1) / 2, max(1, len(ranks) - 1)
-        return centre, width
-
-
-def _surveyed(state: DataFrame, r: Round, share: float) -> tuple[np.ndarray, dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], float | None]:
-    """One job: the sample (rows of x, g, h, number), gradient sums by (categorical feature, id), and the mean validation loss."""
-    k, d = r.k, len(r.lo)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {f: np.zeros((card + 1, 2 * k)) for f, card in r.cats.items()}
-        loss, n = 0.0, 0
-        names = ["kind", "id", "sums", "rows"]
-        for batch in batches:
-            x, g, h, number = r.graded(batch)
-            here = uniform(number, 3 * r.stream) < share
-            taken = np.concatenate([x[here], g[here], h[here], number[here, None]], 1)
-            yield pa.record_batch([pa.array([-1]), pa.array([0]), pa.array([[0.0] * 2 * k]), pa.array([np.ascontiguousarray(taken).tobytes()], pa.binary())], names)
-            for f, total in sums.items():
-                ids = np.where(np.isnan(x[:, f]), len(total) - 1, x[:, f]).astype(np.int64)
-                np.add.at(total, ids, np.concatenate([g, h], 1))
-            valid = batch.column("valid").to_numpy(zero_copy_only=False)
-            if valid.any() and r.kind != "given":
-                score, y = matrix(batch.column("score"), k)[valid], batch.column("y").to_numpy(zero_copy_only=False)[valid]
-                loss, n = loss + float(loss_of(r.kind, score, y, r.p["delta"]).sum()), n + int(valid.sum())
-        ids = [(f, c, row) for f, total in sums.items() for c, row in enumerate(total) if row.any()] + [(-2, 0, np.array([loss, n, *[0.0] * (2 * k - 2)]))]
-        yield pa.record_batch([pa.array([i[0] for i in ids]), pa.array([i[1] for i in ids]), pa.array([i[2].tolist() for i in ids]), pa.nulls(len(ids), pa.binary())], names)
-
-    found = state.mapInArrow(work, "kind long, id long, sums array<double>, rows binary")
-    summed = found.groupBy("kind", "id").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(2 * k)], F.collect_list("rows").alias("rows"))
-    sample, by_id, loss = np.zeros((0, d + 2 * k + 1)), {}, None
-    for row in summed.collect():  # the sample and a row per category
-        s = np.array([row[f"s{i}"] for i in range(2 * k)])
-        if row["kind"] == -1:
-            sample = np.concatenate([np.frombuffer(b, float).reshape(-1, d + 2 * k + 1) for b in row["rows"]])
-        elif row["kind"] == -2:
-            loss = s[0] / s[1] if s[1] else None
-        else:
-            by_id[row["kind"], row["id"]] = s[:k], s[k:]
-    return sample, by_id, loss
-
-
-def category_ranks(by_id: dict, f: int, card: int, kdom: int, lam: float) -> list[float]:
-    """Ranks 0.. of the ids 0..card (the last one is missing or unseen) by (score, id)."""
-    scores = [(g[kdom] / (h[kdom] + lam + 1e-8) if (f, c) in by_id else 0.0) for c in range(card + 1) for g, h in [by_id.get((f, c), (None, None))]]
-    out = [0.0] * (card + 1)
-    for rank, c in enumerate(sorted(range(card + 1), key=lambda c: (scores[c], c))):
-        out[c] = float(rank)
-    return out
-
-
-def _propose(r: Round, tree: Tree, sample: np.ndarray, at: np.ndarray, t: int, parent: np.ndarray | None, cache: directions.Cache, mask: np.ndarray, rng: np.random.Generator) -> Node | None:
-    """The best oblique split of node t on its sample rows, in the units of the features."""
-    k, d, p = r.k, len(r.lo), r.p
-    rows = sample[at == t]
-    active = r.active & mask
-    if not p["directions"] or len(rows) < LEAST_OBLIQUE or active.sum() < 2:
-        return None
-    x, g, h = rows[:, :d], rows[:, d : d + k], rows[:, d + k : d + 2 * k]
-    centre, width = r.scales(tree)
-    z = np.where(np.isnan(x), 0.0, (x - centre) / width)
-    kdom = int(np.abs(g).sum(0).argmax())
-    xg = z.T @ g[:, kdom]
-    sis = np.abs(xg) / np.sqrt((h[:, kdom, None] * z * z).sum(0) + p["lam"] + 1e-8)
-    depth = int(math.log2(t + 1))
-    budget = p["directions"] if depth <= 2 else min(p["directions"], 8)
-    tried = directions.pool(sis, xg, active, parent, cache, depth, budget, p, rng)
-    if not tried:
-        return None
-    projected = z @ np.array(tried).T
-    lo, hi = projected.min(0), projected.max(0)
-    code = np.minimum(OBLIQUE_BINS - 1, ((projected - lo) / (hi - lo + 1e-8) * OBLIQUE_BINS).astype(np.int64)) + OBLIQUE_BINS * np.arange(len(tried))
-
-    def hist(weights: np.ndarray) -> np.ndarray:
-        whole = np.bincount(code.ravel(), np.repeat(weights, len(tried)), OBLIQUE_BINS * len(tried))
-        return whole.reshape(len(tried), OBLIQUE_BINS).cumsum(1)
-
-    gain = 0.0
-    for i in range(k):
-        gl, hl = hist(g[:, i]), hist(h[:, i])
-        for sign, gs, hs in ((1, gl, hl), (1, gl[:, -1:] - gl, hl[:, -1:] - hl), (-1, gl[:, -1:], hl[:, -1:])):
-            thresholded = np.sign(gs) * np.maximum(np.abs(gs) - p["alpha"], 0)
-            gain = gain + sign * 0.5 * thresholded**2 / (hs + p["lam"] + 1e-8)
-    n = hist(np.ones(len(rows)))
-    gain = np.where((n > 0) & (n < len(rows)), gain, -np.inf)
-    best, b = np.unravel_index(int(gain.argmax()), gain.shape)
-    if not gain[best, b] > 0:
-        return None
-    w = tried[best] / width
-    threshold = lo[best] + (b + 1) * (hi[best] - lo[best] + 1e-8) / OBLIQUE_BINS + float(tried[best] @ (centre / width))
-    # Missing values count as the mean, also of ranks: those are never missing.
-    return Node(t, [], w.tolist(), float(threshold), True, 0.0, "oblique")
-
-
-def _best_splits(state: DataFrame, r: Round, tree: Tree, frontier: list[int], proposed: dict[int, Node], masks: dict[int, np.ndarray]) -> dict[int, dict]:
-    """One job: the best split of each frontier node, with exact gains and sums; feature D is the proposed oblique split."""
-    k, d, bins = r.k, len(r.lo), r.p["bins"]
-    means = r.scales(tree)[0]
-    at = {t: j for j, t in enumerate(frontier)}
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros((len(frontier), d + 1, bins, 2 * k + 1))
-        for batch in batches:
-            x, g, h, number = r.graded(batch)
-            used, factor = r.chosen(g, h, number)
-            x, g, h = ranked(x[used], tree), g[used] * factor[used, None], h[used] * factor[used, None]
-            node = route(tree.nodes, x, means)
-            for t, j in at.items():
-                here = np.flatnonzero(node == t)
-                if not len(here):
-                    continue
-                part, sums = x[here], np.concatenate([g[here], h[here], np.ones((len(here), 1))], 1)
-                codes = {f: r.codes(part, f, tree) for f in np.flatnonzero(r.active & masks[t])}
-                if t in proposed:
-                    left = left_of(proposed[t], part, means)
-                    codes[d] = np.where(left, 0, 1)
-                for f, code in codes.items():
-                    for c in range(2 * k + 1):
-                        cells[j, f, :, c] += np.bincount(code, sums[:, c], bins)
-        j, f, b = np.nonzero(cells[..., -1])
-        got = cells[j, f, b]
-        nodes = np.array(frontier)[j]
-        columns = [pa.array(nodes, pa.int64()), pa.array(f, pa.int32()), pa.array(b, pa.int32()), *(pa.array(got[:, c]) for c in range(2 * k)), pa.array(got[:, -1].astype(np.int64))]
-        yield pa.record_batch(columns, ["node", "f", "bin", *splits.names("G", k), *splits.names("H", k), "n"])
-
-    fields = ", ".join(f"{c} double" for c in [*splits.names("G", k), *splits.names("H", k)])
-    partial = state.mapInArrow(work, f"node long, f int, bin int, {fields}, n long")
-    # Tasks have summed their rows already; dealt by (node, f), sums and scans need no further shuffle.
-    hist = partial.repartition("node", "f").groupBy("node", "f", "bin").agg(*[F.sum(c).alias(c) for c in [*splits.names("G", k), *splits.names("H", k), "n"]])
-    cuts = splits.scan(hist, k, bins, r.p["lam"], r.p["alpha"], r.p["min_rows"], r.p["min_weight"], sums=True)
-    return {row["node"]: row.asDict() for row in splits.best(cuts).collect()}  # one row per node
-
-
-def grow(state: DataFrame, r: Round, rows: int, rng: np.random.Generator) -> tuple[Tree, float | None]:
-    """One tree, best nodes first up to the leaf budget, and the validation loss of the scores before it.
-
-    All open nodes are searched in one job; of those found, the ones of largest
-    gain are split as long as the budget lasts.
-    """
-    k, p, d = r.k, r.p, len(r.lo)
-    sample, by_id, loss = _surveyed(state, r, SAMPLE_ROWS / max(1, rows))
-    g, h, number = sample[:, d : d + k], sample[:, d + k : d + 2 * k], sample[:, -1]
-    if p["goss"] and len(sample):
-        top = int(p["goss"][0] * len(sample))
-        if top and int(p["goss"][1] * (len(sample) - top)):
-            r.cut = float(np.sort(np.abs(g).mean(1))[-top])
-    used, factor = r.chosen(g, h, number)
-    sample = np.concatenate([sample[used, :d], g[used] * factor[used, None], h[used] * factor[used, None], number[used, None]], 1)
-    tree = Tree({0: Node(0, [0.0] * k)})
-    if r.cats:
-        kdom = int(np.abs(sample[:, d : d + k]).sum(0).argmax()) if len(sample) else 0
-        tree.ranks = {f: category_ranks(by_id, f, card, kdom, p["lam"]) for f, card in r.cats.items()}
-        sample[:, :d] = ranked(sample[:, :d], tree)
-    means = r.scales(tree)[0]
-    cache, frontier, leaves, parents = directions.Cache(), [0], 1, {0: None}
-    n_mask = max(1, int(np.rint(d * p["colsample"])))
-    first = True
-    per_job = max(1, MOST_CELLS // ((d + 1) * p["bins"] * (2 * k + 1)))
-
-    def leaf(sums_g: list[float], sums_h: list[float], parent: list[float] | None) -> list[float]:
-        out = []
-        for i in range(k):
-            raw = -math.copysign(max(abs(sums_g[i]) - p["alpha"], 0.0), sums_g[i]) / (sums_h[i] + p["lam"] + 1e-8)
-            out.append(raw if parent is None else (sums_h[i] * raw + p["lam"] * parent[i]) / (sums_h[i] + p["lam"] + 1e-8))
-        return out
-
-    while frontier:
-        at = route(tree.nodes, sample[:, :d], means)
-        masks = {}
-        for t in frontier:
-            masks[t] = np.zeros(d, bool)
-            masks[t][np.random.default_rng((p["seed"], r.stream, t)).permutation(d)[:n_mask]] = True
-        proposed = {t: node for t in frontier if (node := _propose(r, tree, sample, at, t, parents[t], cache, masks[t], rng))}
-        found: dict[int, dict] = {}
-        for cut in range(0, len(frontier), per_job):
-            found |= _best_splits(state, r, tree, frontier[cut : cut + per_job], proposed, masks)
-        if first:
-            sums = found.get(0)
-            tree.nodes[0].leaf = leaf([sums[f"t_G{i}"] for i in range(k)], [sums[f"t_H{i}"] for i in range(k)], None) if sums else _root_leaf(state, r, leaf)
-            first = False
-        good = sorted((t for t in found if found[t]["gain"] > p["gamma"]), key=lambda t: (-found[t]["gain"], t))[: p["leaves"] - leaves]
-        frontier = []
-        width = r.scales(tree)[1]
-        for t in good:
-            s, own = found[t], tree.nodes[t].leaf
-            if s["f"] == d:
-                node = proposed[t]
-                node.leaf, node.gain = own, s["gain"]
-                cache.add(np.array(node.w) * width)
-            else:
-                w = [0.0] * d
-                w[s["f"]] = 1.0
-                node = Node(t, own, w, r.edge(s["f"], s["bin"], tree), bool(s["nan_left"]), s["gain"], "axis")
-            tree.nodes[t] = node
-            leaves += 1
-            for side, child in enumerate((2 * t + 1, 2 * t + 2)):
-                pick = (lambda c, s=s: s[f"l_{c}"]) if side == 0 else (lambda c, s=s: s[f"t_{c}"] - s[f"l_{c}"])
-                tree.nodes[child] = Node(child, leaf([pick(f"G{i}") for i in range(k)], [pick(f"H{i}") for i in range(k)], own))
-                parents[child] = directions.unit(np.array(node.w) * width)
-                n = s["n_left"] if side == 0 else s["n_right"]
-                if n >= 2 * max(1, p["min_rows"]) and int(math.log2(child + 1)) < p["deepest"]:
-                    frontier.append(child)
-        if leaves >= p["leaves"]:
-            break
-    return tree, loss
-
-
-def _root_leaf(state: DataFrame, r: Round, leaf: Callable) -> list[float]:
-    """The root's value where no split is admissible."""
-    k = r.k
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * k)
-        for batch in batches:
-            x, g, h, number = r.graded(batch)
-            used, factor = r.chosen(g, h, number)
-            total += np.concatenate([g[used] * factor[used, None], h[used] * factor[used, None]], 1).sum(0)
-        yield pa.record_batch([pa.array([total[i]]) for i in range(2 * k)], [f"s{i}" for i in range(2 * k)])
-
-    row = state.mapInArrow(work, ", ".join(f"s{i} double" for i in range(2 * k))).agg(*[F.sum(f"s{i}") for i in range(2 * k)]).first()
-    sums = [float(v or 0.0) for v in row]
-    return leaf(sums[:k], sums[k:], None)
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write the table to the shared folder and read it back; on one machine without a folder, to a temporary one."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/slantree-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+ADDED_EVERY, DURABLE_EVERY = 5, 50
+#: Categories up to which a dictionary is broadcast, and classes of a fit.
+MOST_SENT, MOST_CLASSES = 100_000, 10_000
 
 
-def added(state: DataFrame, tree: Tree, rate: float, means: np.ndarray, k: int, d: int) -> DataFrame:
-    """The training table with a tree's values added to the scores."""
+def added(state: DataFrame, trees: list[tuple[Tree, float, np.ndarray]], k: int, d: int) -> DataFrame:
+    """The training table with the values of trees (and their rates and means) added to the scores."""
+    names = [c.split()[0] for c in STATE.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = matrix(batch.column("score"), k) + rate * values(tree, matrix(batch.column("x"), d), means, k)
+            score, x = matrix(batch.column("score"), k), matrix(batch.column("x"), d)
+            for tree, rate, means in trees:
+                score = score + rate * values(tree, x, means, k)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(score) * k + 1, k), pa.int32()), pa.array(score.ravel()))
-            yield pa.record_batch([*(batch.column(c) for c in ("x", "y", "w", "valid", "number")), lists], ["x", "y", "w", "valid", "number", "score"])
+            yield pa.record_batch([lists if c == "score" else batch.column(c) for c in names], names)
 
     return state.mapInArrow(work, STATE)
 
@@ -402,10 +65,14 @@ def fit_tree(df: DataFrame, features: list[str], g_cols: list[str], h_cols: list
     p = PLAIN | (params or {}) | {"seed": seed}
     stats = statistics(df, features)
     x, given = F.array(*[number_or_nan(c) for c in features]), F.array(*[F.col(f"`{c}`").cast("double") for c in [*g_cols, *h_cols]])
-    state = df.select(x.alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("w"), F.lit(False).alias("valid"), F.monotonically_increasing_id().alias("number"), given.alias("score")).persist()
+    rows = df.select(x.alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("w"), F.lit(False).alias("valid"), F.monotonically_increasing_id().alias("number"), given.alias("score"))
     r = Round(stats, {}, k, "given", p, 0)
-    tree, _ = grow(state, r, state.count(), np.random.default_rng(seed))
+    state, path = written(coded_table(rows, r))
+    state = state.persist()
+    n, r.parts = state.count(), state.rdd.getNumPartitions()
+    tree = grow(state, r, n, draw(state, r, n, seed), np.random.default_rng(seed), directions.Cache(), {})
     state.unpersist()
+    removed(df.sparkSession, path)
     return tree, r.means
 
 
@@ -419,7 +86,7 @@ def statistics(df: DataFrame, cols: list[str]) -> list[dict]:
 
 
 #: Parameters of a round in their plain values.
-PLAIN = {"bins": 255, "lam": 1.0, "alpha": 0.0, "gamma": 0.0, "leaves": 64, "deepest": 12, "min_rows": 10, "min_weight": 1.0, "directions": 64, "colsample": 1.0, "subsample": 1.0, "goss": None, "delta": 1.0, "inherited": 1.0, "mutation_rate": 0.1, "mutation_strength": 0.5, "pobs": False, "seed": 42}
+PLAIN = {"bins": 255, "lam": 1.0, "alpha": 0.0, "gamma": 0.0, "leaves": 64, "deepest": 12, "min_rows": 10, "min_weight": 1.0, "directions": 64, "colsample": 1.0, "subsample": 1.0, "goss": None, "delta": 1.0, "inherited": 1.0, "mutation_rate": 0.1, "mutation_strength": 0.5, "pobs": False, "seed": 42, "sample_rows": 16_384, "node_sample": 2048, "exact": (), "smooth": True}
 
 
 class _Shared(Params):
@@ -442,6 +109,11 @@ class _Shared(Params):
     mutationRate = Param(Params._dummy(), "mutationRate", "how far inherited weights move", TypeConverters.toFloat)
     mutationStrength = Param(Params._dummy(), "mutationStrength", "weight of a feature added to an inherited direction", TypeConverters.toFloat)
     pobs = Param(Params._dummy(), "pobs", "eight orthogonal blocks among the inherited candidates", TypeConverters.toBoolean)
+    sampleRows = Param(Params._dummy(), "sampleRows", "rows of the sample that proposes oblique splits of the first nodes", TypeConverters.toInt)
+    nodeSample = Param(Params._dummy(), "nodeSample", "rows of a node that propose its oblique splits, where that sample has too few of it", TypeConverters.toInt)
+    exactDirections = Param(Params._dummy(), "exactDirections", "directions solved from sums over all rows of a node: covariance, wls", TypeConverters.toListString)
+    smoothLeaves = Param(Params._dummy(), "smoothLeaves", "draw leaf values towards the parent's", TypeConverters.toBoolean)
+    gainLogPath = Param(Params._dummy(), "gainLogPath", "folder for the gains of all candidates, or empty", TypeConverters.toString)
     colsampleByNode = Param(Params._dummy(), "colsampleByNode", "share of features a node may use", TypeConverters.toFloat)
     goss = Param(Params._dummy(), "goss", "one-side sampling by gradient", TypeConverters.toBoolean)
     gossTopRate = Param(Params._dummy(), "gossTopRate", "share of rows of largest gradient, all kept", TypeConverters.toFloat)
@@ -461,7 +133,7 @@ class _Shared(Params):
         super().__init__()
         self._setDefault(catCols=[], weightCol="", labelCol="y", rounds=1000, maxDepth=6, maxLeaves=0, learningRate=0.03, regLambda=1.0, regAlpha=0.0, gamma=0.0, minChildWeight=1.0, minRows=10, maxBin=255)
         self._setDefault(directions=64, inheritedRatio=1.0, mutationRate=0.1, mutationStrength=0.5, pobs=False, colsampleByNode=1.0, goss=True, gossTopRate=0.2, gossOtherRate=0.1, subsample=0.8, seed=42)
-        self._setDefault(balanced=False, priorAlpha=0.5, multiStrategy="shared", loss="squared_error", huberDelta=1.0, patience=50, validationIndicatorCol="", verbose=False)
+        self._setDefault(balanced=False, priorAlpha=0.5, multiStrategy="shared", loss="squared_error", huberDelta=1.0, patience=50, validationIndicatorCol="", verbose=False, sampleRows=16_384, nodeSample=2048, exactDirections=[], smoothLeaves=True, gainLogPath="")
         self._set(**values_)
 
 
@@ -489,6 +161,10 @@ class _ObliqueEstimator(_Shared, Estimator, DefaultParamsReadable, DefaultParams
             "mutation_rate": get("mutationRate"),
             "mutation_strength": get("mutationStrength"),
             "pobs": get("pobs"),
+            "sample_rows": get("sampleRows"),
+            "node_sample": get("nodeSample"),
+            "exact": tuple(get("exactDirections")),
+            "smooth": get("smoothLeaves"),
             "seed": get("seed"),
         }
 
@@ -509,8 +185,10 @@ class _ObliqueEstimator(_Shared, Estimator, DefaultParamsReadable, DefaultParams
         n, least, most, whole = rows.agg(F.count("*"), F.min(y), F.max(y), F.min((y == F.floor(y)).cast("int"))).first()
         if not n:
             raise ValueError("no row has a label")
-        if self.classification and (least < 0 or not whole or most > 10_000):
-            raise ValueError("classes must be numbered 0..K-1")
+        if self.classification and (least < 0 or not whole or most > MOST_CLASSES):
+            raise ValueError(f"classes must be numbered 0..K-1, with K up to {MOST_CLASSES + 1}")
+        if set(get("exactDirections")) - {"covariance", "wls"}:
+            raise ValueError("exactDirections may hold covariance and wls")
         return rows, [c for c in wanted if c not in cats], cats, int(most) + 1 if self.classification else 1
 
     def _fit(self, df: DataFrame) -> ObliqueModel:
@@ -548,39 +226,59 @@ class _ObliqueEstimator(_Shared, Estimator, DefaultParamsReadable, DefaultParams
         else:
             init = [gradients.initial_value(columns.where("not valid"), get("loss"), "y", "w" if weight else None)]
         x = F.array(*[F.col(f"x{j}") for j in range(len(numeric))], *[F.col(f"i{j}").cast("double") for j in range(len(cats))])
-        state = columns.select(x.alias("x"), "y", "w", "valid", F.monotonically_increasing_id().alias("number"), F.array(*[F.lit(float(v)) for v in init]).alias("score"))
-        state = durable(state).persist()
-        rows = state.where("not valid").count()
+        rows = columns.select(x.alias("x"), "y", "w", "valid", F.monotonically_increasing_id().alias("number"), F.array(*[F.lit(float(v)) for v in init]).alias("score"))
         p, rng = self._round_params(), np.random.default_rng(get("seed"))
         kind = "softmax" if self.classification else get("loss")
+        state, path = written(coded_table(rows, Round(stats, sizes, k, kind, p, 0)))
+        state = state.persist()
+        n, parts = state.where("not valid").count(), state.rdd.getNumPartitions()
+        spark, rate, cache, log = df.sparkSession, get("learningRate"), directions.Cache(), Log() if get("gainLogPath") else None
         trees: list[Tree] = []
-        best, best_at, losses = math.inf, 0, []
+        pending: list[tuple[Tree, float, np.ndarray]] = []
+        best, best_at, losses, metrics, sample = math.inf, 0, [], [], None
         for t in range(get("rounds") + 1):
-            r = Round(stats, sizes, k, kind, p, get("seed") * 1009 + t)
+            r = Round(stats, sizes, k, kind, p, get("seed") * 1009 + t, pending, parts)
             if t == get("rounds") and not check:
                 break
-            if t == get("rounds"):
-                loss = _surveyed(state, r, 0.0)[2]
-            else:
-                tree, loss = grow(state, r, rows, rng)
-            if check and loss is not None:  # the loss of the t trees so far
-                losses.append(loss)
+            by_id, seen = surveyed(state, r) if check or sizes else ({}, None)
+            if seen is not None:  # what the t trees so far are worth on the validation rows
+                losses.append(seen["loss"])
+                metrics.append({"round": t, **seen})
                 if get("verbose"):
-                    print(f"round {t}: validation loss {loss:.6f}")
-                if loss < best:
-                    best, best_at = loss, t
+                    print(f"round {t}: validation loss {seen['loss']:.6f}" + (f", accuracy {seen['accuracy']:.4f}" if self.classification else ""))
+                if seen["loss"] < best:
+                    best, best_at = seen["loss"], t
                 elif get("patience") and t - best_at >= get("patience"):
                     trees = trees[:best_at]
                     break
             if t == get("rounds"):
                 break
+            if t % DURABLE_EVERY == 0:
+                sample = draw(state, r, n, get("seed") * 1009 + t)
+            tree = grow(state, r, n, sample, rng, cache, by_id, log)
+            means = r.scales(tree)[0]
             trees.append(tree)
-            new = added(state, tree, get("learningRate"), r.scales(tree)[0], k, len(stats))
-            old, state = state, (durable(new) if (t + 1) % DURABLE_EVERY == 0 else new).persist()
-            state.count()
-            old.unpersist()
+            pending = [*pending, (tree, rate, means)]
+            sample.score = sample.score + rate * values(tree, sample.x, means, k)
+            if (t + 1) % ADDED_EVERY == 0:
+                new, old = added(state, pending, k, len(stats)), state
+                pending = []
+                if (t + 1) % DURABLE_EVERY == 0:
+                    new, again = written(new)
+                    state = new.persist()
+                    state.count()
+                    removed(spark, path)
+                    path = again
+                else:
+                    state = new.persist()
+                    state.count()
+                old.unpersist()
         state.unpersist()
-        model = ObliqueModel(trees, init, prior, [s["mean"] for s in stats], self.classification, numeric, cats, dictionaries, losses)
+        removed(spark, path)
+        if log is not None:
+            rows = [(i - get("seed") * 1009, node, depth, ns, family, gain) for i, node, depth, ns, family, gain in log.rows]
+            write_gain_log(spark.createDataFrame(rows, GAIN_LOG), get("gainLogPath"))
+        model = ObliqueModel(trees, init, prior, [s["mean"] for s in stats], self.classification, numeric, cats, dictionaries, losses, metrics=metrics)
         return self._copyValues(model)
 
     @staticmethod
@@ -600,13 +298,14 @@ class ObliqueBoostRegressor(_ObliqueEstimator):
     classification = False
 
 
-class ObliqueModel(_Shared, Model):
+class ObliqueModel(_Shared, Model, MLWritable, MLReadable):
     """A fitted model; scoring is row-local, so the same model scores tables and streams."""
 
-    def __init__(self, trees=None, init=None, prior=None, means=None, classification: bool = True, numeric=None, cats=None, dictionaries=None, losses=None, parts=None):
+    def __init__(self, trees=None, init=None, prior=None, means=None, classification: bool = True, numeric=None, cats=None, dictionaries=None, losses=None, parts=None, metrics=None):
         super().__init__()
         self.trees, self.init, self.prior, self.means, self.classification = trees or [], init or [], prior or [], means or [], classification
         self.numeric, self.cats, self.dictionaries, self.losses, self.parts = numeric or [], cats or [], dictionaries or [], losses or [], parts or []
+        self.metrics = metrics or []  # per round: round, loss, accuracy (None for regression)
 
     @property
     def n_trees(self) -> int:
@@ -657,6 +356,17 @@ class ObliqueModel(_Shared, Model):
         out = out.withColumn("probability", F.transform(powers, lambda e: e / F.aggregate(powers, F.lit(0.0), lambda s, p: s + p)))
         return out.withColumn("prediction", decided(F.col("probability"), self.prior, self.getOrDefault("priorAlpha") if self.getOrDefault("balanced") else 0.0))
 
+    def metrics_table(self, spark: SparkSession) -> DataFrame:
+        """round, loss, accuracy: the validation rows after each round's trees; empty without validation rows."""
+        return spark.createDataFrame([(m["round"], float(m["loss"]), m["accuracy"]) for m in self.metrics], "round int, loss double, accuracy double")
+
+    def write(self) -> MLWriter:
+        return _ModelWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _ModelReader(cls)
+
     def split_records(self, spark: SparkSession) -> DataFrame:
         """One row per split: tree_id, node_id, depth, w, threshold, gain, family."""
         rows = [(t, n.id, int(math.log2(n.id + 1)), n.w, n.threshold, float(n.gain), n.family) for t, tree in enumerate(self.trees) for n in tree.nodes.values() if not n.is_leaf]
@@ -672,7 +382,7 @@ class ObliqueModel(_Shared, Model):
         spark.createDataFrame(ranks, "tree_id int, f int, ranks array<double>").write.mode("overwrite").parquet(f"{path}/ranks")
         words = [(j, v, i) for j, own in enumerate(self.dictionaries) for v, i in own.items()]
         spark.createDataFrame(words, "f int, value string, id int").write.mode("overwrite").parquet(f"{path}/categories")
-        meta = {"init": self.init, "prior": self.prior, "means": self.means, "classification": self.classification, "numeric": self.numeric, "cats": self.cats, "losses": self.losses, "parts": len(self.parts), "params": {p.name: v for p, v in self.extractParamMap().items()}}
+        meta = {"init": self.init, "prior": self.prior, "means": self.means, "classification": self.classification, "numeric": self.numeric, "cats": self.cats, "losses": self.losses, "metrics": self.metrics, "parts": len(self.parts), "params": {p.name: v for p, v in self.extractParamMap().items()}}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @classmethod
@@ -687,11 +397,36 @@ class ObliqueModel(_Shared, Model):
         for r in spark.read.parquet(f"{path}/categories").collect():
             words[r["f"]][r["value"]] = r["id"]
         parts = [cls.load_tables(spark, f"{path}/part{c}") for c in range(meta["parts"])]
-        model = cls([trees[t] for t in sorted(trees)], meta["init"], meta["prior"], meta["means"], meta["classification"], meta["numeric"], meta["cats"], words, meta["losses"], parts)
+        model = cls([trees[t] for t in sorted(trees)], meta["init"], meta["prior"], meta["means"], meta["classification"], meta["numeric"], meta["cats"], words, meta["losses"], parts, meta["metrics"])
         model._set(**meta["params"])
         return model
 
 
+class _ModelWriter(MLWriter):
+    """Params as pyspark.ml writes them, and the tables of the model beside them; so a fitted Pipeline can be saved."""
+
+    def __init__(self, model: ObliqueModel):
+        super().__init__()
+        self.model = model
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.model, path, self.sparkSession)
+        self.model.save_tables(self.sparkSession, f"{path}/tables")
+
+
+class _ModelReader(MLReader):
+    def __init__(self, kind: type):
+        super().__init__()
+        self.kind = kind
+
+    def load(self, path: str) -> ObliqueModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        model = self.kind.load_tables(self.sparkSession, f"{path}/tables")
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
+
+
 def decided(probability: Column, prior: list[float], alpha: float = 0.0) -> Column:
     """The first class of largest probability, each divided by its prior to the power alpha."""
     weights = F.array(*[F.lit(1.0 / v**alpha if v and alpha else 1.0) for v in prior])

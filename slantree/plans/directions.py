@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-#: Directions a tree remembers, and the cosine above which two are the same.
+#: Directions a fit remembers, and the cosine above which two are the same.
 CACHE, SAME = 32, 0.95
 #: Nonzero weights of a direction at most.
 MOST_TERMS = 16
@@ -95,11 +95,11 @@ class Cache:
             self.kept = [*self.kept, w][-CACHE:]
 
 
-def pool(sis: np.ndarray, xg: np.ndarray, active: np.ndarray, parent: np.ndarray | None, cache: Cache, depth: int, budget: int, params: dict, rng: np.random.Generator) -> list[np.ndarray]:
-    """Candidates of one node: the inherited share by scaling, extending and blending, the rest blocks; cached directions join."""
+def candidates(sis: np.ndarray, xg: np.ndarray, active: np.ndarray, parent: np.ndarray | None, cache: Cache, depth: int, budget: int, params: dict, rng: np.random.Generator) -> list[tuple[np.ndarray, str]]:
+    """Directions of one node and their families: the inherited share by scaling, extending and blending, the rest blocks; cached ones join."""
     inherited = 0 if parent is None else round(budget * params["inherited"])
     extra = 8 if params["pobs"] and inherited else 0
-    out = []
+    out: list[tuple[np.ndarray, str]] = []
     for _ in range(max(0, inherited - extra)):
         kind = rng.uniform()
         if cache.kept:
@@ -109,12 +109,17 @@ def pool(sis: np.ndarray, xg: np.ndarray, active: np.ndarray, parent: np.ndarray
         if kind == "scale" and np.count_nonzero(parent) == 1:
             kind = "extend"
         if kind == "scale":
-            out.append(scaled(parent, depth, params["mutation_rate"], rng))
+            out.append((scaled(parent, depth, params["mutation_rate"], rng), kind))
         elif kind == "extend":
-            out.append(extended(parent, depth, params["mutation_strength"], sis, xg, active, rng))
+            out.append((extended(parent, depth, params["mutation_strength"], sis, xg, active, rng), kind))
         else:
-            out.append(blended(parent, cache.kept[int(rng.integers(len(cache.kept)))], rng))
-    out += blocks(sis, xg, active, rng, budget - inherited + extra if inherited else budget)
-    out += cache.kept
-    out = [unit(truncated(w)) for w in out]
-    return [w for w in out if np.count_nonzero(w) > 1]
+            out.append((blended(parent, cache.kept[int(rng.integers(len(cache.kept)))], rng), kind))
+    out += [(w, "block") for w in blocks(sis, xg, active, rng, budget - inherited + extra if inherited else budget)]
+    out += [(w, "cache") for w in cache.kept]
+    out = [(unit(truncated(w)), family) for w, family in out]
+    return [(w, family) for w, family in out if np.count_nonzero(w) > 1]
+
+
+def pool(*args) -> list[np.ndarray]:
+    """The directions of `candidates` alone."""
+    return [w for w, _ in candidates(*args)]

@@ -30,11 +30,21 @@ def write_params(params: dict, path: str, spark: SparkSession) -> None:
     spark.createDataFrame([(json.dumps(params),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+#: Columns of a gain log: a row per candidate of a searched node.
+GAIN_LOG = "tree_id int, node_seq int, depth int, ns long, family string, gain double"
+
+
+def write_gain_log(df: DataFrame, path: str) -> None:
+    """CSV with a header, as read_gain_log reads it."""
+    df.write.mode("overwrite").csv(path, header=True)
+
+
 def read_gain_log(spark: SparkSession, path: str) -> DataFrame:
-    """node_seq, depth, ns, gains: a logged node's candidate gains by family."""
+    """node_seq, depth, ns (and tree_id where logged), gains: a node's candidate gains by family."""
     log = read_csv(spark, path)
-    lists = log.groupBy("node_seq", "depth", "ns", "family").agg(F.sort_array(F.collect_list(F.col("gain").cast("double"))).alias("gains"))
-    return lists.groupBy("node_seq", "depth", "ns").agg(F.map_from_entries(F.collect_list(F.struct("family", "gains"))).alias("gains"))
+    node = [c for c in ("tree_id", "node_seq", "depth", "ns") if c in log.columns]
+    lists = log.groupBy(*node, "family").agg(F.sort_array(F.collect_list(F.col("gain").cast("double"))).alias("gains"))
+    return lists.groupBy(*node).agg(F.map_from_entries(F.collect_list(F.struct("family", "gains"))).alias("gains"))
 
 
 def write_results(df: DataFrame, path: str) -> None:

@@ -3,9 +3,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from slantree.plans import boost, directions
+from slantree.plans import boost, directions, growth
 from slantree.plans.boost import ObliqueBoostClassifier, ObliqueBoostRegressor, ObliqueModel
 from slantree.plans.trees import route
+from slantree.sources.tables import read_gain_log
 from slantree.streaming.scoring import score_stream
 
 #: Names that the fit uses itself; features may have them.
@@ -141,3 +142,157 @@ def test_directions():
     assert 20 < len(tried) <= 34 and all(np.count_nonzero(w) > 1 for w in tried)
     gram, g = np.diag([1.0, 4.0]), np.array([2.0, 2.0])
     assert np.allclose(directions.wls(gram, g, 0.0), directions.unit(np.array([-2.0, -0.5])))
+
+
+def same_trees(a, b):
+    assert len(a) == len(b)
+    for s, t in zip(a, b):
+        assert {n: (m.family, m.threshold, [float(v) for v in m.w]) for n, m in s.nodes.items()} == {n: (m.family, m.threshold, [float(v) for v in m.w]) for n, m in t.nodes.items()}
+        assert all(np.allclose(m.leaf, t.nodes[n].leaf) for n, m in s.nodes.items())
+
+
+def test_sums_added_by_spark_or_by_the_driver(spark, rows, monkeypatch):
+    """The same trees whether sums meet in the driver or in tasks, and whether or not Spark picks the best cut."""
+    est = ObliqueBoostClassifier(featuresCols=["a", "b", "c", "cat"], labelCol="k", rounds=2, maxLeaves=6, learningRate=0.5, minRows=5)
+    local = est.fit(rows)
+    monkeypatch.setattr(growth, "MOST_LOCAL", 0)
+    spread = est.fit(rows)
+    same_trees(local.trees, spread.trees)
+    monkeypatch.setattr(growth, "MOST_COMPARED", 0)
+    same_trees(local.trees, est.fit(rows).trees)
+
+
+def test_best_first_does_not_depend_on_how_far_it_looks_ahead(rows, monkeypatch):
+    est = ObliqueBoostRegressor(featuresCols=["a", "b", "c"], labelCol="z", rounds=1, maxLeaves=7, directions=0, goss=False, subsample=1.0)
+    far = est.fit(rows)
+    monkeypatch.setattr(growth, "AHEAD", 1)
+    same_trees(far.trees, est.fit(rows).trees)
+    gains = [n.gain for n in far.trees[0].nodes.values() if not n.is_leaf]
+    assert len(gains) == 6
+
+
+def test_siblings_by_subtraction_are_the_sums_of_their_rows(spark):
+    """Every split's gain is that of the rows which the tree routes to it."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 4))
+    frame = pd.DataFrame(x, columns=list("abcd"))
+    frame["y"] = np.sin(2 * x[:, 0]) + x[:, 1] * (x[:, 2] > 0)
+    model = ObliqueBoostRegressor(featuresCols=list("abcd"), rounds=1, maxLeaves=9, directions=0, goss=False, subsample=1.0, regLambda=0.0, smoothLeaves=False).fit(spark.createDataFrame(frame))
+    nodes, e = model.trees[0].nodes, model.init[0] - frame["y"].to_numpy()
+    for t, n in nodes.items():
+        rows = route({u: m for u, m in nodes.items() if u < t or u == t}, x, np.array(model.means))
+        at = np.isin(rows, [t, 2 * t + 1, 2 * t + 2])
+        if n.is_leaf:
+            assert n.leaf[0] == pytest.approx(-e[at].mean(), abs=1e-9)
+        else:
+            side = at & (rows == 2 * t + 1)
+            want = 0.5 * (e[side].sum() ** 2 / side.sum() + e[at & ~side].sum() ** 2 / (at & ~side).sum() - e[at].sum() ** 2 / at.sum())
+            assert n.gain == pytest.approx(want, rel=1e-6)
+
+
+def test_one_side_sampling_in_a_fit_is_exact(spark, monkeypatch):
+    """However small the sample: the rows of largest gradient, ties by hash, and so many of the others."""
+    rng = np.random.default_rng(9)
+    n = 5000
+    for g in (np.round(rng.normal(size=(n, 1)), 1), np.full((n, 1), 0.5), rng.normal(size=(n, 2))):
+        frame = pd.DataFrame({"x": [[float(v)] for v in rng.normal(size=n)], "y": 0.0, "w": 1.0, "valid": False, "number": np.arange(n) * 3, "score": [[*map(float, row), *[1.0] * len(row)] for row in g]})
+        p = boost.PLAIN | {"goss": (0.2, 0.1), "sample_rows": 300}
+        r = growth.Round([{"lo": -5.0, "hi": 5.0, "mean": 0.0, "active": True}], {}, g.shape[1], "given", p, 5)
+        state = growth.coded_table(spark.createDataFrame(frame, "x array<double>, y double, w double, valid boolean, number long, score array<double>").repartition(3), r).persist()
+        sample = growth.draw(state, r, n, 4)
+        assert 200 < len(sample.number) < 400
+        for most in (1 << 19, 200):
+            monkeypatch.setattr(growth, "MOST_ORDERED", most)
+            r.cut = growth.one_side_cut(state, r, n, sample, sample.graded(r)[0])
+            used, factor = r.chosen(g, np.ones_like(g), np.arange(n) * 3)
+            top = used & (factor == 1)
+            size = np.abs(g).mean(1)
+            assert top.sum() == 1000 and (used & ~top).sum() == 400 and np.allclose(factor[used & ~top], 8.0)
+            assert size[top].min() >= size[~top].max()
+
+
+def test_directions_are_remembered_over_rounds_and_numeric_only(rows, monkeypatch):
+    held = []
+    real = directions.Cache.add
+    monkeypatch.setattr(directions.Cache, "add", lambda self, w: (held.append((id(self), np.array(w))), real(self, w))[1])
+    model = ObliqueBoostClassifier(featuresCols=["a", "b", "c", "cat"], rounds=4, maxDepth=2, learningRate=0.5).fit(rows)
+    committed = [np.array(n.w) for t in model.trees for n in t.nodes.values() if n.family == "oblique"]
+    assert held and len({i for i, _ in held}) == 1 and all(w[3] == 0 for _, w in held)
+    assert len(held) == sum(w[3] == 0 for w in committed)
+
+
+def test_deep_nodes_are_sampled_by_themselves(spark, monkeypatch):
+    """Oblique candidates at nodes of 64 rows and more, though the table's sample has few of theirs."""
+    rng = np.random.default_rng(2)
+    x = rng.uniform(size=(20_000, 3))
+    frame = pd.DataFrame(x, columns=list("abc"))
+    frame["y"] = (np.sin(9 * (x[:, 0] + x[:, 1])) + np.sin(7 * (x[:, 1] - x[:, 2])) > 0).astype(int)
+    seen = []
+    real = growth.propose
+    monkeypatch.setattr(growth, "propose", lambda r, tree, sample, t, *a: (seen.append((t, len(sample))), real(r, tree, sample, t, *a))[1])
+    model = ObliqueBoostClassifier(featuresCols=list("abc"), rounds=1, maxLeaves=40, minRows=40, sampleRows=500, nodeSample=300, goss=False, subsample=1.0).fit(spark.createDataFrame(frame))
+    deep = [n for n in model.trees[0].nodes.values() if n.id > 14 and not n.is_leaf]
+    assert len(deep) > 5 and any(n.family == "oblique" for n in deep)
+    assert min(size for t, size in seen if t > 6) >= 64 and max(size for t, size in seen if t) < 900
+
+
+@pytest.mark.parametrize("name", ["covariance", "wls"])
+def test_directions_from_all_rows(spark, name):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 4))
+    frame = pd.DataFrame(x, columns=list("abcd"))
+    frame["y"] = x @ np.array([1.0, -2.0, 0.5, 0.0]) + 0.1 * rng.normal(size=3000)
+    model = ObliqueBoostRegressor(featuresCols=list("abcd"), rounds=1, maxLeaves=4, directions=0, exactDirections=[name], goss=False, subsample=1.0).fit(spark.createDataFrame(frame))
+    root = model.trees[0].nodes[0]
+    centre, width = x.mean(0), x.max(0) - x.min(0)
+    z, e = (x - centre) / width, model.init[0] - frame["y"].to_numpy()
+    want = -z.T @ e if name == "covariance" else np.linalg.solve(z.T @ z + np.eye(4), -z.T @ e)
+    assert root.family == name
+    assert np.allclose(np.array(root.w) * width / np.linalg.norm(np.array(root.w) * width), want / np.linalg.norm(want), atol=1e-6)
+    left = x @ np.array(root.w) < root.threshold
+    assert root.gain == pytest.approx(0.5 * (e[left].sum() ** 2 / (left.sum() + 1) + e[~left].sum() ** 2 / ((~left).sum() + 1) - e.sum() ** 2 / 3001), rel=1e-6)
+
+
+def test_gain_log(spark, rows, tmp_path):
+    est = ObliqueBoostClassifier(featuresCols=["a", "b", "c"], rounds=2, maxLeaves=5, learningRate=0.5, gainLogPath=str(tmp_path / "log"))
+    model = est.fit(rows)
+    log = read_gain_log(spark, str(tmp_path / "log")).toPandas()
+    assert set(log.tree_id) == {0, 1} and {f for g in log.gains for f in g} >= {"axis", "block"}
+    for t, tree in enumerate(model.trees):
+        for n in tree.nodes.values():
+            if not n.is_leaf:
+                own = log[(log.tree_id == t) & (log.node_seq == n.id)].gains.iloc[0]
+                assert n.family != "axis" or max(own["axis"]) == pytest.approx(n.gain)
+    plain = ObliqueBoostClassifier(featuresCols=["a", "b", "c"], rounds=2, maxLeaves=5, learningRate=0.5).fit(rows)
+    same_trees(model.trees, plain.trees)
+
+
+def test_metrics_of_each_round(spark, rows):
+    model = ObliqueBoostClassifier(featuresCols=["a", "b"], rounds=3, maxDepth=2, learningRate=0.5, validationIndicatorCol="v").fit(rows)
+    got = model.metrics_table(spark).toPandas()
+    assert got["round"].tolist() == [0, 1, 2, 3] and got.loss.tolist() == model.losses
+    assert got.accuracy.iloc[-1] == pytest.approx(accuracy(model.transform(rows.where("v"))))
+    model = ObliqueBoostRegressor(featuresCols=["a"], labelCol="z", rounds=1, maxDepth=1, validationIndicatorCol="v").fit(rows)
+    assert model.metrics_table(spark).where("accuracy is null").count() == 2
+
+
+def test_scores_are_added_up_and_written(spark, rows, monkeypatch):
+    est = ObliqueBoostRegressor(featuresCols=["a", "c"], labelCol="z", rounds=5, maxDepth=2, learningRate=0.3, directions=4)
+    want = est.fit(rows)
+    monkeypatch.setattr(boost, "ADDED_EVERY", 2)
+    same_trees(want.trees, est.fit(rows).trees)
+
+
+def test_a_fitted_pipeline_is_saved_and_loaded(spark, rows, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+
+    for est in (ObliqueBoostClassifier(featuresCols=["a", "half", "cat"], rounds=2, maxDepth=2, learningRate=0.5), ObliqueBoostClassifier(featuresCols=["a", "half"], labelCol="k", rounds=2, maxDepth=2, multiStrategy="ovr"), ObliqueBoostRegressor(featuresCols=["a", "half"], labelCol="z", rounds=2, maxDepth=2)):
+        fitted = Pipeline(stages=[SQLTransformer(statement="select *, b / 2 as half from __THIS__"), est]).fit(rows)
+        path = str(tmp_path / type(est).__name__) + est.getOrDefault("multiStrategy")
+        fitted.write().overwrite().save(path)
+        again = PipelineModel.load(path)
+        assert fitted.transform(rows).select("prediction").collect() == again.transform(rows).select("prediction").collect()
+        assert again.stages[1].uid == fitted.stages[1].uid and again.stages[1].getOrDefault("maxDepth") == 2
+        est.save(path + "-estimator")
+        assert type(est).load(path + "-estimator").getOrDefault("rounds") == 2
