@@ -21,6 +21,7 @@ of too few of them is sampled again, by itself.
 
 from __future__ import annotations
 
+import copy
 import heapq
 import math
 from collections.abc import Callable, Iterator
@@ -37,7 +38,7 @@ from slantree.plans.trees import Node, Tree, left_of, ranked, route, values
 #: Bytes of sampled rows that the driver holds, for the table and for the nodes of one job.
 SAMPLE_BYTES = 1 << 26
 #: Rows of a node in the sample for an oblique search, and its bins.  A node of fewer than ENOUGH sampled rows is sampled by itself.
-LEAST_OBLIQUE, OBLIQUE_BINS, ENOUGH = 64, 64, 256
+LEAST_OBLIQUE, OBLIQUE_BINS, ENOUGH = 64, 64, 128
 #: Cells of the sums that a task holds, and nodes whose children are searched in one job.
 MOST_CELLS, AHEAD = 1 << 23, 32
 #: Bytes of a node's sums from all tasks up to which the driver adds them; beyond, they are shuffled to a task per node and feature.
@@ -672,6 +673,28 @@ def solved(r: Round, tree: Tree, m: Moments, mask: np.ndarray) -> list[Projectio
     return out
 
 
+def picked(state: DataFrame, r: Round) -> tuple[DataFrame, Round]:
+    """The rows that the round uses, with their gradients (factors included) in the place of scores, and the round for them.
+
+    Where few rows are used, every further job reads only these and grades none again.
+    """
+    names, k = [c.split()[0] for c in STATE.split(", ")], r.k
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(~batch.column("valid").to_numpy(zero_copy_only=False)))
+            _, _, g, h, number = r.graded(batch)
+            keep, factor = r.chosen(g, h, number)
+            at, sums = np.flatnonzero(keep), np.concatenate([g[keep], h[keep]], 1) * factor[keep, None]
+            batch = batch.take(pa.array(at))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * 2 * k + 1, 2 * k), pa.int32()), pa.array(sums.ravel()))
+            yield pa.record_batch([lists if c == "score" else batch.column(c) for c in names], names)
+
+    own = copy.copy(r)
+    own.kind, own.cut, own.pending, own.p = "given", None, [], r.p | {"goss": None, "subsample": 1.0}
+    return state.mapInArrow(work, STATE).persist(), own
+
+
 def grow(state: DataFrame, r: Round, rows: int, sample: Sample, rng: np.random.Generator, cache: directions.Cache, by_id: dict, log: Log | None = None) -> Tree:
     """One tree, always splitting the searched node of largest gain, up to the leaf budget."""
     k, p, d = r.k, r.p, len(r.lo)
@@ -784,6 +807,9 @@ def grow(state: DataFrame, r: Round, rows: int, sample: Sample, rng: np.random.G
         wanted = [c for c, size in n.items() if size >= 2 * max(1, p["min_rows"]) and int(math.log2(c + 1)) < p["deepest"]]
         return Target(t, min(n, key=lambda c: (n[c], c)), wanted) if wanted else None
 
+    few = r.cut is not None
+    if few:
+        state, r = picked(state, r)
     look([Target(-1, 0, [0])])
     cut, node = best[0]
     tree.nodes[0].leaf = leaf(cut["total_sums"], None) if cut else root_leaf(state, r, leaf)
@@ -810,6 +836,8 @@ def grow(state: DataFrame, r: Round, rows: int, sample: Sample, rng: np.random.G
             tree.nodes[child] = Node(child, leaf(sums, node.leaf))
             if not last and child in best and best[child][1]:
                 heapq.heappush(heap, (-best[child][1].gain, child))
+    if few:
+        state.unpersist()
     for table in tables:
         if not r.local:
             table.unpersist()
