@@ -47,6 +47,23 @@ def running(df: DataFrame, value: str, sums: Sequence[str], descending: bool = F
     return out.drop("_part", *[f"_o_{c}" for c in sums])
 
 
+def running_by(df: DataFrame, keys: Sequence[str], part: str, value: str, sums: Sequence[str]) -> DataFrame:
+    """run_<c> for many lists at once: sums over a list's rows up to this one in the order of `value`, and next_<value>, the following value.
+
+    A list is the rows equal in `keys`; `part` numbers ranges that ascend with
+    the value, so a list is summed range by range and the ranges' totals, which
+    are few, are added on.  Values of a list are distinct.
+    """
+    totals = df.groupBy(*keys, part).agg(F.min(value).alias("_first"), *[F.sum(c).alias(f"_t_{c}") for c in sums])
+    order = W.partitionBy(*keys).orderBy(part)  # as many rows as ranges
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*keys, part, F.lead("_first").over(order).alias("_then"), *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums])
+    within = W.partitionBy(*keys, part).orderBy(value)
+    run = within.rowsBetween(W.unboundedPreceding, 0)
+    out = df.join(offsets, [*keys, part]).withColumns({f"run_{c}": F.sum(c).over(run) + F.col(f"_o_{c}") for c in sums})
+    return out.withColumn(f"next_{value}", F.coalesce(F.lead(value).over(within), F.col("_then"))).drop(part, "_then", *[f"_o_{c}" for c in sums])
+
+
 def counted(df: DataFrame, value: str) -> DataFrame:
     """value, n, run_n: rows per distinct non-null value, and up to it."""
     return running(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")), value, ["n"])

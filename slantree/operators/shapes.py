@@ -55,9 +55,9 @@ def leaf_code(tests: Sequence[Column]) -> Column:
     return code
 
 
-def pooled_split(df: DataFrame, p: str, lam: float = 1.0, shares: Sequence[float] = tuple(k / 20 for k in range(1, 20)), min_rows: int = 4, node: str = "node", g: str = "g0", h: str = "h0") -> DataFrame:
-    """One direction and one threshold for all nodes: the pooled quantile with the largest sum of gains; a side needs min_rows."""
-    edges = ordered.quantiles(df, p, shares)
+def pooled_split(df: DataFrame, p: str, lam: float = 1.0, shares: Sequence[float] = tuple(k / 20 for k in range(1, 20)), min_rows: int = 4, node: str = "node", g: str = "g0", h: str = "h0", edges: Sequence[float] | None = None) -> DataFrame:
+    """One direction and one threshold for all nodes: the pooled quantile (or one of `edges`) with the largest sum of gains; a side needs min_rows."""
+    edges = ordered.quantiles(df, p, shares) if edges is None else edges
     aggs = [F.sum(g).alias("tg"), F.sum(h).alias("th"), F.count("*").alias("tn")]
     for k, edge in enumerate(edges):
         left = F.col(p) < F.lit(edge)
