@@ -61,14 +61,16 @@ CHUNK_BYTES, CHUNK_KEYS = 1 << 24, 1 << 18
 NARROW, MEDIUM = 64, 160
 #: Units of at most so many lines are verified many at once, larger ones by a matrix each.
 SMALL_UNIT = 48
+#: Hot keys whose numbers of blocks are sent to all tasks; of more, they are joined.
+MOST_HOT = 100_000
 #: Pairs of lines that are tested at a time.
-PAIRS = 1 << 16
+PAIRS = 1 << 17
 SIGNS = ["s0", "s1", "s2", "s3"]
 DOC = {"doc_id": "<i8", "known": "<u1", "text_hash": "<i8", "n": "<i4"}
-LINE = {"line_no": "<i4", "size": "<i4", "name": "<i8", "line": "<i8"}
-FIRST = {"name": "<i8", "doc_id": "<i8", "text_hash": "<i8", "line_no": "<i4", "size": "<i4", "line": "<i8", "more": "<u1"}
+LINE = {"line_no": "<i4", "size": "<i4", "name": "<i8", "other": "<i8", "line": "<i8"}
+FIRST = {"name": "<i8", "other": "<i8", "doc_id": "<i8", "text_hash": "<i8", "line_no": "<i4", "size": "<i4", "line": "<i8", "more": "<u1"}
 KEY = {"low": "<u4", "n": "<u4"}
-FOUND = {"name": "<i8", "doc_id": "<i8", "text_hash": "<i8", "line_no": "<i4", "n_links": "<i8", "earlier": "<u1", "head_doc": "<i8", "head_line": "<i4"}
+FOUND = {"name": "<i8", "other": "<i8", "doc_id": "<i8", "text_hash": "<i8", "line_no": "<i4", "n_links": "<i8", "earlier": "<u1", "head_doc": "<i8", "head_line": "<i4"}
 
 
 def in_lines(line: np.ndarray, high: np.ndarray, full: np.ndarray) -> np.ndarray:
@@ -107,6 +109,9 @@ class LineSets:
         total = np.zeros(len(hashes) + 1, np.uint64)
         np.cumsum(mix(hashes + np.uint64(21)), out=total[1:])
         self.name = mix(total[edge[1:]] - total[edge[:-1]] + self.size.astype(np.uint64)).view(np.int64) if len(used) else np.zeros(0, np.int64)
+        # A set is known by two names of 64 bits; the second is made from the tokens' hashes themselves.
+        np.cumsum(hashes, out=total[1:])
+        self.other = mix(total[edge[1:]] - total[edge[:-1]]).view(np.int64) if len(used) else np.zeros(0, np.int64)
 
 
 def slots(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +150,7 @@ def _listed(df: DataFrame) -> DataFrame:
                 total += np.bincount(slot, minlength=2 * SLOTS)
             ids = batch.column("doc_id")
             docs = {"doc_id": ids.fill_null(0).to_numpy(), "known": ids.is_valid().to_numpy(zero_copy_only=False).astype("<u1"), "text_hash": batch.column("text_hash").to_numpy(), "n": np.bincount(s.doc, minlength=len(batch)).astype("<i4")}
-            held.append((docs, {"line_no": s.number.astype("<i4"), "size": s.size.astype("<i4"), "name": s.name, "line": s.line}))
+            held.append((docs, {"line_no": s.number.astype("<i4"), "size": s.size.astype("<i4"), "name": s.name, "other": s.other, "line": s.line}))
             size += s.n_bytes
             if size >= CHUNK_BYTES:
                 yield chunk(*({c: np.concatenate([h[c] for h in part]) for c in part[0]} for part in zip(*held)))
@@ -178,10 +183,10 @@ def _rarity(listed: DataFrame) -> np.ndarray:
 
 def _first_places(c: records.Columns) -> records.Columns:
     """One record per name: its least place, and whether it has another."""
-    order = np.lexsort((c["line_no"], c["text_hash"], c["doc_id"], c["name"]))
+    order = np.lexsort((c["line_no"], c["text_hash"], c["doc_id"], c["other"], c["name"]))
     c = {k: v[order] for k, v in c.items()}
     new = np.ones(len(order), bool)
-    new[1:] = c["name"][1:] != c["name"][:-1]
+    new[1:] = (c["name"][1:] != c["name"][:-1]) | (c["other"][1:] != c["other"][:-1])
     start = np.flatnonzero(new)
     moved = np.zeros(len(order), bool)
     moved[1:] = ~new[1:] & ((c["doc_id"][1:] != c["doc_id"][:-1]) | (c["text_hash"][1:] != c["text_hash"][:-1]) | (c["line_no"][1:] != c["line_no"][:-1]))
@@ -204,7 +209,7 @@ def _sets(chunks: DataFrame, buckets: int) -> DataFrame:
             for d, t in zip(batch.column("docs").to_pylist(), batch.column("lines").to_pylist()):
                 docs, own = records.unpack([d], DOC), records.unpack([t], LINE)
                 doc = spread(docs)
-                c = {"name": own["name"], "doc_id": docs["doc_id"][doc], "text_hash": docs["text_hash"][doc], "line_no": own["line_no"], "size": own["size"], "line": own["line"], "more": np.zeros(len(doc), "<u1")}
+                c = {"name": own["name"], "other": own["other"], "doc_id": docs["doc_id"][doc], "text_hash": docs["text_hash"][doc], "line_no": own["line_no"], "size": own["size"], "line": own["line"], "more": np.zeros(len(doc), "<u1")}
                 known = docs["known"][doc] == 1
                 yield _first_places({k: v[known] for k, v in c.items()})
 
@@ -213,7 +218,7 @@ def _sets(chunks: DataFrame, buckets: int) -> DataFrame:
         yield pa.record_batch([*(pa.array(c[k]) for k in FIRST if k != "more"), pa.array(c["more"] == 1)], list(FIRST))
 
     sent = records.deal(chunks.select("docs", "lines"), lines, buckets, "name", _first_places)
-    return records.gather([sent], least, "name long, doc_id long, text_hash long, line_no int, size int, line long, more boolean")
+    return records.gather([sent], least, "name long, other long, doc_id long, text_hash long, line_no int, size int, line long, more boolean")
 
 
 def place(doc_id: np.ndarray, text_hash: np.ndarray, line_no: np.ndarray) -> np.ndarray:
@@ -255,8 +260,9 @@ def least_size(percent: int) -> int:
 def _filed(df: DataFrame, rarity, firsts, percent: int) -> DataFrame:
     """Rows of packed sets (name, size, number of keys, parity words) and of the keys of the adjacent token pairs of their prefixes.
 
-    A set is filed where its first place is; the bit map of first places may
-    let a few others through, which files a set twice and changes nothing.
+    A set is filed where its first place is.  The bit map of first places may
+    let others through, more of them the fuller it is; who reads the files drops
+    what a key holds more than once.
     """
     reach = (100 - percent) * 2
     schema = "n_keys long, name binary, size binary, many binary, s0 binary, s1 binary, s2 binary, s3 binary, keys binary"
@@ -478,6 +484,21 @@ def _entries(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[records.Colu
             yield {"key": key[at], "name": np.frombuffer(name, np.int64)[own], "size": np.frombuffer(size, "<i4")[own].astype(np.int64), "pos": pos, **{c: np.frombuffer(w, np.uint64)[own] for c, w in zip(SIGNS, signs)}}
 
 
+def once(rows: records.Columns) -> tuple[records.Columns, np.ndarray]:
+    """The rows sorted by key, without those filed more than once under it, and where each key starts."""
+    order = np.lexsort((rows["name"], rows["key"]))
+    rows = {c: v[order] for c, v in rows.items()}
+    again = np.zeros(len(order), bool)
+    again[1:] = (rows["key"][1:] == rows["key"][:-1]) & (rows["name"][1:] == rows["name"][:-1])
+    at = np.flatnonzero(again)
+    for c in ("size", "pos", *SIGNS):
+        at = at[rows[c][at] == rows[c][at - 1]]
+    keep = np.ones(len(order), bool)
+    keep[at] = False
+    rows = {c: v[keep] for c, v in rows.items()}
+    return rows, np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))[: len(rows["key"])]
+
+
 def _compared(rows: records.Columns, start: np.ndarray, percent: int, apart: np.ndarray | None = None) -> pa.RecordBatch:
     """A spanning forest (a, b) of the links between names that pass the filters within units; of units marked `apart`, only links between blocks."""
     total = len(rows["name"])
@@ -540,10 +561,7 @@ def _candidates(files: DataFrame, percent: int, block: int) -> DataFrame:
 
     def compare(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         rows = unpack_entries(blobs)
-        order = np.argsort(rows["key"], kind="stable")
-        rows = {c: v[order] for c, v in rows.items()}
-        start = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))[: len(order)]
-        yield _compared(rows, start, percent)
+        yield _compared(*once(rows), percent)
 
     dealt = records.deal(files, cold, buckets, "key", packer=pack_entries)
     links = records.gather([dealt], compare, "a long, b long")
@@ -558,8 +576,9 @@ def _hot_links(files: DataFrame, hot: DataFrame, wanted, buckets: int, percent:
             key = (records.bucket_of(c["key"], buckets) << 32) + (c["key"] & np.uint64(0xFFFFFFFF)).astype(np.int64)
             yield pa.record_batch([pa.array(key), packed(c["name"], c["size"], c["pos"], [c[k] for k in SIGNS])], ["key", "entry"])
 
-    # What the hot keys' map lets through by chance has one block.
-    warm = files.mapInArrow(listed, "key long, entry binary").join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    # Sets filed more than once would be copied to every block as often: each is kept once.  What the hot keys' map lets through by chance has one block.
+    single = files.mapInArrow(listed, "key long, entry binary").distinct()
+    warm = single.join(F.broadcast(hot) if hot.count() <= MOST_HOT else hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = warm.withColumn("own", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "entry")
 
@@ -609,17 +628,17 @@ def shared_tokens(s: LineSets, p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _verified(members: DataFrame, df: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Per set name: links and whether an earlier set is linked; and a spanning forest of the links."""
+    """Per id of a set: links and whether an earlier set is linked; and a spanning forest of the links."""
     sizes = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_MEMBERS), F.ceil(F.col("s") / 2_000_000), F.lit(1)).cast("int")
-    placed = members.join(sizes.select("grp", blocks.alias("blocks")), "grp").withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
+    placed = members.join(sizes.select("grp", blocks.alias("blocks")), "grp").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = _wanted_lines(df, members).join(placed, "line")
     units = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "name", "doc_id", "text_hash", "line_no", "words")
+    units = units.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "doc_id", "text_hash", "line_no", "words")
 
     def compare(table: pa.Table, _: np.ndarray) -> Iterator[pa.RecordBatch]:
         # Rows are sorted by the place of their set, so a set sent by several tasks stands together.
-        name, grp, i, j = (table.column(c).to_numpy() for c in ("name", "grp", "i", "j"))
+        name, grp, i, j = (table.column(c).to_numpy() for c in ("id", "grp", "i", "j"))
         new = np.ones(len(table), bool)
         unit = (grp[1:] != grp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         new[1:] = unit | (name[1:] != name[:-1])
@@ -659,12 +678,32 @@ def _verified(members: DataFrame, df: DataFrame, percent: int) -> tuple[DataFram
                     links[np.ix_(x, y)] = linked([sets[k] for k in x], [sets[k] for k in y], percent)
                 links |= links.T
             n_links[at : at + n], earlier[at : at + n], label[at : at + n] = links.sum(1), np.tril(links).any(1), at + forest(links)
-        yield pa.record_batch([pa.array(name), pa.array(n_links), pa.array(earlier), pa.array(name[label])], ["name", "n_links", "earlier", "root"])
+        yield pa.record_batch([pa.array(name), pa.array(n_links), pa.array(earlier), pa.array(name[label])], ["id", "n_links", "earlier", "root"])
+
+    columns = ["grp", "i", "j", "own", "id", "doc_id", "text_hash", "line_no", "words"]
+    found = written(_streamed(units, ["grp", "i", "j"], ["doc_id", "text_hash", "line_no"], columns, compare, "id long, n_links long, earlier boolean, root long"), "verified")
+    per_set = found.groupBy("id").agg(F.sum("n_links").alias("n_links"), F.max("earlier").alias("earlier"))
+    return per_set, found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+
+
+def by_name(c: records.Columns) -> records.Columns:
+    """The records sorted by both names."""
+    order = np.lexsort((c["other"], c["name"]))
+    return {k: v[order] for k, v in c.items()}
+
 
-    columns = ["grp", "i", "j", "own", "name", "doc_id", "text_hash", "line_no", "words"]
-    found = written(_streamed(units, ["grp", "i", "j"], ["doc_id", "text_hash", "line_no"], columns, compare, "name long, n_links long, earlier boolean, root long"), "verified")
-    per_set = found.groupBy("name").agg(F.sum("n_links").alias("n_links"), F.max("earlier").alias("earlier"))
-    return per_set, found.where("name <> root").select(F.col("name").alias("a"), F.col("root").alias("b"))
+def looked_up(facts: records.Columns, asked: records.Columns) -> tuple[np.ndarray, np.ndarray]:
+    """Where each asked pair of names stands among `facts` (sorted by both), and whether it does."""
+    at = np.searchsorted(facts["name"], asked["name"])
+    hit, left = np.zeros(len(at), bool), np.arange(len(at))
+    while len(left):
+        left = left[at[left] < len(facts["name"])]
+        left = left[facts["name"][at[left]] == asked["name"][left]]
+        same = facts["other"][at[left]] == asked["other"][left]
+        hit[left[same]] = True
+        left = left[~same]  # another set of the same first name: the next one
+        at[left] += 1
+    return at, hit
 
 
 def _answers(chunks: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
@@ -673,19 +712,19 @@ def _answers(chunks: DataFrame, found: DataFrame, buckets: int) -> DataFrame:
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[records.Columns]:
         for batch in batches:
             for chunk, lines in zip(batch.column("chunk").to_pylist(), batch.column("lines").to_pylist()):
-                name = np.unique(records.unpack([lines], LINE)["name"])
-                yield {"name": name, "chunk": np.full(len(name), chunk)}
+                own = records.unpack([lines], LINE)
+                at = np.lexsort((own["other"], own["name"]))
+                name, other = own["name"][at], own["other"][at]
+                new = np.append(True, (name[1:] != name[:-1]) | (other[1:] != other[:-1]))[: len(at)]
+                yield {"name": name[new], "other": other[new], "chunk": np.full(int(new.sum()), chunk)}
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[records.Columns]:
         for batch in batches:
             yield {c: batch.column(c).to_numpy(zero_copy_only=False).astype(k) for c, k in FOUND.items()}
 
     def matched(bucket: int, questions: list[bytes], facts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        q, f = records.unpack(questions, {"name": "<i8", "chunk": "<i8"}), records.unpack(facts, FOUND)
-        order = np.argsort(f["name"])
-        f = {c: v[order] for c, v in f.items()}
-        at = np.searchsorted(f["name"], q["name"])
-        hit = np.flatnonzero(f["name"][np.minimum(at, len(order) - 1)] == q["name"]) if len(order) else np.zeros(0, np.int64)
+        q, f = records.unpack(questions, {"name": "<i8", "other": "<i8", "chunk": "<i8"}), by_name(records.unpack(facts, FOUND))
+        at, hit = looked_up(f, q)
         at, chunk = at[hit], q["chunk"][hit]
         yield records.dealt({c: v[at] for c, v in f.items()}, chunk)
 
@@ -702,10 +741,9 @@ def _described(chunks: DataFrame, answers: DataFrame) -> DataFrame:
         d, t, f = records.unpack(docs, DOC), records.unpack(lines, LINE), records.unpack(told, FOUND)
         doc = spread(d)
         known = d["known"][doc] == 1
-        order = np.argsort(f["name"])
-        f = {c: v[order] for c, v in f.items()}
-        at = np.minimum(np.searchsorted(f["name"], t["name"]), max(0, len(order) - 1))
-        hit = known & (f["name"][at] == t["name"]) if len(order) else np.zeros(len(doc), bool)
+        f = by_name(f)
+        at, hit = looked_up(f, t)
+        hit &= known
         at = at[hit]
         links, class_doc, class_line, removed = np.zeros(len(doc), np.int64), d["doc_id"][doc], t["line_no"].copy(), np.zeros(len(doc), bool)
         links[hit], class_doc[hit], class_line[hit] = f["n_links"][at], f["head_doc"][at], f["head_line"][at]
@@ -765,14 +803,14 @@ def line_links(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", pe
     for sent in (rarity, firsts):
         sent.unpersist()
     groups = written(components(_candidates(files, percent, file_block)).select(F.col("id").alias("name"), F.col("component").alias("grp")), "groups")
-    members = written(sieve(sets, "name", groups, "name").join(groups, "name"), "members")
+    members = written(sieve(sets, "name", groups, "name").join(groups, "name").withColumn("id", F.monotonically_increasing_id()), "members")
     per_set, links = _verified(members, docs, percent)
-    classes = components(links).select(F.col("id").alias("name"), "component")
-    heads = classes.join(members, "name").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash", "line_no")).alias("head"))
-    known = written(per_set.join(classes, "name", "left").join(heads, "component", "left").select("name", "n_links", "earlier", "head"), "known")
+    classes = components(links).select("id", "component")
+    heads = classes.join(members, "id").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash", "line_no")).alias("head"))
+    known = written(per_set.join(members.select("id", "name", "other"), "id").join(classes, "id", "left").join(heads, "component", "left").select("name", "other", "n_links", "earlier", "head"), "known")
     listed_sets = sets.where(F.col("more") | held_in(bit_map(known, F.xxhash64("name")), F.xxhash64("name")))
     head = F.coalesce("head", F.struct("doc_id", "text_hash", "line_no"))
-    found = listed_sets.join(known, "name", "left").select("name", "doc_id", "text_hash", "line_no", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("earlier", F.lit(False)).alias("earlier"), head["doc_id"].alias("head_doc"), head["line_no"].alias("head_line"))
+    found = listed_sets.join(known, ["name", "other"], "left").select("name", "other", "doc_id", "text_hash", "line_no", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("earlier", F.lit(False)).alias("earlier"), head["doc_id"].alias("head_doc"), head["line_no"].alias("head_line"))
     return _described(chunks, _answers(chunks, found, buckets))
 
 
