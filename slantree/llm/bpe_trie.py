@@ -209,7 +209,7 @@ class TrieEncoder:
         return b"".join(c + (self.packed[self.special[m]] if m is not None else b"") for c, m in zip(coded, [*marks, None]))
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > MAX_CHUNKS:
+        if max(len(self.chunks), len(self.words)) > MAX_CHUNKS:
             self.chunks.clear()
             self.words.clear()
         chunks, words = self.chunks, self.words
@@ -251,8 +251,8 @@ def encode(df: DataFrame, path: str, text_col: str = "text", into: str = "ids")
     """Add the token ids of each whole text as binary: little-endian unsigned 32-bit numbers.
 
     `path` is a tokenizer file that every executor can open.  A null text counts
-    as empty and has no ids.  Rows keep their other columns; equal texts get
-    equal ids.
+    as empty and has no ids.  Rows keep their other columns, but one named like
+    `into` is replaced; equal texts get equal ids.
     """
 
     @F.arrow_udf(BinaryType())

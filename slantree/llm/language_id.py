@@ -26,6 +26,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from slantree.llm.durable import short_batches, written
+from slantree.llm.names import unused
 from slantree.llm.text_arrays import LOWER, TextBatch, mix, pieces
 
 #: Documents per language that are learned from; the bound of the sample.
@@ -195,8 +196,9 @@ def identify(df: DataFrame, filters: Filters, text_col: str = "text") -> DataFra
                 shares.append(float(h) if letter else 0.0)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], ["lang_pred", "score", "held"])
 
-    out = df.withColumn("_p", predict(F.col(text_col)))
-    return out.withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score"), "held": F.col("_p.held")}).drop("_p")
+    found = unused(df, "_p")
+    out = df.withColumn(found, predict(F.col(text_col)))
+    return out.withColumns({c: F.col(f"{found}.{c}") for c in ("lang_pred", "score", "held")}).drop(found)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from slantree.llm.durable import short_batches
+from slantree.llm.names import unused
 from slantree.llm.text_arrays import CONTINUES, SPACE, TextBatch, pieces, windows
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters_ascii")
@@ -72,9 +73,10 @@ def _measure(texts: pa.Array) -> pa.Array:
 
 
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the columns of MEASURES to each row, in one pass over each whole text."""
-    out = short_batches(df).withColumn("_m", _measure(F.col(text_col)))
-    return out.withColumns({m: F.col(f"_m.{m}") for m in MEASURES}).drop("_m")
+    """Add the columns of MEASURES to each row, in one pass over each whole text; columns of these names are replaced, others stay."""
+    own = unused(df, "_m")
+    out = short_batches(df).withColumn(own, _measure(F.col(text_col)))
+    return out.withColumns({m: F.col(f"{own}.{m}") for m in MEASURES}).drop(own)
 
 
 #: Rule k is bit k of `fail_bits`; rules are only ever appended, so that old ledgers stay readable.

@@ -16,11 +16,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from slantree.llm.names import unused
+
 WORD = 63
+#: Globs that an automaton may hold, and pairs of a url and a glob that are matched at a time.
+MOST_GLOBS, MATCHED = 100_000, 1 << 24
 
 
 @dataclass(frozen=True)
@@ -105,14 +109,17 @@ class Automaton:
         for k in first:
             self.begin[k // WORD] |= np.uint64(1 << (k % WORD))
 
-    def match(self, urls: Sequence[bytes], budget: int = 1 << 22) -> np.ndarray:
-        """Boolean matrix: url x glob.  Urls of like length run together, so one long url does not pad the rest."""
+    def match(self, urls: Sequence[bytes], budget: int = 1 << 23) -> np.ndarray:
+        """Boolean matrix: url x glob.  Urls of like length run together, so one long url does not pad the rest.
+
+        `budget` bounds the bytes of a run: a url's symbols, and the words of its states.
+        """
         out = np.zeros((len(urls), len(self.globs)), bool)
         lengths = np.array([len(u) for u in urls], int)
         order, at = np.argsort(lengths, kind="stable"), 0
         while at < len(order):
             to = at + 1
-            while to < len(order) and (to - at + 1) * max(1, lengths[order[to]]) <= budget and lengths[order[to]] <= 2 * lengths[order[at]] + 64:
+            while to < len(order) and (to - at + 1) * (2 * lengths[order[to]] + 32 * self.words) <= budget and lengths[order[to]] <= 2 * lengths[order[at]] + 64:
                 to += 1
             part = order[at:to]
             out[part] = self._run([urls[k] for k in part], int(lengths[part].max(initial=0)))
@@ -135,6 +142,18 @@ class Automaton:
         return (state[:, self.final // WORD] >> (self.final % WORD).astype(np.uint64)) & np.uint64(1) == 1
 
 
+def read_globs(spark: SparkSession, path: str) -> list[str]:
+    """Globs from text files, one a line; blank lines and lines that begin with # do not count, repeated ones count once.
+
+    All tasks hold the automaton of all globs, so more than MOST_GLOBS are refused.
+    """
+    lines = spark.read.text(path).select(F.trim("value").alias("glob")).where("glob <> '' and not startswith(glob, '#')").distinct()
+    found = [r["glob"] for r in lines.orderBy("glob").limit(MOST_GLOBS + 1).collect()]
+    if len(found) > MOST_GLOBS:
+        raise ValueError(f"{path} has more than {MOST_GLOBS} globs")
+    return found
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased; empty without ``://``."""
     rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
@@ -161,16 +180,21 @@ def filter_urls(df: DataFrame, url_col: str = "url", rules: Sequence[Rule] = CON
     names = np.array([r.name for r in ranked] + [None], object)
     verdicts = np.array([r.verdict for r in ranked], object)
     n = len(ranked)
+    step = max(1, MATCHED // max(1, len(automaton.globs)))
     found = StructType([StructField("rule", StringType()), StructField("verdict", StringType())])
 
     @F.pandas_udf(found)
     def judge(canonical: pd.Series) -> pd.DataFrame:
-        hit = automaton.match([u.encode() for u in canonical])
-        fits = hit[:, : 2 * n].reshape(-1, n, 2).any(2)
-        best = np.where(fits.any(1), fits.argmax(1) if n else n, n)
-        own = np.where(hit[:, 2 * n :].any(1), "block", "allow").astype(object)
+        best, block = np.full(len(canonical), n), np.zeros(len(canonical), bool)
+        for at in range(0, len(canonical), step):
+            hit = automaton.match([u.encode() for u in canonical.iloc[at : at + step]])
+            fits = hit[:, : 2 * n].reshape(len(hit), n, 2).any(2)
+            best[at : at + step] = np.where(fits.any(1), fits.argmax(1) if n else n, n)
+            block[at : at + step] = hit[:, 2 * n :].any(1)
+        own = np.where(block, "block", "allow").astype(object)
         return pd.DataFrame({"rule": names[best], "verdict": np.where(best < n, np.append(verdicts, None)[best], own)})
 
     out = df.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
-    out = out.withColumn("_judged", judge(F.concat("host", "path")))
-    return out.withColumns({"rule": F.col("_judged.rule"), "verdict": F.col("_judged.verdict")}).drop("_judged")
+    own = unused(out, "_judged")
+    out = out.withColumn(own, judge(F.concat("host", "path")))
+    return out.withColumns({"rule": F.col(f"{own}.rule"), "verdict": F.col(f"{own}.verdict")}).drop(own)
