@@ -474,12 +474,12 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from slantree import entries_model, entries_trees  # noqa: F401  (register their queries)
+    from slantree import entries_model, entries_studies, entries_trees  # noqa: F401  (register their queries)
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from slantree import entries_model, entries_trees  # noqa: F401
+    from slantree import entries_model, entries_studies, entries_trees  # noqa: F401
 
     return dict(SQL)
