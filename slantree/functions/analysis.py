@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -120,11 +123,38 @@ def mode_by_bucket(df: DataFrame, size: str, value: str, edges: Sequence[int]) -
 
 
 def prediction_correlation(scores: DataFrame, row: str = "row_id", tree: str = "tree_id", value: str = "value") -> DataFrame:
-    """a, b, corr for each pair of trees: products are summed per row, so rows meet once and trees pairwise within a row."""
-    per_row = scores.groupBy(row).agg(F.sort_array(F.collect_list(F.struct(F.col(tree).alias("t"), F.col(value).alias("v")))).alias("s"))
-    left = per_row.select("s", F.posexplode("s").alias("i", "x"))
-    pairs = left.select("x", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("y"))
-    return pairs.groupBy(F.col("x.t").alias("a"), F.col("y.t").alias("b")).agg(F.corr("x.v", "y.v").alias("corr"))
+    """a, b, corr for each pair of trees that meet in a row; a row holds a tree once.
+
+    A row's values meet in one shuffle; tasks then add sums of products, trees by
+    trees, over all their rows, so what is shuffled after that follows the trees
+    squared and the tasks, not the rows.
+    """
+    known = scores.groupBy(tree).agg(F.avg(value).alias("m")).orderBy(tree).collect()  # a row per tree
+    trees, means = [r[tree] for r in known], np.array([r["m"] or 0.0 for r in known])
+    at, n = {t: k for k, t in enumerate(trees)}, len(trees)
+    per_row = scores.groupBy(row).agg(F.collect_list(F.struct(F.col(tree).alias("t"), F.col(value).cast("double").alias("v"))).alias("s"))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, n, n))
+        for batch in batches:
+            for part in range(0, len(batch), 4096):
+                s = batch.column("s").slice(part, 4096)
+                held = s.flatten()
+                x, here = np.zeros((len(s), n)), np.zeros((len(s), n))
+                of = np.repeat(np.arange(len(s)), pa.compute.list_value_length(s).to_numpy(zero_copy_only=False))
+                k = np.array([at[t] for t in held.field("t").to_pylist()], int)
+                v = held.field("v").to_numpy(zero_copy_only=False)
+                x[of, k], here[of, k] = np.where(np.isnan(v), 0.0, v - means[k]), ~np.isnan(v)
+                sums += [here.T @ here, x.T @ here, here.T @ x, x.T @ x, (x * x).T @ here, here.T @ (x * x)]
+        a, b = np.nonzero(np.triu(sums[0], 1))
+        yield pa.record_batch([pa.array(a, pa.int32()), pa.array(b, pa.int32()), *(pa.array(m[a, b]) for m in sums)], ["a", "b", "n", "x", "y", "xy", "xx", "yy"])
+
+    names = ["n", "x", "y", "xy", "xx", "yy"]
+    total = per_row.select("s").mapInArrow(products, "a int, b int, " + ", ".join(f"{c} double" for c in names)).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in names])
+    top = F.col("xy") - F.col("x") * F.col("y") / F.col("n")
+    spread = (F.col("xx") - F.col("x") * F.col("x") / F.col("n")) * (F.col("yy") - F.col("y") * F.col("y") / F.col("n"))
+    called = F.array(*[F.lit(t) for t in trees]) if trees else F.array(F.lit(0))
+    return total.select(F.get(called, F.col("a")).alias("a"), F.get(called, F.col("b")).alias("b"), F.try_divide(top, F.sqrt(spread)).alias("corr"))
 
 
 def running_best(draws: DataFrame, group: str, order: str, value: str) -> DataFrame:

@@ -76,9 +76,20 @@ def log_loss(df: DataFrame, y: str, p1: str, clip: float = 1e-7) -> DataFrame:
 
 
 def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson, and Spearman over mean ranks taken from counts per distinct value."""
-    both = df.join(ordered.ranks(df, a, "_rank_a"), a).join(ordered.ranks(df, b, "_rank_b"), b)
-    return both.agg(F.corr(a, b).alias("pearson"), F.corr("_rank_a", "_rank_b").alias("spearman"))
+    """Pearson, and Spearman over mean ranks taken from counts per distinct value; rows without both values do not count.
+
+    Rows are counted by pairs of values first, so a frequent value is joined
+    once for each value that it stands beside.
+    """
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    pairs = rows.groupBy(a, b).agg(F.count("*").alias("_n"))
+    both = pairs.join(ordered.ranks(rows, a, "_rank_a"), a).join(ordered.ranks(rows, b, "_rank_b"), b)
+    x, y, n = F.col("_rank_a"), F.col("_rank_b"), F.col("_n")
+    sums = both.agg(F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"), F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"))
+    top = F.col("xy") - F.col("x") * F.col("y") / F.col("n")
+    spread = (F.col("xx") - F.col("x") * F.col("x") / F.col("n")) * (F.col("yy") - F.col("y") * F.col("y") / F.col("n"))
+    spearman = sums.select(F.try_divide(top, F.sqrt(spread)).alias("spearman"))
+    return rows.agg(F.corr(a, b).alias("pearson")).join(F.broadcast(spearman))  # one row each
 
 
 def staged(scores: DataFrame, loss, row: str = "row_id", tree: str = "tree_id", value: str = "value", init: float = 0.0) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, NumericType
 from pyspark.sql.window import Window as W
 
+from slantree.sources.folders import written
+
 #: Ranges that a table is dealt into.
 PARTS = 64
 
@@ -32,6 +34,22 @@ def part_of(df: DataFrame, value: str, parts: int = PARTS) -> Column:
     return search(0, len(edges)) if edges else F.lit(0)
 
 
+def numbered(df: DataFrame, by: Sequence[str], into: str) -> DataFrame:
+    """`df` with its rows numbered from 0 in the order of `by`, range by range: no task sorts all rows.
+
+    Rows are dealt into ranges and written with their place in them once, so
+    that counts and places are of the same ranges.
+    """
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    held, _ = written(placed)
+    part = F.shiftright("_at", 33)
+    counts = held.groupBy(part.alias("_range")).agg(F.count("*").alias("_n"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row per range
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    numbers = held.withColumn("_range", part).join(F.broadcast(offsets), "_range")
+    return numbers.withColumn(into, (F.col("_o") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("int")).select(*df.columns, into)
+
+
 def running(df: DataFrame, value: str, sums: Sequence[str], descending: bool = False, parts: int = PARTS) -> DataFrame:
     """`df` with run_<c>, the sum of each column over all rows up to and including this one in the order of `value`.
 

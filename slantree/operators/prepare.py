@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from slantree.operators import ordered
 
 EPS = 1e-8
 
@@ -39,8 +40,8 @@ def impute(df: DataFrame, cols: Sequence[str], values: dict[str, float], flags:
 
 
 def dictionary(df: DataFrame, col: str) -> DataFrame:
-    """value, id: distinct non-null values numbered in sorted order, for dictionaries that one task can sort.  The reserved id for the rest is the count."""
-    return df.select(F.col(col).alias("value")).where("value is not null").distinct().withColumn("id", F.row_number().over(W.orderBy("value")) - 1)
+    """value, id: distinct non-null values numbered in sorted order.  The reserved id for the rest is the count."""
+    return ordered.numbered(df.select(F.col(f"`{col}`").alias("value")).where("value is not null").distinct(), ["value"], "id")
 
 
 def encode(df: DataFrame, col: str, values: DataFrame, into: str, card: int | None = None) -> DataFrame:
@@ -54,7 +55,7 @@ def encode(df: DataFrame, col: str, values: DataFrame, into: str, card: int | No
 def category_ranks(df: DataFrame, cat: str, g: str, h: str, reg_lambda: float = 1.0) -> DataFrame:
     """cat, score = sum(g) / (sum(h) + lambda + eps), and rank 0.. by (score, cat)."""
     scores = df.groupBy(cat).agg((F.sum(g) / (F.sum(h) + reg_lambda + EPS)).alias("score"))
-    return scores.withColumn("rank", F.row_number().over(W.orderBy("score", cat)) - 1)
+    return ordered.numbered(scores, ["score", cat], "rank")
 
 
 def rotate(df: DataFrame, cols: Sequence[str], matrix: Sequence[Sequence[float]], prefix: str = "r") -> DataFrame:
