@@ -7,9 +7,10 @@
 2. Equal sets are joined first (one representative each), then signatures are
    banded.  Within a band bucket every representative is linked to the smallest
    one only, so a bucket of any size gives as many rows as members.
-3. The candidate links' components are blocks of work.  In each, all pairs are
-   compared on full sets, in blocks of bounded size, so no true link inside a
-   candidate group is missed, and only a spanning forest of the links is kept.
+3. The candidate links' components are groups of work.  A small one is compared
+   in full.  In a large one each member is held against its hub first; then
+   blocks are compared wherever a link could still join two classes.  So no true
+   link between classes is missed, and a spanning forest of the links is kept.
 4. The verified links' components are the groups.
 
 A pair at the threshold shares no bucket with a probability of at most MISS,
@@ -190,48 +191,110 @@ def forest(links: np.ndarray) -> np.ndarray:
         label = least
 
 
-def verify(members: DataFrame, docs: DataFrame, percent: int, size: int, block_members: int = BLOCK_MEMBERS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """True links (a, b) of each candidate group, as a spanning forest per block pair.
+def _sets(unit: pa.Table, size: int) -> list[np.ndarray]:
+    """The shingle set of each row's text."""
+    text = unit.column("text").combine_chunks()
+    x = TextBatch(text.chunk(0) if isinstance(text, pa.ChunkedArray) else text, lower=True)
+    gram, doc = shingle_sets(x, size)
+    return np.split(gram, np.searchsorted(doc, np.arange(1, x.n))) if x.n else []
+
+
+def hub_links(members: DataFrame, candidates: DataFrame, texts, percent: int, size: int, block_members: int, block_shingles: int) -> DataFrame:
+    """True links (a, b) between members and the hub with which each shares most buckets: one comparison a member."""
+    shared = candidates.groupBy("a", "b").agg(F.count("*").alias("n"))
+    hub = shared.groupBy(F.col("b").alias("id")).agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("t")).select("id", (-F.col("t.a")).alias("hub"))
+    followers = members.join(hub, "id")
+    sizes = followers.groupBy("hub").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    parts = sizes.select("hub", F.greatest(F.ceil(F.col("n") / block_members), F.ceil(F.col("s") / block_shingles)).cast("int").alias("parts"))
+    dealt = followers.join(parts, "hub").select("hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "doc_id", "text_hash")
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    hubs = parts.select("hub", each).join(members.select(F.col("id").alias("hub"), "id", "doc_id", "text_hash"), "hub").select("hub", "part", "id", "doc_id", "text_hash")
+
+    def compare(unit: pa.Table) -> pa.Table:
+        ids, hub = unit.column("id").to_numpy(), unit.column("hub").to_numpy()
+        sets = _sets(unit, size)
+        own, others = np.flatnonzero(ids == hub), np.flatnonzero(ids != hub)
+        hit = others[linked([sets[k] for k in own[:1]], [sets[k] for k in others], percent)[0]] if len(own) and len(others) else others[:0]
+        if sum(map(len, sets)) > 100_000:
+            del sets
+            give_back()
+        return pa.table({"a": pa.array(hub[hit], pa.int64()), "b": pa.array(ids[hit], pa.int64())})
+
+    units = texts(dealt.union(hubs)).select("hub", "part", "id", "text")
+    return units.groupBy("hub", "part").applyInArrow(compare, "a long, b long")
+
+
+def open_units(members: DataFrame, found: DataFrame, percent: int, block_members: int, block_shingles: int) -> DataFrame:
+    """grp, i, j, own of members: the pairs of blocks that are still to be compared.
+
+    Members that are linked already are of one class, and blocks of one class
+    are not compared; nor are blocks whose sets differ too much in size.  What is
+    in no class shares blocks, and those are compared with all and in themselves.
+    """
+    classes = components(found).select("id", F.col("component").alias("class"))
+    step = math.log(100 / percent)
+    kind = members.join(classes, "id", "left").withColumns({"class": F.coalesce("class", F.lit(-1)), "bucket": F.floor(F.log("n_shingles") / step).cast("int")})
+    sizes = kind.groupBy("grp", "class", "bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    parts = sizes.select("grp", "class", "bucket", F.greatest(F.ceil(F.col("n") / block_members), F.ceil(F.col("s") / block_shingles)).cast("int").alias("parts"))
+    # Written: a block's name must be the same on both sides of what follows.
+    blocks = written(parts.select("grp", "class", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    x = blocks.select("grp", F.col("class").alias("cx"), F.col("bucket").alias("bx"), F.col("block").alias("i"))
+    y = blocks.select("grp", F.col("class").alias("cy"), F.col("bucket").alias("by"), F.col("block").alias("j"))
+    pairs = x.join(y, "grp").where("i <= j and abs(bx - by) <= 1 and (cx <> cy or cx = -1)").select("grp", "i", "j")
+    dealt = kind.join(parts, ["grp", "class", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    placed = dealt.join(blocks, ["grp", "class", "bucket", "part"]).select("id", "doc_id", "text_hash", F.col("block").alias("own"))
+    sides = pairs.select("grp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
+    return placed.join(sides, "own").select("grp", "i", "j", "own", "id", "doc_id", "text_hash")
+
+
+def verify(members: DataFrame, docs: DataFrame, candidates: DataFrame, percent: int, size: int, block_members: int = BLOCK_MEMBERS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Enough true links (a, b) of each candidate group to connect what is linked.
 
     `members` has id, grp, n_shingles, and doc_id and text_hash of a row of
-    `docs` with that set.  A group within the block limits is one unit of work;
-    a larger one is dealt into blocks by a hash of the id, and every pair of
-    blocks is a unit.
+    `docs` with that set.  A group within the block limits is one unit of work.
+    In a larger one members are held against their hubs first (`hub_links`), and
+    then blocks against blocks, but only where links could join what is not
+    joined yet (`open_units`): a group of near copies of one text costs as much
+    as it has members.
     """
     sizes = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    blocks = F.greatest(F.ceil(F.col("n") / block_members), F.ceil(F.col("s") / block_shingles), F.lit(1)).cast("int")
-    placed = members.join(sizes.select("grp", blocks.alias("blocks")), "grp").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    texts = sieve(docs.where("doc_id is not null"), "doc_id", members, "doc_id")
-    units = (
-        placed.join(texts, ["doc_id", "text_hash"])
-        .dropDuplicates(["doc_id", "text_hash", "id"])
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "text")
-    )
+    fits = (F.col("n") <= block_members) & (F.col("s") <= block_shingles)
+    sized = members.join(sizes.select("grp", fits.alias("fits")), "grp")
+    known = sieve(docs.where("doc_id is not null"), "doc_id", members, "doc_id")
+
+    def texts(rows: DataFrame) -> DataFrame:
+        keys = [c for c in rows.columns if c not in ("doc_id", "text_hash")]
+        return rows.join(known, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", *keys])
 
     def compare(key: tuple[pa.Scalar, ...], unit: pa.Table) -> pa.Table:
         unit = unit.combine_chunks().sort_by("id")
-        x = TextBatch(unit.column("text").combine_chunks() if unit.column("text").num_chunks != 1 else unit.column("text").chunk(0), lower=True)
-        gram, doc = shingle_sets(x, size)
-        sets = np.split(gram, np.searchsorted(doc, np.arange(1, x.n))) if x.n else []
+        sets = _sets(unit, size)
         ids, own = unit.column("id").to_numpy(), unit.column("own").to_numpy()
         i, j = key[1].as_py(), key[2].as_py()
         if i == j:
             links = linked(sets, None, percent)
         else:
             a, b = np.flatnonzero(own == i), np.flatnonzero(own == j)
-            links = np.zeros((x.n, x.n), bool)
+            links = np.zeros((len(sets), len(sets)), bool)
             if len(a) and len(b):
                 links[np.ix_(a, b)] = linked([sets[k] for k in a], [sets[k] for k in b], percent)
             links |= links.T
         label = forest(links)
-        new = label != np.arange(x.n)
-        if len(gram) > 100_000:
-            del gram, doc, sets, links
+        new = label != np.arange(len(sets))
+        if sum(map(len, sets)) > 100_000:
+            del sets, links
             give_back()
         return pa.table({"a": pa.array(ids[label[new]], pa.int64()), "b": pa.array(ids[new], pa.int64())})
 
-    return units.groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long")
+    none = F.lit(0).cast("long")
+    units = sized.where("fits").select("grp", none.alias("i"), none.alias("j"), none.alias("own"), "id", "doc_id", "text_hash")
+    large = written(sized.where("not fits").drop("fits"), "large")
+    found = None
+    if not large.isEmpty():
+        found = written(hub_links(large, candidates, texts, percent, size, block_members, block_shingles), "hub_links")
+        units = units.union(open_units(large, found, percent, block_members, block_shingles))
+    links = texts(units).select("grp", "i", "j", "own", "id", "text").groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long")
+    return links.union(found) if found is not None else links
 
 
 def near_duplicates(
@@ -256,10 +319,10 @@ def near_duplicates(
     reps = written(named.groupBy("k1", "k2").agg(first, F.max("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands")).select("k1", "k2", "first.*", "n_shingles", "bands", F.monotonically_increasing_id().alias("id")), "reps")
     keyed = reps.select("id", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
-    candidates = keyed.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    candidates = written(keyed.join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")), "candidates")
     groups = components(candidates).select(F.col("id"), F.col("component").alias("grp"))
     members = written(groups.join(reps.select("id", "doc_id", "text_hash", "n_shingles"), "id"), "members")
-    links = verify(members, docs, percent, size, block_members, block_shingles)
+    links = verify(members, docs, candidates, percent, size, block_members, block_shingles)
     found = components(links).select("id", F.col("component").alias("root"))
     placed = reps.select("k1", "k2", "id", "doc_id").join(found, "id", "left")
     heads = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component"))
