@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, DoubleType, NumericType
 
 from slantree.operators import gradients, prepare
 from slantree.plans import directions
-from slantree.plans.growth import STATE, Log, Round, coded_table, draw, grow, matrix, surveyed
+from slantree.plans.growth import STATE, Log, Round, coded_table, draw, grow, loss_of, matrix, surveyed
 from slantree.plans.trees import Node, Tree, goes_left, left_of, ranked, route, tree_value, values  # noqa: F401
 from slantree.sources.folders import removed, written
 from slantree.sources.tables import GAIN_LOG, write_gain_log
@@ -337,9 +337,47 @@ class ObliqueModel(_Shared, Model, MLWritable, MLReadable):
             flat = names.flatten().to_pylist()
             return scored(x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), numeric), [flat[j::n_cats] for j in range(n_cats)])
 
+        return margins(*self._inputs())
+
+    def _inputs(self) -> tuple[Column, Column]:
+        """Numeric features and category names of a row, as arrays."""
         x = F.array(*[number_or_nan(c) for c in self.numeric]) if self.numeric else F.expr("cast(array() as array<double>)")
-        names = F.array(*[F.col(f"`{c}`").cast("string") for c in self.cats]) if self.cats else F.expr("cast(array() as array<string>)")
-        return margins(x, names)
+        return x, F.array(*[F.col(f"`{c}`").cast("string") for c in self.cats]) if self.cats else F.expr("cast(array() as array<string>)")
+
+    def staged(self, df: DataFrame) -> DataFrame:
+        """trees, loss, accuracy (null for regression): what the first 0, 1, .. trees are worth on rows with a label.
+
+        Tasks go through the trees once and add a number a tree, so no row is shuffled.
+        """
+        if self.parts:
+            raise ValueError("one-vs-rest models have no common rounds")
+        k, d, rate, n_cats = len(self.init), len(self.means), self.getOrDefault("learningRate"), len(self.cats)
+        kind, delta = "softmax" if self.classification else self.getOrDefault("loss"), self.getOrDefault("huberDelta")
+        sent = df.sparkSession.sparkContext.broadcast((self.trees, np.array(self.init, float), np.array(self.means, float), self.dictionaries))
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trees, init, means, dictionaries = sent.value
+            sums = np.zeros((len(trees) + 1, 3))
+            for batch in batches:
+                names, y = batch.column("names").flatten().to_pylist(), batch.column("y").to_numpy(zero_copy_only=False)
+                ids = [np.array([own.get(v, len(own)) for v in names[j::n_cats]], float)[:, None] for j, own in enumerate(dictionaries)]
+                x = np.concatenate([matrix(batch.column("x"), d - n_cats), *ids], 1)
+                score = np.tile(init, (len(x), 1))
+                for t in range(len(trees) + 1):
+                    if t:
+                        centre = means.copy()
+                        for f, ranks in trees[t - 1].ranks.items():
+                            centre[f] = (len(ranks) - 1) / 2
+                        score = score + rate * values(trees[t - 1], x, centre, k)
+                    sums[t] += [loss_of(kind, score, y, delta).sum(), (score.argmax(1) == y).sum(), len(y)]
+            yield pa.record_batch([pa.array(range(len(sums)), pa.int32()), *(pa.array(c) for c in sums.T)], ["trees", "loss", "right", "n"])
+
+        y = F.col(f"`{self.getOrDefault('labelCol')}`").cast("double")
+        x, names = self._inputs()
+        rows = df.select(x.alias("x"), names.alias("names"), y.alias("y")).where("y is not null and not isnan(y)")
+        sums = rows.mapInArrow(work, "trees int, loss double, right double, n double").groupBy("trees").agg(*[F.sum(c).alias(c) for c in ("loss", "right", "n")])
+        right = F.try_divide("right", "n") if self.classification else F.lit(None).cast("double")
+        return sums.select("trees", F.try_divide("loss", "n").alias("loss"), right.alias("accuracy"))
 
     def margins(self) -> list[Column]:
         """The scores as expressions: for few trees on numeric features, and for SQL."""

@@ -296,3 +296,14 @@ def test_a_fitted_pipeline_is_saved_and_loaded(spark, rows, tmp_path):
         assert again.stages[1].uid == fitted.stages[1].uid and again.stages[1].getOrDefault("maxDepth") == 2
         est.save(path + "-estimator")
         assert type(est).load(path + "-estimator").getOrDefault("rounds") == 2
+
+
+def test_what_the_first_trees_are_worth(spark, rows):
+    held = rows.where("v")
+    model = ObliqueBoostClassifier(featuresCols=["a", "b", "cat"], rounds=3, maxDepth=2, learningRate=0.5, validationIndicatorCol="v").fit(rows)
+    got = model.staged(held).orderBy("trees").toPandas()
+    assert got.trees.tolist() == [0, 1, 2, 3] and np.allclose(got.loss, model.losses) and np.allclose(got.accuracy, [m["accuracy"] for m in model.metrics])
+    model = ObliqueBoostRegressor(featuresCols=["a", "c"], labelCol="z", rounds=2, maxDepth=2, loss="huber", validationIndicatorCol="v").fit(rows)
+    got = model.staged(held).orderBy("trees").toPandas()
+    assert np.allclose(got.loss, model.losses) and got.accuracy.isna().all()
+    assert model.staged(held.limit(0)).count() == 0
