@@ -155,10 +155,15 @@ def boost_two_rounds(spark, sf):
 STAGES = V + ", st as (select {k: k, a: x0, b: x1, c: x2, d: price} as k, y, t::int as tree_id, case t when 0 then 0.02::double*(x0-25.5) when 1 then 8::double*(x1-0.05) when 2 then -6::double*(x2-0.04) else 0.01::double*(25.5-x0) end as value from v, range(4) q(t))"
 
 
-def stages(spark, sf) -> DataFrame:
-    """A row per lineitem row and tree; the key alone repeats on the smallest tables."""
+def stage_values(spark, sf) -> DataFrame:
+    """A row per lineitem row with the values of its trees; the key alone repeats on the smallest tables."""
     values = [0.02 * (F.col("x0") - 25.5), 8 * (F.col("x1") - 0.05), -6 * (F.col("x2") - 0.04), 0.01 * (25.5 - F.col("x0"))]
-    return base(spark, sf).select(F.struct("k", "x0", "x1", "x2", "price").alias("row_id"), "y", F.posexplode(F.array(*values)).alias("tree_id", "value"))
+    return base(spark, sf).select(F.struct("k", "x0", "x1", "x2", "price").alias("row_id"), "y", F.array(*values).alias("values"))
+
+
+def stages(spark, sf) -> DataFrame:
+    """A row per lineitem row and tree."""
+    return stage_values(spark, sf).select("row_id", "y", F.posexplode("values").alias("tree_id", "value"))
 
 
 STAGED = STAGES + ", cum as (select *, sum(value) over (partition by k order by tree_id rows between unbounded preceding and current row) as f from st), l as (select tree_id, avg(ln(1+exp(-f*(2*y-1)))) as loss from cum group by tree_id)"
@@ -377,7 +382,7 @@ def break_even_buckets(spark, sf):
 
 @query(STAGES + " select a.tree_id as a, b.tree_id as b, round(corr(a.value, b.value),6) as corr from st a join st b on a.k = b.k and a.tree_id < b.tree_id group by all")
 def tree_pred_correlation(spark, sf):
-    return analysis.prediction_correlation(stages(spark, sf)).withColumn("corr", r("corr"))
+    return analysis.values_correlation(stage_values(spark, sf)).withColumn("corr", r("corr"))
 
 
 @query(REC + " select tree_id, node_id, round(max(gain) over (partition by tree_id order by node_id),6) as best from rec")

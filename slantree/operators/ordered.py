@@ -19,6 +19,13 @@ from slantree.sources.folders import written
 
 #: Ranges that a table is dealt into.
 PARTS = 64
+#: Rows of a task where the number of tasks follows the rows.
+ROWS_A_TASK = 200_000
+
+
+def parts_for(rows: DataFrame) -> int:
+    """How many parts a shuffle of these rows asks for: a task's memory then stays the same however many they are."""
+    return rows.count() // ROWS_A_TASK + 1
 
 
 def part_of(df: DataFrame, value: str, parts: int = PARTS) -> Column:
