@@ -389,15 +389,20 @@ n as (select *, sqrt(list_sum(list_transform(w, lambda x: x*x))) as nw from rec)
 pair as (select c.tree_id, c.node_id, c.depth, c.w, p.w as pw, degrees(acos(least(1.0, abs(c.w[1]*p.w[1]+c.w[2]*p.w[2]+c.w[3]*p.w[3])/(c.nw*p.nw)))) as deg from n c join n p on c.tree_id = p.tree_id and c.node_id > 0 and p.node_id = (c.node_id-1)//2)"""
 
 
-def records(spark, sf) -> DataFrame:
-    """Split records made from all lineitem rows: an order is a tree (several, where a line number repeats), its lines are nodes, with three weights."""
+def records(spark, sf, *keep: str) -> DataFrame:
+    """Split records made from all lineitem rows: an order is a tree (several, where a line number repeats), its lines are nodes, with three weights.
+
+    Orders are dealt into as many parts as the rows ask for.  `keep` names columns of
+    lineitem to keep: groups that include l_orderkey need no further shuffle.
+    """
     from pyspark.sql.window import Window as W
 
     copy = F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice"))
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("copy", copy)
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    li = li.repartition(ordered.parts_for(li), "l_orderkey").withColumn("copy", copy)
     w = F.expr("array(l_quantity - 25.25D, if(l_partkey % 3 = 0, 0D, 100*l_discount + 1), if(l_partkey % 5 = 0, 0D, 100*l_tax + 1))")
     node = (F.col("l_linenumber") - 1).cast("int")
-    return li.select((F.col("l_orderkey").cast("long") * 1000 + F.col("copy") - 1).alias("tree_id"), node.alias("node_id"), F.when(node == 0, 0).when(node < 3, 1).otherwise(2).alias("depth"), w.alias("w"), (F.col("l_extendedprice") / 1e4).alias("gain"), F.col("l_returnflag").alias("family"))
+    return li.select((F.col("l_orderkey").cast("long") * 1000 + F.col("copy") - 1).alias("tree_id"), node.alias("node_id"), F.when(node == 0, 0).when(node < 3, 1).otherwise(2).alias("depth"), w.alias("w"), (F.col("l_extendedprice") / 1e4).alias("gain"), F.col("l_returnflag").alias("family"), *keep)
 
 
 @query(REC + ", d as (select degrees(acos(least(1.0, list_max(list_transform(w, lambda x: abs(x)))/nw))) as deg from n) select round(avg(deg),5) as mean_deg, round(median(deg),5) as median_deg, round(avg((deg>10)::int),6) as over_10, round(avg((deg>30)::int),6) as over_30, (select round(avg((len(list_filter(w, lambda x: x <> 0)) > 1)::int),6) from rec) as win_rate from d")

@@ -393,9 +393,8 @@ def running_best_gain(spark, sf):
 @query(REC + ", q as (select tree_id, gain, row_number() over (partition by tree_id order by gain) as i, count(*) over (partition by tree_id) as n from rec), x as (select tree_id, max(n) as splits, sum(gain*(power(i/n,8)-power((i-1)/n,8))) as expected from q group by tree_id) select splits, round(avg(expected),5) as expected, count(*) as n from x group by splits")
 def expected_best_of_draws(spark, sf):
     """The closed form of the bootstrap mean of the largest of eight draws."""
-    rec = records(spark, sf)
-    each = analysis.expected_best(rec, "tree_id", "gain", 8).join(rec.groupBy("tree_id").agg(F.count("*").alias("splits")), "tree_id")
-    return each.groupBy("splits").agg(r(F.avg("expected"), 5).alias("expected"), F.count("*").alias("n"))
+    each = analysis.expected_best(records(spark, sf, "l_orderkey"), ["l_orderkey", "tree_id"], "gain", 8)
+    return each.groupBy(F.col("n").alias("splits")).agg(r(F.avg("expected"), 5).alias("expected"), F.count("*").alias("n"))
 
 
 @query(REC + " select a.tree_id, a.node_id from n a where not exists (select 1 from n b where a.tree_id = b.tree_id and b.node_id < a.node_id and abs(a.w[1]*b.w[1]+a.w[2]*b.w[2]+a.w[3]*b.w[3]) > 0.95*a.nw*b.nw)")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from slantree import entries_model
 from slantree.functions import analysis
+from slantree.operators import ordered
 
 
 def test_rows_that_repeat_meet_each_other(spark):
@@ -24,3 +25,24 @@ def test_rows_that_repeat_meet_each_other(spark):
 def test_pairs_of_trees_shuffle_no_rows(spark):
     plan = entries_model.tree_pred_correlation(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "row_id" not in plan, "only the tasks' sums meet"
+
+
+def shuffles(df):
+    """The widths of the explicit and the planned shuffles of a query, least first."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_trees_of_an_order_are_ranked_where_the_order_is(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_A_TASK", 1000)
+    found = shuffles(entries_model.expected_best_of_draws(spark, "/root/testdata/sf0.001"))
+    dealt = [x for x in found if "splits" not in x and "n#" not in x.split("),")[0]]
+    assert len(dealt) == 1 and "l_orderkey" in dealt[0] and "REPARTITION_BY_NUM" in dealt[0], "one shuffle of the rows"
+    assert ", 7)" in dealt[0] or ", 6)" in dealt[0], "parts follow the 6,000 rows"
+
+
+def test_nulls_are_drawn_last(spark):
+    rows = [(1, 3.0), (1, None), (1, 1.0), (2, 5.0)]
+    got = {r["g"]: r for r in analysis.expected_best(spark.createDataFrame(rows, "g int, v double"), "g", "v", 2).collect()}
+    assert got[1]["expected"] == pytest.approx(1.0 / 9 + 3.0 * 3 / 9) and got[1]["n"] == 3 and got[2]["expected"] == 5.0
