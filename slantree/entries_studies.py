@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from slantree.entries import COLS, M, REC, V, base, missing, query, r, records
 from slantree.functions import analysis, studies
-from slantree.operators import prepare, splits
+from slantree.operators import ordered, prepare, splits
 
 DEG = "degrees(acos(least(1.0, abs({a}[1]*{b}[1]+{a}[2]*{b}[2]+{a}[3]*{b}[3]) / ({na}*{nb}))))"
 
@@ -31,8 +31,10 @@ BUDGET_STEPS = (1, 2, 4, 8, 16, 32)
 
 
 def candidate_gains(spark, sf) -> DataFrame:
+    """A row per lineitem row; nodes are dealt into as many parts as the rows ask for."""
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
-    return li.select(F.expr("l_orderkey div 40").alias("node"), F.col("l_returnflag").alias("family"), F.col("l_extendedprice").cast("double").alias("gain"))
+    gains = li.select(F.expr("l_orderkey div 40").alias("node"), F.col("l_returnflag").alias("family"), F.col("l_extendedprice").cast("double").alias("gain"))
+    return gains.repartition(ordered.parts_for(li), "node")
 
 
 @query("with " + GAINS + f", q as (select *, max(gain) over (partition by node) as top, count(*) over (partition by node, family) as n, row_number() over (partition by node, family order by gain) as i from gains), e as (select node, family, k, sum(gain / top * (power(i/n, k) - power((i-1)/n, k))) as v from q, (select unnest({list(BUDGET_STEPS)}) as k) where n >= 3 and top > 0 group by all) select family, k, round(avg(v), 6) as value, count(*) as n from e group by family, k")

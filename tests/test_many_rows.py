@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slantree import entries_model
+from slantree import entries_model, entries_studies
 from slantree.functions import analysis
 from slantree.operators import ordered
 
@@ -46,3 +46,13 @@ def test_nulls_are_drawn_last(spark):
     rows = [(1, 3.0), (1, None), (1, 1.0), (2, 5.0)]
     got = {r["g"]: r for r in analysis.expected_best(spark.createDataFrame(rows, "g int, v double"), "g", "v", 2).collect()}
     assert got[1]["expected"] == pytest.approx(1.0 / 9 + 3.0 * 3 / 9) and got[1]["n"] == 3 and got[2]["expected"] == 5.0
+
+
+def test_families_of_a_node_are_ranked_where_the_node_is(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_A_TASK", 1000)
+    df = entries_studies.marginal_value_curves(spark, "/root/testdata/sf0.001")
+    found = [x for x in shuffles(df) if "REPARTITION_BY_NUM" in x]
+    assert len(found) == 1 and "node" in found[0] and (", 7)" in found[0] or ", 6)" in found[0]), "parts follow the 6,000 rows"
+    after = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    below = after[after.index("Generate") :]
+    assert "Window" in below and "power" in below.lower(), "draws are summed before they become rows"
