@@ -6,7 +6,8 @@ in the one token t that is a suffix of it, may follow the last token of the
 prefix of length i - len(t), and so on back to the root.  Words that share a
 prefix share its states, which are computed once.  The walk visits the words in
 byte order, so the trie is the path from the root to the current word and never
-has to be held as a whole.
+has to be held as a whole.  Many short words are walked at once, all nodes of a
+depth together (`Levels`), with the same states.
 
 "May follow" is BPE's own rule: undoing the merges on both sides of the
 boundary from the latest back to the earliest, no merge across the boundary may
@@ -20,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +64,167 @@ def _shared(words: list[bytes]) -> list[int]:
     return np.where(differ.any(1), differ.argmax(1), _WIDTH).tolist()
 
 
+#: Words of up to DEEP bytes are walked level by level where there are SEVERAL of them, BLOCK at a time.
+DEEP, SEVERAL, BLOCK = 32, 256, 1 << 16
+_SLOTS, _KEPT = 18, 20
+_ODD = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+
+
+class Levels:
+    """The walk over the nodes of one depth at a time, in arrays: tables of an encoder.
+
+    A token of up to DEEP bytes is known by its length and four numbers of eight
+    bytes each, counted from its end; a hash of them finds it in open slots and
+    all of them are compared.
+    """
+
+    def __init__(self, own: TrieEncoder):
+        held = [(raw, i) for raw, i in own.ids.items() if len(raw) <= DEEP]
+        self.token = np.array([i for _, i in held], np.int64)
+        self.size = np.array([len(raw) for raw, _ in held], np.int64)
+        self.lanes = np.array([[int.from_bytes(raw[max(0, len(raw) - 8 * k - 8) : max(0, len(raw) - 8 * k)], "big") for raw, _ in held] for k in range(4)], np.uint64)
+        self.masks = np.array([[(1 << 8 * min(8, max(0, n - 8 * k))) - 1 for n in range(DEEP + 1)] for k in range(4)], np.uint64)
+        self.bits = max(_SLOTS, len(held).bit_length() + 2)
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        at, left = self._slot(self.lanes, self.size), np.arange(len(held))
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            off = self.slots[at] != left
+            left, at = left[off], (at[off] + 1) & (len(self.slots) - 1)
+        # Rows of lengths to try, longest first, by the last three bytes, else two, else only 1.
+        rows = [(1,), *own.steps.values()]
+        self.tries = np.zeros((len(rows), max(map(len, rows)) + 1), np.int64)
+        for k, row in enumerate(rows):
+            self.tries[k, : len(row)] = row
+        three = sorted((int.from_bytes(t, "big"), k) for k, t in enumerate(own.steps, 1) if len(t) == 3)
+        self.tails, self.tail_rows = np.array([[t for t, _ in three] + [1 << 24], [k for _, k in three] + [0]], np.int64)
+        self.pair_rows = np.zeros(1 << 16, np.int64)
+        for k, t in enumerate(own.steps, 1):
+            if len(t) == 2:
+                self.pair_rows[int.from_bytes(t, "big")] = k
+        n = max(own.tokens) + 1
+        self.rank, self.left, self.right, self.length = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for t, k in own.rank.items():
+            self.rank[t], (self.left[t], self.right[t]) = k, own.parts[t]
+        for t, raw in own.tokens.items():
+            self.length[t] = len(raw)
+        merges = sorted((a << 32 | b, k) for (a, b), k in own.merge.items())
+        self.merges, self.merge_rank = np.array([[m for m, _ in merges] + [1 << 62], [k for _, k in merges] + [0]], np.int64)
+        self.kept, self.verdict = np.full(1 << _KEPT, -1, np.int64), np.zeros(1 << _KEPT, bool)
+
+    def _slot(self, lanes: np.ndarray, size: np.ndarray) -> np.ndarray:
+        h = size.astype(np.uint64) * _ODD[4]
+        for lane, m in zip(lanes, _ODD):
+            h = h + lane * m
+            h = h ^ (h >> np.uint64(29))
+        return ((h * _ODD[0]) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, ends: list[np.ndarray], size: np.ndarray) -> np.ndarray:
+        """The tokens of these lengths whose bytes end as `ends` tells, eight bytes a number; -1 for none."""
+        lanes = np.zeros((4, len(size)), np.uint64)
+        for k, end in enumerate(ends):
+            lanes[k] = end & self.masks[k][size]
+        out, at, left = np.full(len(size), -1, np.int64), self._slot(lanes, size), np.arange(len(size))
+        while len(left):
+            held = self.slots[at]
+            same = (self.size[held] == size[left]) & (self.lanes[0][held] == lanes[0][left]) & (held >= 0)
+            for k in range(1, len(ends)):
+                same &= self.lanes[k][held] == lanes[k][left]
+            out[left[same]] = self.token[held[same]]
+            on = (held >= 0) & ~same
+            left, at = left[on], (at[on] + 1) & (len(self.slots) - 1)
+        return out
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """TrieEncoder._apart without a limit, for many pairs."""
+        out, left, limit = np.ones(len(a), bool), np.arange(len(a)), np.full(len(a), np.iinfo(np.int64).max)
+        while len(left):
+            key = a << 32 | b
+            at = np.searchsorted(self.merges, key)
+            joined = (self.merges[at] == key) & (self.merge_rank[at] < limit)
+            out[left[joined]] = False
+            ra, rb = self.rank[a], self.rank[b]
+            on = ~joined & ((ra >= 0) | (rb >= 0))
+            left, a, b, ra, rb = left[on], a[on], b[on], ra[on], rb[on]
+            first = ra > rb
+            limit = np.where(first, ra, rb + 1)
+            a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
+        return out
+
+    def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 32 | b
+        slot = ((key.astype(np.uint64) * _ODD[0]) >> np.uint64(64 - _KEPT)).astype(np.int64)
+        out, new = self.verdict[slot], np.nonzero(self.kept[slot] != key)[0]
+        if len(new):
+            own, first, at = np.unique(key[new], return_index=True, return_inverse=True)
+            found = self.apart(own >> 32, own & 0xFFFFFFFF)
+            out[new] = found[at]
+            # Of the pairs that meet in a slot one is kept, with its own verdict.
+            where, one = np.unique(slot[new[first]], return_index=True)
+            self.kept[where], self.verdict[where] = own[one], found[one]
+        return out
+
+    def walk(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of sorted distinct words of 1 to DEEP bytes, as little-endian 32-bit numbers."""
+        n = len(words)
+        size = np.fromiter(map(len, words), np.int64, n)
+        deep = int(size.max())
+        grid = np.zeros((n, deep), np.uint8)
+        grid[np.arange(deep) < size[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+        differ = np.ones((n, deep), bool)
+        differ[1:] = np.logical_or.accumulate(grid[1:] != grid[:-1], axis=1)
+        # A shorter word before ends in zeros here; a zero byte in its place would look the same.
+        differ[1:] |= np.arange(deep) >= size[:-1, None]
+        columns = np.ascontiguousarray(grid.T)
+        last = np.zeros((deep + 1, n), np.int64)  # last[i]: the last token of the encoding of the first i bytes
+        eight = [np.zeros(n, np.uint64)]  # eight[i]: the bytes before i, eight at most
+        for i in range(1, deep + 1):
+            eight.append(eight[-1] << np.uint64(8) | columns[i - 1])
+            fresh = differ[:, i - 1] & (size >= i)
+            node = np.nonzero(fresh)[0]
+            ends = [eight[i - 8 * k][node] for k in range(4) if i > 8 * k]
+            row = self.pair_rows[(ends[0] & np.uint64(0xFFFF)).astype(np.int64)] if i > 1 else np.zeros(len(node), np.int64)
+            if i > 2:
+                tail = (ends[0] & np.uint64(0xFFFFFF)).astype(np.int64)
+                at = np.searchsorted(self.tails, tail)
+                row = np.where(self.tails[at] == tail, self.tail_rows[at], row)
+            found, left, turn = np.zeros(len(node), np.int64), np.arange(len(node)), 0
+            while len(left):
+                step = self.tries[row[left], turn]
+                if not step.all():
+                    raise ValueError("the vocabulary lacks a byte")
+                fits = np.nonzero(step <= i)[0]
+                own, length = left[fits], step[fits]
+                token = self.find([e[own] for e in ends], length)
+                there = np.nonzero(token >= 0)[0]
+                own, token, at = own[there], token[there], i - length[there]
+                good = at == 0
+                inner = np.nonzero(~good)[0]
+                good[inner] = self.may_follow(last[at[inner], node[own[inner]]], token[inner])
+                found[own[good]] = token[good]
+                done = np.zeros(len(node), bool)
+                done[own[good]] = True
+                left, turn = left[~done[left]], turn + 1
+            last[i, node] = found
+            last[i] = last[i, np.maximum.accumulate(np.where(fresh, np.arange(n), 0))]
+        back, at, word = [], size.copy(), np.arange(n)
+        while len(word):
+            token = last[at, word]
+            back.append((word, token))
+            at = at - self.length[token]
+            word, at = word[at > 0], at[at > 0]
+        counts = np.zeros(n, np.int64)
+        for own, _ in back:
+            counts[own] += 1
+        stop = np.cumsum(counts)
+        flat = np.zeros(int(stop[-1]), "<u4")
+        for k, (own, token) in enumerate(back):
+            flat[stop[own] - 1 - k] = token
+        held, ends_at = flat.tobytes(), (4 * stop).tolist()
+        return [held[a:b] for a, b in zip([0, *ends_at], ends_at)]
+
+
 class TrieEncoder:
     """Tables of one tokenizer file; made once per worker."""
 
@@ -102,6 +265,7 @@ class TrieEncoder:
         }
         self.listed = [self.tokens.get(i, b"") for i in range(max(self.tokens) + 1)]
         self.packed = {i: int(i).to_bytes(4, "little") for i in self.tokens}
+        self.levels = Levels(self)
 
     def stands(self, token: int) -> bool:
         """Whether the token's own bytes encode to it."""
@@ -133,8 +297,19 @@ class TrieEncoder:
             known = self.pairs[key] = self._apart(a, b, float("inf"))
         return known
 
+    def coded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Token ids of each distinct word, as little-endian 32-bit numbers: short words by levels, others one by one."""
+        short = sorted(w for w in words if len(w) <= DEEP)
+        if len(short) < SEVERAL:
+            return self.walk(words)
+        out = self.walk([w for w in words if len(w) > DEEP])
+        for at in range(0, len(short), BLOCK):
+            block = short[at : at + BLOCK]
+            out.update(zip(block, self.levels.walk(block)))
+        return out
+
     def walk(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Token ids of each distinct word, as little-endian 32-bit numbers."""
+        """Token ids of each distinct word, word by word."""
         ids, steps, pairs, may_follow, packed = self.ids, self.steps, self.pairs, self.may_follow, self.packed
         out: dict[bytes, bytes] = {}
         last: list[int] = [-1]  # last[i]: the last token of the encoding of the first i bytes
@@ -214,27 +389,36 @@ class TrieEncoder:
             self.words.clear()
         chunks, words = self.chunks, self.words
         # A word starts wherever a space follows a non-blank, so a text without blanks before spaces falls apart at its spaces.
-        plans = []
-        unknown: dict[str, None] = {}
-        whole: list[list[str] | None] = []
-        for text in texts:
-            if not text.startswith(" ") and _COMMON.fullmatch(text) and not _BLANK_BEFORE_SPACE.search(text):
-                head, *rest = text.split(" ")
-                plans.append(rest)
-                unknown.update(dict.fromkeys(c for c in rest if c not in chunks))
-                whole.append(self.split(head))
-            else:
-                plans.append([])
-                whole.append(self.split(text))
-        parted = {c: self.split_chunk(c) for c in unknown}
+        falls = [not text.startswith(" ") and _COMMON.fullmatch(text) is not None and not _BLANK_BEFORE_SPACE.search(text) for text in texts]
+        whole = [self.split(text[: text.find(" ")] if fall and " " in text else text) for fall, text in zip(falls, texts)]
+        parts = pa.compute.split_pattern(pa.array([text for fall, text in zip(falls, texts) if fall], pa.string()), " ")
+        offsets = parts.offsets.to_numpy()
+        rest = np.ones(len(parts.values), bool)
+        rest[offsets[:-1]] = False
+        coded = parts.values.filter(pa.array(rest)).dictionary_encode()
+        # Chunks hold no space: one text of all of them is split faster than each is converted.
+        n = len(coded.dictionary)
+        named = pa.compute.binary_join(pa.ListArray.from_arrays([0, n], coded.dictionary), " ")[0].as_py().split(" ") if n else []
+        parted = {c: self.split_chunk(c) for c in named if c not in chunks}
         new = {w for ws in (*parted.values(), *whole) for w in ws if w not in words}
         if new:
             raw = {w: w.encode() for w in new}
-            coded = self.walk(list(raw.values()))
-            words.update((w, coded[b]) for w, b in raw.items())
+            ids = self.coded(list(raw.values()))
+            words.update((w, ids[b]) for w, b in raw.items())
         for c, ws in parted.items():
             chunks[c] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
-        return [b"".join([words[w] for w in ws] + [chunks[c] for c in rest]) for ws, rest in zip(whole, plans)]
+        joined = pa.array(map(chunks.__getitem__, named), pa.large_binary(), size=len(named)).take(coded.indices)
+        held, ends = b"", np.zeros(1, np.int64)
+        if len(joined):
+            _, ends, held = joined.buffers()
+            held, ends = held.to_pybytes() if held is not None else b"", np.frombuffer(ends, np.int64)
+        bounds = ends[offsets - np.arange(len(offsets))].tolist()
+        spans = iter(zip(bounds, bounds[1:]))
+        out = []
+        for fall, ws in zip(falls, whole):
+            head = b"".join(map(words.__getitem__, ws))
+            out.append(head + held[slice(*next(spans))] if fall else head)
+        return out
 
     def decode(self, ids: bytes) -> str:
         numbers = np.frombuffer(ids, "<u4")
