@@ -161,16 +161,11 @@ def stage_values(spark, sf) -> DataFrame:
     return base(spark, sf).select(F.struct("k", "x0", "x1", "x2", "price").alias("row_id"), "y", F.array(*values).alias("values"))
 
 
-def stages(spark, sf) -> DataFrame:
-    """A row per lineitem row and tree."""
-    return stage_values(spark, sf).select("row_id", "y", F.posexplode("values").alias("tree_id", "value"))
-
-
 STAGED = STAGES + ", cum as (select *, sum(value) over (partition by k order by tree_id rows between unbounded preceding and current row) as f from st), l as (select tree_id, avg(ln(1+exp(-f*(2*y-1)))) as loss from cum group by tree_id)"
 
 
 def staged_losses(spark, sf) -> DataFrame:
-    return metrics.staged(stages(spark, sf), lambda f: F.log(1 + F.exp(-f * (2 * F.col("y") - 1))))
+    return metrics.staged_values(stage_values(spark, sf), lambda f: F.log(1 + F.exp(-f * (2 * F.col("y") - 1))))
 
 
 @query(STAGED + " select tree_id, round(loss,6) as loss from l")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from slantree.functions import analysis
 from slantree.operators import ordered
 
 
@@ -98,6 +99,23 @@ def staged(scores: DataFrame, loss, row: str = "row_id", tree: str = "tree_id",
     return scores.withColumn("_f", so_far).groupBy(tree).agg(F.avg(loss(F.col("_f"))).alias("loss"))
 
 
+def staged_values(rows: DataFrame, loss, row: str = "row_id", values: str = "values", tree: str = "tree_id", init: float = 0.0) -> DataFrame:
+    """`staged` where each row holds its trees' contributions as an array, numbered from 0: only a hash of the rows is shuffled.
+
+    Rows of one `row` add up as they do in `staged`, which takes over where any repeat.
+    """
+    if analysis.repeats(rows.select(row), row) is not None:
+        return staged(rows.select("*", F.posexplode(values).alias(tree, "_v")), loss, row, tree, "_v", init)
+
+    def added(sums, v):
+        before = F.try_element_at(sums, F.lit(-1))
+        return F.concat(sums, F.array(F.coalesce(before + v, before, v)))
+
+    so_far = F.aggregate(F.col(values).cast("array<double>"), F.array().cast("array<double>"), added)
+    each = rows.select("*", F.posexplode(so_far).alias(tree, "_f")).withColumn("_f", F.col("_f") + init)
+    return each.groupBy(tree).agg(F.avg(loss(F.col("_f"))).alias("loss"))
+
+
 def stopping_round(losses: DataFrame, patience: int, tree: str = "tree_id", loss: str = "loss") -> DataFrame:
     """best_round and stop_round (null: patience never ran out) of a table of one loss per round."""
     until = W.orderBy(tree).rowsBetween(W.unboundedPreceding, 0)  # one row per round

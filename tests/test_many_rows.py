@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from slantree import entries_model, entries_studies
-from slantree.functions import analysis
+from slantree.functions import analysis, metrics
 from slantree.operators import ordered
 
 
@@ -19,7 +19,11 @@ def test_rows_that_repeat_meet_each_other(spark):
     long.createOrReplaceTempView("long_values")
     want = spark.sql("select a.tree_id as a, b.tree_id as b, corr(a.value, b.value) as c from long_values a join long_values b on a.row_id = b.row_id and a.tree_id < b.tree_id where a.value is not null and b.value is not null group by all").collect()
     assert len(got) == 3 and got == {(r["a"], r["b"]): pytest.approx(r["c"]) for r in want}
-    assert analysis.repeats(df.distinct(), "row_id") is None
+    once = df.distinct()
+    assert analysis.repeats(once, "row_id") is None
+    met = analysis.prediction_correlation(once.select("row_id", F.posexplode("values").alias("tree_id", "value")))
+    apart = {(r["a"], r["b"]): r["corr"] for r in met.collect()}
+    assert apart == {(r["a"], r["b"]): pytest.approx(r["corr"]) for r in analysis.values_correlation(once).collect()}
 
 
 def test_pairs_of_trees_shuffle_no_rows(spark):
@@ -56,3 +60,22 @@ def test_families_of_a_node_are_ranked_where_the_node_is(spark, monkeypatch):
     after = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     below = after[after.index("Generate") :]
     assert "Window" in below and "power" in below.lower(), "draws are summed before they become rows"
+
+
+@pytest.mark.parametrize("again", [1, 2])
+def test_losses_of_rows_that_hold_their_values(spark, again):
+    rng = np.random.default_rng(7)
+    rows = [(k, k % 2, [None if rng.random() < 0.2 else float(v) for v in rng.normal(size=4)]) for k in range(50)] * again
+    df = spark.createDataFrame(rows, "row_id long, y int, values array<double>").repartition(3)
+
+    def loss(f):
+        return F.log(1 + F.exp(-f * (2 * F.col("y") - 1)))
+
+    got = {r["tree_id"]: r["loss"] for r in metrics.staged_values(df, loss, init=0.5).collect()}
+    long = df.select("row_id", "y", F.posexplode("values").alias("tree_id", "value"))
+    assert got == {r["tree_id"]: pytest.approx(r["loss"]) for r in metrics.staged(long, loss, init=0.5).collect()} and len(got) == 4
+
+
+def test_losses_of_trees_shuffle_no_rows(spark):
+    plan = entries_model.staged_loss(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
