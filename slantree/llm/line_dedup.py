@@ -810,7 +810,8 @@ def line_links(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", pe
     known = written(per_set.join(members.select("id", "name", "other"), "id").join(classes, "id", "left").join(heads, "component", "left").select("name", "other", "n_links", "earlier", "head"), "known")
     listed_sets = sets.where(F.col("more") | held_in(bit_map(known, F.xxhash64("name")), F.xxhash64("name")))
     head = F.coalesce("head", F.struct("doc_id", "text_hash", "line_no"))
-    found = listed_sets.join(known, ["name", "other"], "left").select("name", "other", "doc_id", "text_hash", "line_no", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("earlier", F.lit(False)).alias("earlier"), head["doc_id"].alias("head_doc"), head["line_no"].alias("head_line"))
+    # By a shuffle whatever the sizes: a task that sifts sets must not also pack the answers, in a second Python worker that stays.
+    found = listed_sets.join(known.hint("merge"), ["name", "other"], "left").select("name", "other", "doc_id", "text_hash", "line_no", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("earlier", F.lit(False)).alias("earlier"), head["doc_id"].alias("head_doc"), head["line_no"].alias("head_line"))
     return _described(chunks, _answers(chunks, found, buckets))
 
 
